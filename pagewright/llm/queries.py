@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm import mixing, secrets
 from pagewright.llm.chat import op7_chat_formatting
 from pagewright.llm.matroska import op8_media_matroska
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op4_secret_scans": secrets.op4_secret_scans,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_matroska": op8_media_matroska,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.ORACLE, "op4_secret_scans": secrets.ORACLE}
