@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.shared import cut, table
+from pagewright.llm.shared import bound_batches, cut, table
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings that must not appear raw inside a text: ours and those of other public templates.
@@ -92,9 +92,10 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     reached = (state.join(parents, ["tree", "node"], "left_anti")
                .withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= best)
                .select("tree", "node", "branch"))
+    reached = cut(reached)
     for jump in reversed(jumps):
         higher = reached.join(jump, ["tree", "node"]).select("tree", F.col("up").alias("node"), "branch")
-        reached = reached.unionByName(higher)
+        reached = cut(reached.unionByName(higher))
     return reached.join(state, ["tree", "node"]).select("tree", "root", "branch", "node", "depth")
 
 
@@ -131,6 +132,7 @@ def chain_nodes(conversations: DataFrame) -> DataFrame:
 
 def format_conversations(nodes: DataFrame) -> DataFrame:
     """Nodes (tree, conv_id, node, parent, score, role, text) to one formatted conversation per chosen path."""
+    bound_batches(nodes.sparkSession)
     chosen = reply_paths(nodes).join(nodes.select("tree", "conv_id", "node", "role", "text"), ["tree", "node"])
     gathered = (chosen.groupBy("tree", "root", "branch", "conv_id")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node", "role", "text"))),

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm.shared import table
+from pagewright.llm.shared import bound_batches, table
 
 # Element ids of the public Matroska specification.
 EBML, EBML_VERSION, EBML_READ, MAX_ID, MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -214,6 +214,7 @@ PACKETS = "cluster int, track int, timestamp_ms long, byte_start long, byte_size
 
 def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per packet of the binary column ``media``, with the row's ``key``."""
+    bound_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,4 +261,5 @@ def store_and_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def op8_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(store_and_read, f"doc_id long, {STORED}")

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Keep the Arrow batches that go to Python workers small: by rows, and by bytes for long texts."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def fold(id_column: str, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids hash as the empty string."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % modulus
