@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import mixing, secrets
+from pagewright.llm import mixing, quality, secrets, toxicity
 from pagewright.llm.chat import op7_chat_formatting
 from pagewright.llm.matroska import op8_media_matroska
 
@@ -14,6 +14,8 @@ from pagewright.llm.matroska import op8_media_matroska
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_secret_scans": secrets.op4_secret_scans,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_matroska": op8_media_matroska,
