@@ -82,12 +82,10 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"),
                              F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        state = cut(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
-        )
+        moved = state.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"),
+            F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"))
+        state = cut(moved.unionByName(state.where("up is null")))
     ranked = Window.partitionBy("tree", "root").orderBy(F.desc("total"), F.desc("depth"), "node")
     reached = (state.join(parents, ["tree", "node"], "left_anti")
                .withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= best)
