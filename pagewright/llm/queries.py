@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import html_text, mixing, quality, secrets, toxicity
+from pagewright.llm import decontamination, html_text, mixing, quality, secrets, toxicity
 from pagewright.llm.chat import op7_chat_formatting
 from pagewright.llm.matroska import op8_media_matroska
 
@@ -20,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_matroska": op8_media_matroska,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_secret_scans": secrets.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_secret_scans": secrets.ORACLE, "op10_decontamination": decontamination.ORACLE}
