@@ -183,10 +183,10 @@ items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), up, l
 lengths AS (SELECT DISTINCT least(len(w), 10) AS k FROM items WHERE len(w) > 0),
 tests AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
   FROM items JOIN lengths ON k = least(len(w), 10)),
-windows AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'at': i, 'phrase': array_to_string(w[i:i + k - 1], ' ')})) AS x
+windows AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'pos': i, 'phrase': array_to_string(w[i:i + k - 1], ' ')})) AS x
   FROM docs JOIN lengths ON len(w) >= k),
-found AS (SELECT doc_id, windows.k, x.at AS at, item_id FROM windows JOIN tests ON windows.k = tests.k AND x.phrase = tests.phrase),
-hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(at, at + k)) AS p FROM found) GROUP BY doc_id),
+found AS (SELECT doc_id, windows.k, x.pos AS pos, item_id FROM windows JOIN tests ON windows.k = tests.k AND x.phrase = tests.phrase),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS p FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
