@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontamination, html_text, mixing, quality, secrets, toxicity
+from pagewright.llm import decontamination, html_text, minhash, mixing, quality, secrets, toxicity
 from pagewright.llm.chat import op7_chat_formatting
 from pagewright.llm.matroska import op8_media_matroska
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2_quality,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_secret_scans": secrets.op4_secret_scans,
+        "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_matroska": op8_media_matroska,
