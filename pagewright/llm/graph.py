@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from pagewright.llm.shared import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(node, label) for every end of ``edges`` (a, b); the label is the least node of the component.
 
+    With ``labels`` of earlier edges, only their components are joined by the new ones.
     Each round takes the least label of the neighbours, then the label of that label,
     so long chains shrink exponentially; only narrow rows move, and a hub's edges are
     pre-aggregated before its minimum is taken.
     """
+    if labels is not None:
+        for end in ("a", "b"):
+            known = labels.select(F.col("node").alias(end), "label")
+            edges = edges.join(known, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
+    found = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
+        near = (both.join(found.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("label").alias("near")))
-        closer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        closer = found.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = found.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         moved = cut(closer.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        labels = moved.select("node", "label")
+        found = moved.select("node", "label")
         if moved.where("old <> label").isEmpty():
-            return labels
+            break
+    if labels is None:
+        return found
+    # Earlier components take the label of theirs; nodes that were alone come in.
+    renamed = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select(
+        "node", F.coalesce("new", "label").alias("label"))
+    return cut(renamed.unionByName(found.join(labels.select("node"), "node", "left_anti")))

@@ -1,17 +1,21 @@
-"""Near-duplicates by ProbMinHash signatures, banding and exact verification; DataFrame functions only.
-
-A text's elements are its distinct shingles of five words, weighted by their length.
-Each element is a Poisson process of arrivals at random slots whose rate is its
-weight; a slot keeps the first arrival, so two texts agree in a slot with their
-probability Jaccard.  Generation stops early: arrivals after a time by which all
-slots are filled almost surely (it shrinks with the text's total weight) are never made.
-Slots are banded in threes; texts that share a band are candidates, and a pair is a
-link if the Jaccard of its shingle sets is at least 0.8, computed exactly.
+"""Near-duplicates by ProbMinHash signatures, banding and exact verification.
+
+A text's elements are its distinct shingles of five lower-cased words, weighted by
+the length of their middle word.  Each element is a Poisson process of arrivals at
+random slots whose rate is its weight; a slot keeps the first arrival, so two texts
+agree in a slot with their probability Jaccard.  Generation stops early: arrivals
+after a time by which all slots are filled almost surely (it shrinks with the text's
+total weight) are never made.  Slots are banded in threes; texts that share a band
+are candidates, and a pair is a link if the Jaccard of its shingle sets is at least
+0.8, computed exactly.  Shingles and arrivals are numpy work on Arrow batches;
+buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
-pairs are compared; in a larger one members are compared with a pivot, and buckets
-that still hold several components are dealt again with another pivot, so work stays
-linear in the bucket.  Classes are the connected components of the links.
+pairs are compared.  In a larger one members are compared with pivots; buckets that
+still hold several components are dealt again with other pivots, so work stays
+linear in the bucket.  A link inside a large bucket that no pivot shows can still be
+found in the other bands; the tests compare with brute force.  Classes are the
+connected components of the links.
 
 Defined cases: null text is the empty text, and equal texts without words are copies
 like any others; 1 to 4 words are one shingle; repeated rows and ids share their
@@ -21,12 +25,16 @@ text's class; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.graph import components
-from pagewright.llm.shared import cut, table
+from pagewright.llm.shared import bound_batches, cut, table
 
 WORDS = 5
 LEAST = 0.8
@@ -35,79 +43,116 @@ SLOTS = BANDS * ROWS
 #: A slot stays empty with probability exp(-EXTRA) / SLOTS; a band with an empty slot is left out.
 EXTRA = 2.0
 SMALL = 8
-ROUNDS = 8
-
-_U = f"((({{h}} & {(1 << 52) - 1}L) + 0.5D) / {float(1 << 52)!r}D)"
-#: A shingle's low byte is its length in characters, which gives its weight, 0.6 to 1.5.
-_WEIGHT = "(0.6D + least({s} & 255L, 90L) / 100D)"
-
-
-def word_codes(text: Column) -> Column:
-    """A hash of each lower-cased word with its length (51 at most) in the low byte."""
-    split = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(split, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(F.length(w), F.lit(51)).cast("long")))
+#: Pivots of a large bucket in each round.
+PIVOTS = (1, 4, 4)
 
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LENGTH = np.uint64(63)
 
-def shingle_codes(words: int = WORDS) -> Column:
-    """Distinct shingles of the word codes ``w``: a hash with the shingle's length in the low byte."""
-    run = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: _shingle([F.col("w")[i + k] for k in range(words)]))
-    length = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(255)))
-    all_words = F.array(F.xxhash64("w").bitwiseAND(F.lit(-256)).bitwiseOR(length))
-    none = F.array().cast("array<long>")
-    return F.array_distinct(F.when(F.size("w") >= words, run).when(F.size("w") > 0, all_words).otherwise(none))
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of the public SplitMix64 generator."""
+    x = (x ^ (x >> np.uint64(30))) * _M2
+    x = (x ^ (x >> np.uint64(27))) * _M3
+    return x ^ (x >> np.uint64(31))
 
-def _shingle(codes: list[Column]) -> Column:
-    length = sum((c.bitwiseAND(F.lit(255)) for c in codes[1:]), codes[0].bitwiseAND(F.lit(255)))
-    return F.xxhash64(*codes).bitwiseAND(F.lit(-256)).bitwiseOR(length)
 
+class _Codes(dict):
+    """Word codes: a hash with the word's length (63 at most) in the low bits."""
 
-def with_shingles(texts: DataFrame) -> DataFrame:
-    """``texts`` with ``shingles`` in place of ``text``."""
-    return texts.withColumn("w", word_codes(F.col("text"))).drop("text").withColumn("shingles", shingle_codes()).drop("w")
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word) & ~63 | min(len(word), 63)
+        return code
 
 
-def arrivals_sql() -> tuple[str, str]:
-    """SQL for the time at which generation of a text's arrivals stops, and for its sorted arrivals before that.
+def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of all texts, by text and sorted, and the [start, end) bounds of each text.
 
-    An arrival is (slot, time) in one long, slot first; sorted, the first of each slot is its signature.
+    A shingle's low bits are the length of its middle word.
     """
-    w = _WEIGHT.format(s="x.s")
-    time = lambda h: f"(- ln({_U.format(h=h)}) / {w})"
-    code = lambda h, t: f"((shiftrightunsigned({h}, 52) % {SLOTS}L) * {1 << 52}L + cast({t} * {float(1 << 44)!r}D AS bigint))"
-    total = "aggregate(shingles, 0D, (a, s) -> a + " + _WEIGHT.format(s="s") + ")"
-    until = f"({SLOTS * (math.log(SLOTS) + EXTRA)!r}D / {total})"
-    # Rounds that the busiest element needs but for a vanishing chance.
-    rounds = "cast(ceil(1.5D * until + 6D * sqrt(1.5D * until) + 10D) AS int)"
-    arrivals = f"""
-        aggregate(sequence(1, {rounds}),
-            struct(filter(transform(shingles, s -> struct(s, {time('xxhash64(s, 0)').replace('x.s', 's')} AS t)), x -> x.t < until) AS now,
-                   cast(array() AS array<bigint>) AS out),
-            (a, j) -> struct(
-                CASE WHEN size(a.now) = 0 THEN a.now ELSE
-                    filter(transform(a.now, x -> struct(x.s AS s, x.t + {time('xxhash64(x.s, j)')} AS t)), x -> x.t < until) END AS now,
-                CASE WHEN size(a.now) = 0 THEN a.out ELSE
-                    concat(a.out, transform(a.now, x -> {code('xxhash64(x.s, j - 1)', 'x.t')})) END AS out),
-            a -> sort_array(a.out))"""
-    return until, arrivals
-
-
-def signatures(nodes: DataFrame) -> DataFrame:
-    """(node, n, bands) of (node, shingles): the number of shingles and the keys of full bands."""
-    until, arrivals = arrivals_sql()
-    slot = lambda x: F.shiftright(x, 52)
-    made = (nodes.withColumn("n", F.size("shingles"))
-            .withColumn("until", F.expr(f"CASE WHEN n > 0 THEN {until} END"))
-            .withColumn("arrivals", F.expr(f"CASE WHEN n > 0 THEN {arrivals} ELSE cast(array() AS array<bigint>) END"))
-            .drop("shingles"))
-    firsts = F.filter("arrivals", lambda x, i: (i == 0) | (slot(x) != slot(F.col("arrivals")[F.greatest(i - 1, F.lit(0))])))
-    made = made.withColumn("firsts", firsts).drop("arrivals", "until")
-    # In a full signature the slots are 0..SLOTS-1 in order; otherwise each is looked up.
-    at = lambda k: F.when(F.size("firsts") == SLOTS, F.col("firsts")[k]).otherwise(
-        F.get(F.filter("firsts", lambda x: slot(x) == k), F.lit(0)))
-    keys = [F.when(at(b).isNotNull() & at(b + BANDS).isNotNull() & at(b + 2 * BANDS).isNotNull(),
-                   F.xxhash64(F.lit(b), at(b), at(b + BANDS), at(b + 2 * BANDS))) for b in range(BANDS)]
-    return made.withColumn("bands", F.array_compact(F.array(*keys))).drop("firsts")
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = (text or "").lower().encode("utf-8", "replace").split()
+        sizes[i] = len(words)
+        parts.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+    # Short texts are filled up to one shingle with zeros.
+    room = np.where(sizes > 0, np.maximum(sizes, WORDS), 0)
+    flat = np.zeros(int(room.sum()) + WORDS, np.uint64)
+    starts = np.cumsum(room) - room
+    for at, part in zip(starts.tolist(), parts):
+        flat[at: at + len(part)] = part
+    n = len(flat) - WORDS + 1
+    hashed = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        hashed = mix(hashed + flat[k: n + k] + _M1)
+    hashed = (hashed & ~_LENGTH) | (flat[WORDS // 2: n + WORDS // 2] & _LENGTH)
+    counts = np.maximum(room - WORDS + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    hashed = hashed[at]
+    order = np.lexsort((hashed, owner))
+    hashed, owner = hashed[order], owner[order]
+    fresh = np.concatenate(([True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, bool)
+    hashed, owner = hashed[fresh], owner[fresh]
+    return hashed, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def weights(shingles: np.ndarray) -> np.ndarray:
+    return 0.6 + np.minimum((shingles & _LENGTH).astype(float), 27) / 30
+
+
+def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signature codes (texts by SLOTS); the largest code where a slot had no arrival."""
+    n = len(bounds) - 1
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(n * SLOTS, none, np.uint64)
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    weight = weights(shingles)
+    total = np.bincount(owner, weight, minlength=n)
+    until = SLOTS * (math.log(SLOTS) + EXTRA) / np.maximum(total, 1e-9)
+    time, element, j = np.zeros(len(shingles)), shingles, 0
+    while len(element):
+        j += 1
+        h = mix(element ^ np.uint64(j * int(_M1) & 0xFFFFFFFFFFFFFFFF))
+        time = time - np.log(((h >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)) / weight
+        alive = time < until[owner]
+        h, time, element, owner, weight = h[alive], time[alive], element[alive], owner[alive], weight[alive]
+        # The arrival's code: its time, then bits that tell elements apart.
+        code = ((time * float(1 << 36)).astype(np.uint64) << np.uint64(16)) | (mix(h) & np.uint64(0xFFFF))
+        slot = ((h & np.uint64(0xFFF)) % np.uint64(SLOTS)).astype(np.int64)
+        np.minimum.at(out, owner * SLOTS + slot, code)
+    return out.reshape(n, SLOTS)
+
+
+def band_keys(signature: np.ndarray) -> list[np.ndarray]:
+    """For each text, the keys of its bands whose slots are all filled."""
+    parts = signature.reshape(len(signature), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _M1, (len(signature), BANDS))
+    for r in range(ROWS):
+        key = mix(key + parts[:, :, r] + _M1)
+    full = (parts != np.uint64(0xFFFFFFFFFFFFFFFF)).all(2)
+    return [k[f] for k, f in zip(key.view(np.int64), full)]
+
+
+def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds n (distinct shingles) and bands to (.., text)."""
+    codes = _Codes()
+    for batch in batches:
+        if len(codes) > 1_000_000:
+            codes.clear()
+        shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
+        yield batch.drop(columns="text").assign(n=np.diff(bounds).astype(np.int32), bands=band_keys(signatures(shingles, bounds)))
+
+
+def collect_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, shingles) of (node, text)."""
+    codes = _Codes()
+    for batch in batches:
+        if len(codes) > 1_000_000:
+            codes.clear()
+        shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
+        whole = shingles.view(np.int64)
+        yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])]})
 
 
 def node_of(text: Column) -> Column:
@@ -116,45 +161,48 @@ def node_of(text: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets in ``sets`` (node, shingles) have a Jaccard of at least ``least``."""
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    full = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    full = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
     """(key, class_id, n_shingles) for every row of (key, text); class_id is the least key of its class."""
-    texts = documents.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(signatures(with_shingles(texts.withColumn("node", node_of(F.col("text"))))))
+    bound_batches(documents.sparkSession)
+    texts = documents.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
+    # Keys stay on the JVM's side: a node's signature is that of its text, whichever row it comes from.
+    kind = texts.schema["key"].dataType.simpleString()
+    text_key = texts.select(F.col("key").cast("string").alias("key"), "node", "text")
+    rows = cut(text_key.mapInPandas(measure, "key string, node string, n int, bands array<long>").withColumn("key", F.col("key").cast(kind)))
     nodes = rows.groupBy("node").agg(F.min("key").alias("first"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    members = cut(nodes.select("node", "n", F.explode("bands").alias("band")))
+    members = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(sizes, "band"))
     candidates = members.select("node").distinct()
-    sets = cut(with_shingles(texts.withColumn("node", node_of(F.col("text"))).join(candidates, "node", "left_semi"))
-               .groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = cut(texts.select("node", "text").join(candidates, "node", "left_semi").mapInPandas(collect_sets, "node string, shingles array<long>")
+               .groupBy("node").agg(F.max("shingles").alias("shingles")))
     alike = (F.least("n", "n2") >= least * F.greatest("n", "n2")) & (F.col("a") != F.col("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     small = members.where(F.col("size") <= SMALL)
     one, two = small.select("band", F.col("node").alias("a"), "n"), small.select("band", F.col("node").alias("b"), F.col("n").alias("n2"))
     pairs = one.join(two, "band").where(alike & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    labels = components(cut(verified(pairs, sets, least)))
     large = members.where(F.col("size") > SMALL)
-    links = cut(verified(pairs, sets, least))
-    labels = components(links)
-    for k in range(ROUNDS):
+    seed = 0
+    for count in PIVOTS:
         open_ = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.xxhash64(F.lit(k), "node")
-        pivots = (open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("p"),
-                                            F.min("label").alias("low"), F.max("label").alias("high"))
-                  .where("low <> high").select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2")))
+        orders = range(seed, seed + count)
+        seed += count
+        firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "node", "n", "label")) for k in orders]
+        pivots = (open_.groupBy("band").agg(F.array(*firsts).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
+                  .where("low <> high").select("band", F.explode(F.array_distinct("p")).alias("p"))
+                  .select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2")))
         dealt = cut(open_.withColumnRenamed("node", "a").join(pivots, "band").where(alike & (F.col("label") != F.col("label2")))
                     .select(*ordered).distinct())
         if dealt.isEmpty():
             break
-        found = cut(verified(dealt, sets, least))
-        if not found.isEmpty():
-            links = cut(links.unionByName(found))
-            labels = components(links)
+        labels = components(cut(verified(dealt, sets, least)), labels)
     firsts = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
     of_node = firsts.join(classes, "label").select("node", "class_id")
