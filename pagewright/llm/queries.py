@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontamination, html_text, minhash, mixing, quality, secrets, toxicity
+from pagewright.llm import decontamination, html_text, minhash, mixing, ngram_lm, quality, secrets, toxicity
 from pagewright.llm.chat import op7_chat_formatting
 from pagewright.llm.matroska import op8_media_matroska
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_matroska": op8_media_matroska,
+        "op9_lm_scoring": ngram_lm.op9_lm_scoring,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
