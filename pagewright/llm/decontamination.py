@@ -23,7 +23,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,33 +121,50 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Searcher:
+    """Searches texts for all blocks, on a worker; only one block's phrases are held at a time."""
+
+    def __init__(self, sent: list):
+        self.sent, self.held = sent, {}
+
+    def _phrases(self, k: int) -> Phrases:
+        if k not in self.held:
+            self.held = {k: Phrases(self.sent[k].value)}
+        return self.held[k]
+
+    def __call__(self, texts: list) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
+        counts, spans, items = search(texts, self._phrases(0))
+        for k in range(1, len(self.sent)):
+            _, more, named = search(texts, self._phrases(k))
+            spans = [merge([*x, *y]) for x, y in zip(spans, more)]
+            items = [x | y for x, y in zip(items, named)]
+        return counts, spans, items
+
+
+def send_blocks(benchmark: DataFrame) -> list:
+    """Broadcasts of the blocks of test items, one at least."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(b) for b in blocks(benchmark)] or [context.broadcast([])]
+
+
 FOUND = "n_words long, span_words array<int>, items array<string>"
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` with n_words, span_words (start, end, start, end, ...) and items."""
-    spark = documents.sparkSession
-    bound_batches(spark)
-    whole = [f.name for f in documents.schema if f.dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    found = documents.selectExpr("*", "0L AS n_words", "cast(array() AS array<int>) AS span_words", "cast(array() AS array<string>) AS items")
-    for block in [*blocks(benchmark)] or [[]]:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            phrases = Phrases(sent.value)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                counts, spans, items = search(batch["text"].tolist(), phrases)
-                before = [list(zip(s[::2], s[1::2])) for s in map(list, batch["span_words"])]
-                merged = [merge([*a, *b]) for a, b in zip(before, spans)]
-                yield batch.astype({c: "Int64" for c in whole}).assign(
-                    n_words=counts, span_words=[[x for s in m for x in s] for m in merged],
-                    items=[sorted({*a, *(x for x in b if x is not None)}) for a, b in zip(batch["items"], items)])
-
-        found = found.mapInPandas(run, f"{schema}, {FOUND}")
-    return found
+def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, span_words, items) of each row of (key, text); spans as start, end, start, end, ..."""
+    bound_batches(documents.sparkSession)
+    sent = send_blocks(benchmark)
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(sent)
+        for batch in batches:
+            counts, spans, items = searcher(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
+                pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.string()))], ["key", "n_words", "span_words", "items"])
+
+    return documents.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, {FOUND}").withColumnRenamed("key", key)
 
 
 def without_spans(text: str, span_words: list[int]) -> str:
@@ -167,6 +184,38 @@ def without_spans(text: str, span_words: list[int]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8")
 
 
+def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` without the removal spans, n_chars (where it is a column) brought up to date.
+
+    Rows without a hit stay as they are; rows of which no word is left go.
+    """
+    bound_batches(documents.sparkSession)
+    sent = send_blocks(benchmark)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(sent)
+        for batch in batches:
+            names = batch.schema.names
+            texts = batch.column(names.index("text")).to_pylist()
+            _, spans, _ = searcher(texts)
+            hit = [i for i, s in enumerate(spans) if s]
+            for i in hit:
+                texts[i] = without_spans(texts[i], [x for s in spans[i] for x in s])
+            if hit:
+                changed = {"text": texts}
+                if "n_chars" in names:
+                    changed["n_chars"] = batch.column(names.index("n_chars")).to_pylist()
+                    for i in hit:
+                        changed["n_chars"][i] = len(texts[i])
+                batch = pa.RecordBatch.from_arrays(
+                    [pa.array(changed[f.name], f.type) if f.name in changed else c for f, c in zip(batch.schema, batch.columns)], schema=batch.schema)
+                gone = {i for i in hit if not words_of(texts[i])}
+                batch = batch.filter(pa.array([i not in gone for i in range(len(texts))]))
+            yield batch
+
+    return documents.mapInArrow(clean, documents.schema)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(documents, table(spark, sf_dir, "benchmark"))

@@ -167,8 +167,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """(key, class_id, n_shingles) for every row of (key, text); class_id is the least key of its class."""
+def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n) for each row, and (node, label, first) for each distinct text, ``first`` being its least key."""
     bound_batches(documents.sparkSession)
     texts = documents.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
     # Keys stay on the JVM's side: a node's signature is that of its text, whichever row it comes from.
@@ -203,10 +203,27 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", least: float = LE
         if dealt.isEmpty():
             break
         labels = components(cut(verified(dealt, sets, least)), labels)
-    firsts = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
-    of_node = firsts.join(classes, "label").select("node", "class_id")
-    return rows.select("key", "node", "n").join(of_node, "node").select(F.col("key").alias(key), "class_id", F.col("n").alias("n_shingles"))
+    of_node = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.select("key", "node", "n"), of_node
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """(key, class_id, n_shingles) for every row of (key, text); class_id is the least key of its class."""
+    rows, of_node = text_classes(documents, key, least)
+    classes = of_node.groupBy("label").agg(F.min("first").alias("class_id"))
+    of_node = of_node.join(classes, "label").select("node", "class_id")
+    return rows.join(of_node, "node").select(F.col("key").alias(key), "class_id", F.col("n").alias("n_shingles"))
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """One row of ``documents`` for each class: that of the least key, all columns as they are."""
+    _, of_node = text_classes(documents, key, least)
+    best = of_node.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("best"))
+    stays = best.select(F.col("best.node").alias("node"), F.col("best.first").alias("first"))
+    # Copies of a text differ in their keys, so they are spread over tasks.
+    given = documents.withColumn("node", node_of(F.col("text"))).alias("d").join(
+        stays.alias("s"), (F.col("d.node") == F.col("s.node")) & F.col(f"d.{key}").eqNullSafe(F.col("s.first")), "left_semi")
+    return given.dropDuplicates(["node", key]).select(*documents.columns)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of (doc_id, text, source)."""
+    """(doc_id, source, size, source_size, target, taken, copies) for every row of (doc_id, text, source)."""
     text = F.col("text")
     base = cut(documents.select(
         "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), n_words(text).alias("size"),
@@ -103,13 +103,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
     in_order = Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where("inside IS NULL").withColumn("upto", F.col("before") + F.sum("size").over(in_order)).withColumn(
         "inside", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
-    taken = F.col("size") * (F.col("epochs") + F.col("inside"))
+    copies = (F.col("epochs") + F.col("inside")).cast("long")
     return placed.where("inside IS NOT NULL").unionByName(edge).select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source", "copies")
 
 
 ORACLE = r"""

@@ -118,6 +118,20 @@ def redact(text: str = "text", findings: str = "findings", mark: str = "[SECRET]
             a -> concat(a.out, substring({text}, a.at + 1)))""")
 
 
+def redacted(documents: DataFrame) -> DataFrame:
+    """``documents`` with found secrets replaced, n_chars (where it is a column) brought up to date; no row goes.
+
+    Only rows with a trigger are joined with the ledger, so other texts are not moved.
+    """
+    triggered = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    suspects = with_blob(documents.where(triggered))
+    found = findings_of(suspects, scan(suspects.select("blob", "text"))).withColumn("text", redact())
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return documents.where(~triggered).unionByName(found.select(*documents.columns))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = with_blob(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ledger = scan(versions.select("blob", "text"))

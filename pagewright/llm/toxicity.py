@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +168,21 @@ def score_table(documents: DataFrame, model: Model, key: str = "doc_id", kept: t
     return documents.select(*columns).mapInPandas(score, f"{schema}, score double, n_passages int")
 
 
+def without_toxic(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose score is under ``least``."""
+    bound_batches(documents.sparkSession)
+    lexicon, other, scale, weights, constant = model
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = np.array([evidence(t, lexicon, other, scale) for t in texts], float).reshape(-1, 3)
+            scores = np.full(len(texts), constant) if constant is not None else sigmoid(weights[0] + _features(found[:, :2]) @ weights[1:])
+            yield batch.filter(pa.array(scores < least))
+
+    return documents.mapInArrow(clean, documents.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(documents, table(spark, sf_dir, "labels"))
