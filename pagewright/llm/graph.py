@@ -23,9 +23,9 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     found = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
     while True:
-        near = (both.join(found.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("near")))
-        closer = found.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        told = both.join(found.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), F.col("label").alias("mid"), F.lit(None).alias("old"))
+        closer = told.unionByName(found.select("node", F.col("label").alias("mid"), F.col("label").alias("old"))).groupBy("node").agg(
+            F.min("mid").alias("mid"), F.max("old").alias("old"))
         jump = found.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         moved = cut(closer.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         found = moved.select("node", "label")

@@ -11,9 +11,9 @@ are candidates, and a pair is a link if the Jaccard of its shingle sets is at le
 buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
-pairs are compared.  In a larger one members are compared with pivots; buckets that
-still hold several components are dealt again with other pivots, so work stays
-linear in the bucket.  A link inside a large bucket that no pivot shows can still be
+pairs are compared.  In a larger one members are compared with pivots, first in a
+fifth of the buckets; buckets that still hold several components are dealt again with
+other pivots, so work stays linear in the bucket.  A link inside a large bucket that no pivot shows can still be
 found in the other bands; the tests compare with brute force.  Classes are the
 connected components of the links.
 
@@ -43,8 +43,8 @@ SLOTS = BANDS * ROWS
 #: A slot stays empty with probability exp(-EXTRA) / SLOTS; a band with an empty slot is left out.
 EXTRA = 2.0
 SMALL = 8
-#: Pivots of a large bucket in each round.
-PIVOTS = (1, 4, 4)
+#: Rounds over the large buckets that hold several components, and pivots of a bucket in each.
+ROUNDS, PIVOTS = 2, 5
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(63)
@@ -186,20 +186,24 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     small = members.where(F.col("size") <= SMALL)
     one, two = small.select("band", F.col("node").alias("a"), "n"), small.select("band", F.col("node").alias("b"), F.col("n").alias("n2"))
-    pairs = one.join(two, "band").where(alike & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    labels = components(cut(verified(pairs, sets, least)))
+    pairs = one.join(two, "band").where(alike & (F.col("a") < F.col("b"))).select("a", "b")
     large = members.where(F.col("size") > SMALL)
-    seed = 0
-    for count in PIVOTS:
-        open_ = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        orders = range(seed, seed + count)
-        seed += count
-        firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "node", "n", "label")) for k in orders]
-        pivots = (open_.groupBy("band").agg(F.array(*firsts).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
+
+    def dealt_to_pivots(buckets: DataFrame, seeds: range) -> DataFrame:
+        """Pairs of members and their bucket's pivots that are not in one component yet."""
+        firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "node", "n", "label")) for k in seeds]
+        pivots = (buckets.groupBy("band").agg(F.array(*firsts).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
                   .where("low <> high").select("band", F.explode(F.array_distinct("p")).alias("p"))
                   .select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2")))
-        dealt = cut(open_.withColumnRenamed("node", "a").join(pivots, "band").where(alike & (F.col("label") != F.col("label2")))
-                    .select(*ordered).distinct())
+        return (buckets.withColumnRenamed("node", "a").join(pivots, "band").where(alike & (F.col("label") != F.col("label2"))).select(*ordered))
+
+    # First a fifth of the large buckets, which joins most of each close group; then all that are still open.
+    fifth = large.where(F.pmod("band", F.lit(5)) == 0).withColumn("label", F.col("node"))
+    dealt = pairs.unionByName(dealt_to_pivots(fifth, range(1))).distinct()
+    labels = components(cut(verified(dealt, sets, least)))
+    for k in range(ROUNDS):
+        open_ = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        dealt = cut(dealt_to_pivots(open_, range(1 + k * PIVOTS, 1 + (k + 1) * PIVOTS)).distinct())
         if dealt.isEmpty():
             break
         labels = components(cut(verified(dealt, sets, least)), labels)
