@@ -35,7 +35,12 @@ def named_pages(files: DataFrame, suffix: str) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return spark.read.text(path, wholetext=True).select(decoded_name().alias("file_name"), "value")
+
+
+def decoded_name():
+    """The file's name; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def ocr_pages(files: DataFrame) -> DataFrame:

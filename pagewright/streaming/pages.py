@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.operators.sections import merge_within, prepare, reflow_sections
-from pagewright.sources.pages import ocr_pages
+from pagewright.sources.pages import decoded_name, ocr_pages
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (book, page_num, file_name, sections) from page files that arrive under ``path``."""
     files = spark.readStream.format("text").option("wholetext", "true").load(path)
-    return ocr_pages(files.select(F.col("_metadata.file_name").alias("file_name"), "value"))
+    return ocr_pages(files.select(decoded_name().alias("file_name"), "value"))
 
 
 def prepared_pages(pages: DataFrame) -> DataFrame:

@@ -1,0 +1,85 @@
+"""Merging across pages against a plain walk over random books, and hand-derived results."""
+
+import random
+
+from pagewright.operators import render, sections, structure
+from pagewright.plans.catalog import fixture_pages
+
+ENDS = (".", "!", "?", "…", '."', ".'")
+
+
+def ends(text):
+    return not text.rstrip() or text.rstrip().endswith(ENDS)
+
+
+def new(text):
+    t = text.strip()
+    return not t or t.startswith(("- ", "• ")) or (t[0].isdigit() and t[1:3] in (") ", ". ")) or (t.isupper() and len(t) >= 2 and " " not in t)
+
+
+def join(a, b):
+    a, b = a.rstrip(), b.lstrip()
+    if a and b and a[-1].isalpha() and a[-1].isascii() and b[0].islower() and b[0].isascii():
+        return a + b
+    return f"{a} {b}" if a and b else a or b
+
+
+def walk(pages):
+    """The rule as stated: one page after the other, a page pulled back in part keeps only its content."""
+    out = []
+    for number, secs in pages:
+        body = [s for s in secs if s[0] not in ("header", "page_number")]
+        if not body:
+            continue
+        if out and out[-1][1][-1][0] == body[0][0] == "body" and not ends(out[-1][1][-1][1]) and not new(body[0][1]):
+            last = out[-1][1][-1]
+            out[-1] = (out[-1][0], [*out[-1][1][:-1], ("body", join(last[1], body[0][1]))])
+            if body[1:]:
+                out.append((number, body[1:]))
+        else:
+            out.append((number, list(secs)))
+    return out
+
+
+def test_merge_across_random_books(spark):
+    rng = random.Random(7)
+    texts = ["open", "closed.", "Upper", "AB", "- item", "1) one", "tail,", "Quote.'", "x y"]
+    books = {}
+    for b in range(150):
+        books[f"b{b}"] = [(p, [(rng.choice(["body", "body", "body", "header", "page_number", "title", "caption"]), rng.choice(texts))
+                               for _ in range(rng.randrange(4))]) for p in range(rng.randrange(1, 9))]
+    rows = [(b, p, [{"type": t, "text": x} for t, x in secs]) for b, pages in books.items() for p, secs in pages]
+    given = spark.createDataFrame(rows, f"book string, page_num int, sections {sections.SECTIONS}")
+    got = {r["book"]: [(p["page_num"], [(s["type"], s["text"]) for s in p["sections"]]) for p in r["pages"]] for r in sections.merge_across(given).collect()}
+    assert got == {b: walk(pages) for b, pages in books.items()}
+
+
+def test_sample_book(spark):
+    pages = fixture_pages(spark).where("book = 'sample'")
+    parts = {r["seg"]: r for r in structure.segments(sections.normalize(pages)).collect()}
+    assert [(s, p["kind"], p["start_page"], p["end_page"], len(p["blocks"])) for s, p in sorted(parts.items())] == [
+        (1, "chapter", 9, 271, 6), (2, "back_matter", 272, 272, 1)]
+    assert [b["section_type"] for b in parts[1]["blocks"]] == ["section_title", "body", "body", "section_title", "subtitle", "body"]
+    raw, _ = render.assemble(pages, "raw")
+    assert {r["seg"]: len(r["blocks"]) for r in raw.collect()}[1] == 7
+
+
+def test_empty_input(spark):
+    empty = fixture_pages(spark).where("book = 'nothing'")
+    parts, markdown = render.assemble(empty)
+    assert parts.count() == 0 and markdown.count() == 0
+
+
+def test_page_work_needs_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([("b", 1, [{"type": "body", "text": "a\nb"}])], f"book string, page_num int, sections {sections.SECTIONS}")
+    made = frame.select(F.expr(sections.prepare(sections.merge_within("sections"))).alias("s"))
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+
+
+def test_document_books_share_one_exchange(spark):
+    from pagewright.plans.catalog import document_pages
+
+    plan = structure.segments(sections.normalize(document_pages(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(book") == 1 and "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
