@@ -11,11 +11,11 @@ are candidates, and a pair is a link if the Jaccard of its shingle sets is at le
 buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
-pairs are compared.  In a larger one members are compared with pivots, first in a
-fifth of the buckets; buckets that still hold several components are dealt again with
-other pivots, so work stays linear in the bucket.  A link inside a large bucket that no pivot shows can still be
-found in the other bands; the tests compare with brute force.  Classes are the
-connected components of the links.
+pairs are compared.  In larger ones members are first compared with one pivot, in a
+fifth of the buckets.  Where a bucket then holds several components, every member is
+compared with the nodes outside the main one, PIVOTS of them in a round, so work
+stays linear in the bucket; what ROUNDS leave open goes through an exact prefix
+filter.  Classes are the connected components of the links.
 
 Defined cases: null text is the empty text, and equal texts without words are copies
 like any others; 1 to 4 words are one shingle; repeated rows and ids share their
@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.llm.graph import components
 from pagewright.llm.shared import bound_batches, cut, table
@@ -44,7 +45,7 @@ SLOTS = BANDS * ROWS
 EXTRA = 2.0
 SMALL = 8
 #: Rounds over the large buckets that hold several components, and pivots of a bucket in each.
-ROUNDS, PIVOTS = 2, 5
+ROUNDS, PIVOTS = 3, 16
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(63)
@@ -167,6 +168,34 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
+def outside_main(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets with several components: the members outside the largest one, ranked by hash, and all members."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("count"))
+    main = parts.groupBy("band").agg(F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+        "band", F.col("main.label").alias("main"))
+    open_ = labelled.join(main, "band")
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
+    return open_.where("label <> main").withColumn("rank", F.row_number().over(order)), open_
+
+
+def rare_shingle_pairs(minor: DataFrame, open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The exact way for buckets with very many components: candidates (a, b) by prefix filtering.
+
+    Of two sets with a Jaccard of ``least``, the n - ceil(least n) + 1 rarest elements of
+    each have one in common, whatever the order of rarity; shared passages are not rare.
+    """
+    bands = minor.select("band").distinct()
+    nodes = open_.join(bands, "band", "left_semi").select("node", "label").distinct()
+    each = sets.join(nodes, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counted = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s", "left")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    prefix = counted.withColumn("r", rank).where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1))
+    prefix = prefix.select("s", "node", "label")
+    other = prefix.select("s", F.col("node").alias("b"), F.col("label").alias("label2"))
+    return prefix.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label2"))).select("a", "b")
+
+
 def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(key, node, n) for each row, and (node, label, first) for each distinct text, ``first`` being its least key."""
     bound_batches(documents.sparkSession)
@@ -189,21 +218,22 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     pairs = one.join(two, "band").where(alike & (F.col("a") < F.col("b"))).select("a", "b")
     large = members.where(F.col("size") > SMALL)
 
-    def dealt_to_pivots(buckets: DataFrame, seeds: range) -> DataFrame:
-        """Pairs of members and their bucket's pivots that are not in one component yet."""
-        firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), "node", "n", "label")) for k in seeds]
-        pivots = (buckets.groupBy("band").agg(F.array(*firsts).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-                  .where("low <> high").select("band", F.explode(F.array_distinct("p")).alias("p"))
-                  .select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2")))
-        return (buckets.withColumnRenamed("node", "a").join(pivots, "band").where(alike & (F.col("label") != F.col("label2"))).select(*ordered))
-
-    # First a fifth of the large buckets, which joins most of each close group; then all that are still open.
-    fifth = large.where(F.pmod("band", F.lit(5)) == 0).withColumn("label", F.col("node"))
-    dealt = pairs.unionByName(dealt_to_pivots(fifth, range(1))).distinct()
-    labels = components(cut(verified(dealt, sets, least)))
-    for k in range(ROUNDS):
-        open_ = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        dealt = cut(dealt_to_pivots(open_, range(1 + k * PIVOTS, 1 + (k + 1) * PIVOTS)).distinct())
+    # First a fifth of the large buckets and one pivot in each, which joins most of each close group.
+    fifth = large.where(F.pmod("band", F.lit(5)) == 0)
+    first_pivots = fifth.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("p")).select(
+        "band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
+    dealt = fifth.withColumnRenamed("node", "a").join(first_pivots, "band").where(alike).select(*ordered)
+    labels = components(cut(verified(pairs.unionByName(dealt).distinct(), sets, least)))
+    # Then, in buckets that hold several components, all members with nodes outside the bucket's main one.
+    for k in range(ROUNDS + 1):
+        minor, open_ = outside_main(large, labels)
+        minor = minor.where(f"rank > {k * PIVOTS}")
+        if k == ROUNDS:
+            dealt = cut(rare_shingle_pairs(minor, open_, sets, least).select(*ordered).distinct())
+        else:
+            chosen = minor.where(f"rank <= {(k + 1) * PIVOTS}").select("band", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            dealt = cut(open_.withColumnRenamed("node", "a").join(chosen, "band").where(alike & (F.col("label") != F.col("label2")))
+                        .select(*ordered).distinct())
         if dealt.isEmpty():
             break
         labels = components(cut(verified(dealt, sets, least)), labels)
