@@ -11,11 +11,11 @@ are candidates, and a pair is a link if the Jaccard of its shingle sets is at le
 buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
-pairs are compared.  In larger ones members are first compared with one pivot, in a
-fifth of the buckets.  Where a bucket then holds several components, every member is
-compared with the nodes outside the main one, PIVOTS of them in a round, so work
-stays linear in the bucket; what ROUNDS leave open goes through an exact prefix
-filter.  Classes are the connected components of the links.
+pairs are compared; in a larger one every member is compared with the bucket's most
+central nodes, so work stays linear in the bucket.  Nodes of buckets that then still
+hold several components go through an exact prefix filter, which looks only at pairs
+of different components that share a rare shingle.  Classes are the connected
+components of the links.
 
 Defined cases: null text is the empty text, and equal texts without words are copies
 like any others; 1 to 4 words are one shingle; repeated rows and ids share their
@@ -44,8 +44,8 @@ SLOTS = BANDS * ROWS
 #: A slot stays empty with probability exp(-EXTRA) / SLOTS; a band with an empty slot is left out.
 EXTRA = 2.0
 SMALL = 8
-#: Rounds over the large buckets that hold several components, and pivots of a bucket in each.
-ROUNDS, PIVOTS = 3, 16
+#: Pivots of a larger bucket.
+PIVOTS = 16
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(63)
@@ -168,32 +168,68 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
-def outside_main(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with several components: the members outside the largest one, ranked by hash, and all members."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("count"))
-    main = parts.groupBy("band").agg(F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
-        "band", F.col("main.label").alias("main"))
-    open_ = labelled.join(main, "band")
-    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-    return open_.where("label <> main").withColumn("rank", F.row_number().over(order)), open_
+def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
+    """Members of large buckets with each bucket's ``count`` most central nodes: (a, n, b, n2).
+
+    A node's centrality is the size of all its buckets; a text that many others are
+    copies of shares most slots with them.  Of nodes in the same buckets one stands
+    for all.  A fifth of the buckets, chosen by key, is enough for this pass.
+    """
+    node = large.groupBy("node").agg(F.sum("size").alias("c"), F.xxhash64(F.array_sort(F.collect_list("band"))).alias("same"))
+    fifth = large.where(F.pmod("band", F.lit(5)) == 0).join(node, "node")
+    heads = fifth.groupBy("band", "same").agg(F.max(F.struct("c", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("p.c"), F.desc("p.h"), "p.node"))
+    pivots = heads.withColumn("rank", rank).where(F.col("rank") <= count).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
+    return fifth.select("band", F.col("node").alias("a"), "n").join(pivots, "band")
+
+
+def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the buckets that hold several components."""
+    labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return labelled.join(several.select("band"), "band", "left_semi").select("node", "label").distinct()
+
+
+def rare_prefixes(each: DataFrame, least: float) -> DataFrame:
+    """(node, prefix): each node's rarest shingles that others have, n - ceil(least n) + 1 less those that none has.
+
+    Two sets with a Jaccard of ``least`` have one of these in common; shared passages are not rare.
+    """
+    rows = each.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = rows.join(shared, "s").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n")) + 1 - (F.col("n") - F.size("common"))).cast("int")
+    return kept.select("node", F.transform(F.slice("common", F.lit(1), length), lambda x: x["s"]).alias("prefix")).where(F.size("prefix") > 0)
 
 
-def rare_shingle_pairs(minor: DataFrame, open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The exact way for buckets with very many components: candidates (a, b) by prefix filtering.
+def links_of_token(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between nodes of different components that share this prefix shingle.
 
-    Of two sets with a Jaccard of ``least``, the n - ceil(least n) + 1 rarest elements of
-    each have one in common, whatever the order of rarity; shared passages are not rare.
+    A pair is looked at under the least shingle that its prefixes share, and nowhere else.
     """
-    bands = minor.select("band").distinct()
-    nodes = open_.join(bands, "band", "left_semi").select("node", "label").distinct()
-    each = sets.join(nodes, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    counted = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s", "left")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    prefix = counted.withColumn("r", rank).where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1))
-    prefix = prefix.select("s", "node", "label")
-    other = prefix.select("s", F.col("node").alias("b"), F.col("label").alias("label2"))
-    return prefix.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label2"))).select("a", "b")
+    token = int(group["token"].iloc[0])
+    nodes, labels = group["node"].tolist(), group["label"].to_numpy()
+    sets, prefixes = [np.asarray(x) for x in group["shingles"]], [frozenset(map(int, p)) for p in group["prefix"]]
+    sizes = np.array([len(x) for x in sets])
+    out = []
+    for i in range(len(nodes) - 1):
+        later = slice(i + 1, None)
+        near = (labels[later] != labels[i]) & (np.minimum(sizes[later], sizes[i]) >= least * np.maximum(sizes[later], sizes[i]))
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if min(prefixes[i] & prefixes[j]) == token:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= least * (sizes[i] + sizes[j] - common):
+                    out.append((nodes[i], nodes[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def links_by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The exact way for what pivots leave: links (a, b) between components, by prefix filtering."""
+    each = cut(sets.join(nodes, "node"))
+    prefixes = cut(rare_prefixes(each, least))
+    tokens = each.join(prefixes, "node").select("node", "label", "shingles", "prefix", F.explode("prefix").alias("token"))
+    several = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    return tokens.join(several, "token").groupBy("token").applyInPandas(lambda g: links_of_token(g, least), "a string, b string")
 
 
 def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -218,25 +254,11 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     pairs = one.join(two, "band").where(alike & (F.col("a") < F.col("b"))).select("a", "b")
     large = members.where(F.col("size") > SMALL)
 
-    # First a fifth of the large buckets and one pivot in each, which joins most of each close group.
-    fifth = large.where(F.pmod("band", F.lit(5)) == 0)
-    first_pivots = fifth.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("p")).select(
-        "band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
-    dealt = fifth.withColumnRenamed("node", "a").join(first_pivots, "band").where(alike).select(*ordered)
+    dealt = central_pairs(large).where(alike).select(*ordered)
     labels = components(cut(verified(pairs.unionByName(dealt).distinct(), sets, least)))
-    # Then, in buckets that hold several components, all members with nodes outside the bucket's main one.
-    for k in range(ROUNDS + 1):
-        minor, open_ = outside_main(large, labels)
-        minor = minor.where(f"rank > {k * PIVOTS}")
-        if k == ROUNDS:
-            dealt = cut(rare_shingle_pairs(minor, open_, sets, least).select(*ordered).distinct())
-        else:
-            chosen = minor.where(f"rank <= {(k + 1) * PIVOTS}").select("band", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            dealt = cut(open_.withColumnRenamed("node", "a").join(chosen, "band").where(alike & (F.col("label") != F.col("label2")))
-                        .select(*ordered).distinct())
-        if dealt.isEmpty():
-            break
-        labels = components(cut(verified(dealt, sets, least)), labels)
+    left = cut(links_by_prefix(open_nodes(large, labels), sets, least))
+    if not left.isEmpty():
+        labels = components(left, labels)
     of_node = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return rows.select("key", "node", "n"), of_node
 
