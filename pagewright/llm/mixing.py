@@ -34,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 ROWS_PER_BUCKET = 10_000
 LEAST_BUCKETS = 64
+SALTS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -74,6 +75,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
         "skey", "source_size", "n_rows", "target")
 
 
+def joined_by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with their source's columns; a source's row is copied to SALTS keys, so a hot source is spread."""
+    spread = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).join(spread, ["skey", "salt"]).drop("salt")
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_EPOCHS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) for every row of (doc_id, text, source)."""
     text = F.col("text")
@@ -87,7 +94,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     bucket = F.floor(F.col("key") / (1 + F.col("key")) * F.col("buckets"))
-    placed = base.join(plan, "skey").withColumn("bucket", bucket)
+    placed = joined_by_source(base, plan).withColumn("bucket", bucket)
     sums = placed.groupBy("skey", "rest", "bucket").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(along), F.lit(0)))
@@ -95,7 +102,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
         F.min(F.when(F.col("before") + F.col("words") > F.col("rest"), F.struct("bucket", "before"))).alias("first"),
         F.min(F.when(F.col("before") > F.col("rest"), F.col("bucket"))).alias("past"))
     # Rows before `first` are inside the rest, rows from `past` on are outside; those between are looked at one by one.
-    placed = placed.join(cut(ends), "skey")
+    placed = joined_by_source(base, cut(plan.join(ends, "skey"))).withColumn("bucket", bucket)
     place = (F.when(F.col("first").isNull() | (F.col("bucket") < F.col("first.bucket")), 1)
              .when(F.col("bucket") >= F.col("past"), 0))
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "epochs", "rest", "skey", "key",
