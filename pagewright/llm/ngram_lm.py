@@ -38,9 +38,9 @@ from pagewright.llm.elias_fano import Trie
 from pagewright.llm.shared import NOT_SPACE, bound_batches, cut, fold, table
 
 SMOOTHING = 20.0
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 #: Training tokens of a shard, and shards at least.
-SHARD_TOKENS, LEAST_SHARDS = 20_000_000, 24
+SHARD_TOKENS, LEAST_SHARDS = 6_000_000, 24
 #: Words above this share of a sample of about SAMPLE documents are dealt by successor, too.
 HEAVY_SHARE, SAMPLE = 0.002, 5_000
 
