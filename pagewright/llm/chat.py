@@ -97,7 +97,7 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     return reached.join(state, ["tree", "node"]).select("tree", "root", "branch", "node", "depth")
 
 
-DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+DIGEST = ("conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
           "formatted_chars long, formatted string")
 
 
@@ -114,8 +114,7 @@ def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             back = parse_conversation(formatted)
             loss = "".join(unescape(formatted[a:b]) for a, b in spans)
             rows.append((conv_id, len(back), _sha("".join(f"{r}\n{t}\n" for r, t in back)), len(loss), _sha(loss), len(formatted), formatted))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
-        yield out.assign(conv_id=out["conv_id"].astype("Int64"))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
 
 
 def chain_nodes(conversations: DataFrame) -> DataFrame:
@@ -135,7 +134,10 @@ def format_conversations(nodes: DataFrame) -> DataFrame:
     gathered = (chosen.groupBy("tree", "root", "branch", "conv_id")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node", "role", "text"))),
                                  lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
-    return gathered.select("conv_id", "turns").mapInPandas(render, DIGEST)
+    # Ids cross as text, so large integers beside nulls stay exact.
+    kind = nodes.schema["conv_id"].dataType
+    made = gathered.select(F.col("conv_id").cast("string").alias("conv_id"), "turns").mapInPandas(render, DIGEST)
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.shared import bound_batches, table
@@ -49,15 +50,23 @@ LINK, OUTSIDE, SHARE = 0.2, 0.1, 0.25
 class Node:
     __slots__ = ("path", "text", "block", "dropped", "main", "link")
 
-    def __init__(self, path: str, text: str, block: int, dropped: bool, main: bool, link: bool):
+    def __init__(self, path: int, text: str, block: int, dropped: bool, main: bool, link: bool):
         self.path, self.text, self.block, self.dropped, self.main, self.link = path, text, block, dropped, main, link
 
 
 def text_nodes(html: str) -> list[Node]:
     """The page's text nodes in order; those of one block share a block number."""
     nodes: list[Node] = []
-    # Open elements: (tag, path, in furniture, in article or main, in a link).
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    # Open elements: (tag, path, in furniture, in article or main, in a link); a path is numbered by its parent's and the tag.
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
+
+    def close_from(k: int) -> None:
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     block, at, end = 0, 0, len(html)
     while at < end:
         found = _MARKUP.search(html, at)
@@ -76,16 +85,14 @@ def text_nodes(html: str) -> list[Node]:
         if tag not in INLINE:
             block += 1
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and (opened["p"] or opened["li"]):
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = stack[k][0]
                 if open_tag == "p" or (open_tag == "li" and tag == "li"):
-                    del stack[k:]
+                    close_from(k)
                     break
                 if open_tag in BOUNDARY:
                     break
@@ -98,23 +105,24 @@ def text_nodes(html: str) -> list[Node]:
                 for a, b, c in _HINTS.findall(found[3]):
                     if not NAMES.isdisjoint(_WORD.findall((a or b or c).lower())):
                         dropped = True
-        stack.append((tag, f"{path}/{tag}", dropped, main or tag in MAIN, link or tag == "a"))
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = close.end() if close else end
-            stack.pop()
+            continue
+        opened[tag] += 1
+        stack.append((tag, paths.setdefault((path, tag), len(paths) + 1), dropped, main or tag in MAIN, link or tag == "a"))
     return nodes
 
 
-def path_scores(nodes: list[Node]) -> dict[str, float]:
+def path_scores(nodes: list[Node]) -> dict[int, float]:
     """Fused tag-path ratio: log text per node times one plus log punctuation per node."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for n in nodes:
-        s = sums.setdefault(n.path, [0, 0, 0, 0.0])
+        s = sums.setdefault(n.path, [0, 0, 0])
         s[0] += 1
         s[1] += len(n.text)
         s[2] += len(_PUNCTUATION.findall(n.text))
-    return {p: math.log1p(chars / count) * (1 + math.log1p(signs / count)) for p, (count, chars, signs, _) in sums.items()}
+    return {p: math.log1p(chars / count) * (1 + math.log1p(signs / count)) for p, (count, chars, signs) in sums.items()}
 
 
 def main_text(html: str | None) -> str:
@@ -143,15 +151,16 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", kept: tuple[str, ...] = ("url",)) -> DataFrame:
     """(key, kept..., text, n_chars) for each row."""
     bound_batches(pages.sparkSession)
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (key, *kept))
-    whole = [c for c in (key, *kept) if pages.schema[c].dataType.simpleString() in ("bigint", "int")]
+    fields = [pages.schema[c] for c in (key, *kept)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch["html"]]
-            yield batch[[key, *kept]].astype({c: "Int64" for c in whole}).assign(text=texts, n_chars=[len(t) for t in texts])
+            texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                                             [*batch.schema.names[:-1], "text", "n_chars"])
 
-    return pages.select(key, *kept, "html").mapInPandas(run, f"{schema}, text string, n_chars long")
+    return pages.select(key, *kept, "html").mapInArrow(run, f"{schema}, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.shared import bound_batches, table
@@ -224,7 +225,9 @@ def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
                 if rows := packets(data)[0]:
                     yield pd.DataFrame([(k, *r) for r in rows], columns=names)
 
-    return df.selectExpr(f"`{key}` AS key", f"`{media}` AS media").mapInPandas(parse, f"key {kind}, {PACKETS}").withColumnRenamed("key", key)
+    # Keys cross as text, so large integers beside nulls stay exact.
+    rows = df.selectExpr(f"cast(`{key}` AS string) AS key", f"`{media}` AS media").mapInPandas(parse, f"key string, {PACKETS}")
+    return rows.withColumn("key", rows["key"].cast(kind)).withColumnRenamed("key", key)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -252,14 +255,14 @@ def stored_features(text: str | None) -> tuple:
 STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store_and_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def store_and_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in STORED.split(", ")]
+    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in STORED.split(", ")]
     for batch in batches:
-        out = pd.DataFrame([stored_features(t) for t in batch["text"]], columns=names)
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
-        yield out
+        columns = zip(*map(stored_features, batch.column(1).to_pylist())) if batch.num_rows else ([] for _ in names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
 
 
 def op8_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(store_and_read, f"doc_id long, {STORED}")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(store_and_read, f"doc_id long, {STORED}")

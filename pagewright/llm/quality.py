@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +30,6 @@ from pagewright.llm.shared import bound_batches, cut, fold, table
 
 NAMES = ("words", "word_length", "long_words", "upper", "digits", "signs", "stops", "bars", "bangs", "distinct",
          "line_length", "repeated_lines", "repeated_chars", "pressed", "lowercase_starts", "bare_words")
-_SIGNS = re.compile(r"[*#$%&@^~<>{}\[\]\\_=+/]")
-_STOPS = re.compile(r"[.,;:]")
 _BARE = re.compile(r"[*#$%&|!@]")
 
 
@@ -78,12 +76,12 @@ def statistics_table(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     bound_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["key"].astype("Int64").values if kind in ("bigint", "int") else batch["key"]
-            yield pd.DataFrame({"key": ids, "stats": [statistics(t) for t in batch["text"]]})
+            found = [statistics(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["key", "stats"])
 
-    return (documents.select(F.col(key).alias("key"), "text").mapInPandas(measure, f"key {kind}, stats array<double>")
+    return (documents.select(F.col(key).alias("key"), "text").mapInArrow(measure, f"key {kind}, stats array<double>")
             .withColumnRenamed("key", key))
 
 
@@ -130,11 +128,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.join(F.broadcast(sample), "doc_id").select("stats", "label").toPandas()
     model = fit(np.array(rows["stats"].tolist(), float).reshape(len(rows), -1), rows["label"].to_numpy(int))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                scores = model.score(np.array(batch["stats"].tolist(), float))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").values, "score": scores})
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
-    scored = stats.mapInPandas(score, "doc_id long, score double")
+    scored = stats.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

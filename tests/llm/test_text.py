@@ -264,3 +264,21 @@ def test_near_duplicates_exact_way_for_open_buckets(spark, monkeypatch):
     texts = near_texts()[:75]
     given_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(given_).collect()} == brute_classes(texts)
+
+
+def test_deep_and_broken_pages_stay_linear():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 40_000 + "x" + "</p>" * 10_000, "<b>" * 30_000 + "<p>a" * 5_000, "</div>" * 50_000):
+        html_text.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    for name, rows, schema, run in (
+        ("page_id", [(big, "u", "<p>x, y.</p>"), (None, None, None)], "page_id long, url string, html string", html_text.extract),
+        ("conv_id", [(big, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string", lambda d: chat.format_conversations(chat.chain_nodes(d))),
+    ):
+        assert {r[name] for r in run(spark.createDataFrame(rows, schema)).collect()} == {big, None}
