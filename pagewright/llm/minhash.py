@@ -12,10 +12,10 @@ buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
 pairs are compared; in a larger one every member is compared with the bucket's most
-central nodes, so work stays linear in the bucket.  Nodes of buckets that then still
-hold several components go through an exact prefix filter, which looks only at pairs
-of different components that share a rare shingle.  Classes are the connected
-components of the links.
+central nodes, so work stays linear in the bucket.  What then is outside a bucket's
+main component is compared with all its members, in blocks of bounded size and by
+bitmaps that bound the overlap of two sets; only pairs that may be links come out and
+are verified.  Classes are the connected components of the links.
 
 Defined cases: null text is the empty text, and equal texts without words are copies
 like any others; 1 to 4 words are one shingle; repeated rows and ids share their
@@ -44,8 +44,10 @@ SLOTS = BANDS * ROWS
 #: A slot stays empty with probability exp(-EXTRA) / SLOTS; a band with an empty slot is left out.
 EXTRA = 2.0
 SMALL = 8
-#: Pivots of a larger bucket.
-PIVOTS = 16
+#: Pivots of a larger bucket, and places of the bitmaps that the exact way compares.
+PIVOTS, BITS = 16, 4096
+#: Queries and members that meet in one block of the exact way at most, about.
+QUERIES, MEMBERS = 1024, 8192
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(63)
@@ -146,14 +148,15 @@ def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def collect_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, shingles) of (node, text)."""
+    """(node, shingles, bits) of (node, text)."""
     codes = _Codes()
     for batch in batches:
         if len(codes) > 1_000_000:
             codes.clear()
         shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
         whole = shingles.view(np.int64)
-        yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])]})
+        ends = list(zip(bounds[:-1], bounds[1:]))
+        yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in ends], "bits": [bitmap(shingles[a:b]) for a, b in ends]})
 
 
 def node_of(text: Column) -> Column:
@@ -183,53 +186,60 @@ def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
     return fifth.select("band", F.col("node").alias("a"), "n").join(pivots, "band")
 
 
-def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label) of the buckets that hold several components."""
-    labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return labelled.join(several.select("band"), "band", "left_semi").select("node", "label").distinct()
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles' counts at BITS places; two bitmaps differ in no more places than the sets do."""
+    counts = np.bincount((mix(shingles) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def rare_prefixes(each: DataFrame, least: float) -> DataFrame:
-    """(node, prefix): each node's rarest shingles that others have, n - ceil(least n) + 1 less those that none has.
+def open_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, dealt to (band, i, j) blocks of bounded size.
 
-    Two sets with a Jaccard of ``least`` have one of these in common; shared passages are not rare.
+    Nodes outside a bucket's main component are the queries, dealt to blocks i; all its
+    members are dealt to blocks j, and every i meets every j.
     """
-    rows = each.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    shared = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = rows.join(shared, "s").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
-    length = F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n")) + 1 - (F.col("n") - F.size("common"))).cast("int")
-    return kept.select("node", F.transform(F.slice("common", F.lit(1), length), lambda x: x["s"]).alias("prefix")).where(F.size("prefix") > 0)
-
-
-def links_of_token(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links between nodes of different components that share this prefix shingle.
-
-    A pair is looked at under the least shingle that its prefixes share, and nowhere else.
+    labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("count"))
+    bands = parts.groupBy("band").agg(F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all")).where("parts > 1")
+    bands = bands.select("band", F.col("main.label").alias("main"), F.ceil((F.col("all") - F.col("main.count")) / QUERIES).cast("int").alias("is"),
+                         F.ceil(F.col("all") / MEMBERS).cast("int").alias("js"))
+    open_ = labelled.join(bands, "band").withColumn("query", F.col("label") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("band", "node", "n", "label", "query")
+    asked = open_.where("query").select(*kept, place("is").alias("i"), every("js").alias("j"))
+    met = open_.withColumn("query", F.lit(False)).select(*kept, every("is").alias("i"), place("js").alias("j"))
+    return asked.unionByName(met)
+
+
+def likely_links(block: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of a block that may be links: queries against members of other components, by the bound of their bitmaps.
+
+    A pair is given in the least band that both have, and in no other.
     """
-    token = int(group["token"].iloc[0])
-    nodes, labels = group["node"].tolist(), group["label"].to_numpy()
-    sets, prefixes = [np.asarray(x) for x in group["shingles"]], [frozenset(map(int, p)) for p in group["prefix"]]
-    sizes = np.array([len(x) for x in sets])
+    band = int(block["band"].iloc[0])
+    bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
+    nodes, labels, n, query = block["node"].to_numpy(), block["label"].to_numpy(), block["n"].to_numpy(), block["query"].to_numpy()
+    members = np.flatnonzero(~query)
+    bands = block["bands"].tolist()
     out = []
-    for i in range(len(nodes) - 1):
-        later = slice(i + 1, None)
-        near = (labels[later] != labels[i]) & (np.minimum(sizes[later], sizes[i]) >= least * np.maximum(sizes[later], sizes[i]))
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if min(prefixes[i] & prefixes[j]) == token:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common >= least * (sizes[i] + sizes[j] - common):
-                    out.append((nodes[i], nodes[j]))
+    for i in np.flatnonzero(query).tolist():
+        size = n[members]
+        near = members[(labels[members] != labels[i]) & (np.minimum(size, n[i]) >= least * np.maximum(size, n[i]))]
+        differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+        # At a Jaccard of `least` the sets differ in (1 - least) / (1 + least) of both sizes at most.
+        for j in near[differ * (1 + least) <= (1 - least) * (n[near] + n[i]) + 1e-9].tolist():
+            if min(set(bands[i]).intersection(bands[j])) == band:
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def links_by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The exact way for what pivots leave: links (a, b) between components, by prefix filtering."""
-    each = cut(sets.join(nodes, "node"))
-    prefixes = cut(rare_prefixes(each, least))
-    tokens = each.join(prefixes, "node").select("node", "label", "shingles", "prefix", F.explode("prefix").alias("token"))
-    several = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    return tokens.join(several, "token").groupBy("token").applyInPandas(lambda g: links_of_token(g, least), "a string, b string")
+def links_left(large: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The exact way for what pivots leave: links (a, b) between components of a bucket."""
+    facts = large.groupBy("node").agg(F.collect_list("band").alias("bands")).join(sets.select("node", "bits"), "node")
+    blocks = open_blocks(large, labels).join(facts, "node")
+    likely = blocks.groupBy("band", "i", "j").applyInPandas(lambda g: likely_links(g, least), "a string, b string")
+    return verified(cut(likely.distinct()), sets, least)
 
 
 def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -245,8 +255,8 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(sizes, "band"))
     candidates = members.select("node").distinct()
-    sets = cut(texts.select("node", "text").join(candidates, "node", "left_semi").mapInPandas(collect_sets, "node string, shingles array<long>")
-               .groupBy("node").agg(F.max("shingles").alias("shingles")))
+    sets = cut(texts.select("node", "text").join(candidates, "node", "left_semi").mapInPandas(collect_sets, "node string, shingles array<long>, bits binary")
+               .groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("bits").alias("bits")))
     alike = (F.least("n", "n2") >= least * F.greatest("n", "n2")) & (F.col("a") != F.col("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     small = members.where(F.col("size") <= SMALL)
@@ -256,7 +266,7 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
 
     dealt = central_pairs(large).where(alike).select(*ordered)
     labels = components(cut(verified(pairs.unionByName(dealt).distinct(), sets, least)))
-    left = cut(links_by_prefix(open_nodes(large, labels), sets, least))
+    left = cut(links_left(large, labels, sets, least))
     if not left.isEmpty():
         labels = components(left, labels)
     of_node = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
