@@ -150,34 +150,51 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     return Model(lexicon, other, scale, logistic(_features(rows[["best", "total"]].to_numpy()), rows["label"].to_numpy(), ridge=1e-2))
 
 
-def score_table(documents: DataFrame, model: Model, key: str = "doc_id", kept: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept..., score, n_passages) for each row."""
+def _scores(texts: list, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of significant passages."""
+    found = np.array([evidence(t, model.lexicon, model.other, model.scale) for t in texts], float).reshape(-1, 3)
+    if model.constant is not None:
+        return np.full(len(texts), model.constant), found[:, 2]
+    return sigmoid(model.calibration[0] + _features(found[:, :2]) @ model.calibration[1:]), found[:, 2]
+
+
+def score_table(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """(key, score, n_passages) for each row of (key, text)."""
     bound_batches(documents.sparkSession)
-    lexicon, other, scale, weights, constant = model
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (key, *kept))
-    whole = [c for c in (key, *kept) if documents.schema[c].dataType.simpleString() in ("bigint", "int")]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([evidence(t, lexicon, other, scale) for t in batch["text"]], float).reshape(-1, 3)
-            scores = np.full(len(batch), constant) if constant is not None else sigmoid(weights[0] + _features(found[:, :2]) @ weights[1:])
-            out = batch[[key, *kept]].astype({c: "Int64" for c in whole})
-            yield out.assign(score=scores, n_passages=found[:, 2].astype(int))
+            scores, passages_found = _scores(batch.column(1).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages_found.astype(np.int32))], ["key", "score", "n_passages"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(F.col(key).alias("key"), "text").mapInArrow(score, f"key {kind}, score double, n_passages int").withColumnRenamed("key", key)
+
+
+def passage_table(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """(key, first_token, last_token, score) of every maximal segment of each row."""
+    bound_batches(documents.sparkSession)
+    kind = documents.schema[key].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [passages(t, model.lexicon, model.other)[0] for t in batch.column(1).to_pylist()]
+            rows = [x for f in found for x in f]
+            owner = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            columns = [pa.array([x[k] for x in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (0, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], ["key", "first_token", "last_token", "score"])
 
-    columns = list(dict.fromkeys((key, *kept, "text")))
-    return documents.select(*columns).mapInPandas(score, f"{schema}, score double, n_passages int")
+    schema = f"key {kind}, first_token int, last_token int, score double"
+    return documents.select(F.col(key).alias("key"), "text").mapInArrow(find, schema).withColumnRenamed("key", key)
 
 
 def without_toxic(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``documents``, all columns as they are, whose score is under ``least``."""
     bound_batches(documents.sparkSession)
-    lexicon, other, scale, weights, constant = model
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = np.array([evidence(t, lexicon, other, scale) for t in texts], float).reshape(-1, 3)
-            scores = np.full(len(texts), constant) if constant is not None else sigmoid(weights[0] + _features(found[:, :2]) @ weights[1:])
+            scores, _ = _scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
             yield batch.filter(pa.array(scores < least))
 
     return documents.mapInArrow(clean, documents.schema)

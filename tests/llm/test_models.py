@@ -129,6 +129,8 @@ def test_toxicity_learns_and_keeps_columns(spark):
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(600)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(given.select("doc_id", "text"), labels)
     assert {"vile", "rotten", "slur"} <= set(model.lexicon)
+    spans = toxicity.passage_table(given.where("doc_id = 7001"), model).collect()
+    assert [(r["first_token"], r["last_token"]) for r in spans] == [(0, 2)]
     kept = toxicity.without_toxic(given, model)
     assert kept.schema == given.schema
     ids = [r["doc_id"] for r in kept.collect()]
