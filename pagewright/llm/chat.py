@@ -146,3 +146,22 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
     return format_conversations(chain_nodes(given.unionByName(extra))).drop("formatted")
+
+
+def _oracle() -> str:
+    escaped = lambda x: f"length({x}) + length({x}) - length(replace({x}, chr(92), ''))" + "".join(
+        f" + (length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+    order = "ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST"
+    return f"""
+WITH given AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM given)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' {order})) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' {order}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum({len(START + SEPARATOR + END) + 1} + {escaped('r')} + {escaped('x')})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+ORACLE = _oracle()

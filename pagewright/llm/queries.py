@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontamination, html_text, minhash, mixing, ngram_lm, quality, secrets, toxicity
-from pagewright.llm.chat import op7_chat_formatting
-from pagewright.llm.matroska import op8_media_matroska
+from pagewright.llm import chat, decontamination, html_text, matroska, minhash, mixing, ngram_lm, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,12 +17,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_html_extraction": html_text.op6_html_extraction,
-        "op7_chat_formatting": op7_chat_formatting,
-        "op8_media_matroska": op8_media_matroska,
+        "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_media_matroska": matroska.op8_media_matroska,
         "op9_lm_scoring": ngram_lm.op9_lm_scoring,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_secret_scans": secrets.ORACLE, "op10_decontamination": decontamination.ORACLE}
+    return {
+        "op1_mixing": mixing.ORACLE,
+        "op4_secret_scans": secrets.ORACLE,
+        "op7_chat_formatting": chat.ORACLE,
+        "op10_decontamination": decontamination.ORACLE,
+    }
