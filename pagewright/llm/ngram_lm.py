@@ -40,7 +40,7 @@ from pagewright.llm.shared import NOT_SPACE, bound_batches, cut, fold, table
 SMOOTHING = 20.0
 CHUNK_BYTES = 16 << 20
 #: Training tokens of a shard, and shards at least.
-SHARD_TOKENS, LEAST_SHARDS = 6_000_000, 24
+SHARD_TOKENS, LEAST_SHARDS = 3_000_000, 48
 #: Words above this share of a sample of about SAMPLE documents are dealt by successor, too.
 HEAVY_SHARE, SAMPLE = 0.002, 5_000
 
@@ -107,26 +107,21 @@ class Chunk:
         return np.repeat(self.train, self.lengths)
 
 
-def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Chunk, np.ndarray, np.ndarray]]:
-    """(chunk number, chunk, ids, ids that are null) of consecutive rows (doc_id, text, train) of this partition."""
+def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Chunk, list]]:
+    """(chunk number, chunk, keys) of consecutive rows (key, text, train) of this partition."""
     base, count = TaskContext.get().partitionId() << 24, 0
-    ids, texts, train, size = [], [], [], 0
-
-    def done() -> tuple:
-        numbers = pd.array(ids, dtype="Int64")
-        return base + count, Chunk.of(texts, np.array(train, bool)), numbers.to_numpy(np.int64, na_value=0), np.asarray(numbers.isna())
-
+    keys, texts, train, size = [], [], [], 0
     for batch in batches:
-        for i, text, t in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["train"]):
-            ids.append(i)
+        for key, text, t in zip(batch["key"], batch["text"], batch["train"]):
+            keys.append(key)
             texts.append(text)
             train.append(t)
             size += len(text or "") + 8
             if size >= CHUNK_BYTES:
-                yield done()
-                ids, texts, train, size, count = [], [], [], 0, count + 1
+                yield base + count, Chunk.of(texts, np.array(train, bool)), keys
+                keys, texts, train, size, count = [], [], [], 0, count + 1
     if texts:
-        yield done()
+        yield base + count, Chunk.of(texts, np.array(train, bool)), keys
 
 
 def planes(ids: np.ndarray) -> np.ndarray:
@@ -136,7 +131,7 @@ def planes(ids: np.ndarray) -> np.ndarray:
 
 def send(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
     """What each chunk asks of and tells each shard."""
-    for number, chunk, _, _ in chunks_of(batches):
+    for number, chunk, _ in chunks_of(batches):
         trained = chunk.trained()
         words = np.bincount(chunk.ids[trained], minlength=len(chunk.codes))
         begins = int(chunk.train.sum())
@@ -209,15 +204,15 @@ def answer(group: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
 
 def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The chunks' tokens, packed, for scoring."""
-    for number, chunk, ids, null in chunks_of(batches):
-        yield pd.DataFrame({"chunk": [number], "payload": [pack(planes(chunk.ids), chunk.codes, chunk.lengths, chunk.train, ids, null)]})
+    for number, chunk, keys in chunks_of(batches):
+        yield pd.DataFrame({"chunk": [number], "payload": [pack(planes(chunk.ids), chunk.codes, chunk.lengths, chunk.train, keys)]})
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndarray, tokens: int, distinct: int) -> pd.DataFrame:
-    packed, codes, lengths, train, ids, null = unpack(held["payload"].iloc[0])
+    packed, codes, lengths, train, keys = unpack(held["payload"].iloc[0])
     chunk = Chunk(np.ascontiguousarray(packed.T).view("<u4").ravel().astype(np.int32), codes, lengths, train)
     plan = chunk.layout(shards, heavy)
     by_shard = dict(zip(answers["shard"], answers["payload"]))
@@ -243,7 +238,7 @@ def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndar
     starts = np.cumsum(lengths) - lengths
     each = lambda x: np.add.reduceat(x, starts)
     return pd.DataFrame({
-        "doc_id": pd.Series(ids, dtype="Int64").mask(pd.Series(null)),
+        "key": pd.Series(keys, dtype=object),
         "held_out": ~train, "n_tokens": lengths, "n_known": each((counts[chunk.ids] > 0).astype(np.int64)), "train_tokens": tokens,
         "base_score": each(np.log10(unigram)[chunk.ids]), "score": each(of_pair[plan["inverse"]])})
 
@@ -251,7 +246,7 @@ def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndar
 def heavy_words(documents: DataFrame) -> np.ndarray:
     """Codes of the begin mark and of the words above HEAVY_SHARE in about SAMPLE documents (1 / HEAVY_SHARE at most)."""
     every = max(1, documents.count() // SAMPLE)
-    sample = documents.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 100)), F.lit(every)) == 0)
+    sample = documents.where(F.pmod(F.xxhash64("key", F.substring("text", 1, 100)), F.lit(every)) == 0)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = cut(sample.select(F.explode(F.regexp_extract_all(lower, F.lit(NOT_SPACE), F.lit(0))).alias("word")).groupBy("word").count())
     total = words.agg(F.sum("count")).first()[0] or 0
@@ -262,6 +257,9 @@ def heavy_words(documents: DataFrame) -> np.ndarray:
 def language_scores(documents: DataFrame) -> DataFrame:
     """Scores of (doc_id, text, train) rows, learning from those where train is true."""
     bound_batches(documents.sparkSession)
+    kind = documents.schema["doc_id"].dataType
+    # Ids cross to Python as text, so large integers beside nulls stay exact.
+    documents = documents.select(F.col("doc_id").cast("string").alias("key"), "text", "train")
     heavy = heavy_words(documents)
     size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // (6 * SHARD_TOKENS)))
@@ -270,8 +268,9 @@ def language_scores(documents: DataFrame) -> DataFrame:
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
     held = documents.mapInPandas(hold, "chunk long, payload binary")
-    return held.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
+    scored = held.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
         lambda h, a: score(h, a, shards, heavy, tokens, distinct), SCORES)
+    return scored.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", "doc_id")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

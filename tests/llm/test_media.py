@@ -107,7 +107,7 @@ def test_scores_against_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", size)
     rng = np.random.default_rng(2)
     texts = [None, "", "The the THE", "é É x\x1cy", "w " * 4000, *(" ".join(rng.choice(["a", "b", "c", "dd", "e\t", "F\n"], int(rng.integers(0, 40)))) for _ in range(60))]
-    ids = [None, *range(1, len(texts))]
+    ids = [None, *range(1, len(texts) - 1), (1 << 60) + 1]
     train = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1 for i in ids]
     df = spark.createDataFrame(list(zip(ids, texts, train)), "doc_id long, text string, train boolean").repartition(3)
     got = {r["doc_id"]: r for r in ngram_lm.language_scores(df).collect()}
