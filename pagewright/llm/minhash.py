@@ -285,11 +285,11 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", least: float = LEAST)
     """One row of ``documents`` for each class: that of the least key, all columns as they are."""
     _, of_node = text_classes(documents, key, least)
     best = of_node.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("best"))
-    stays = best.select(F.col("best.node").alias("node"), F.col("best.first").alias("first"))
-    # Copies of a text differ in their keys, so they are spread over tasks.
-    given = documents.withColumn("node", node_of(F.col("text"))).alias("d").join(
-        stays.alias("s"), (F.col("d.node") == F.col("s.node")) & F.col(f"d.{key}").eqNullSafe(F.col("s.first")), "left_semi")
-    return given.dropDuplicates(["node", key]).select(*documents.columns)
+    exact = lambda k: F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("")).alias("exact")
+    stays = best.select(F.col("best.node").alias("node"), exact(F.col("best.first")))
+    # Copies of a text differ in their keys, so they are spread over tasks. Rows travel as one column, whatever their names.
+    rows = documents.select(F.struct("*").alias("row"), exact(F.col(key)), node_of(F.col("text")).alias("node"))
+    return rows.join(stays, ["node", "exact"], "left_semi").dropDuplicates(["node", "exact"]).select("row.*")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,12 +124,19 @@ def redacted(documents: DataFrame) -> DataFrame:
     Only rows with a trigger are joined with the ledger, so other texts are not moved.
     """
     triggered = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
-    suspects = with_blob(documents.where(triggered))
+    # Rows travel as one column, whatever their names.
+    suspects = with_blob(documents.where(triggered).select(F.struct("*").alias("row"), "text"))
     found = findings_of(suspects, scan(suspects.select("blob", "text"))).withColumn("text", redact())
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return documents.where(~triggered).unionByName(found.select(*documents.columns))
+
+    def column(name: str) -> Column:
+        own = F.col(f"row.`{name}`")
+        if name == "text":
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            return F.when(F.size("findings") > 0, F.length("text").cast(documents.schema[name].dataType)).otherwise(own).alias(name)
+        return own.alias(name)
+
+    return documents.where(~triggered).unionByName(found.select(*map(column, documents.columns)))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

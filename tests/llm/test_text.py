@@ -59,9 +59,10 @@ def test_ledger_scans_only_what_it_lacks(spark):
 
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "x token=abcdefgh y AKIAABCDEFGHIJKL", 9, "a"), (2, None, None, "b"), (3, "plain", 5, "c"), (3, "plain", 5, "c")],
-                                 "doc_id long, text string, n_chars long, blob string").drop("blob")
-    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redacted(docs).collect()}
-    assert got == {(1, "x [SECRET] y [SECRET]", 21), (2, None, None), (3, "plain", 5)} and secrets.redacted(docs).count() == 4
+                                 "doc_id long, text string, n_chars long, blob string")
+    docs = docs.selectExpr("*", "7 AS findings", "'r' AS row")
+    got = {tuple(r) for r in secrets.redacted(docs).collect()}
+    assert got == {(1, "x [SECRET] y [SECRET]", 21, "a", 7, "r"), (2, None, None, "b", 7, "r"), (3, "plain", 5, "c", 7, "r")} and secrets.redacted(docs).count() == 4
 
 
 def shingles(text, words=5):
@@ -109,11 +110,11 @@ def near_texts():
 
 def test_near_duplicates_against_brute_force(spark):
     texts = near_texts()
-    given_ = spark.createDataFrame([(i, t, 1, "b") for i, t in enumerate(texts)], "doc_id long, text string, n int, bands string")
+    given_ = spark.createDataFrame([(i, t, 1, "b") for i, t in enumerate(texts)], "doc_id long, text string, n int, bands string").selectExpr("*", "doc_id AS key", "'x' AS node", "0 AS row")
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(given_).collect()}
     assert got == brute_classes(texts)
     one = minhash.one_of_each(given_)
-    assert one.columns == given_.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(set(got.values()))
+    assert one.columns == given_.columns and {r["node"] for r in one.collect()} == {"x"} and sorted(r["doc_id"] for r in one.collect()) == sorted(set(got.values()))
 
 
 def test_near_duplicates_odd_keys(spark):
