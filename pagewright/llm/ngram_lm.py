@@ -10,8 +10,8 @@ its trie and looks up what the chunks sent; the answers go back as bytes, and th
 tokens, packed in a second pass, are scored with them.  Nothing is pruned or capped.
 
 Bigrams are dealt to shards by their context; contexts that are frequent in a bounded
-sample (a hint for balance only) are dealt by context and successor, their counts
-being sent to every shard, so no word's successors meet in one task.
+sample (a hint for balance only) are dealt by context and successor, with their exact
+counts, so no word's successors meet in one task.
 
 Words have 64-bit codes (they must be told apart); successors 32-bit codes salted by
 their context, where a clash would only add two probabilities.
@@ -24,6 +24,7 @@ result; with no training rows P(w) is 1; other columns are ignored.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,32 +130,39 @@ def planes(ids: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
+def count_heavy(batches: Iterator[pd.DataFrame], words: list[bytes]) -> Iterator[pd.DataFrame]:
+    """Exact training counts of the heavy contexts in this partition, the begin mark's first."""
+    sums = np.zeros(len(words) + 1, np.int64)
+    for batch in batches:
+        texts = [t for t, train in zip(batch["text"], batch["train"]) if train]
+        counts = Counter()
+        for t in texts:
+            counts.update((t or "").encode("utf-8", "replace").lower().split())
+        sums += [len(texts), *(counts[w] for w in words)]
+    yield pd.DataFrame({"place": np.arange(len(sums)), "count": sums})
+
+
 def send(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
-    """What each chunk asks of and tells each shard."""
+    """What each chunk asks of and tells each shard that has words or bigrams of it."""
     for number, chunk, _ in chunks_of(batches):
         trained = chunk.trained()
         words = np.bincount(chunk.ids[trained], minlength=len(chunk.codes))
-        begins = int(chunk.train.sum())
-        heavy_at = {int(c): i for i, c in enumerate(heavy)}
-        totals = np.zeros(len(heavy), np.int64)
-        for i in np.flatnonzero(np.isin(chunk.codes, heavy)):
-            totals[heavy_at[int(chunk.codes[i])]] = begins if i == BEGIN else words[i]
         plan = chunk.layout(shards, heavy)
         counts = np.bincount(plan["inverse"][trained], minlength=len(plan["first"]))[plan["order"]]
         shard, first = plan["shard"][plan["order"]], plan["first"][plan["order"]]
         successor = plan["successor"][plan["order"]]
         word_shard = (chunk.codes % np.uint64(shards)).astype(np.int64)
         word_order = np.lexsort((chunk.codes, word_shard))
-        word_ends = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-        ends = np.searchsorted(shard, np.arange(shards + 1))
+        met = np.union1d(shard, word_shard)
+        word_begins, word_ends = (np.searchsorted(word_shard[word_order], met, side=x) for x in ("left", "right"))
+        begins, ends = (np.searchsorted(shard, met, side=x) for x in ("left", "right"))
         rows = []
-        for s in range(shards):
-            a, b = ends[s], ends[s + 1]
+        for s, a, b, c, d in zip(met.tolist(), begins.tolist(), ends.tolist(), word_begins.tolist(), word_ends.tolist()):
             fresh = np.concatenate(([True], first[a + 1: b] != first[a: b - 1])) if b > a else np.zeros(0, bool)
             begin = np.flatnonzero(fresh)
-            w = word_order[word_ends[s]: word_ends[s + 1]]
+            w = word_order[c:d]
             rows.append((s, number, pack(
-                chunk.codes[w], words[w].astype(np.uint32), totals,
+                chunk.codes[w], words[w].astype(np.uint32),
                 chunk.codes[first[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32),
                 planes(successor[a:b]), counts[a:b].astype(np.uint32))))
         yield pd.DataFrame(rows, columns=["shard", "chunk", "payload"])
@@ -168,25 +176,24 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
-def answer(group: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
+def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
     """A shard: adds the counts, builds the trie, and answers every chunk in the order it asked."""
     asked = [unpack(p) for p in group["payload"]]
     words, sums = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
-    contexts = np.unique(np.concatenate([a[3] for a in asked]))
+    contexts = np.unique(np.concatenate([a[2] for a in asked]))
     keys, counts, places = [], [], []
     for a in asked:
-        place = np.repeat(np.searchsorted(contexts, a[3]), a[4]).astype(np.uint64)
-        successor = np.ascontiguousarray(a[5].T).view("<u4").ravel()
+        place = np.repeat(np.searchsorted(contexts, a[2]), a[3]).astype(np.uint64)
+        successor = np.ascontiguousarray(a[4].T).view("<u4").ravel()
         places.append(successor)
-        seen = a[6] > 0
+        seen = a[5] > 0
         keys.append((place[seen] << np.uint64(32)) | successor[seen])
-        counts.append(a[6][seen])
+        counts.append(a[5][seen])
     key, count = _summed(np.concatenate(keys), np.concatenate(counts))
     index = (key >> np.uint64(32)).astype(np.int64)
     totals = np.bincount(index, count, minlength=len(contexts))
-    everywhere = dict(zip(heavy.tolist(), sum(a[2] for a in asked).tolist()))
-    for i in np.flatnonzero(np.isin(contexts, heavy)):
-        totals[i] = everywhere[int(contexts[i])]
+    for i in np.flatnonzero(np.isin(contexts, np.array(list(heavy), np.uint64))):
+        totals[i] = heavy[int(contexts[i])]
     # Contexts that training texts lack are left out; a query for one has weight code 0.
     known = np.flatnonzero(totals > 0)
     renumber = np.full(len(contexts), -1, np.int64)
@@ -194,8 +201,8 @@ def answer(group: pd.DataFrame, heavy: np.ndarray) -> pd.DataFrame:
     trie = Trie(contexts[known], renumber[index], key & np.uint64(0xFFFFFFFF), count, totals[known], SMOOTHING)
     rows = []
     for chunk, a, successor in zip(group["chunk"], asked, places):
-        at, weight = trie.context(a[3])
-        code = trie.lookup(np.repeat(at, a[4]), successor)
+        at, weight = trie.context(a[2])
+        code = trie.lookup(np.repeat(at, a[3]), successor)
         rows.append((chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), weight, code,
                                                               trie.probabilities, trie.weights)))
     out = pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
@@ -221,7 +228,7 @@ def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndar
     counts = np.zeros(len(codes), np.int64)
     probability, weight = np.zeros(len(plan["first"])), np.ones(len(plan["first"]))
     w, a = 0, 0
-    for s in range(shards):
+    for s in sorted(by_shard):
         sums, weights, found, book, weight_book = unpack(by_shard[s])
         counts[word_order[w: w + len(sums)]] = sums
         w += len(sums)
@@ -243,15 +250,20 @@ def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndar
         "base_score": each(np.log10(unigram)[chunk.ids]), "score": each(of_pair[plan["inverse"]])})
 
 
-def heavy_words(documents: DataFrame) -> np.ndarray:
-    """Codes of the begin mark and of the words above HEAVY_SHARE in about SAMPLE documents (1 / HEAVY_SHARE at most)."""
+def heavy_words(documents: DataFrame) -> dict[int, int]:
+    """Codes of the begin mark and of the words above HEAVY_SHARE in about SAMPLE documents, with their exact training counts.
+
+    There are 1 / HEAVY_SHARE such words at most.
+    """
     every = max(1, documents.count() // SAMPLE)
     sample = documents.where(F.pmod(F.xxhash64("key", F.substring("text", 1, 100)), F.lit(every)) == 0)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = cut(sample.select(F.explode(F.regexp_extract_all(lower, F.lit(NOT_SPACE), F.lit(0))).alias("word")).groupBy("word").count())
-    total = words.agg(F.sum("count")).first()[0] or 0
-    rows = words.where(F.col("count") > HEAVY_SHARE * total).collect()
-    return np.sort(np.array([_CODES[0], *(xxhash.xxh3_64_intdigest(r["word"].encode("utf-8", "replace")) for r in rows)], np.uint64))
+    found = cut(sample.select(F.explode(F.regexp_extract_all(lower, F.lit(NOT_SPACE), F.lit(0))).alias("word")).groupBy("word").count())
+    total = found.agg(F.sum("count")).first()[0] or 0
+    words = [r["word"].encode("utf-8", "replace") for r in found.where(F.col("count") > HEAVY_SHARE * total).orderBy("word").collect()]
+    sums = documents.mapInPandas(lambda b: count_heavy(b, words), "place long, count long").groupBy("place").agg(F.sum("count").alias("count"))
+    counts = {r["place"]: r["count"] for r in sums.collect()}
+    return {code: counts.get(i, 0) for i, code in enumerate((_CODES[0], *map(xxhash.xxh3_64_intdigest, words)))}
 
 
 def language_scores(documents: DataFrame) -> DataFrame:
@@ -260,11 +272,12 @@ def language_scores(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType
     # Ids cross to Python as text, so large integers beside nulls stay exact.
     documents = documents.select(F.col("doc_id").cast("string").alias("key"), "text", "train")
-    heavy = heavy_words(documents)
+    totals = heavy_words(documents)
+    heavy = np.sort(np.array(list(totals), np.uint64))
     size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // (6 * SHARD_TOKENS)))
     sent = documents.mapInPandas(lambda b: send(b, shards, heavy), "shard int, chunk long, payload binary")
-    answers = cut(sent.groupBy("shard").applyInPandas(lambda g: answer(g, heavy), "chunk long, shard int, payload binary, tokens long, distinct long"))
+    answers = cut(sent.groupBy("shard").applyInPandas(lambda g: answer(g, totals), "chunk long, shard int, payload binary, tokens long, distinct long"))
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
     held = documents.mapInPandas(hold, "chunk long, payload binary")
