@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import decontamination, minhash, mixing, secrets, toxicity
-from pagewright.llm.shared import shared_folder, table
+from pagewright.llm.shared import cut, shared_folder, table
 
 #: SQL can express neither the toxicity model nor the signatures; the tests compare stages with brute force.
 ORACLE_SQL = None
@@ -54,13 +54,17 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+
+    def drop(path: str) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}")
-            docs = spark.read.parquet(f"{folder}/{number}")
-            if number:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 1}")
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            drop(f"{folder}/{number - 1}")
+    mixed = cut(STAGES[-1][1](spark, docs, sf_dir))  # narrow rows; the texts are no longer needed
+    drop(folder)
+    return mixed
