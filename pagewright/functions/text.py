@@ -2,7 +2,7 @@
 
 Each takes SQL for a string and gives SQL, so it can stand in ``F.expr``, in
 ``spark.sql`` and inside the lambda of a higher-order function, and stays in the JVM.
-White space, digits and letters are Unicode's, by ``(?U)``.
+White space, digits and letters are Unicode's.
 """
 
 from __future__ import annotations
@@ -45,16 +45,27 @@ def literal(text: str | None) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
+#: White space as Unicode and the separators 0x1C-0x1F have it; trimming by a set of characters beats a regex on long texts.
+SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Longer than any suffix that a rule looks at.
+TAIL = 8
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {raw(r'(?U)^\s+|\s+$')}, '')"
+    return f"trim(BOTH '{SPACE}' FROM {x})"
 
 
 def rstrip(x: str) -> str:
-    return f"regexp_replace({x}, {raw(r'(?U)\s+$')}, '')"
+    return f"rtrim('{SPACE}', {x})"
 
 
 def lstrip(x: str) -> str:
-    return f"regexp_replace({x}, {raw(r'(?U)^\s+')}, '')"
+    return f"ltrim('{SPACE}', {x})"
+
+
+def tail(x: str) -> str:
+    """The last characters without trailing space: all that a rule about a text's end needs."""
+    return f"right({rstrip(x)}, {TAIL})"
 
 
 def first_line(x: str) -> str:
@@ -68,14 +79,14 @@ def flat(x: str) -> str:
 
 def paragraph_ends(x: str) -> str:
     """Nothing but white space, or a sentence end, perhaps with a closing quote after a full stop."""
-    end = rstrip(x)
+    end = tail(x)
     return f"""({end} = '' OR {end} RLIKE {raw('([.!?…]|[.]["' + chr(39) + '])$')})"""
 
 
 def new_paragraph(x: str) -> str:
     """Blank, a numbered or bulleted item, or a label in capitals."""
     text = strip(x)
-    pattern = r"(?U)^\d+[).]\s|^[" + BULLETS + r"]\s|^[A-Z0-9]{2,}\s*$|^[A-Z][A-Z0-9\s-]{4,}$"
+    pattern = r"(?U)^\d+[).][\s\x1C-\x1F]|^[" + BULLETS + r"][\s\x1C-\x1F]|^[A-Z0-9]{2,}$|^[A-Z][A-Z0-9\s\x1C-\x1F-]{4,}$"
     return f"({text} = '' OR {text} RLIKE {raw(pattern)})"
 
 
@@ -92,32 +103,42 @@ def continuation(x: str) -> str:
 
 def space_joiner(x: str) -> str:
     """Ends with something after which a wrapped line goes on with a space."""
-    end = rstrip(x)
-    tail = "([" + SPACE_JOIN_PUNCTUATION.replace("]", r"\]") + SPACE_JOIN_PARTICLES + "]|" + "|".join(SPACE_JOIN_SUFFIXES) + ")$"
-    return f"({end} = '' OR {end} RLIKE {raw(tail)})"
+    end = tail(x)
+    suffix = "([" + SPACE_JOIN_PUNCTUATION.replace("]", r"\]") + SPACE_JOIN_PARTICLES + "]|" + "|".join(SPACE_JOIN_SUFFIXES) + ")$"
+    return f"({end} = '' OR {end} RLIKE {raw(suffix)})"
 
 
 def join_lines(a: str, b: str) -> str:
     """Two wrapped lines as one. An ASCII letter before an ASCII lower-case letter is glued without a space."""
-    left, right = rstrip(a), lstrip(b)
-    return f"""CASE WHEN {left} = '' THEN {right} WHEN {right} = '' THEN {left}
-        WHEN {left} LIKE '%-' AND {right} RLIKE {raw(r'^\p{L}')} THEN concat(substring({left}, 1, length({left}) - 1), {right})
-        WHEN {left} RLIKE '[가-힣]$' AND {right} RLIKE '^[가-힣]'
+    left, right, end, start = rstrip(a), lstrip(b), tail(a), f"left({lstrip(b)}, 1)"
+    return f"""CASE WHEN {end} = '' THEN {right} WHEN {start} = '' THEN {left}
+        WHEN {end} LIKE '%-' AND {start} RLIKE {raw(r'^\p{L}')} THEN concat(left({left}, length({left}) - 1), {right})
+        WHEN {end} RLIKE '[가-힣]$' AND {start} RLIKE '^[가-힣]'
           THEN concat({left}, CASE WHEN {space_joiner(a)} THEN ' ' ELSE '' END, {right})
-        WHEN {left} RLIKE '[A-Za-z]$' AND {right} RLIKE '^[a-z]' THEN concat({left}, {right})
+        WHEN {end} RLIKE '[A-Za-z]$' AND {start} RLIKE '^[a-z]' THEN concat({left}, {right})
         ELSE concat({left}, ' ', {right}) END"""
 
 
 def reflow(x: str) -> str:
-    """Wrapped lines joined into paragraphs, one fold per chunk between blank lines; no explode, no shuffle."""
+    """Wrapped lines joined into paragraphs, one fold per chunk between blank lines; no explode, no shuffle.
+
+    The fold keeps the end of what it has joined, the last line, and the pieces so far,
+    so it looks at each line once however long its paragraph grows.
+    """
     lines = f"filter(transform(split(chunk, chr(10), -1), t -> {strip('t')}), t -> t <> '')"
-    last = "element_at(acc, -1)"
-    fold = f"""aggregate({lines}, cast(array() AS array<string>), (acc, t) ->
-        CASE WHEN size(acc) = 0 OR ({paragraph_ends(last)} AND {new_paragraph('t')}) THEN concat(acc, array(t))
-             ELSE concat(slice(acc, 1, size(acc) - 1), array({join_lines(last, 't')})) END)"""
-    chunks = f"split({strip(x)}, {raw(r'(?U)\n\s*\n+')}, -1)"
+    begin = "named_struct('end', '', 'line', cast(NULL AS string), 'out', cast(array() AS array<string>))"
+    blank = "concat(chr(10), chr(10))"
+    step = lambda end, piece: f"named_struct('end', right({end}, {TAIL}), 'line', t, 'out', concat(a.out, array({piece})))"
+    hangul = "a.end RLIKE '[가-힣]$' AND t RLIKE '^[가-힣]'"
+    fold = f"""aggregate({lines}, {begin}, (a, t) -> CASE
+        WHEN a.line IS NULL THEN named_struct('end', right(t, {TAIL}), 'line', t, 'out', a.out)
+        WHEN {paragraph_ends('a.end')} AND {new_paragraph('t')} THEN {step('t', f"concat(a.line, {blank})")}
+        WHEN a.end LIKE '%-' AND t RLIKE {raw(r'^\p{L}')} THEN {step("concat(left(a.end, length(a.end) - 1), t)", "left(a.line, length(a.line) - 1)")}
+        WHEN {hangul} AND NOT {space_joiner('a.end')} OR a.end RLIKE '[A-Za-z]$' AND t RLIKE '^[a-z]' THEN {step("concat(a.end, t)", "a.line")}
+        ELSE {step("concat(a.end, ' ', t)", "concat(a.line, ' ')")} END, a -> array_join(concat(a.out, array(a.line)), ''))"""
+    chunks = f"split({strip(x)}, {raw(r'(?U)\n[\s\x1C-\x1F]*\n+')}, -1)"
     return f"""CASE WHEN instr({x}, chr(10)) = 0 THEN {x}
-        ELSE array_join(flatten(transform({chunks}, chunk -> {fold})), concat(chr(10), chr(10))) END"""
+        ELSE array_join(filter(transform({chunks}, chunk -> {fold}), p -> p <> ''), {blank}) END"""
 
 
 def chapter_marker(x: str) -> str:
