@@ -149,6 +149,18 @@ def pages_to_run(jobs: DataFrame, ends: DataFrame, debug_most: int | None = None
     return found.select("book", (n if debug_most is None else F.least(n, F.lit(max(1, debug_most)))).cast("int").alias("n_run"))
 
 
+def valid_files(files: DataFrame) -> DataFrame:
+    """(.., valid) of (suffix, size, content, known_empty) rows for all but images, which ``images.png_valid`` decodes.
+
+    OCR JSON must be an object with a list of sections; page text must have bytes
+    unless its page is known to be empty; a PDF must have bytes.
+    """
+    page = "try_parse_json(content)"
+    listed = f"coalesce(schema_of_variant({page}) LIKE 'OBJECT%', false) AND coalesce(schema_of_variant(try_variant_get({page}, '$.sections', 'variant')) LIKE 'ARRAY%', false)"
+    return files.withColumn("valid", F.expr(f"""CASE WHEN suffix = '.ocr.json' THEN {listed}
+        WHEN suffix = '.txt' THEN size > 0 OR known_empty ELSE size > 0 END"""))
+
+
 def progress(events: DataFrame) -> DataFrame:
     """(book, percent): pages done, 99 at most until the job ends."""
     done = events.groupBy("book").agg(F.sum(F.col("message").startswith("IMAGE_OK").cast("int")).alias("n"), F.max("total").alias("total"))

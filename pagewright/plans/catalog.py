@@ -125,6 +125,7 @@ def queries() -> dict[str, Query]:
         "plan_steps": lambda spark, d: planning.plan_steps(spark.sql(X.JOBS), spark.sql(X.ARTIFACTS)),
         "plan_phases": lambda spark, d: planning.phases(planning.plan_steps(spark.sql(X.JOBS), spark.sql(X.ARTIFACTS))),
         "resume_skip": lambda spark, d: planning.resume(spark.sql(X.RESUME), spark.sql(X.VALID), spark.sql(X.STATE)),
+        "valid_files": lambda spark, d: planning.valid_files(spark.sql(X.FILES)).select("file_id", "valid"),
         "last_status": lambda spark, d: planning.last_status(spark.sql(X.STATE)),
         "repeat_runs_truncate": lambda spark, d: planning.truncate_repeats(spark.sql(X.CAPTURES)),
         "repeat_runs_documents": lambda spark, d: planning.truncate_repeats(P.pages_of_documents(table(spark, d, "documents").withColumn("text", F.substring("text", 1, 1))).select("book", "page_num", F.sha1(expr("coalesce(get(sections, 0).text, '')").cast("binary")).alias("digest"))),
@@ -208,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
             j AS (SELECT e.*, v.book IS NOT NULL AS valid, s.status FROM ({X.RESUME}) e LEFT JOIN v USING (book, phase, page_num) LEFT JOIN s USING (book, phase, page_num)),
             k AS (SELECT *, resume AND valid AND force_phase <> 'all' AND force_phase <> phase AS skip FROM j)
             SELECT book, phase, page_num, skip, skip AND coalesce(status, '') <> 'done' AS adopted FROM k""",
+        "valid_files": f"""SELECT file_id, CASE WHEN suffix = '.ocr.json' THEN CASE WHEN json_valid(content) THEN coalesce(json_type(content) = 'OBJECT' AND json_type(content, '$.sections') = 'ARRAY', false) ELSE false END
+            WHEN suffix = '.txt' THEN size > 0 OR known_empty ELSE size > 0 END AS valid FROM ({X.FILES})""",
         "last_status": f"SELECT book, phase, page_num, arg_max(status, seq) AS status FROM ({X.STATE}) GROUP BY ALL",
         "repeat_runs_truncate": f"""WITH c AS ({X.CAPTURES}) SELECT book, min(page_num)::INT AS last_page FROM c WHERE EXISTS (SELECT 1 FROM c d WHERE d.book = c.book AND d.page_num = c.page_num + 1 AND d.digest = c.digest)
             AND EXISTS (SELECT 1 FROM c d WHERE d.book = c.book AND d.page_num = c.page_num + 2 AND d.digest = c.digest) GROUP BY book""",
