@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,32 @@ STYLES = ("full", "prose", "raw")
 FORCE_PHASES = ("", "capture", "ocr", "pdf", "all")
 OUTPUT_MODES = ("images", "pdf", "text")
 BACKENDS = ("printwindow", "screen")
+KEY_DELIVERIES = ("auto", "sendinput", "postmessage", "postmessage_top", "pyautogui")
 MOST_TRIM = 0.45
+# A config's scalar fields with their types and defaults.
+DEFAULTS = {
+    "n_pages": ("int", 1), "start_page": ("int", 1), "capture_mode": ("string", "manual"), "target_window_title": ("string", ""),
+    "use_window_client_rect": ("boolean", True), "prefer_foreground_window_match": ("boolean", True), "window_capture_backend": ("string", "printwindow"),
+    "hide_cursor_during_capture": ("boolean", False), "debug_capture": ("boolean", False), "debug_capture_max_pages": ("int", 5), "delay_sec": ("double", 1.0),
+    "stop_repeat_pages": ("int", 2), "next_key": ("string", "pagedown"), "reader_focus_clicks": ("int", 2), "reader_focus_x_ratio": ("double", 0.5),
+    "reader_focus_y_ratio": ("double", 0.5), "focus_click_settle_sec": ("double", 1.0), "key_delivery": ("string", "auto"), "fit_on_start": ("boolean", False),
+    "start_focus_clicks": ("int", 0), "start_focus_x_ratio": ("double", 0.5), "start_focus_y_ratio": ("double", 0.5), "output_mode": ("string", "pdf"),
+    "skip_capture": ("boolean", False), "resume": ("boolean", True), "force_phase": ("string", ""), "ocr_lang": ("string", "eng"), "ocr_text_prompt": ("string", ""),
+    "ocr_prompt_file": ("string", ""), "assemble_style": ("string", "full"), "input_pdf": ("string", ""), "reader_profile": ("string", ""),
+}
+# What all built-in profiles share, and what each sets of its own.
+PROFILE_BASE = {
+    "capture_mode": "screen_left_third", "window_capture_backend": "screen", "use_window_client_rect": True, "hide_cursor_during_capture": True, "delay_sec": 2.0,
+    "reader_focus_clicks": 2, "reader_focus_x_ratio": 0.5, "reader_focus_y_ratio": 0.5, "focus_click_settle_sec": 1.0, "fit_on_start": False,
+    "start_focus_clicks": 0, "start_focus_x_ratio": 0.5, "start_focus_y_ratio": 0.5, "target_window_title": None,
+    "trim_left": 0.0, "trim_right": 0.0, "trim_top": 0.0, "trim_bottom": 0.0, "trim_fill_top": 0.0, "trim_fill_bottom": 0.0,
+}
+PROFILES = (
+    {"name": "kindle_app", "next_key": "right", "key_delivery": "sendinput", "target_window_title": "Kindle", "reader_focus_clicks": 0, "reader_focus_y_ratio": 0.08, "trim_top": 0.035},
+    {"name": "kindle_cloud", "next_key": "right", "key_delivery": "pyautogui"},
+    {"name": "aladin_app", "next_key": "pagedown", "key_delivery": "sendinput", "trim_top": 0.010, "trim_fill_top": 0.026, "trim_bottom": 0.045},
+    {"name": "aladin_web", "next_key": "pagedown", "key_delivery": "pyautogui"},
+)
 
 CLICKS = ("reader_focus_clicks", "start_focus_clicks")
 RATIOS = ("start_focus_x_ratio", "start_focus_y_ratio", "reader_focus_x_ratio", "reader_focus_y_ratio")
@@ -47,13 +72,33 @@ def catalogue(builtin: DataFrame, from_file: DataFrame) -> DataFrame:
             .withColumn("position", F.row_number().over(Window.orderBy("place"))).drop("rn", "priority", "ord", "place"))
 
 
+def builtin_profiles(spark: SparkSession) -> DataFrame:
+    """The four built-in profiles, in order (``ord``)."""
+    rows = [{"ord": i} | PROFILE_BASE | own for i, own in enumerate(PROFILES)]
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string", type(None): "string"}
+    schema = ", ".join(f"{name} {kinds[type(value)]}" for name, value in (rows[0] | {"target_window_title": ""}).items())
+    return spark.createDataFrame([tuple(r.values()) for r in ({k: r[k] for k in rows[0]} for r in rows)], schema)
+
+
+def configs(files: DataFrame) -> DataFrame:
+    """(config, ...) of (config, value) JSON rows: every field or its default, the rectangle, and trims nested or flat."""
+    v = files.withColumn("v", F.expr("try_parse_json(value)"))
+    get = lambda path, kind, default: F.coalesce(F.expr(f"try_variant_get(v, '$.{path}', '{kind}')"), F.lit(default).cast(kind))
+    trims = [F.coalesce(F.expr(f"try_variant_get(v, '$.pdf_trim.{n[5:]}', 'double')"),
+                        F.when(F.expr("schema_of_variant(variant_get(v, '$.pdf_trim', 'variant')) LIKE 'OBJECT%'"), F.lit(0.0))
+                        .otherwise(get(f"pdf_{n}", "double", 0.0))).alias(n) for n in TRIMS]
+    return v.select("config", *(get(name, kind, default).alias(name) for name, (kind, default) in DEFAULTS.items()),
+                    *(get(f"rect.{n}", "int", 0).alias(f"rect_{n}") for n in ("left", "top", "width", "height")), *trims)
+
+
 def precedence(*layers: Column) -> Column:
     """Command line, profile, file, default: the first that is set."""
     return F.coalesce(*layers)
 
 
-def normalized(value: Column, known: tuple[str, ...]) -> Column:
-    """Trimmed and lower-cased member of an enumeration; anything else raises."""
+def normalized(value: Column, known: tuple[str, ...], default: str = "") -> Column:
+    """Trimmed and lower-cased member of an enumeration, ``default`` for nothing; anything else raises."""
+    value = F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
     text = F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
     return F.when(text.isin(*known), text).otherwise(F.raise_error(F.concat(F.lit("not one of the known values: "), value)))
 

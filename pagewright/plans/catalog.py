@@ -134,9 +134,11 @@ def queries() -> dict[str, Query]:
         "job_progress": lambda spark, d: planning.progress(spark.sql(X.EVENTS)),
         "profile_overlay": lambda spark, d: settings.overlay(spark.sql(X.CONFIGS), spark.sql(X.PROFILES)),
         "profile_catalogue": lambda spark, d: settings.catalogue(spark.sql(X.BUILTIN), spark.sql(X.FROM_FILE)),
+        "config_fields": lambda spark, d: settings.configs(spark.sql(X.CONFIG_FILES)).select("config", "n_pages", "next_key", "delay_sec", "resume", "output_mode", "stop_repeat_pages", "rect_left", "rect_width", "trim_top", "trim_bottom"),
+        "builtin_profile_overlay": lambda spark, d: settings.overlay(settings.configs(spark.sql(X.CONFIG_FILES)).withColumn("reader_profile", F.when(F.col("config") == "flat", "kindle_app").otherwise("none")), settings.builtin_profiles(spark)).select("config", "reader_profile", "delay_sec", "next_key", "reader_focus_clicks", "trim_top", "trim_bottom", "target_window_title"),
         "config_precedence": lambda spark, d: spark.sql(X.LAYERS).select("layer_id", settings.precedence(F.col("cli"), F.col("profile"), F.col("file"), F.lit("default")).alias("value")),
         "config_violations": lambda spark, d: settings.violations(spark.sql(X.RULES)).select("config", F.array_join("violations", ",").alias("violations")),
-        "enum_normalized": lambda spark, d: spark.sql(X.MODES).select("mode_id", settings.normalized(F.col("mode"), settings.OUTPUT_MODES).alias("mode")),
+        "enum_normalized": lambda spark, d: spark.sql(X.MODES).select("mode_id", settings.normalized(F.col("mode"), settings.OUTPUT_MODES, "pdf").alias("mode")),
         "rect_thirds": lambda spark, d: spark.sql(X.RECTS).select("rect_id", *(c.alias(n) for n, c in settings.capture_rect().items())),
         "trim_geometry": lambda spark, d: settings.trim_geometry(spark.sql(X.IMAGES)).select("image", "crop_left", "crop_top", "crop_right", "crop_bottom", "enough", "top_band_end", "bottom_band_start", F.round("width_pt", 6).alias("width_pt"), F.round("height_pt", 6).alias("height_pt")),
         "histogram_means": lambda spark, d: settings.histogram_means(spark.sql(X.LEVELS)),
@@ -227,11 +229,18 @@ def oracle_sql() -> dict[str, str]:
         "profile_catalogue": f"""WITH b AS ({X.BUILTIN}), f AS ({X.FROM_FILE}), a AS (SELECT 0 AS pr, * FROM b UNION ALL SELECT 1, * FROM f),
             n AS (SELECT name, min(pr * 1000 + ord) AS place, arg_max({{'k': next_key, 'd': delay_sec}}, pr * 1000 + ord) AS v FROM a GROUP BY name)
             SELECT name, v.k AS next_key, v.d AS delay_sec, row_number() OVER (ORDER BY place)::INT AS position FROM n""",
+        "config_fields": f"""WITH c AS (SELECT config, value::JSON AS j FROM ({X.CONFIG_FILES}))
+            SELECT config, coalesce((j->>'n_pages')::INT, 1) AS n_pages, coalesce(j->>'next_key', 'pagedown') AS next_key, coalesce((j->>'delay_sec')::DOUBLE, 1) AS delay_sec, coalesce((j->>'resume')::BOOLEAN, true) AS resume,
+              coalesce(j->>'output_mode', 'pdf') AS output_mode, 2 AS stop_repeat_pages, coalesce((j->'rect'->>'left')::INT, 0) AS rect_left, coalesce((j->'rect'->>'width')::INT, 0) AS rect_width,
+              CASE WHEN json_exists(j, '$.pdf_trim') THEN coalesce((j->'pdf_trim'->>'top')::DOUBLE, 0) ELSE coalesce((j->>'pdf_trim_top')::DOUBLE, 0) END AS trim_top,
+              CASE WHEN json_exists(j, '$.pdf_trim') THEN coalesce((j->'pdf_trim'->>'bottom')::DOUBLE, 0) ELSE coalesce((j->>'pdf_trim_bottom')::DOUBLE, 0) END AS trim_bottom FROM c""",
+        "builtin_profile_overlay": X.values([("empty", "none", 1.0, "pagedown", 2, 0.0, 0.0, ""), ("flat", "kindle_app", 2.0, "right", 0, 0.035, 0.0, "Kindle"), ("nested", "none", 2.5, "pagedown", 2, 0.0, 0.2, "")],
+            "config, reader_profile, delay_sec, next_key, reader_focus_clicks, trim_top, trim_bottom, target_window_title"),
         "config_precedence": f"SELECT layer_id, coalesce(cli, profile, file, 'default') AS value FROM ({X.LAYERS})",
         "config_violations": X.values([
             ("ok", ""), ("bad", "capture_mode,n_pages,start_page,assemble_style,force_phase,window_title,reader_focus_clicks,start_focus_clicks,start_focus_x_ratio,start_focus_y_ratio,settle_sec,trim_left"),
             ("pdf", "pages beyond pdf,trim height"), ("past", "start_page beyond pdf,pages beyond pdf"), ("rect", "rect"), ("title", "n_pages,window_title")], "config, violations"),
-        "enum_normalized": f"SELECT mode_id, lower(trim(mode)) AS mode FROM ({X.MODES})",
+        "enum_normalized": f"SELECT mode_id, coalesce(nullif(lower(trim(mode)), ''), 'pdf') AS mode FROM ({X.MODES})",
         "rect_thirds": f"""SELECT rect_id, CASE WHEN capture_mode = 'window_right_third' THEN x + 2 * greatest(1, width // 3) ELSE x END::INT AS rect_left, y AS rect_top,
             CASE capture_mode WHEN 'window_left_third' THEN greatest(1, width // 3) WHEN 'window_right_third' THEN greatest(1, width - 2 * greatest(1, width // 3)) ELSE width END::INT AS rect_width, height AS rect_height FROM ({X.RECTS})""",
         "trim_geometry": f"""WITH i AS ({X.IMAGES}), b AS (SELECT *, round_even(width * trim_left, 0)::INT AS l, round_even(height * trim_top, 0)::INT AS t, (width - round_even(width * trim_right, 0))::INT AS r, (height - round_even(height * trim_bottom, 0))::INT AS m,

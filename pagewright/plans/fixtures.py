@@ -164,8 +164,10 @@ TEXT_FILES = values([("b_0002.txt", "two"), ("b_0001.txt", "one"), ("b_10.txt",
 LAYERS = values([(1, "cli", "profile", "file"), (2, None, "profile", "file"), (3, None, None, "file"), (4, None, None, None)], "layer_id, cli, profile, file")
 LANGUAGES = values([(0, "Korean", "ko"), (1, "English", "en"), (2, "Korean", "kr")], "ord, lang, code")
 NAMES = values([("Korean",), ("English",), ("Klingon",)], "lang")
-MODES = values([(1, " Images "), (2, "PDF"), (3, "text")], "mode_id, mode")
+MODES = values([(1, " Images "), (2, "PDF"), (3, "text"), (4, ""), (5, None)], "mode_id, mode")
 FILES = values([(i, s, n, c, e) for i, (s, n, c, e) in enumerate([
     (".ocr.json", 9, '{"sections": []}', False), (".ocr.json", 9, '{"sections": {}}', False), (".ocr.json", 9, "[]", False), (".ocr.json", 9, "{no", False),
     (".ocr.json", 9, '{"text": "x"}', False), (".ocr.json", 9, '{"sections": [1, "a"]}', False), (".txt", 0, "", False), (".txt", 0, "", True), (".txt", 3, "abc", False),
     (".page.pdf", 0, None, False), (".page.pdf", 9, None, False)])], "file_id, suffix, size, content, known_empty")
+CONFIG_FILES = values([("empty", "{}"), ("flat", '{"n_pages": 7, "next_key": "right", "pdf_trim_top": 0.1, "rect": {"left": 1, "width": 9}, "resume": false}'),
+                       ("nested", '{"delay_sec": 2.5, "pdf_trim": {"bottom": 0.2}, "pdf_trim_top": 0.3, "output_mode": "text"}')], "config, value")
