@@ -55,6 +55,12 @@ def reflow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("flowed").cast("long").alias("chars"), F.md5("flowed").alias("digest"))
 
 
+def repeat_runs_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books ended by three equal documents in a row; a page's digest is that of its whole text."""
+    docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+    return planning.truncate_repeats(P.pages_of_documents(docs, kept=("digest",)).select("book", "page_num", "digest"))
+
+
 def lines_with(columns: Callable[[str], dict[str, str]]) -> Query:
     """A query of flags over the fixture lines and all lines of all documents."""
 
@@ -129,6 +135,7 @@ def queries() -> dict[str, Query]:
         "last_status": lambda spark, d: planning.last_status(spark.sql(X.STATE)),
         "repeat_runs_truncate": lambda spark, d: planning.truncate_repeats(spark.sql(X.CAPTURES)),
         "repeat_runs_documents": lambda spark, d: planning.truncate_repeats(P.pages_of_documents(table(spark, d, "documents").withColumn("text", F.substring("text", 1, 1))).select("book", "page_num", F.sha1(expr("coalesce(get(sections, 0).text, '')").cast("binary")).alias("digest"))),
+        "repeat_runs_whole_documents": repeat_runs_whole_documents,
         "kept_captures": lambda spark, d: planning.kept_captures(spark.sql(X.CAPTURES)),
         "pages_to_run": lambda spark, d: planning.pages_to_run(spark.sql(X.JOBS), spark.sql("SELECT 'img_new' AS book, 2 AS last_page")),
         "job_progress": lambda spark, d: planning.progress(spark.sql(X.EVENTS)),
@@ -218,6 +225,8 @@ def oracle_sql() -> dict[str, str]:
             AND EXISTS (SELECT 1 FROM c d WHERE d.book = c.book AND d.page_num = c.page_num + 2 AND d.digest = c.digest) GROUP BY book""",
         "repeat_runs_documents": """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, trim(left(text, 1)) AS x FROM documents)
             SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.x = c.x JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.x = c.x GROUP BY c.book""",
+        "repeat_runs_whole_documents": """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, coalesce(text, '') AS x FROM documents)
+            SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.x = c.x JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.x = c.x GROUP BY c.book""",
         "kept_captures": f"""WITH c AS ({X.CAPTURES}), ends AS (SELECT 'aaa' AS book, 1 AS last_page UNION ALL SELECT 'aabbb', 3 UNION ALL SELECT 'late', 5)
             SELECT c.* FROM c LEFT JOIN ends USING (book) WHERE last_page IS NULL OR page_num <= last_page""",
         "pages_to_run": f"SELECT book, CASE WHEN book = 'img_new' THEN 2 ELSE n_pages END::INT AS n_run FROM ({X.JOBS})",

@@ -100,10 +100,11 @@ def prompt(inline: str = "inline", file_text: str = "file_text", bundled: str =
     return f"replace(replace({template}, '{{lang_hint}}', lang_hint), '{{page_num}}', cast(page_num AS string))"
 
 
-def pages_of_documents(documents: DataFrame, per_book: int = 500) -> DataFrame:
+def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[str, ...] = ()) -> DataFrame:
     """Documents as pages: books of a source's documents with near ids, a section per non-blank line.
 
     Lines with a bar are figures, others bodies.  Books stay small however large a source is.
+    The columns ``kept`` stay beside the sections.
     """
     from pyspark.sql.window import Window
 
@@ -111,7 +112,7 @@ def pages_of_documents(documents: DataFrame, per_book: int = 500) -> DataFrame:
     lines = f"filter(transform(split(text, chr(10), -1), t -> {T.strip('t')}), t -> t <> '')"
     sections = F.expr(f"transform({lines}, t -> named_struct('type', CASE WHEN contains(t, '|') THEN 'figure' ELSE 'body' END, 'text', t))")
     number = F.row_number().over(Window.partitionBy("book").orderBy("doc_id"))
-    return documents.select("doc_id", book.alias("book"), sections.alias("sections")).withColumn("page_num", number)
+    return documents.select("doc_id", book.alias("book"), sections.alias("sections"), *kept).withColumn("page_num", number)
 
 
 __all__ = ["combined_text", "gather", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
