@@ -1,13 +1,14 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut into text nodes, each with its root-to-leaf tag path.  Per path, text
-length and punctuation are summed and divided by the number of its nodes; the two
-ratios are fused, smoothed over neighbouring nodes, and nodes whose score reaches a
-share of the page's length-weighted mean are content.  Tags and class names are
-priors: what stands under navigation, page header or footer, aside, form, script,
-advert, notice or comment elements scores 0; where a page has an ``article`` or
-``main`` with text, paths in it get at least the threshold and paths outside it a
-tenth of their score; link text scores a fifth.  Kept nodes are joined into blocks.
+A page is cut into text nodes, each with its root-to-leaf tag path; inline tags count
+to their block's path.  Per path, text length and punctuation are summed and divided
+by the number of its blocks; the two ratios are fused, smoothed over neighbouring
+nodes, and nodes whose score reaches a share of the page's length-weighted mean are
+content.  Tags and class names are priors: what stands under navigation, page header
+or footer, aside, form, script, advert, notice or comment elements scores 0; link text
+scores a fifth.  ``article`` and ``main`` are a bounded weight: where they hold at
+least half of the page's scored text, scores in them are doubled and others quartered;
+where they hold less, they are ignored.  Kept nodes are joined into blocks.
 
 Defined cases: null html is the empty page; a page without content gives the empty
 text; unclosed tags, implied paragraph ends, stray end tags and comments follow the
@@ -44,7 +45,7 @@ NAMES = frozenset("ad ads advert advertisement adverts banner sponsor sponsored
 ENDS_P = frozenset("p div ul ol li dl table section article h1 h2 h3 h4 h5 h6 blockquote pre form hr main nav header footer aside figure".split())
 BOUNDARY = frozenset("body div section article main td th table ul ol blockquote aside nav header footer form figure html".split())
 
-LINK, OUTSIDE, SHARE = 0.2, 0.1, 0.25
+LINK, INSIDE, OUTSIDE, MINOR, SHARE = 0.2, 2, 0.25, 0.5, 0.25
 
 
 class Node:
@@ -110,18 +111,20 @@ def text_nodes(html: str) -> list[Node]:
             at = close.end() if close else end
             continue
         opened[tag] += 1
-        stack.append((tag, paths.setdefault((path, tag), len(paths) + 1), dropped, main or tag in MAIN, link or tag == "a"))
+        stack.append((tag, path if tag in INLINE else paths.setdefault((path, tag), len(paths) + 1), dropped, main or tag in MAIN, link or tag == "a"))
     return nodes
 
 
 def path_scores(nodes: list[Node]) -> dict[int, float]:
-    """Fused tag-path ratio: log text per node times one plus log punctuation per node."""
+    """Fused tag-path ratio: log text per block times one plus log punctuation per block."""
     sums: dict[int, list[float]] = {}
+    last: dict[int, int] = {}
     for n in nodes:
         s = sums.setdefault(n.path, [0, 0, 0])
-        s[0] += 1
+        s[0] += last.get(n.path) != n.block
         s[1] += len(n.text)
         s[2] += len(_PUNCTUATION.findall(n.text))
+        last[n.path] = n.block
     return {p: math.log1p(chars / count) * (1 + math.log1p(signs / count)) for p, (count, chars, signs) in sums.items()}
 
 
@@ -134,12 +137,13 @@ def main_text(html: str | None) -> str:
     if not filled:
         return ""
     by_path = path_scores(filled)
-    marked = any(n.main for n in filled)
-    raw = [by_path[n.path] * (LINK if n.link else 1) * (OUTSIDE if marked and not n.main else 1) for n in filled]
+    raw = [by_path[n.path] * (LINK if n.link else 1) for n in filled]
     smooth = [(a + 2 * b + c) / 4 for a, b, c in zip([raw[0], *raw[:-1]], raw, [*raw[1:], raw[-1]])]
     sizes = [len(n.text) for n in filled]
-    least = SHARE * sum(s * z for s, z in zip(smooth, sizes)) / sum(sizes)
-    kept = {id(n) for n, s in zip(filled, smooth) if n.main or (s >= least and not (marked and s < 4 * least))}
+    mass = [s * z for s, z in zip(smooth, sizes)]
+    least = SHARE * sum(mass) / sum(sizes)
+    marked = sum(m for n, m in zip(filled, mass) if n.main) >= MINOR * sum(mass)
+    kept = {id(n) for n, s in zip(filled, smooth) if s * ((INSIDE if n.main else OUTSIDE) if marked else 1) >= least}
     blocks: dict[int, list[str]] = {}
     for n in nodes:
         if id(n) in kept or not n.text.strip():
