@@ -7,8 +7,11 @@ nodes, and nodes whose score reaches a share of the page's length-weighted mean
 content.  Tags and class names are priors: what stands under navigation, page header
 or footer, aside, form, script, advert, notice or comment elements scores 0; link text
 scores a fifth.  ``article`` and ``main`` are a bounded weight: where they hold at
-least half of the page's scored text, scores in them are doubled and others quartered;
-where they hold less, they are ignored.  Kept nodes are joined into blocks.
+least half of the page's scored text, scores in them count four times and others a quarter;
+where they hold less, they are ignored.  An element's class, id or role drops it only
+as a whole token on a container; a token that merely contains a name, or one on a
+paragraph, takes a share of the score, and only outside ``article`` and ``main``.
+Headings and inline tags are never judged by name.  Kept nodes are joined into blocks.
 
 Defined cases: null html is the empty page; a page without content gives the empty
 text; unclosed tags, implied paragraph ends, stray end tags and comments follow the
@@ -41,25 +44,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("head nav header footer aside form script style noscript template select button textarea title iframe object svg canvas dialog menu fieldset input option datalist".split())
 MAIN = frozenset(("article", "main"))
 NAMES = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header masthead footer comment comments disqus respond cookie cookies consent notice popup modal newsletter subscribe share social related widget pagination toolbar form search login".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their names drop nothing outright.
+TEXTUAL = frozenset("p pre blockquote dt dd figcaption caption address".split())
 #: An open paragraph or item ends where one of these begins.
 ENDS_P = frozenset("p div ul ol li dl table section article h1 h2 h3 h4 h5 h6 blockquote pre form hr main nav header footer aside figure".split())
 BOUNDARY = frozenset("body div section article main td th table ul ol blockquote aside nav header footer form figure html".split())
 
-LINK, INSIDE, OUTSIDE, MINOR, SHARE = 0.2, 2, 0.25, 0.5, 0.25
+LINK, NAMED, INSIDE, OUTSIDE, MINOR, SHARE = 0.2, 0.3, 4, 0.25, 0.5, 0.25
 
 
 class Node:
-    __slots__ = ("path", "text", "block", "dropped", "main", "link")
+    __slots__ = ("path", "text", "block", "dropped", "main", "link", "named")
 
-    def __init__(self, path: int, text: str, block: int, dropped: bool, main: bool, link: bool):
-        self.path, self.text, self.block, self.dropped, self.main, self.link = path, text, block, dropped, main, link
+    def __init__(self, path: int, text: str, block: int, dropped: bool, main: bool, link: bool, named: bool):
+        self.path, self.text, self.block, self.dropped, self.main, self.link, self.named = path, text, block, dropped, main, link, named
 
 
 def text_nodes(html: str) -> list[Node]:
     """The page's text nodes in order; those of one block share a block number."""
     nodes: list[Node] = []
-    # Open elements: (tag, path, in furniture, in article or main, in a link); a path is numbered by its parent's and the tag.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Open elements: (tag, path, in furniture, in article or main, in a link, in a furniture name); a path is numbered by its parent's and the tag.
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
     paths: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
 
@@ -73,9 +79,9 @@ def text_nodes(html: str) -> list[Node]:
         found = _MARKUP.search(html, at)
         stop = found.start() if found else end
         if stop > at:
-            _, path, dropped, main, link = stack[-1]
+            _, path, dropped, main, link, named = stack[-1]
             if not dropped:
-                nodes.append(Node(path, html[at:stop], block, dropped, main, link))
+                nodes.append(Node(path, html[at:stop], block, dropped, main, link, named))
         if not found:
             break
         at = found.end()
@@ -99,19 +105,22 @@ def text_nodes(html: str) -> list[Node]:
                     break
         if tag in VOID or found[3].endswith("/"):
             continue
-        _, path, dropped, main, link = stack[-1]
+        _, path, dropped, main, link, named = stack[-1]
         if not dropped:
             dropped = tag in FURNITURE
-            if not dropped and tag not in MAIN and tag not in ("body", "html") and "=" in found[3]:
+            if not dropped and tag not in MAIN and tag not in ("body", "html") and tag not in HEADINGS and tag not in INLINE and "=" in found[3]:
                 for a, b, c in _HINTS.findall(found[3]):
-                    if not NAMES.isdisjoint(_WORD.findall((a or b or c).lower())):
+                    value = (a or b or c).lower()
+                    if tag not in TEXTUAL and not NAMES.isdisjoint(value.split()):
                         dropped = True
+                    elif not main and not NAMES.isdisjoint(_WORD.findall(value)):
+                        named = True
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = close.end() if close else end
             continue
         opened[tag] += 1
-        stack.append((tag, path if tag in INLINE else paths.setdefault((path, tag), len(paths) + 1), dropped, main or tag in MAIN, link or tag == "a"))
+        stack.append((tag, path if tag in INLINE else paths.setdefault((path, tag), len(paths) + 1), dropped, main or tag in MAIN, link or tag == "a", named))
     return nodes
 
 
@@ -138,7 +147,7 @@ def main_text(html: str | None) -> str:
         return ""
     by_path = path_scores(filled)
     raw = [by_path[n.path] * (LINK if n.link else 1) for n in filled]
-    smooth = [(a + 2 * b + c) / 4 for a, b, c in zip([raw[0], *raw[:-1]], raw, [*raw[1:], raw[-1]])]
+    smooth = [(a + 2 * b + c) / 4 * (NAMED if n.named else 1) for n, a, b, c in zip(filled, [raw[0], *raw[:-1]], raw, [*raw[1:], raw[-1]])]
     sizes = [len(n.text) for n in filled]
     mass = [s * z for s, z in zip(smooth, sizes)]
     least = SHARE * sum(mass) / sum(sizes)

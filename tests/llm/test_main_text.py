@@ -32,3 +32,18 @@ def test_scores_decide_inside_and_outside_of_an_article():
 def test_short_blocks_and_inline_tags_inside_an_article():
     got = lines(f"<article><h1>Head</h1>{PARAGRAPHS}<p>So.</p><p>Short <b>one</b>.</p><ul><li>Item one.<li>Item two.</ul></article>")
     assert got == ["Head", *WANTED, "So.", "Short one.", "Item one.", "Item two."]
+
+
+def test_names_that_mark_real_text():
+    inside = ("<div class='article-header'><h1>Headline</h1></div><h2 id='related-work'>Related work</h2>"
+              f"<section id='search-methods'>{PARAGRAPHS}</section><pre><code>x = 1 <span class='comment'># set x</span></code></pre><p class='notice'>Read this, too.</p>")
+    want = ["Headline", "Related work", *WANTED, "x = 1 # set x", "Read this, too."]
+    assert lines(f"<article>{inside}</article>") == want
+    assert lines(f"<div><section id='search-methods'>{PARAGRAPHS}</section><h2 id='related-work'>Related work</h2>{PARAGRAPHS}</div>") == [*WANTED, "Related work", *WANTED]
+
+
+def test_names_that_mark_furniture():
+    furniture = ("<div class='big ad'>Buy now, today, here.</div><ul class='menu'><li>Home</ul><div role='search'>Find it, now.</div>"
+                 "<div class='ad-box'>Cheap, and good.</div><div id='comments'><p>A comment, long enough to look like text, really.</p></div>")
+    assert lines(f"{furniture}<article>{PARAGRAPHS}</article>") == WANTED
+    assert lines(f"<article>{PARAGRAPHS}<div class='related'><p>See this, and that, and more.</p></div></article>") == WANTED
