@@ -4,7 +4,7 @@ Each version of a text is addressed by its SHA-256 (its blob).  A ledger row say
 which rule versions a blob was scanned with and what they found; ``scan`` runs only
 the (blob, rule version) pairs that the ledger lacks, once per distinct blob, and
 returns the rows to append.  ``findings_of`` joins the ledger back to every path.
-Texts without any trigger of the rules enter the ledger as scanned without being
+Texts without any trigger of the rules passed enter the ledger as scanned without being
 moved; of the others one copy per task and blob is shuffled.
 
 Positions come from ``split`` and ``regexp_extract_all`` of the same pattern: the
@@ -31,6 +31,7 @@ class Rule(NamedTuple):
     pattern: str
     group: int  # whose length is checked
     least: int
+    trigger: str | None = None  # a text without a match of this has no match of the rule; none: every text is scanned
 
     @property
     def name(self) -> str:
@@ -40,16 +41,14 @@ class Rule(NamedTuple):
 # The first three kinds and their limits are those of the query's contract.
 # Where only a whole run can match, the least length stands in the pattern itself.
 RULES = (
-    Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16),
-    Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
-    Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i:password|passwd|secret|token|api_?key)"),
+    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16, "AKIA"),
+    Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32}"),
+    Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh[pousr]_"),
+    Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, "xox[abprs]-"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
 )
 BASE = 3
-#: A text without a match of this has no match of any rule.
-TRIGGER = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{32}|gh[pousr]_|xox[abprs]-|-----begin "
 
 FINDING = "struct<start:int,rank:int,end:int,kind:string>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -59,6 +58,13 @@ def _literal(text: str) -> str:
     return "r'" + text.replace("'", r"\x27") + "'"
 
 
+def triggered(rules: tuple[Rule, ...]) -> Column:
+    """Whether any of ``rules`` can match the column ``text``; null is false."""
+    if any(r.trigger is None for r in rules):
+        return F.col("text").isNotNull()
+    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.trigger})" for r in rules)), F.lit(False))
+
+
 def spans(text: str, rule: Rule, rank: int) -> Column:
     """Findings of one rule in the column named ``text``: leftmost, non-overlapping, short ones dropped."""
     pattern = _literal(rule.pattern)
@@ -78,8 +84,7 @@ def spans(text: str, rule: Rule, rank: int) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for ``versions`` (blob, text): only pairs of blob and rule version that are not in ``ledger``."""
     names = F.array(*(F.lit(r.name) for r in rules))
-    triggered = F.col("text").rlike(TRIGGER)
-    blobs = versions.groupBy("blob").agg(F.max(F.when(triggered, F.col("text"))).alias("text"))
+    blobs = versions.groupBy("blob").agg(F.max(F.when(triggered(rules), F.col("text"))).alias("text"))
     if ledger is None:
         blobs = blobs.withColumn("rules", names)
     else:
@@ -123,9 +128,9 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     Only rows with a trigger are joined with the ledger, so other texts are not moved.
     """
-    triggered = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    suspect = triggered(RULES)
     # Rows travel as one column, whatever their names.
-    suspects = with_blob(documents.where(triggered).select(F.struct("*").alias("row"), "text"))
+    suspects = with_blob(documents.where(suspect).select(F.struct("*").alias("row"), "text"))
     found = findings_of(suspects, scan(suspects.select("blob", "text"))).withColumn("text", redact())
 
     def column(name: str) -> Column:
@@ -136,7 +141,7 @@ def redacted(documents: DataFrame) -> DataFrame:
             return F.when(F.size("findings") > 0, F.length("text").cast(documents.schema[name].dataType)).otherwise(own).alias(name)
         return own.alias(name)
 
-    return documents.where(~triggered).unionByName(found.select(*map(column, documents.columns)))
+    return documents.where(~suspect).unionByName(found.select(*map(column, documents.columns)))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
