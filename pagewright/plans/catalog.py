@@ -98,6 +98,15 @@ def _structure_oracle(tail: str, style: str = "full") -> str:
     return f"WITH RECURSIVE {_fixture()}, {O.within()}, {O.across()}, listed AS (SELECT DISTINCT book, page_num FROM merged), {O.prepared('merged')}, {O.structure('merged')}{tail}"
 
 
+def _documents_oracle(tail: str) -> str:
+    return f"WITH RECURSIVE {O.DOCUMENT_SECTIONS}, {O.within()}, {O.across()}, listed AS (SELECT DISTINCT book, page_num FROM merged), {O.prepared('merged')}, {O.structure('merged')}{tail}"
+
+
+_SUMMARY = """SELECT book, '{"title":' || to_json(book)::VARCHAR || ',"page_range":[' || min_by(start_page, seg) || ',' || max_by(end_page, seg) || '],"chapters":[' ||
+              string_agg('{"heading":' || to_json(heading)::VARCHAR || ',"slug":' || to_json(slug)::VARCHAR || ',"kind":"' || kind || '","start_page":' || start_page || ',"end_page":' || end_page || ',"block_count":' || block_count || '}', ',' ORDER BY seg) || ']}' AS structure
+            FROM slugged GROUP BY book"""
+
+
 def queries() -> dict[str, Query]:
     expr = F.expr
     found: dict[str, Query] = {
@@ -110,6 +119,10 @@ def queries() -> dict[str, Query]:
         "sections_exploded": lambda spark, d: digest(section_rows(document_pages(spark, d)).where("type NOT IN ('header', 'page_number')")),
         "prepare_sections": lambda spark, d: section_rows(fixture_pages(spark).withColumn("sections", expr(sections.prepare("sections")))),
         "page_has_text": lambda spark, d: fixture_pages(spark).select("book", "page_num", expr(sections.has_text("sections")).alias("has_text"), expr(f"size({sections.content('sections')})").cast("long").alias("n_content")),
+        "prepare_sections_documents": lambda spark, d: digest(section_rows(document_pages(spark, d).withColumn("sections", expr(sections.prepare("sections"))))),
+        "page_has_text_documents": lambda spark, d: document_pages(spark, d).select("book", "page_num", expr(sections.has_text("sections")).alias("has_text"), expr(f"size({sections.content('sections')})").cast("long").alias("n_content")),
+        "structure_summary_documents": lambda spark, d: structure.summary_json(structure.segments(sections.normalize(document_pages(spark, d)))),
+        "markdown_render_full_documents": lambda spark, d: render.assemble(document_pages(spark, d), "full")[1].select("book", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest")),
         "merge_within_page": lambda spark, d: section_rows(fixture_pages(spark).withColumn("sections", expr(sections.merge_within(sections.reflow_sections("sections"))))),
         "merge_within_page_documents": lambda spark, d: digest(section_rows(document_pages(spark, d).withColumn("sections", expr(sections.reflow_sections("sections"))).withColumn("sections", expr(sections.merge_within("sections"))))),
         "merge_cross_page": lambda spark, d: book_rows(sections.normalize(fixture_pages(spark))),
@@ -177,6 +190,11 @@ def oracle_sql() -> dict[str, str]:
         "prepare_sections": f"WITH {_fixture()}, rows AS (SELECT book, page_num, sec_idx AS idx, type, text FROM given), {O.prepared('rows')} {renumbered.format('text', 'ready')}",
         "page_has_text": f"""WITH {_fixture()} SELECT p.book, p.page_num, count(g.text) FILTER (g.type NOT IN ('header', 'page_number') AND trim(g.text) <> '') > 0 AS has_text,
             count(g.text) FILTER (g.type NOT IN ('header', 'page_number'))::BIGINT AS n_content FROM fixture_pages p LEFT JOIN given g USING (book, page_num) GROUP BY p.book, p.page_num""",
+        "prepare_sections_documents": f"WITH {O.DOCUMENT_SECTIONS}, rows AS (SELECT book, page_num, sec_idx AS idx, type, text FROM given), {O.prepared('rows')} {renumbered.format(hashed, 'ready')}",
+        "page_has_text_documents": f"""WITH {O.DOCUMENT_SECTIONS} SELECT p.book, p.page_num::INT AS page_num, count(g.text) FILTER (g.type NOT IN ('header', 'page_number') AND trim(g.text) <> '') > 0 AS has_text,
+            count(g.text) FILTER (g.type NOT IN ('header', 'page_number'))::BIGINT AS n_content FROM numbered p LEFT JOIN given g USING (book, page_num) GROUP BY p.book, p.page_num""",
+        "structure_summary_documents": _documents_oracle(f" {_SUMMARY}"),
+        "markdown_render_full_documents": f"SELECT book, length(markdown)::BIGINT AS chars, md5(markdown) AS digest FROM ({_documents_oracle(', ' + O.markdown(False, True))})",
         "merge_within_page": f"WITH {_fixture()}, {O.within()} {renumbered.format('text', 'inside')}",
         "merge_within_page_documents": f"WITH {O.DOCUMENT_SECTIONS}, {O.within()} {renumbered.format(hashed, 'inside')}",
         "merge_cross_page": f"WITH RECURSIVE {_fixture()}, {O.within()}, {O.across()} {renumbered.format('text', 'merged')}",
