@@ -22,6 +22,14 @@ def training_ids(labels: DataFrame, label: str, most: int = MOST_LABELLED) -> Da
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, value: str = "text") -> DataFrame:
+    """(value, label) of the training sample, one row an id: of the rows of a repeated id the one of the least hash."""
+    sample = training_ids(labels, label)
+    rows = documents.select("doc_id", value).join(F.broadcast(sample), "doc_id")
+    one = F.min_by(F.col(value), F.xxhash64(value)) if value == "text" else F.min(value)
+    return rows.groupBy("doc_id").agg(F.first("label").alias("label"), one.alias(value)).select(value, "label")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])

@@ -265,4 +265,5 @@ def store_and_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def op8_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(store_and_read, f"doc_id long, {STORED}")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents.mapInArrow(store_and_read, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {STORED}")

@@ -8,7 +8,7 @@ factors; the score is a logistic calibration of the Mahalanobis log-density
 difference.  The model is a few kilobytes whatever the corpus.
 
 Defined cases: null text is the empty text, and both are scored from the
-statistics of no words; repeated rows get equal scores; with no labels, or labels of one class,
+statistics of no words; repeated rows get equal scores, and of a labelled id's rows one trains; ids of any type; with no labels, or labels of one class,
 every score is the share of label 1 (0.5 without any); an empty table gives an
 empty result; labels, lang, source and doc_id are no inputs; other columns are ignored.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.labelled import logistic, sigmoid, training_ids
+from pagewright.llm.labelled import labelled_texts, logistic, sigmoid
 from pagewright.llm.shared import bound_batches, cut, fold, table
 
 NAMES = ("words", "word_length", "long_words", "upper", "digits", "signs", "stops", "bars", "bangs", "distinct",
@@ -124,8 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.2, diagonal: float = 0.1
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(statistics_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    sample = training_ids(table(spark, sf_dir, "labels"), "quality")
-    rows = stats.join(F.broadcast(sample), "doc_id").select("stats", "label").toPandas()
+    rows = labelled_texts(stats, table(spark, sf_dir, "labels"), "quality", "stats").toPandas()
     model = fit(np.array(rows["stats"].tolist(), float).reshape(len(rows), -1), rows["label"].to_numpy(int))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,5 +132,6 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double")
+    kind = stats.schema["doc_id"].dataType.simpleString()
+    scored = stats.mapInArrow(score, f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
