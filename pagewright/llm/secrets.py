@@ -8,11 +8,15 @@ Texts without any trigger of the rules passed enter the ledger as scanned withou
 moved; of the others one copy per task and blob is shuffled.
 
 Positions come from ``split`` and ``regexp_extract_all`` of the same pattern: the
-lengths of what stands between and of what matched add up to code point offsets.
+lengths of what stands between and of what matched, summed along a blob's matches,
+are code point offsets.  Work is linear in the matches of a text, redaction included.
+
+A blob that many paths share is joined in salted parts (shared.spread_join).
 
 Defined cases: null text is the empty text; a blob may have any number of paths,
-null ids and repeated rows included; spans of different rules may overlap and all
-are kept; an empty table gives an empty ledger; other columns are ignored.
+null ids and repeated rows included, and any number of ledger rows; spans of different
+rules may overlap and all are kept; an empty table gives an empty ledger; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagewright.llm.shared import table
+from pagewright.llm.shared import cut, spread_join, table
 
 
 class Rule(NamedTuple):
@@ -65,20 +70,17 @@ def triggered(rules: tuple[Rule, ...]) -> Column:
     return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.trigger})" for r in rules)), F.lit(False))
 
 
-def spans(text: str, rule: Rule, rank: int) -> Column:
-    """Findings of one rule in the column named ``text``: leftmost, non-overlapping, short ones dropped."""
+MATCHES = "array<struct<rank:int,i:int,gap:int,size:int,kind:string,ok:boolean>>"
+
+
+def lengths(text: str, rule: Rule, rank: int) -> Column:
+    """Matches of one rule in the column named ``text``, leftmost and non-overlapping: the gap before each, its size, and whether it is long enough."""
     pattern = _literal(rule.pattern)
     found = f"regexp_extract_all({text}, {pattern}, 0)"
     checked = f"regexp_extract_all({text}, {pattern}, {rule.group})"
     return F.expr(f"""
-        filter(aggregate(
-            arrays_zip(slice(split({text}, {pattern}, -1), 1, size({found})), {found}, {checked}),
-            struct(0 AS at, cast(array() AS array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>) AS out),
-            (a, m) -> struct(
-                a.at + length(m['0']) + length(m['1']) AS at,
-                concat(a.out, array(struct(a.at + length(m['0']) AS start, {rank} AS rank,
-                    a.at + length(m['0']) + length(m['1']) AS end, '{rule.kind}' AS kind, length(m['2']) >= {rule.least} AS ok))) AS out),
-            a -> a.out), f -> f.ok)""").cast(f"array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>")
+        transform(arrays_zip(slice(split({text}, {pattern}, -1), 1, size({found})), {found}, {checked}),
+            (m, i) -> struct({rank} AS rank, i AS i, length(m['0']) AS gap, length(m['1']) AS size, '{rule.kind}' AS kind, length(m['2']) >= {rule.least} AS ok))""").cast(MATCHES)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -92,11 +94,13 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         blobs = (blobs.join(seen, "blob", "left")
                  .withColumn("rules", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
                  .where(F.size("rules") > 0))
-    none = F.array().cast(f"array<{FINDING}>")
-    found = F.concat(*(
-        F.when(F.array_contains("rules", r.name), F.transform(spans("text", r, i), lambda f: F.struct(f["start"], f["rank"], f["end"], f["kind"])))
-        .otherwise(none) for i, r in enumerate(rules)))
-    return blobs.select("blob", "rules", F.when(F.col("text").isNull(), none).otherwise(F.array_sort(found)).alias("findings"))
+    none = F.array().cast(MATCHES)
+    matches = F.concat(*(F.when(F.array_contains("rules", r.name), lengths("text", r, i)).otherwise(none) for i, r in enumerate(rules)))
+    rows = blobs.select("blob", "rules", F.explode_outer(matches).alias("m")).select("blob", "rules", "m.*")
+    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    finding = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end", "kind")
+    return rows.withColumn("end", upto).groupBy("blob").agg(
+        F.max("rules").alias("rules"), F.array_sort(F.collect_list(F.when(F.col("ok"), finding))).cast(f"array<{FINDING}>").alias("findings"))
 
 
 def with_blob(documents: DataFrame) -> DataFrame:
@@ -105,22 +109,44 @@ def with_blob(documents: DataFrame) -> DataFrame:
 
 def findings_of(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     """``paths`` (with ``blob``) and the findings of their blobs, sorted by start and rule."""
-    of_blob = ledger.where(F.size("findings") > 0).select("blob", "findings")
+    of_blob = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
     none = F.array().cast(f"array<{FINDING}>")
-    return paths.join(of_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
+    return spread_join(paths, of_blob, "blob").withColumn("findings", F.coalesce("findings", none))
 
 
 def joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
-def redact(text: str = "text", findings: str = "findings", mark: str = "[SECRET]") -> Column:
-    """The text with every found span, overlapping ones as one, replaced by ``mark``."""
-    return F.expr(f"""
-        aggregate({findings}, struct(0 AS at, '' AS out),
-            (a, f) -> CASE WHEN f.start >= a.at THEN struct(f.end AS at, concat(a.out, substring({text}, a.at + 1, f.start - a.at), '{mark}') AS out)
-                           ELSE struct(greatest(a.at, f.end) AS at, a.out AS out) END,
-            a -> concat(a.out, substring({text}, a.at + 1)))""")
+#: Code points of the pieces that a text is cut into before spans are taken out of it.
+PIECE = 1024
+
+
+def cuts_of(ledger: DataFrame) -> DataFrame:
+    """(blob, cuts, after): what stays before each mark, as [from, to) code points, and where the rest begins."""
+    rows = ledger.where(F.size("findings") > 0).select("blob", F.posexplode("findings").alias("i", "f"))
+    before = F.coalesce(F.max("f.end").over(Window.partitionBy("blob").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut_ = F.when(F.col("f.start") >= F.col("before"), F.struct(F.col("before").alias("a"), F.col("f.start").alias("b")))
+    return rows.withColumn("before", before).groupBy("blob").agg(F.array_sort(F.collect_list(cut_)).alias("cuts"), F.max("f.end").alias("after"))
+
+
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points [a, b) of a text that is held in pieces."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(piece(first), a % PIECE + 1, b - a)).otherwise(
+        F.concat(F.substring(piece(first), a % PIECE + 1, F.lit(PIECE)), inner, F.substring(piece(last), F.lit(1), b % PIECE)))
+
+
+def redact(text: Column, cuts: Column, after: Column, mark: str = "[SECRET]") -> Column:
+    """What ``cuts`` and ``after`` (see cuts_of) keep of the text, with marks between; overlapping spans are one.
+
+    The text is held in pieces, so a span's place is not counted from the text's begin.
+    """
+    kept = F.concat(cuts, F.array(F.struct(after.alias("a"), F.length(text).alias("b"))))
+    held = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    return F.get(F.transform(held, lambda pieces: F.array_join(F.transform(kept, lambda c: _between(pieces, c["a"], c["b"])), mark)), 0)
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -131,14 +157,15 @@ def redacted(documents: DataFrame) -> DataFrame:
     suspect = triggered(RULES)
     # Rows travel as one column, whatever their names.
     suspects = with_blob(documents.where(suspect).select(F.struct("*").alias("row"), "text"))
-    found = findings_of(suspects, scan(suspects.select("blob", "text"))).withColumn("text", redact())
+    found = spread_join(suspects, cuts_of(scan(suspects.select("blob", "text"))), "blob")
+    found = found.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("cuts"), F.col("after"))))
 
     def column(name: str) -> Column:
         own = F.col(f"row.`{name}`")
         if name == "text":
             return F.col("text").alias(name)
         if name == "n_chars":
-            return F.when(F.size("findings") > 0, F.length("text").cast(documents.schema[name].dataType)).otherwise(own).alias(name)
+            return F.when(F.col("cuts").isNotNull(), F.length("text").cast(documents.schema[name].dataType)).otherwise(own).alias(name)
         return own.alias(name)
 
     return documents.where(~suspect).unionByName(found.select(*map(column, documents.columns)))
@@ -146,8 +173,7 @@ def redacted(documents: DataFrame) -> DataFrame:
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = with_blob(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ledger = scan(versions.select("blob", "text"))
-    found = findings_of(versions.select("doc_id", "blob"), ledger)
+    found = findings_of(cut(versions.select("doc_id", "blob")), scan(versions.select("blob", "text")))
     of_kind = lambda i: F.size(F.filter("findings", lambda f: f["rank"] == i)).cast("long")
     base = joined(F.filter("findings", lambda f: f["rank"] < BASE))
     return found.select(

@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Separators of words in the contracts: space and the five ASCII controls 0x09-0x0D.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is hot where it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 1024
+#: Parts that a hot key's rows are dealt to.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined with ``facts`` (one row a key); the rows of a hot key are dealt to SALTS parts by their hash.
+
+    Hot keys are counted over all rows; only their list, bounded by 1 / HOT_SHARE, is broadcast.
+    """
+    least = rows.count() * HOT_SHARE
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, 1)).select(key, F.lit(True).alias("_hot")))
+    plain = [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Keep the Arrow batches that go to Python workers small: by rows, and by bytes for long texts."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
