@@ -8,7 +8,11 @@ walked back down the saved jump tables, so no per-node path arrays are built.
 ``format_conversation`` renders one path with a template of control tokens and a
 loss mask; ``parse_conversation`` reads it back.
 
-Defined cases: a parent that does not exist makes its child a root; null or empty
+A node that many others point to, as the root of a flat tree, is joined in salted
+parts (shared.spread_join).  A formatted conversation is one row, so the turns of one
+path, and nothing else, meet in one task.
+
+Defined cases: null ids are one conversation, apart from any text; a parent that does not exist makes its child a root; null or empty
 texts are empty turns; null roles are empty roles; repeated rows are kept as
 separate turns; an empty table gives an empty result; a cycle of parents raises
 ValueError; other columns of the input are ignored.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.shared import bound_batches, cut, table
+from pagewright.llm.shared import bound_batches, spread_join, stored, table
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings that must not appear raw inside a text: ours and those of other public templates.
@@ -66,10 +70,10 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     Returns (tree, root, branch, node, depth): for each root its ``best`` branches
     by summed score, then length, then leaf id.  ``tree`` and ``node`` must not be null.
     """
-    nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = stored(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    state = cut(
-        nodes.join(known, ["tree", "parent"], "left").select(
+    state = stored(
+        spread_join(nodes, known, "tree", "parent").select(
             "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"))
         .select("*", F.coalesce("up", "node").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"))
     )
@@ -82,18 +86,18 @@ def reply_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"),
                              F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        moved = state.where("up is not null").join(above, ["tree", "up"]).select(
+        moved = spread_join(state.where("up is not null"), above, "tree", "up").select(
             "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"),
             F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"))
-        state = cut(moved.unionByName(state.where("up is null")))
+        state = stored(moved.unionByName(state.where("up is null")))
     ranked = Window.partitionBy("tree", "root").orderBy(F.desc("total"), F.desc("depth"), "node")
     reached = (state.join(parents, ["tree", "node"], "left_anti")
                .withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= best)
                .select("tree", "node", "branch"))
-    reached = cut(reached)
+    reached = stored(reached)
     for jump in reversed(jumps):
         higher = reached.join(jump, ["tree", "node"]).select("tree", F.col("up").alias("node"), "branch")
-        reached = cut(reached.unionByName(higher))
+        reached = stored(reached.unionByName(higher))
     return reached.join(state, ["tree", "node"]).select("tree", "root", "branch", "node", "depth")
 
 
@@ -122,7 +126,7 @@ def chain_nodes(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     return (conversations.select("conv_id", "turn", "role", "text")
             .withColumn("node", F.row_number().over(order).cast("long"))
-            .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("tree"), "conv_id", "node", "role", "text",
+            .select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("tree"), "conv_id", "node", "role", "text",
                     F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
                     F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score")))
 
@@ -165,3 +169,32 @@ FROM turns GROUP BY conv_id
 
 
 ORACLE = _oracle()
+
+
+def reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree, root, branch, n_nodes, path): the two best branches of each root of trees made of 16 conversations each."""
+    order = Window.partitionBy("tree").orderBy(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "text")
+    given = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").withColumn("tree", F.expr("cast(conv_id div 16 AS string)"))
+    n = F.col("node")
+    up = n - 1 - n * 7 % 3
+    nodes = given.withColumn("node", F.row_number().over(order).cast("long")).select(
+        "tree", "node", F.when((n % 11 != 1) & (up > 0), up).alias("parent"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score"))
+    path = F.array_sort(F.collect_list(F.struct("depth", "node")))
+    return reply_paths(nodes, best=2).groupBy("tree", "root", "branch").agg(F.count(F.lit(1)).alias("n_nodes"), path.alias("p")).select(
+        "tree", "root", F.col("branch").cast("long").alias("branch"), "n_nodes", F.array_join(F.transform("p", lambda x: x["node"].cast("string")), ">").alias("path"))
+
+
+BRANCHES_ORACLE = """
+WITH RECURSIVE numbered AS (
+  SELECT (conv_id // 16)::VARCHAR AS tree, length(coalesce(text, '')) AS score,
+    row_number() OVER (PARTITION BY conv_id // 16 ORDER BY conv_id, turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS node
+  FROM conversations WHERE conv_id IS NOT NULL),
+nodes AS (SELECT tree, node, score, CASE WHEN node % 11 <> 1 AND node - 1 - node * 7 % 3 > 0 THEN node - 1 - node * 7 % 3 END AS parent FROM numbered),
+walk AS (
+  SELECT tree, node, node AS root, score AS total, 1 AS n_nodes, node::VARCHAR AS path FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT c.tree, c.node, w.root, w.total + c.score, w.n_nodes + 1, w.path || '>' || c.node FROM walk w JOIN nodes c ON c.tree = w.tree AND c.parent = w.node),
+leaves AS (SELECT w.* FROM walk w WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.tree = w.tree AND c.parent = w.node)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree, root ORDER BY total DESC, n_nodes DESC, node) AS branch FROM leaves)
+SELECT tree, root::BIGINT AS root, branch::BIGINT AS branch, n_nodes::BIGINT AS n_nodes, path FROM ranked WHERE branch <= 2
+"""

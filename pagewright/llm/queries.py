@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "reply_branches": chat.reply_branches,
         "op8_media_matroska": matroska.op8_media_matroska,
         "op9_lm_scoring": ngram_lm.op9_lm_scoring,
         "op10_decontamination": decontamination.op10_decontamination,
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.ORACLE,
         "op4_secret_scans": secrets.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
+        "reply_branches": chat.BRANCHES_ORACLE,
         "op10_decontamination": decontamination.ORACLE,
     }

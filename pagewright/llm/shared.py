@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only in local mode with none configured."""
+    """The application's own folder in ``spark.checkpoint.dir``; one of ours only in local mode with none configured.
+
+    Its files go when the driver ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -29,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="pagewright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return context.getCheckpointDir()
 
 
@@ -38,25 +44,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder, for loops.
+
+    A checkpoint inherits its plan's size estimate, which a loop's joins square in every round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A key is hot where it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
+#: A key of fewer rows is never hot.
+LEAST_HOT = 500
 #: Parts that a hot key's rows are dealt to.
 SALTS = 64
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """``rows`` left joined with ``facts`` (one row a key); the rows of a hot key are dealt to SALTS parts by their hash.
 
     Hot keys are counted over all rows; only their list, bounded by 1 / HOT_SHARE, is broadcast.
     """
-    least = rows.count() * HOT_SHARE
-    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, 1)).select(key, F.lit(True).alias("_hot")))
+    keys = list(keys)
+    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
+    hot = stored(rows.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
     plain = [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
+    spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
