@@ -141,6 +141,19 @@ def reflow(x: str) -> str:
         ELSE array_join(filter(transform({chunks}, chunk -> {fold}), p -> p <> ''), {blank}) END"""
 
 
+def join_all(pieces: str) -> str:
+    """The pieces of one paragraph, none of them blank, as one line; like reflow, it looks at each piece once."""
+    lines = f"transform({pieces}, (t, i) -> CASE WHEN i = 0 THEN {rstrip('t')} WHEN i = size({pieces}) - 1 THEN {lstrip('t')} ELSE {strip('t')} END)"
+    begin = "named_struct('end', '', 'line', cast(NULL AS string), 'out', cast(array() AS array<string>))"
+    step = lambda end, piece: f"named_struct('end', right({end}, {TAIL}), 'line', t, 'out', concat(a.out, array({piece})))"
+    hangul = "a.end RLIKE '[가-힣]$' AND t RLIKE '^[가-힣]'"
+    return f"""aggregate({lines}, {begin}, (a, t) -> CASE
+        WHEN a.line IS NULL THEN named_struct('end', right(t, {TAIL}), 'line', t, 'out', a.out)
+        WHEN a.end LIKE '%-' AND t RLIKE {raw(r'^\p{L}')} THEN {step("concat(left(a.end, length(a.end) - 1), t)", "left(a.line, length(a.line) - 1)")}
+        WHEN {hangul} AND NOT {space_joiner('a.end')} OR a.end RLIKE '[A-Za-z]$' AND t RLIKE '^[a-z]' THEN {step("concat(a.end, t)", "a.line")}
+        ELSE {step("concat(a.end, ' ', t)", "concat(a.line, ' ')")} END, a -> array_join(concat(a.out, array(a.line)), ''))"""
+
+
 def chapter_marker(x: str) -> str:
     return f"({first_line(x)} RLIKE {raw(r'(?U)^\d+\s*장$')})"
 

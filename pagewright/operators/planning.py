@@ -150,18 +150,28 @@ def pages_to_run(jobs: DataFrame, ends: DataFrame, debug_most: int | None = None
 
 
 def valid_files(files: DataFrame) -> DataFrame:
-    """(.., valid) of (suffix, size, content, known_empty) rows for all but images, which ``images.png_valid`` decodes.
+    """(.., valid) of (suffix, size, content) rows for all but images, which ``images.png_valid`` decodes.
 
-    OCR JSON must be an object with a list of sections; page text must have bytes
-    unless its page is known to be empty; a PDF must have bytes.
+    OCR JSON must be an object with a list of sections; page text need only be there;
+    a PDF must have bytes.
     """
     page = "try_parse_json(content)"
     listed = f"coalesce(schema_of_variant({page}) LIKE 'OBJECT%', false) AND coalesce(schema_of_variant(try_variant_get({page}, '$.sections', 'variant')) LIKE 'ARRAY%', false)"
     return files.withColumn("valid", F.expr(f"""CASE WHEN suffix = '.ocr.json' THEN {listed}
-        WHEN suffix = '.txt' THEN size > 0 OR known_empty ELSE size > 0 END"""))
+        WHEN suffix = '.txt' THEN size >= 0 ELSE size > 0 END"""))
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """(book, percent): pages done, 99 at most until the job ends."""
-    done = events.groupBy("book").agg(F.sum(F.col("message").startswith("IMAGE_OK").cast("int")).alias("n"), F.max("total").alias("total"))
-    return done.select("book", F.least(F.lit(99), F.expr("100 * n div greatest(total, 1)").cast("int")).alias("percent"))
+    """(book, percent): one for each page that is done, 99 at most until the job ends."""
+    return events.groupBy("book").agg(F.least(F.lit(99), F.sum(F.col("message").startswith("IMAGE_OK").cast("int"))).cast("int").alias("percent"))
+
+
+def pdf_source(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """(book, pdf): the job's input PDF (input_pdf, blank or null for none) if that file exists, else the book's own (book_pdf), else null.
+
+    ``files`` (path) lists the files that exist.
+    """
+    there = lambda column: files.select(F.col("path").alias(column), F.lit(True).alias(f"{column}_there")).distinct()
+    asked = jobs.withColumn("input_pdf", F.nullif(F.trim("input_pdf"), F.lit("")))
+    found = asked.join(there("input_pdf"), "input_pdf", "left").join(there("book_pdf"), "book_pdf", "left")
+    return found.select("book", F.coalesce(F.when(F.col("input_pdf_there"), F.col("input_pdf")), F.when(F.col("book_pdf_there"), F.col("book_pdf"))).alias("pdf"))

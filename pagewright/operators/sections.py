@@ -3,11 +3,14 @@
 Pages are rows (book, page_num, sections array<struct<type,text>>).  What concerns one
 page is a fold over its own array and needs no shuffle.  Merging across pages needs
 one ordered pass over a book; a book has at most 10,000 pages, so its pages are
-gathered in one row and folded, many books in parallel.
+gathered in one row and folded, many books in parallel.  All folds are linear in
+sections and pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,22 @@ def merges(a: str, b: str) -> str:
     return f"({a}.type = 'body' AND {b}.type = 'body' AND NOT {T.paragraph_ends(a + '.text')} AND NOT {T.new_paragraph(b + '.text')})"
 
 
-def joined(a: str, b: str) -> str:
-    return f"named_struct('type', 'body', 'text', {T.join_lines(a + '.text', b + '.text')})"
+def runs(items: str, begins: Callable[[str], str], build: Callable[[str], str], kind: str) -> str:
+    """SQL for the runs of an array, each turned into one value: a run starts where ``begins`` holds of ``xs`` and place ``i``.
+
+    Every item is looked at once, so work is linear; each array is bound to a name by a
+    transform over a single element, so none is computed twice.
+    """
+    bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    run = bound("slice(xs, b + 1, coalesce(get(st, k + 1), size(xs)) - b)", "x", build("x"))
+    starts = f"filter(sequence(0, size(xs) - 1), i -> i = 0 OR {begins('i')})"
+    return bound(items, "xs", f"CASE WHEN size(xs) < 1 THEN cast(array() AS array<{kind}>) ELSE {bound(starts, 'st', f'transform(st, (b, k) -> {run})')} END")
+
+
+def one_section(run: str) -> str:
+    """A run of sections as one: a paragraph joined of its bodies, or the only section as it is."""
+    return f"""CASE WHEN size({run}) = 1 THEN named_struct('type', {run}[0].type, 'text', {run}[0].text)
+        ELSE named_struct('type', 'body', 'text', {T.join_all(f'transform({run}, s -> s.text)')}) END"""
 
 
 def reflow_sections(sections: str) -> str:
@@ -41,11 +58,11 @@ def reflow_sections(sections: str) -> str:
 
 
 def merge_within(sections: str) -> str:
-    """Runs of body sections that one paragraph was split into, joined."""
-    last = "element_at(acc, -1)"
-    return f"""aggregate({sections}, cast(array() AS {SECTIONS}), (acc, s) ->
-        CASE WHEN size(acc) > 0 AND {merges(last, 's')} THEN concat(slice(acc, 1, size(acc) - 1), array({joined(last, 's')}))
-             ELSE concat(acc, array(s)) END)"""
+    """Runs of body sections that one paragraph was split into, joined.
+
+    A joined text ends as its last piece does, so each break is decided from two neighbours.
+    """
+    return runs(sections, lambda i: f"NOT coalesce({merges(f'get(xs, {i} - 1)', f'get(xs, {i})')}, false)", one_section, SECTION)
 
 
 def prepare(sections: str) -> str:
@@ -71,9 +88,6 @@ def prepare(sections: str) -> str:
         ELSE {here} END), s -> s IS NOT NULL)"""
 
 
-PAGES = f"array<struct<page_num:int,sections:{SECTIONS}>>"
-
-
 def merge_across(pages: DataFrame) -> DataFrame:
     """(book, pages) with paragraphs that a page break split joined onto the earlier page.
 
@@ -81,19 +95,21 @@ def merge_across(pages: DataFrame) -> DataFrame:
     without content goes; any other page stays as it is, running heads included, and a
     running head at its end keeps the next page's text from being pulled back.
     """
-    last = "element_at(acc, -1)"
-    tail = "element_at(element_at(acc, -1).sections, -1)"
-    body = content("p.sections")
-    page = lambda number, sections: f"named_struct('page_num', {number}, 'sections', {sections})"
-    pulled = page(f"{last}.page_num", f"concat(slice({last}.sections, 1, size({last}.sections) - 1), array({joined(tail, f'{body}[0]')}))")
-    rest = f"slice({body}, 2, size({body}))"
-    fold = f"""aggregate(pages, cast(array() AS {PAGES}), (acc, p) -> CASE
-        WHEN size({body}) = 0 THEN acc
-        WHEN size(acc) > 0 AND {merges(tail, f'{body}[0]')} THEN
-            concat(slice(acc, 1, size(acc) - 1), array({pulled}),
-                   CASE WHEN size({body}) = 1 THEN cast(array() AS {PAGES}) ELSE array({page('p.page_num', rest)}) END)
-        ELSE concat(acc, array(p)) END)"""
-    return gather(pages).withColumn("pages", F.expr(fold))
+    kept = f"filter(transform(pages, p -> named_struct('page_num', p.page_num, 'sections', p.sections, 'body', {content('p.sections')})), p -> size(p.body) > 0)"
+    # One bit a page: whether its first content section is pulled back.
+    bit = f"coalesce({merges('a.tail', 'p.body[0]')}, false)"
+    pulled = f"""aggregate(kept, named_struct('tail', cast(NULL AS {SECTION}), 'out', cast(array() AS array<boolean>)), (a, p) ->
+        element_at(transform(array({bit}), m -> named_struct('tail', element_at(CASE WHEN m THEN p.body ELSE p.sections END, -1), 'out', concat(a.out, array(m)))), 1), a -> a.out)"""
+    flat = """flatten(transform(kept, (p, n) -> transform(CASE WHEN get(pulled, n) THEN p.body ELSE p.sections END, (s, j) ->
+        named_struct('place', n, 'page_num', p.page_num, 'type', s.type, 'text', s.text, 'joins', get(pulled, n) AND j = 0))))"""
+    owned = runs("flat", lambda i: f"NOT get(xs, {i}).joins", lambda x: f"named_struct('place', {x}[0].place, 'page_num', {x}[0].page_num, 'section', {one_section(x)})",
+                 f"struct<place:int,page_num:int,section:{SECTION}>")
+    paged = runs("owned", lambda i: f"get(xs, {i}).place <> get(xs, {i} - 1).place", lambda x: f"named_struct('page_num', {x}[0].page_num, 'sections', transform({x}, s -> s.section))",
+                 "struct<page_num:int,sections:" + SECTIONS + ">")
+    steps = gather(pages)
+    for name, sql in (("kept", kept), ("pulled", pulled), ("flat", flat), ("owned", owned), ("pages", paged)):
+        steps = steps.withColumn(name, F.expr(sql))
+    return steps.select("book", "pages")
 
 
 def gather(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ OUTPUT_MODES = ("images", "pdf", "text")
 BACKENDS = ("printwindow", "screen")
 KEY_DELIVERIES = ("auto", "sendinput", "postmessage", "postmessage_top", "pyautogui")
 MOST_TRIM = 0.45
+RECT = ("left", "top", "width", "height")
 # A config's scalar fields with their types and defaults.
 DEFAULTS = {
     "n_pages": ("int", 1), "start_page": ("int", 1), "capture_mode": ("string", "manual"), "target_window_title": ("string", ""),
@@ -44,11 +45,23 @@ RATIOS = ("start_focus_x_ratio", "start_focus_y_ratio", "reader_focus_x_ratio",
 TRIMS = ("trim_left", "trim_right", "trim_top", "trim_bottom", "trim_fill_top", "trim_fill_bottom")
 
 
+def trim_faults(prefix: str = "") -> list[tuple[Column, str]]:
+    """Rules for the six trims: each in its range, and not all of a side."""
+    c = lambda n: F.coalesce(F.col(prefix + n), F.lit(0.0))
+    return [*((~c(n).between(0.0, MOST_TRIM), n) for n in TRIMS), (c("trim_left") + c("trim_right") >= 1.0, "trim width"),
+            (c("trim_top") + c("trim_fill_top") + c("trim_bottom") + c("trim_fill_bottom") >= 1.0, "trim height")]
+
+
 def overlay(configs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each config's columns replaced by its profile's where that has a value; clicks 0-5, ratios 0-1."""
+    """Each config's columns replaced by its profile's where that has a value; clicks 0-5, ratios 0-1.
+
+    Key deliveries and trims of a profile that is used are validated: a wrong one raises.
+    """
     own = [c for c in configs.columns if c != "reader_profile"]
     known = set(profiles.columns)
     joined = configs.alias("c").join(profiles.alias("p"), F.col("c.reader_profile") == F.col("p.name"), "left")
+    faults = trim_faults("p.") if set(TRIMS) <= known else []
+    wrong = F.concat_ws(", ", *(F.when(rule, F.lit(name)) for rule, name in faults)) if faults else F.lit("")
 
     def value(name: str) -> Column:
         if name not in known or name == "name":
@@ -58,6 +71,10 @@ def overlay(configs: DataFrame, profiles: DataFrame) -> DataFrame:
             given = F.least(F.greatest(given, F.lit(0)), F.lit(5))
         elif name in RATIOS:
             given = F.least(F.greatest(given, F.lit(0.0)), F.lit(1.0))
+        elif name == "key_delivery":
+            given = normalized(given, KEY_DELIVERIES, "auto")
+        elif name in TRIMS and faults:
+            given = F.when(wrong == "", given).otherwise(F.raise_error(F.concat(F.lit("profile trims out of range: "), wrong)))
         return F.when(F.col(f"p.{name}").isNotNull(), given).otherwise(F.col(f"c.{name}"))
 
     return joined.select("c.reader_profile", *(value(n).alias(n) for n in own))
@@ -80,15 +97,51 @@ def builtin_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in ({k: r[k] for k in rows[0]} for r in rows)], schema)
 
 
+def set_fields(files: DataFrame) -> DataFrame:
+    """(config, ...) of (config, value) JSON rows: what each file sets itself, null elsewhere; trims nested or flat."""
+    v = files.withColumn("v", F.expr("try_parse_json(value)"))
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    trims = [F.coalesce(get(f"pdf_trim.{n[5:]}", "double"),
+                        F.when(F.expr("schema_of_variant(variant_get(v, '$.pdf_trim', 'variant')) LIKE 'OBJECT%'"), F.lit(0.0)).otherwise(get(f"pdf_{n}", "double"))).alias(n) for n in TRIMS]
+    return v.select("config", *(get(name, kind).alias(name) for name, (kind, _) in DEFAULTS.items()),
+                    *(get(f"rect.{n}", "int").alias(f"rect_{n}") for n in RECT), *trims)
+
+
+def with_defaults(fields: DataFrame) -> DataFrame:
+    """Every field or its default."""
+    filled = {n: F.coalesce(n, F.lit(d).cast(k)) for n, (k, d) in DEFAULTS.items()} | {f"rect_{n}": F.coalesce(f"rect_{n}", F.lit(0)) for n in RECT} | {n: F.coalesce(n, F.lit(0.0)) for n in TRIMS}
+    return fields.withColumns({n: c for n, c in filled.items() if n in fields.columns})
+
+
 def configs(files: DataFrame) -> DataFrame:
     """(config, ...) of (config, value) JSON rows: every field or its default, the rectangle, and trims nested or flat."""
-    v = files.withColumn("v", F.expr("try_parse_json(value)"))
-    get = lambda path, kind, default: F.coalesce(F.expr(f"try_variant_get(v, '$.{path}', '{kind}')"), F.lit(default).cast(kind))
-    trims = [F.coalesce(F.expr(f"try_variant_get(v, '$.pdf_trim.{n[5:]}', 'double')"),
-                        F.when(F.expr("schema_of_variant(variant_get(v, '$.pdf_trim', 'variant')) LIKE 'OBJECT%'"), F.lit(0.0))
-                        .otherwise(get(f"pdf_{n}", "double", 0.0))).alias(n) for n in TRIMS]
-    return v.select("config", *(get(name, kind, default).alias(name) for name, (kind, default) in DEFAULTS.items()),
-                    *(get(f"rect.{n}", "int", 0).alias(f"rect_{n}") for n in ("left", "top", "width", "height")), *trims)
+    return with_defaults(set_fields(files))
+
+
+def resolve(files: DataFrame, arguments: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Configs from files (config, value), command lines (config, fields that are set, else null) and profiles by name.
+
+    The command line wins over the profile, the profile over the file, the file over the
+    defaults; the profile is that of the command line, else of the file.  A rectangle
+    counts only when all four of its numbers are given.
+    """
+    fields = with_defaults(set_fields(files)).alias("f").join(arguments.alias("a"), "config", "left")
+    given = set(arguments.columns) - {"config"}
+    profile = F.coalesce(F.nullif(F.col("a.reader_profile"), F.lit("")), F.col("f.reader_profile")) if "reader_profile" in given else F.col("f.reader_profile")
+    names = [n for n in (*DEFAULTS, *(f"rect_{n}" for n in RECT), *TRIMS) if n != "reader_profile"]
+    layered = overlay(fields.select("config", profile.alias("reader_profile"), *(F.col(f"f.{n}").alias(n) for n in names)), profiles)
+    whole = F.lit(True)
+    for n in RECT:
+        whole &= F.col(f"a.rect_{n}").isNotNull() if f"rect_{n}" in given else F.lit(False)
+    asked = lambda n: F.when(whole, F.col(f"a.{n}")) if n.startswith("rect_") else F.col(f"a.{n}")
+    top = layered.alias("l").join(arguments.alias("a"), "config", "left")
+    return top.select("config", "l.reader_profile", *(precedence(asked(n), F.col(f"l.{n}")).alias(n) if n in given else F.col(f"l.{n}") for n in names))
+
+
+def can_screen_capture(mode: str = "capture_mode", title: str = "target_window_title") -> Column:
+    """A manual capture needs a rectangle with a size, any other a window title that is not blank."""
+    return F.when(F.col(mode) == "manual", (F.col("rect_width") >= 1) & (F.col("rect_height") >= 1)).otherwise(
+        F.regexp_replace(title, r"(?U)\s+", "") != "")
 
 
 def precedence(*layers: Column) -> Column:
@@ -104,20 +157,26 @@ def normalized(value: Column, known: tuple[str, ...], default: str = "") -> Colu
 
 
 def violations(configs: DataFrame) -> DataFrame:
-    """(.., violations): every rule that a config breaks, in order."""
+    """(.., violations): every rule that a config breaks, in order.
+
+    A PDF as input (pdf_pages > 0) or skip_capture means that nothing is captured, and
+    rules of capturing don't hold then; key deliveries are compared trimmed and lower-cased.
+    """
     c = F.col
+    captures = (c("pdf_pages") == 0) & ~c("skip_capture")
+    window = captures & (c("capture_mode") != "manual")
     rules = [
         (~c("capture_mode").isin(*CAPTURE_MODES), "capture_mode"), (~c("n_pages").between(1, 10000), "n_pages"),
         (~c("start_page").between(1, 999999), "start_page"), (~c("assemble_style").isin(*STYLES), "assemble_style"),
-        (~c("force_phase").isin(*FORCE_PHASES), "force_phase"),
         ((c("pdf_pages") > 0) & (c("start_page") > c("pdf_pages")), "start_page beyond pdf"),
         ((c("pdf_pages") > 0) & (c("start_page") + c("n_pages") - 1 > c("pdf_pages")), "pages beyond pdf"),
-        ((c("pdf_pages") == 0) & (c("capture_mode") == "manual") & ((c("rect_width") < 1) | (c("rect_height") < 1)), "rect"),
-        ((c("pdf_pages") == 0) & (c("capture_mode") != "manual") & (F.trim("window_title") == ""), "window_title"),
+        (captures & (c("capture_mode") == "manual") & ((c("rect_width") < 1) | (c("rect_height") < 1)), "rect"),
+        (window & (F.trim("window_title") == ""), "window_title"),
+        (window & ~c("window_capture_backend").isin(*BACKENDS), "window_capture_backend"),
+        (~c("base_dir").rlike(r"^(/|[A-Za-z]:|\\\\)"), "base_dir"), (~c("force_phase").isin(*FORCE_PHASES), "force_phase"),
         *((~c(n).between(0, 5), n) for n in CLICKS), *((~c(n).between(0.0, 1.0), n) for n in RATIOS),
-        (~c("settle_sec").between(0.0, 10.0), "settle_sec"), *((~c(n).between(0.0, MOST_TRIM), n) for n in TRIMS),
-        (c("trim_left") + c("trim_right") >= 1.0, "trim width"),
-        (c("trim_top") + c("trim_fill_top") + c("trim_bottom") + c("trim_fill_bottom") >= 1.0, "trim height"),
+        (~c("settle_sec").between(0.0, 10.0), "settle_sec"), *trim_faults(),
+        (~F.lower(F.trim("key_delivery")).isin("", *KEY_DELIVERIES), "key_delivery"),
     ]
     return configs.withColumn("violations", F.array_compact(F.array(*(F.when(rule, F.lit(name)) for rule, name in rules))))
 
@@ -157,9 +216,14 @@ def mostly_black(means: DataFrame, limit: float = 14.0) -> DataFrame:
     return means.select("image", ((F.col("r") + F.col("g") + F.col("b")) / 3 < limit).alias("black"))
 
 
+def casefold(x: Column) -> Column:
+    """Case folded as by upper and then lower case, so a sharp s is two."""
+    return F.lower(F.upper(x))
+
+
 def titles_like(windows: DataFrame, needle: str) -> DataFrame:
     """Windows whose title contains ``needle`` in either case."""
-    return windows.where(F.contains(F.lower("title"), F.lower(F.lit(needle))))
+    return windows.where(F.contains(casefold(F.col("title")), casefold(F.lit(needle))))
 
 
 def distinct_titles(windows: DataFrame) -> DataFrame:
@@ -169,7 +233,7 @@ def distinct_titles(windows: DataFrame) -> DataFrame:
 def pick_window(windows: DataFrame) -> DataFrame:
     """(query, hwnd) of (query, hwnd, title, foreground, ord): foreground, else the exact title, else the first."""
     rank = F.struct((~F.col("foreground")).alias("a"), (F.col("title") != F.col("query")).alias("b"), F.col("ord").alias("c"))
-    return windows.where(F.contains(F.lower("title"), F.lower("query"))).groupBy("query").agg(F.min_by("hwnd", rank).alias("hwnd"))
+    return windows.where(F.contains(casefold(F.col("title")), casefold(F.col("query")))).groupBy("query").agg(F.min_by("hwnd", rank).alias("hwnd"))
 
 
 def largest_child(children: DataFrame) -> DataFrame:

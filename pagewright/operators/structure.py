@@ -110,6 +110,13 @@ def block_counts(parts: DataFrame) -> DataFrame:
     return parts.select("book", "seg", "kind", F.size("blocks").alias("block_count"))
 
 
+def assembly_counts(pages: DataFrame, parts: DataFrame) -> DataFrame:
+    """(book, n_loaded, n_chapters, first_page, last_page): pages that came in, segments of any kind, and their range."""
+    loaded = pages.groupBy("book").agg(F.count(F.lit(1)).alias("n_loaded"))
+    made = parts.groupBy("book").agg(F.count(F.lit(1)).alias("n_chapters"), F.min_by("start_page", "seg").alias("first_page"), F.max_by("end_page", "seg").alias("last_page"))
+    return loaded.join(made, "book", "left").withColumn("n_chapters", F.coalesce("n_chapters", F.lit(0)))
+
+
 def summary_json(parts: DataFrame) -> DataFrame:
     """(book, structure): title, page range and chapters as JSON."""
     chapter = F.struct("seg", "heading", "slug", "kind", "start_page", "end_page", F.size("blocks").alias("block_count"))

@@ -55,10 +55,26 @@ def reflow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("flowed").cast("long").alias("chars"), F.md5("flowed").alias("digest"))
 
 
-def repeat_runs_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books ended by three equal documents in a row; a page's digest is that of its whole text."""
+def repeat_runs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, n_pages, last_page): every book of documents, and where repeats of a whole text end it, if they do."""
     docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
-    return planning.truncate_repeats(P.pages_of_documents(docs, kept=("digest",)).select("book", "page_num", "digest"))
+    captures = P.pages_of_documents(docs, kept=("digest",)).select("book", "page_num", "digest")
+    counts = captures.groupBy("book").agg(F.count(F.lit(1)).alias("n_pages"))
+    return counts.join(planning.truncate_repeats(captures), "book", "left")
+
+
+def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = pages(spark, sf_dir)
+        return structure.assembly_counts(given, structure.segments(sections.normalize(given)))
+
+    return run
+
+
+def config_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arguments = spark.sql(X.ARGUMENTS)
+    found = settings.resolve(spark.sql(X.CONFIG_FILES), arguments, settings.builtin_profiles(spark))
+    return found.select("config", "reader_profile", "n_pages", "next_key", "delay_sec", "capture_mode", "rect_left", "rect_height", "trim_top", "trim_bottom")
 
 
 def lines_with(columns: Callable[[str], dict[str, str]]) -> Query:
@@ -147,8 +163,16 @@ def queries() -> dict[str, Query]:
         "valid_files": lambda spark, d: planning.valid_files(spark.sql(X.FILES)).select("file_id", "valid"),
         "last_status": lambda spark, d: planning.last_status(spark.sql(X.STATE)),
         "repeat_runs_truncate": lambda spark, d: planning.truncate_repeats(spark.sql(X.CAPTURES)),
-        "repeat_runs_documents": lambda spark, d: planning.truncate_repeats(P.pages_of_documents(table(spark, d, "documents").withColumn("text", F.substring("text", 1, 1))).select("book", "page_num", F.sha1(expr("coalesce(get(sections, 0).text, '')").cast("binary")).alias("digest"))),
-        "repeat_runs_whole_documents": repeat_runs_whole_documents,
+        "repeat_runs_documents": repeat_runs_documents,
+        "assembly_counts": assembly_counts_of(lambda spark, d: fixture_pages(spark)),
+        "assembly_counts_documents": assembly_counts_of(document_pages),
+        "can_screen_capture": lambda spark, d: spark.sql(X.RULES).select("config", settings.can_screen_capture(title="window_title").alias("can_capture")),
+        "pdf_source": lambda spark, d: planning.pdf_source(spark.sql(X.PDF_JOBS), spark.sql(X.PDF_FILES)),
+        "config_resolved": config_resolved,
+        "job_facts": lambda spark, d: P.job_facts(spark.sql(X.STATE_FILES)),
+        "job_errors": lambda spark, d: P.job_errors(spark.sql(X.STATE_FILES)),
+        "page_marks": lambda spark, d: P.page_marks(spark.sql(X.STATE_FILES)),
+        "pages_to_run_debug": lambda spark, d: planning.pages_to_run(spark.sql(X.JOBS), spark.sql("SELECT 'img_new' AS book, 2 AS last_page"), debug_most=4),
         "kept_captures": lambda spark, d: planning.kept_captures(spark.sql(X.CAPTURES)),
         "pages_to_run": lambda spark, d: planning.pages_to_run(spark.sql(X.JOBS), spark.sql("SELECT 'img_new' AS book, 2 AS last_page")),
         "job_progress": lambda spark, d: planning.progress(spark.sql(X.EVENTS)),
@@ -167,7 +191,7 @@ def queries() -> dict[str, Query]:
         "window_titles": lambda spark, d: settings.distinct_titles(settings.titles_like(spark.sql(X.WINDOWS), "WEB")),
         "largest_child": lambda spark, d: settings.largest_child(spark.sql(X.CHILDREN)),
         "language_lookup": lambda spark, d: P.language_code(spark.sql(X.NAMES), spark.sql(X.LANGUAGES)),
-        "prompt_resolved": lambda spark, d: spark.sql(X.PROMPTS).select("prompt_id", expr(P.prompt()).alias("prompt")),
+        "prompt_resolved": lambda spark, d: spark.sql(X.PROMPTS).join(spark.sql(X.PROMPT_FILES), "prompt_id").select("prompt_id", expr(P.prompt()).alias("prompt")),
         "page_names": lambda spark, d: planning.expected_pages(spark.sql(X.JOBS)).select("book", "page_num", expr(P.page_name("book")).alias("file_name")),
     }
     return found
@@ -237,18 +261,32 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, resume AND valid AND force_phase <> 'all' AND force_phase <> phase AS skip FROM j)
             SELECT book, phase, page_num, skip, skip AND coalesce(status, '') <> 'done' AS adopted FROM k""",
         "valid_files": f"""SELECT file_id, CASE WHEN suffix = '.ocr.json' THEN CASE WHEN json_valid(content) THEN coalesce(json_type(content) = 'OBJECT' AND json_type(content, '$.sections') = 'ARRAY', false) ELSE false END
-            WHEN suffix = '.txt' THEN size > 0 OR known_empty ELSE size > 0 END AS valid FROM ({X.FILES})""",
+            WHEN suffix = '.txt' THEN true ELSE size > 0 END AS valid FROM ({X.FILES})""",
         "last_status": f"SELECT book, phase, page_num, arg_max(status, seq) AS status FROM ({X.STATE}) GROUP BY ALL",
         "repeat_runs_truncate": f"""WITH c AS ({X.CAPTURES}) SELECT book, min(page_num)::INT AS last_page FROM c WHERE EXISTS (SELECT 1 FROM c d WHERE d.book = c.book AND d.page_num = c.page_num + 1 AND d.digest = c.digest)
             AND EXISTS (SELECT 1 FROM c d WHERE d.book = c.book AND d.page_num = c.page_num + 2 AND d.digest = c.digest) GROUP BY book""",
-        "repeat_runs_documents": """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, trim(left(text, 1)) AS x FROM documents)
-            SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.x = c.x JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.x = c.x GROUP BY c.book""",
-        "repeat_runs_whole_documents": """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, coalesce(text, '') AS x FROM documents)
-            SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.x = c.x JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.x = c.x GROUP BY c.book""",
+        "repeat_runs_documents": """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, coalesce(text, '') AS x FROM documents),
+            e AS (SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.x = c.x JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.x = c.x GROUP BY c.book)
+            SELECT book, count(*)::BIGINT AS n_pages, any_value(last_page)::INT AS last_page FROM c LEFT JOIN e USING (book) GROUP BY book""",
+        "assembly_counts": _structure_oracle(""", loaded AS (SELECT book, count(*) AS n FROM fixture_pages GROUP BY book)
+            SELECT l.book, any_value(n)::BIGINT AS n_loaded, count(p.seg)::BIGINT AS n_chapters, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM loaded l LEFT JOIN parts p USING (book) GROUP BY l.book"""),
+        "assembly_counts_documents": _documents_oracle(""", loaded AS (SELECT book, count(*) AS n FROM numbered GROUP BY book)
+            SELECT l.book, any_value(n)::BIGINT AS n_loaded, count(p.seg)::BIGINT AS n_chapters, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM loaded l LEFT JOIN parts p USING (book) GROUP BY l.book"""),
+        "can_screen_capture": f"SELECT config, CASE capture_mode WHEN 'manual' THEN least(rect_width, rect_height) >= 1 ELSE length(trim(window_title)) > 0 END AS can_capture FROM ({X.RULES})",
+        "pdf_source": f"""WITH j AS ({X.PDF_JOBS}), f AS ({X.PDF_FILES}) SELECT book, CASE WHEN trim(coalesce(input_pdf, '')) <> '' AND trim(input_pdf) IN (SELECT path FROM f) THEN trim(input_pdf)
+            WHEN book_pdf IN (SELECT path FROM f) THEN book_pdf END AS pdf FROM j""",
+        "config_resolved": X.values([("empty", "kindle_app", 3, "right", 2.0, "screen_left_third", 0, 0, 0.035, 0.0), ("flat", "", 7, "space", 1.0, "manual", 1, 4, 0.1, 0.0),
+            ("nested", "", 1, "pagedown", 0.25, "manual", 0, 0, 0.0, 0.2)], "config, reader_profile, n_pages, next_key, delay_sec, capture_mode, rect_left, rect_height, trim_top, trim_bottom"),
+        "job_facts": f"""WITH s AS (SELECT book, CASE WHEN json_valid(value) THEN value END::JSON AS j FROM ({X.STATE_FILES}))
+            SELECT book, (j->>'$.start_page')::INT AS start_page, (j->>'$.n_pages')::INT AS n_pages, (j->>'$.end_of_book_last_page')::INT AS last_page, j->>'$.outputs.final_pdf' AS final_pdf,
+              j->>'$.outputs.combined_txt' AS combined_txt, coalesce(json_array_length(j, '$.errors'), 0)::INT AS n_errors FROM s""",
+        "job_errors": X.values([("kept", 0, "ocr", 4, "no reply"), ("kept", 1, "ocr", 5, "again")], "book, ord, phase, page_num, error"),
+        "page_marks": X.values([("kept", "capture", 3, "done", "/t/3.png", None), ("kept", "capture", None, "done", None, None), ("kept", "ocr", 4, "failed", None, "no reply")], "book, phase, page_num, status, path, error"),
+        "pages_to_run_debug": f"SELECT book, least(4, CASE WHEN book = 'img_new' THEN 2 ELSE n_pages END)::INT AS n_run FROM ({X.JOBS})",
         "kept_captures": f"""WITH c AS ({X.CAPTURES}), ends AS (SELECT 'aaa' AS book, 1 AS last_page UNION ALL SELECT 'aabbb', 3 UNION ALL SELECT 'late', 5)
             SELECT c.* FROM c LEFT JOIN ends USING (book) WHERE last_page IS NULL OR page_num <= last_page""",
         "pages_to_run": f"SELECT book, CASE WHEN book = 'img_new' THEN 2 ELSE n_pages END::INT AS n_run FROM ({X.JOBS})",
-        "job_progress": f"SELECT book, least(99, 100 * count(*) FILTER (message LIKE 'IMAGE_OK%') // max(total))::INT AS percent FROM ({X.EVENTS}) GROUP BY book",
+        "job_progress": f"SELECT book, least(99, count(*) FILTER (starts_with(message, 'IMAGE_OK')))::INT AS percent FROM ({X.EVENTS}) GROUP BY book",
         "profile_overlay": f"""SELECT reader_profile, config, coalesce(p.capture_mode, c.capture_mode) AS capture_mode, coalesce(p.delay_sec, c.delay_sec) AS delay_sec,
             CASE WHEN p.reader_focus_clicks IS NULL THEN c.reader_focus_clicks ELSE least(greatest(p.reader_focus_clicks, 0), 5) END::INT AS reader_focus_clicks,
             CASE WHEN p.reader_focus_x_ratio IS NULL THEN c.reader_focus_x_ratio ELSE least(greatest(p.reader_focus_x_ratio, 0), 1) END AS reader_focus_x_ratio, coalesce(p.next_key, c.next_key) AS next_key
@@ -265,7 +303,8 @@ def oracle_sql() -> dict[str, str]:
             "config, reader_profile, delay_sec, next_key, reader_focus_clicks, trim_top, trim_bottom, target_window_title"),
         "config_precedence": f"SELECT layer_id, coalesce(cli, profile, file, 'default') AS value FROM ({X.LAYERS})",
         "config_violations": X.values([
-            ("ok", ""), ("bad", "capture_mode,n_pages,start_page,assemble_style,force_phase,window_title,reader_focus_clicks,start_focus_clicks,start_focus_x_ratio,start_focus_y_ratio,settle_sec,trim_left"),
+            ("ok", ""), ("skip", ""),
+            ("bad", "capture_mode,n_pages,start_page,assemble_style,window_title,window_capture_backend,base_dir,force_phase,reader_focus_clicks,start_focus_clicks,start_focus_x_ratio,start_focus_y_ratio,settle_sec,trim_left,key_delivery"),
             ("pdf", "pages beyond pdf,trim height"), ("past", "start_page beyond pdf,pages beyond pdf"), ("rect", "rect"), ("title", "n_pages,window_title")], "config, violations"),
         "enum_normalized": f"SELECT mode_id, coalesce(nullif(lower(trim(mode)), ''), 'pdf') AS mode FROM ({X.MODES})",
         "rect_thirds": f"""SELECT rect_id, CASE WHEN capture_mode = 'window_right_third' THEN x + 2 * greatest(1, width // 3) ELSE x END::INT AS rect_left, y AS rect_top,
@@ -280,7 +319,8 @@ def oracle_sql() -> dict[str, str]:
         "window_titles": f"SELECT DISTINCT title FROM ({X.WINDOWS}) WHERE lower(title) LIKE '%web%'",
         "largest_child": f"SELECT parent, arg_max(hwnd, width * height * 1000 - ord)::INT AS hwnd FROM ({X.CHILDREN}) GROUP BY parent",
         "language_lookup": f"SELECT n.lang, (SELECT arg_min(code, ord) FROM ({X.LANGUAGES}) l WHERE l.lang = n.lang) AS code FROM ({X.NAMES}) n",
-        "prompt_resolved": f"""SELECT prompt_id, replace(replace(coalesce(nullif(trim(inline), ''), file_text, bundled, {T.literal(P.FALLBACK_PROMPT)}), '{{lang_hint}}', lang_hint), '{{page_num}}', page_num::VARCHAR) AS prompt FROM ({X.PROMPTS})""",
+        "prompt_resolved": f"""SELECT prompt_id, replace(replace(CASE WHEN trim(coalesce(inline, '')) <> '' THEN trim(inline) WHEN trim(prompt_file) = '' THEN coalesce(bundled, {T.literal(P.FALLBACK_PROMPT)})
+            ELSE coalesce(file_text, {T.literal(P.FALLBACK_PROMPT)}) END, '{{lang_hint}}', lang_hint), '{{page_num}}', page_num::VARCHAR) AS prompt FROM ({X.PROMPTS}) JOIN ({X.PROMPT_FILES}) USING (prompt_id)""",
         "page_names": f"WITH {expected} SELECT book, page_num::INT AS page_num, book || '_' || lpad(page_num::VARCHAR, 4, '0') || '.ocr.json' AS file_name FROM expected",
     }
     steps = found["plan_steps"]

@@ -21,18 +21,18 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 BOOKS: dict[str, list[tuple[int, list[tuple[str, str]]]]] = {
-    "sample": [
-        (8, []),
-        (9, [("title", "1장"), ("title", "시작의 날")]),
-        (10, [("body", "모든 일은 이렇게 시작되었다고 한다.")]),
-        (19, [("body", "장치를 끄면 곧바로 상태가 변화")]),
-        (20, [("body", "로는 힘을 거의 쓰지 않았다.")]),
-        (51, [("page_number", "03."), ("title", "무늬 그리기\n이야기"), ("other", "짧은 역사"), ("body", "무늬는 모든 것의 바탕이다.")]),
-        (272, [("title", "결론"), ("body", "글을 마치며")]),
+    "harbor": [
+        (2, [("header", "항구 일지"), ("body", "배는 새벽에 들어온다.")]),
+        (5, [("title", "2장"), ("title", "등대지기"), ("body", "불빛은 밤마다 바다를 훑")]),
+        (6, [("body", "었다고 노인이 말했다."), ("page_number", "6")]),
+        (7, []),
+        (11, [("header", "4"), ("title", "물때\n읽는 법"), ("other", "밀물과 썰물"), ("figure", "달\n바다"), ("body", "달이 차면 물이 높아진다.")]),
+        (14, [("section_title", "부록"), ("body", "낱말 풀이")]),
+        (15, [("title", "7장"), ("body", "마지막 배가 떠났다.")]),
     ],
     "wrapped": [
-        (1, [("body", "semi-\nconductor is\nthe quick\nbrown fox.\n1) item one\nmore of it\n\nNext para\nAB\nABCDE F\n• bullet x"), ("figure", "box\nlabel")]),
-        (2, [("body", "소프\n트웨어는 인터넷의\n정보들이 많\n다."), ("body", "했습\n니다\n만 그랬")]),
+        (1, [("body", "water-\nfall is\na small\nboat ride.\n1) item one\nmore of it\n\nNext para\nAB\nABCDE F\n• bullet x"), ("figure", "box\nlabel")]),
+        (2, [("body", "호박\n꽃밭에 마을의\n사람들이 모\n였다."), ("body", "했습\n니다\n만 그랬")]),
         (3, [("body", "He said so.\"\nNew line. \n- dash item\n  \n  \n12. numbered\nItem-\n9 left")]),
     ],
     "runs": [
@@ -74,7 +74,7 @@ LINES = values([(i, x) for i, x in enumerate([
 ])], "line_id, line")
 
 PAIRS = values([(i, a, b) for i, (a, b) in enumerate([
-    ("소프", "트웨어는"), ("인터넷의", "정보들이"), ("semi-", "conductor"), ("semi-", "한글"), ("semi-", "9"), ("the quick", "brown"), ("the quick", "Brown"),
+    ("호박", "꽃밭에"), ("마을의", "사람들이"), ("water-", "fall"), ("water-", "한글"), ("water-", "9"), ("a small", "boat"), ("a small", "Boat"),
     ("했습니다", "만"), ("했습", "니다"), ("", "x"), ("x", "  "), ("end.", "next"), ("끝.", "다음"), ("에서", "보다"), ("abc", "한글"), ("한글", "abc"), ("x ", " y"), ("é", "a"),
 ])], "pair_id, a, b")
 
@@ -140,15 +140,16 @@ RECTS = values([(i, m, 10, 20, w, 99) for i, (m, w) in enumerate((m, w) for m in
     "rect_id, capture_mode, x, y, width, height")
 
 RULES = values([
-    ("ok", "manual", 10, 1, "full", "", 0, 5, 5, "", 2, 0, 0.5, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
-    ("bad", "odd", 0, 0, "x", "y", 0, 5, 5, " ", 6, -1, 1.5, -0.5, 0.5, 0.5, 11.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0),
-    ("pdf", "manual", 9, 3, "raw", "all", 5, 0, 0, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 10.0, 0.45, 0.45, 0.4, 0.3, 0.2, 0.1),
-    ("past", "window_full", 1, 8, "prose", "ocr", 5, 0, 0, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
-    ("rect", "manual", 1, 1, "prose", "pdf", 0, 0, 3, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
-    ("title", "window_full", 10001, 1, "full", "", 0, 0, 0, "  ", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ("ok", "manual", 10, 1, "full", "", 0, 5, 5, "", 2, 0, 0.5, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, "printwindow", "/books", "auto"),
+    ("bad", "odd", 0, 0, "x", "y", 0, 5, 5, " ", 6, -1, 1.5, -0.5, 0.5, 0.5, 11.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, False, "gdi", "books", "morse"),
+    ("pdf", "manual", 9, 3, "raw", "all", 5, 0, 0, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 10.0, 0.45, 0.45, 0.4, 0.3, 0.2, 0.1, False, "gdi", "C:\\books", ""),
+    ("past", "window_full", 1, 8, "prose", "ocr", 5, 0, 0, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, "screen", "/b", "sendinput"),
+    ("rect", "manual", 1, 1, "prose", "pdf", 0, 0, 3, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, "screen", "/b", "auto"),
+    ("title", "window_full", 10001, 1, "full", "", 0, 0, 0, "  ", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, "screen", "/b", "auto"),
+    ("skip", "window_full", 1, 1, "full", "", 0, 0, 0, "", 0, 0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, True, "gdi", "/b", " AUTO "),
 ], "config, capture_mode, n_pages, start_page, assemble_style, force_phase, pdf_pages, rect_width, rect_height, window_title, reader_focus_clicks, "
    "start_focus_clicks, start_focus_x_ratio, start_focus_y_ratio, reader_focus_x_ratio, reader_focus_y_ratio, settle_sec, "
-   "trim_left, trim_right, trim_top, trim_bottom, trim_fill_top, trim_fill_bottom")
+   "trim_left, trim_right, trim_top, trim_bottom, trim_fill_top, trim_fill_bottom, skip_capture, window_capture_backend, base_dir, key_delivery")
 
 WINDOWS = values([
     ("kin", 11, "My Kindle", False, 1), ("kin", 12, "kindle", False, 2), ("kin", 13, "Other", True, 0), ("Book", 21, "Notebook", False, 1), ("Book", 22, "Book", False, 2),
@@ -159,15 +160,26 @@ LEVELS = values([("x", 0, 10), ("x", 5, 10), ("x", 255, 1), ("y", 3, 4)], "image
 SHADES = values([("dark", 10.0, 12.0, 19.9), ("edge", 14.0, 14.0, 14.0), ("light", 200.0, 10.0, 10.0)], "image, r, g, b")
 EVENTS = values([("b", "IMAGE_OK 1/3", 3), ("b", "IMAGE_SKIP", 3), ("b", "IMAGE_OK 2/3", 3), ("c", "IMAGE_OK 1/1", 1), ("d", "CAPTURE", 5)], "book, message, total")
 PROMPTS = values([(1, " own {lang_hint} ", None, None, "en", 3), (2, "", "file {page_num}", "bundle", "de", 4), (3, " ", None, "bundled {lang_hint}/{page_num}", "fr", 5),
-                  (4, "", None, None, "es", 6)], "prompt_id, inline, file_text, bundled, lang_hint, page_num")
+                  (4, "", None, None, "es", 6), (5, None, None, "not this one", "it", 7)], "prompt_id, inline, file_text, bundled, lang_hint, page_num")
+PROMPT_FILES = values([(1, "/p/a.txt"), (2, "/p/b.txt"), (3, " "), (4, ""), (5, "/p/gone.txt")], "prompt_id, prompt_file")
 TEXT_FILES = values([("b_0002.txt", "two"), ("b_0001.txt", "one"), ("b_10.txt", "ten"), ("c_0001.txt", "x"), ("c_1.txt.bak", "no"), ("odd.txt", "no")], "file_name, value")
 LAYERS = values([(1, "cli", "profile", "file"), (2, None, "profile", "file"), (3, None, None, "file"), (4, None, None, None)], "layer_id, cli, profile, file")
 LANGUAGES = values([(0, "Korean", "ko"), (1, "English", "en"), (2, "Korean", "kr")], "ord, lang, code")
 NAMES = values([("Korean",), ("English",), ("Klingon",)], "lang")
 MODES = values([(1, " Images "), (2, "PDF"), (3, "text"), (4, ""), (5, None)], "mode_id, mode")
-FILES = values([(i, s, n, c, e) for i, (s, n, c, e) in enumerate([
-    (".ocr.json", 9, '{"sections": []}', False), (".ocr.json", 9, '{"sections": {}}', False), (".ocr.json", 9, "[]", False), (".ocr.json", 9, "{no", False),
-    (".ocr.json", 9, '{"text": "x"}', False), (".ocr.json", 9, '{"sections": [1, "a"]}', False), (".txt", 0, "", False), (".txt", 0, "", True), (".txt", 3, "abc", False),
-    (".page.pdf", 0, None, False), (".page.pdf", 9, None, False)])], "file_id, suffix, size, content, known_empty")
+FILES = values([(i, s, n, c) for i, (s, n, c) in enumerate([
+    (".ocr.json", 9, '{"sections": []}'), (".ocr.json", 9, '{"sections": {}}'), (".ocr.json", 9, "[]"), (".ocr.json", 9, "{no"),
+    (".ocr.json", 9, '{"text": "x"}'), (".ocr.json", 9, '{"sections": [1, "a"]}'), (".txt", 0, ""), (".txt", 3, "abc"),
+    (".page.pdf", 0, None), (".page.pdf", 9, None)])], "file_id, suffix, size, content")
 CONFIG_FILES = values([("empty", "{}"), ("flat", '{"n_pages": 7, "next_key": "right", "pdf_trim_top": 0.1, "rect": {"left": 1, "width": 9}, "resume": false}'),
                        ("nested", '{"delay_sec": 2.5, "pdf_trim": {"bottom": 0.2}, "pdf_trim_top": 0.3, "output_mode": "text"}')], "config, value")
+
+ARGUMENTS = values([("empty", "kindle_app", 3, None, None, 1, 2, 3, None), ("flat", None, None, "space", None, 1, 2, 3, 4), ("nested", "", None, None, 0.25, None, None, None, None)],
+                   "config, reader_profile, n_pages, next_key, delay_sec, rect_left, rect_top, rect_width, rect_height")
+PDF_JOBS = values([("own", "", "/b/own.pdf"), ("given", "/in/x.pdf", "/b/given.pdf"), ("gone", "/in/gone.pdf", "/b/gone.pdf"), ("none", None, "/b/none.pdf"), ("blank", "  ", "/b/blank.pdf"),
+                   ("lost", "/in/lost.pdf", "/b/lost.pdf")], "book, input_pdf, book_pdf")
+PDF_FILES = values([("/b/own.pdf",), ("/in/x.pdf",), ("/b/given.pdf",), ("/b/gone.pdf",), ("/b/blank.pdf",), ("/b/blank.pdf",)], "path")
+STATE_FILES = values([
+    ("kept", '{"title": "kept", "start_page": 3, "n_pages": 9, "phases": {"capture": {"3": {"status": "done", "path": "/t/3.png"}, "x": {"status": "done"}}, "ocr": {"4": {"status": "failed", "error": "no reply"}}}, '
+             '"errors": [{"phase": "ocr", "page": 4, "error": "no reply"}, {"phase": "ocr", "page": 5, "error": "again"}], "outputs": {"final_pdf": "/b/kept.pdf", "combined_txt": "/b/kept.txt"}, "end_of_book_last_page": 7}'),
+    ("bare", '{"start_page": 1, "n_pages": 2, "phases": {}}'), ("broken", "{"), ("list", "[1, 2]")], "book, value")

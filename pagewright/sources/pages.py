@@ -89,14 +89,37 @@ def load_jsonc(text: str):
 
 def job_state(files: DataFrame) -> DataFrame:
     """(book, phase, page_num, status) rows of state files (book, value); a broken file is an empty state."""
-    phases = "try_variant_get(try_parse_json(value), '$.phases', 'map<string,map<string,struct<status:string>>>')"
+    return page_marks(files).select("book", "phase", "page_num", "status")
+
+
+def page_marks(files: DataFrame) -> DataFrame:
+    """(book, phase, page_num, status, path, error) of every page that a state file (book, value) marks."""
+    phases = "try_variant_get(try_parse_json(value), '$.phases', 'map<string,map<string,struct<status:string,path:string,error:string>>>')"
     rows = files.select("book", F.explode(F.expr(phases)).alias("phase", "pages")).select("book", "phase", F.explode("pages").alias("page", "mark"))
-    return rows.select("book", "phase", F.expr("try_cast(page AS int)").alias("page_num"), F.col("mark.status").alias("status"))
+    return rows.select("book", "phase", F.expr("try_cast(page AS int)").alias("page_num"), "mark.status", "mark.path", "mark.error")
+
+
+def job_facts(files: DataFrame) -> DataFrame:
+    """(book, start_page, n_pages, last_page, final_pdf, combined_txt, n_errors) of state files; nulls and 0 for a broken one."""
+    get = lambda path, kind: f"try_variant_get(try_parse_json(value), '$.{path}', '{kind}')"
+    return files.selectExpr("book", f"{get('start_page', 'int')} AS start_page", f"{get('n_pages', 'int')} AS n_pages", f"{get('end_of_book_last_page', 'int')} AS last_page",
+                            f"{get('outputs.final_pdf', 'string')} AS final_pdf", f"{get('outputs.combined_txt', 'string')} AS combined_txt",
+                            f"coalesce(size({get('errors', 'array<variant>')}), 0) AS n_errors")
 
 
-def prompt(inline: str = "inline", file_text: str = "file_text", bundled: str = "bundled") -> str:
-    """SQL for the prompt: inline, else the file's, else the bundled one, else the fallback; marks filled in."""
-    template = f"coalesce(nullif({T.strip(inline)}, ''), {file_text}, {bundled}, {T.literal(FALLBACK_PROMPT)})"
+def job_errors(files: DataFrame) -> DataFrame:
+    """(book, ord, phase, page_num, error): the error list of each state file, in its order."""
+    listed = F.expr("try_variant_get(try_parse_json(value), '$.errors', 'array<struct<phase:string,page:int,error:string>>')")
+    return files.select("book", F.posexplode(listed).alias("ord", "e")).select("book", "ord", "e.phase", F.col("e.page").alias("page_num"), "e.error")
+
+
+def prompt(inline: str = "inline", named: str = "prompt_file", file_text: str = "file_text", bundled: str = "bundled") -> str:
+    """SQL for the prompt: inline, else that of the named file, else the bundled one; marks filled in.
+
+    A missing file, named or bundled, gives the fallback.
+    """
+    file = f"CASE WHEN coalesce({T.strip(named)}, '') <> '' THEN {file_text} ELSE {bundled} END"
+    template = f"coalesce(nullif({T.strip(inline)}, ''), {file}, {T.literal(FALLBACK_PROMPT)})"
     return f"replace(replace({template}, '{{lang_hint}}', lang_hint), '{{page_num}}', cast(page_num AS string))"
 
 
@@ -115,5 +138,5 @@ def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[st
     return documents.select("doc_id", book.alias("book"), sections.alias("sections"), *kept).withColumn("page_num", number)
 
 
-__all__ = ["combined_text", "gather", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
-           "ocr_pages", "page_name", "pages_of_documents", "prompt", "strip_comments", "whole_files"]
+__all__ = ["combined_text", "gather", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
+           "ocr_pages", "page_marks", "page_name", "pages_of_documents", "prompt", "strip_comments", "whole_files"]

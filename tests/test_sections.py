@@ -54,16 +54,31 @@ def test_merge_across_random_books(spark):
     assert got == {b: walk(pages) for b, pages in books.items()}
 
 
-def test_sample_book(spark):
-    pages = fixture_pages(spark).where("book = 'sample'")
+def test_book_of_two_chapters(spark):
+    pages = fixture_pages(spark).where("book = 'harbor'")
     parts = {r["seg"]: r for r in structure.segments(sections.normalize(pages)).collect()}
     assert [(s, p["kind"], p["start_page"], p["end_page"], len(p["blocks"])) for s, p in sorted(parts.items())] == [
-        (1, "chapter", 9, 271, 6), (2, "back_matter", 272, 272, 1)]
-    assert [b["section_type"] for b in parts[1]["blocks"]] == ["section_title", "body", "body", "section_title", "subtitle", "body"]
+        (0, "front_matter", 2, 4, 1), (1, "chapter", 5, 13, 6), (2, "back_matter", 14, 14, 1), (3, "chapter", 15, 15, 1)]
+    assert [b["section_type"] for b in parts[1]["blocks"]] == ["section_title", "body", "section_title", "subtitle", "figure", "body"]
     raw, _ = render.assemble(pages, "raw")
     assert {r["seg"]: len(r["blocks"]) for r in raw.collect()}[1] == 7
 
 
+def test_merges_are_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    pieces = [{"type": "body", "text": f"piece {i} goes on"} for i in range(8000)]
+    page = spark.createDataFrame([("b", 1, pieces)], f"book string, page_num int, sections {sections.SECTIONS}")
+    began = time.time()
+    made = page.select(F.expr(sections.merge_within("sections")).alias("s")).first()["s"]
+    assert len(made) == 1 and made[0]["text"].count("piece") == 8000
+    book = spark.createDataFrame([("b", i, [pieces[i]]) for i in range(4000)] + [("c", i, [{"type": "body", "text": f"Page {i} ends."}]) for i in range(4000)], page.schema)
+    got = {r["book"]: r["pages"] for r in sections.merge_across(book).collect()}
+    assert len(got["b"]) == 1 and len(got["c"]) == 4000 and time.time() - began < 60
+
+
 def test_empty_input(spark):
     empty = fixture_pages(spark).where("book = 'nothing'")
     parts, markdown = render.assemble(empty)
