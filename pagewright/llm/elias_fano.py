@@ -1,4 +1,7 @@
-"""Elias-Fano coded monotone sequences and an n-gram trie level built from them, on memory-mapped words."""
+"""Elias-Fano coded monotone sequences and the levels of an n-gram trie built from them, on memory-mapped words.
+
+Defined cases: an empty sequence, level or trie finds nothing; values repeat at will in a sequence, not within a level.
+"""
 
 from __future__ import annotations
 
@@ -104,55 +107,92 @@ class EliasFano:
         return ((word * 64 + position - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low(i)
 
 
-def quantise(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """(codes 1..levels, codebook with 0 for code 0) of positive values: equal bins of the logs, each at its mean.
+#: Log codes reach down to 10 ** -DECADES and are finer the nearer a probability is to 1.
+DECADES, FINE = 13.0, 1000.0
+_SCALE = 65534 / np.log1p(FINE * DECADES)
+
 
-    The relative error is bounded by the bin's width alike for rare and for frequent values.
+def log_codes(values: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities in (0, 1]; 0 is left for none.
+
+    One scale serves all shards, so no codebook has to travel.  A code is within 0.0004
+    decade of its value at 10 ** -5, and within 0.0000001 at 1.
     """
-    book = np.zeros(levels + 1)
-    if not len(values):
-        return np.zeros(0, np.uint8), book
-    logs = np.log10(values)
-    low, width = logs.min(), max((logs.max() - logs.min()) / levels, 1e-12)
-    codes = np.minimum(((logs - low) / width).astype(np.int64), levels - 1) + 1
-    counts = np.bincount(codes, minlength=levels + 1)
-    means = np.bincount(codes, logs, minlength=levels + 1) / np.maximum(counts, 1)
-    book[counts > 0] = 10.0 ** means[counts > 0]
-    return codes.astype(np.uint8), book
+    return (np.minimum(np.rint(np.log1p(-np.log10(np.minimum(values, 1.0)) * FINE) * _SCALE), 65534) + 1).astype(np.uint16)
 
 
-class Trie:
-    """Contexts, monotone pointers to their successors, successors relative to their context, quantised probabilities.
+def log_values(codes: np.ndarray, none: float) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** (-np.expm1((codes.astype(float) - 1) / _SCALE) / FINE), none)
 
-    A context's interpolation weight is K / (count + K); a successor's probability is
-    its count over count + K.  Successors are codes of ``bits`` bits.
-    """
 
-    def __init__(self, contexts: np.ndarray, context_index: np.ndarray, successors: np.ndarray, counts: np.ndarray,
-                 totals: np.ndarray, smoothing: float, bits: int = 32):
-        """Distinct sorted ``contexts``; (context_index, successor) sorted and distinct, with training counts; totals by context."""
-        self.bits = bits
-        self.contexts = EliasFano(contexts, 64)
-        sizes = np.bincount(context_index, minlength=len(contexts))
-        self.pointers = EliasFano(np.concatenate(([0], np.cumsum(sizes))), max(1, int(len(successors)).bit_length()))
-        key = (context_index.astype(np.uint64) << np.uint64(bits)) | successors.astype(np.uint64)
-        self.successors = EliasFano(key, bits + max(1, int(len(contexts)).bit_length()))
-        codes, self.probabilities = quantise(counts / (totals[context_index] + smoothing))
-        weights, self.weights = quantise(smoothing / (totals + smoothing))
-        self.codes, self.weight_codes = mapped(codes), mapped(weights)
-
-    def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index or -1, weight code or 0) of each context."""
-        at = self.contexts.index(contexts)
-        return at, np.where(at >= 0, np.asarray(self.weight_codes)[np.maximum(at, 0)], 0).astype(np.uint8) if self.contexts.n else np.zeros(len(at), np.uint8)
-
-    def lookup(self, context_index: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Probability codes of successors in known contexts (0: not seen)."""
-        out = np.zeros(len(context_index), np.uint8)
-        known = np.flatnonzero(context_index >= 0)
-        if not len(known) or not self.successors.n:
+class Level:
+    """A trie level: monotone pointers from numbered contexts to their successors, which are increasing within a context."""
+
+    def __init__(self, context_index: np.ndarray, successors: np.ndarray, contexts: int, bits: int):
+        """(context_index, successor) sorted and distinct; successors below 2**bits."""
+        self.bits = np.uint64(bits)
+        ends = np.cumsum(np.bincount(context_index, minlength=contexts))
+        self.pointers = EliasFano(np.concatenate(([0], ends)), max(1, int(len(successors)).bit_length()))
+        self.successors = EliasFano((context_index.astype(np.uint64) << self.bits) | successors.astype(np.uint64), bits + max(1, contexts.bit_length()))
+
+    def find(self, context_index: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Places of successors between the two pointers of their contexts; -1 where there is none, or no context (-1)."""
+        out = np.full(len(context_index), -1, np.int64)
+        open_ = np.flatnonzero(context_index >= 0)
+        if not self.successors.n or not len(open_):
             return out
-        key = (context_index[known].astype(np.uint64) << np.uint64(self.bits)) | successors[known].astype(np.uint64)
-        at = self.successors.index(key)
-        out[known] = np.where(at >= 0, np.asarray(self.codes)[np.maximum(at, 0)], 0)
+        context = context_index[open_]
+        left, end = (self.pointers.at(context + k).astype(np.int64) for k in (0, 1))
+        right, wanted = end, successors[open_].astype(np.uint64)
+        base = context.astype(np.uint64) << self.bits
+        while len(open_):
+            # Successor search relative to the context: the first place not below the wanted code.
+            middle = (left + right) >> 1
+            inside = left < right
+            found = self.successors.at(np.minimum(middle, self.successors.n - 1)) - base
+            hit = inside & (found == wanted)
+            out[open_[hit]] = middle[hit]
+            less = found < wanted
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+            on = inside & ~hit
+            open_, left, right, wanted, base = open_[on], left[on], right[on], wanted[on], base[on]
         return out
+
+
+class Trie:
+    """Three levels: contexts, their successors, and the successors of those pairs, with quantised probabilities.
+
+    A successor's probability is its count over its context's count plus ``smoothing``; the
+    rest, smoothing / (count + smoothing), is the weight of the next lower order.  Words are
+    numbered within the trie by their codes of 48 bits.
+    """
+
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, totals: np.ndarray,
+                 triple_pair: np.ndarray, triple_word: np.ndarray, counts: np.ndarray, smoothing: float):
+        """Sorted distinct ``contexts`` and ``words``; pairs and triples sorted and distinct; training counts of triples, totals of contexts."""
+        bits = max(1, len(words).bit_length())
+        self.contexts, self.words = EliasFano(contexts, 64), EliasFano(words, 48)
+        self.pairs = Level(pair_context, pair_word, len(contexts), bits)
+        self.triples = Level(triple_pair, triple_word, len(pair_word), bits)
+        of_pair = np.bincount(triple_pair, counts, minlength=len(pair_word))
+        share = lambda x, n: log_codes(x / (n + smoothing))
+        self.context_weights, self.pair_weights = mapped(share(smoothing, totals)), mapped(share(smoothing, of_pair))
+        self.pair_codes = mapped(share(of_pair, totals[pair_context]))
+        self.triple_codes = mapped(share(counts, of_pair[triple_pair]))
+
+    @staticmethod
+    def _taken(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(codes):
+            return np.zeros(len(at), np.uint16)
+        return np.where(at >= 0, np.asarray(codes)[np.maximum(at, 0)], 0).astype(np.uint16)
+
+    def lookup(self, contexts: np.ndarray, pairs_of: np.ndarray, second: np.ndarray, triples_of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes (0: none) of context weights, pair probabilities, pair weights and triple probabilities, from the root down.
+
+        ``pairs_of`` says how many ``second`` words follow each context, ``triples_of`` how many ``third`` words follow each pair.
+        """
+        context = self.contexts.index(contexts)
+        pair = self.pairs.find(np.repeat(context, pairs_of), self.words.index(second))
+        triple = self.triples.find(np.repeat(pair, triples_of), self.words.index(third))
+        return (self._taken(self.context_weights, context), self._taken(self.pair_codes, pair),
+                self._taken(self.pair_weights, pair), self._taken(self.triple_codes, triple))

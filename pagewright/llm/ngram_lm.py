@@ -1,20 +1,23 @@
-"""Language-model scores from sharded Elias-Fano n-gram tries trained on the corpus.
+"""Language-model scores from sharded Elias-Fano n-gram tries of order three, trained on the corpus.
 
-The model interpolates bigrams with the add-half unigrams of the contract:
-P(w | v) = c(v w) / (c(v) + K) + K / (c(v) + K) * P(w).
+The model interpolates trigrams and bigrams with the add-half unigrams of the contract:
+P(w | u v) = (c(u v w) + K P(w | v)) / (c(u v) + K), P(w | v) = (c(v w) + K P(w)) / (c(v) + K);
+a text's first word has the begin mark as its only context.
 
-Documents are worked on in chunks of about CHUNK_BYTES of text.  A chunk sends each
-shard its distinct words and bigrams that fall there, with their training counts
-(one packed row per chunk and shard).  A shard adds the counts of all chunks, builds
-its trie and looks up what the chunks sent; the answers go back as bytes, and the chunk's
-tokens, packed in a second pass, are scored with them.  Nothing is pruned or capped.
+Documents are worked on in chunks of about CHUNK_BYTES of text.  Each chunk is read once
+and written to the shared folder: its distinct triples of words, and which one stands at
+each token.  A chunk sends each shard its words and the triples that fall there, with their
+training counts (one packed row per chunk and shard).  A shard adds the counts of all
+chunks, builds its trie (contexts, then their successors, then the successors of those
+pairs) and looks up what the chunks sent; the answers go back as 16-bit codes on one scale,
+and the chunk's tokens are scored with them.  Nothing is pruned or capped.
 
-Bigrams are dealt to shards by their context; contexts that are frequent in a bounded
-sample (a hint for balance only) are dealt by context and successor, with their exact
-counts, so no word's successors meet in one task.
+Triples are dealt to shards by their first word, so a shard's three levels are whole.
+Words that alone would fill a good part of a shard are dealt by first and second word, with
+their exact counts; a sample that grows with the corpus only finds them (a hint for balance).
 
-Words have 64-bit codes (they must be told apart); successors 32-bit codes salted by
-their context, where a clash would only add two probabilities.
+Words have 64-bit codes; a shard numbers them by 48 of these bits, by which the successors
+of one context are told apart (two of a million clash with a chance of 0.002).
 
 Defined cases: null or empty text is one end token; null ids count as text ''
 for the fold; repeated rows count and score each; an empty table gives an empty
@@ -35,23 +38,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.elias_fano import Trie
+from pagewright.llm.elias_fano import Trie, log_values
 from pagewright.llm.shared import NOT_SPACE, bound_batches, cut, fold, table
 
 SMOOTHING = 20.0
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: Training tokens of a shard, and shards at least.
-SHARD_TOKENS, LEAST_SHARDS = 3_000_000, 48
-#: Words above this share of a sample of about SAMPLE documents are dealt by successor, too.
-HEAVY_SHARE, SAMPLE = 0.002, 5_000
+SHARD_TOKENS, LEAST_SHARDS = 1_500_000, 8
+#: Letters and space of a token, about.
+TOKEN_CHARS = 6
+#: Documents of the sample at least, and its share of the documents; the share of a shard that makes a word heavy.
+SAMPLE, SAMPLE_SHARE, HEAVY = 5_000, 1 / 20_000, 0.125
 
-BEGIN, END = 0, 1
-_CODES = (xxhash.xxh3_64_intdigest(b"begin of text", 7), xxhash.xxh3_64_intdigest(b"end of text", 7))
+BEGIN, END, AFTER = 0, 1, 2
+_CODES = (xxhash.xxh3_64_intdigest(b"begin of text", 7), xxhash.xxh3_64_intdigest(b"end of text", 7), xxhash.xxh3_64_intdigest(b"after the end", 7))
 
 
 class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self) + 2
+        number = self[word] = len(self) + len(_CODES)
         return number
 
 
@@ -64,13 +69,9 @@ def unpack(data: bytes) -> tuple:
 
 
 class Chunk:
-    """Tokens of some documents: ids by order of appearance, the ids' codes, and the documents' lengths."""
+    """Tokens of some documents as word numbers by order of appearance, the words' codes, and the documents' lengths."""
 
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, train: np.ndarray):
-        self.ids, self.codes, self.lengths, self.train = ids, codes, lengths, train
-
-    @classmethod
-    def of(cls, texts: list, train: np.ndarray) -> Chunk:
+    def __init__(self, texts: list):
         vocabulary = _Vocabulary()
         number, parts, lengths = vocabulary.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -79,37 +80,42 @@ class Chunk:
             part = np.full(len(words) + 1, END, np.int32)
             part[:-1] = np.fromiter(map(number, words), np.int32, len(words))
             parts.append(part)
-        codes = np.fromiter((*_CODES, *map(xxhash.xxh3_64_intdigest, vocabulary)), np.uint64, len(vocabulary) + 2)
-        return cls(np.concatenate(parts) if parts else np.zeros(0, np.int32), codes, lengths, train)
-
-    def layout(self, shards: int, heavy: np.ndarray) -> dict:
-        """Distinct bigrams in order of (shard, context code, successor code), the same in both passes."""
-        starts = np.cumsum(self.lengths) - self.lengths
-        context = np.empty_like(self.ids)
-        context[1:] = self.ids[:-1]
-        context[starts] = BEGIN
-        pairs = (context.astype(np.int64) << 32) | self.ids
-        distinct, inverse = np.unique(pairs, return_inverse=True)
-        first, second = distinct >> 32, distinct & 0xFFFFFFFF
-        h1, h2 = self.codes[first], self.codes[second]
-        mixed = (h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        successor = (mixed >> np.uint64(32)).astype(np.uint32)
-        split = np.isin(self.codes, heavy)[first]
-        shard = np.where(split, (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(shards), h1 % np.uint64(shards)).astype(np.int64)
-        by_code = np.empty(len(self.codes), np.int64)
-        by_code[np.argsort(self.codes)] = np.arange(len(self.codes))
-        if shards <= 1 << 11 and len(self.codes) <= 1 << 20:
-            order = np.argsort((shard << 52) | (by_code[first] << 32) | successor, kind="stable")
-        else:
-            order = np.lexsort((successor, by_code[first], shard))
-        return {"order": order, "first": first, "second": second, "successor": successor, "shard": shard, "inverse": inverse}
-
-    def trained(self) -> np.ndarray:
-        return np.repeat(self.train, self.lengths)
-
-
-def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Chunk, list]]:
-    """(chunk number, chunk, keys) of consecutive rows (key, text, train) of this partition."""
+        self.ids, self.lengths = np.concatenate(parts), lengths
+        self.codes = np.fromiter((*_CODES, *map(xxhash.xxh3_64_intdigest, vocabulary)), np.uint64, len(vocabulary) + len(_CODES))
+
+
+class Layout:
+    """A chunk's distinct (context, word, next word) triples in order of shard, context and word.
+
+    ``triple`` is the place of each token's triple; ``triples_of`` counts the triples of each
+    pair, ``pairs_of`` the pairs of each context (of a shard).
+    """
+
+    def __init__(self, chunk: Chunk, shards: int, heavy: np.ndarray):
+        starts = np.cumsum(chunk.lengths) - chunk.lengths
+        before, after = np.empty_like(chunk.ids), np.empty_like(chunk.ids)
+        before[1:], before[starts] = chunk.ids[:-1], BEGIN
+        after[:-1] = chunk.ids[1:]
+        after[starts + chunk.lengths - 1] = AFTER
+        pairs, pair = np.unique((before.astype(np.int64) << 32) | chunk.ids, return_inverse=True)
+        first, second = pairs >> 32, pairs & 0xFFFFFFFF
+        code = chunk.codes[first]
+        both = (code ^ (chunk.codes[second] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
+        shard = (np.where(np.isin(chunk.codes, heavy)[first], both, code) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.shard, self.second, first = shard[order], second[order].astype(np.int32), first[order]
+        triples, triple = np.unique((rank[pair] << 32) | after, return_inverse=True)
+        self.triple, self.third = triple.astype(np.int32), (triples & 0xFFFFFFFF).astype(np.int32)
+        self.triples_of = np.bincount(triples >> 32, minlength=len(order))
+        fresh = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (self.shard[1:] != self.shard[:-1]))))
+        self.first, self.pairs_of = first[fresh], np.diff(np.append(fresh, len(order)))
+        self.first_shard = self.shard[fresh]
+
+
+def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, np.ndarray, list]]:
+    """(chunk number, texts, which train, keys) of consecutive rows (key, text, train) of this partition."""
     base, count = TaskContext.get().partitionId() << 24, 0
     keys, texts, train, size = [], [], [], 0
     for batch in batches:
@@ -119,15 +125,21 @@ def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Chunk, lis
             train.append(t)
             size += len(text or "") + 8
             if size >= CHUNK_BYTES:
-                yield base + count, Chunk.of(texts, np.array(train, bool)), keys
+                yield base + count, texts, np.array(train, bool), keys
                 keys, texts, train, size, count = [], [], [], 0, count + 1
     if texts:
-        yield base + count, Chunk.of(texts, np.array(train, bool)), keys
+        yield base + count, texts, np.array(train, bool), keys
+
 
+def planes(numbers: np.ndarray, size: int = 4) -> np.ndarray:
+    """The low ``size`` bytes of the numbers by significance, which compress better apart."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
 
-def planes(ids: np.ndarray) -> np.ndarray:
-    """Bytes of the ids by significance, which compress better apart."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+def numbers(planes_: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes_.shape[1], 8), np.uint8)
+    out[:, : planes_.shape[0]] = planes_.T
+    return out.view("<u8").ravel()
 
 
 def count_heavy(batches: Iterator[pd.DataFrame], words: list[bytes]) -> Iterator[pd.DataFrame]:
@@ -142,30 +154,39 @@ def count_heavy(batches: Iterator[pd.DataFrame], words: list[bytes]) -> Iterator
     yield pd.DataFrame({"place": np.arange(len(sums)), "count": sums})
 
 
-def send(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
-    """What each chunk asks of and tells each shard that has words or bigrams of it."""
-    for number, chunk, _ in chunks_of(batches):
-        trained = chunk.trained()
+def hold(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(chunk, sent, kept): what each chunk tells the shards, and what its scoring needs."""
+    for number, texts, train, keys in chunks_of(batches):
+        chunk = Chunk(texts)
+        layout = Layout(chunk, shards, heavy)
+        trained = np.repeat(train, chunk.lengths)
         words = np.bincount(chunk.ids[trained], minlength=len(chunk.codes))
-        plan = chunk.layout(shards, heavy)
-        counts = np.bincount(plan["inverse"][trained], minlength=len(plan["first"]))[plan["order"]]
-        shard, first = plan["shard"][plan["order"]], plan["first"][plan["order"]]
-        successor = plan["successor"][plan["order"]]
-        word_shard = (chunk.codes % np.uint64(shards)).astype(np.int64)
-        word_order = np.lexsort((chunk.codes, word_shard))
-        met = np.union1d(shard, word_shard)
-        word_begins, word_ends = (np.searchsorted(word_shard[word_order], met, side=x) for x in ("left", "right"))
-        begins, ends = (np.searchsorted(shard, met, side=x) for x in ("left", "right"))
-        rows = []
-        for s, a, b, c, d in zip(met.tolist(), begins.tolist(), ends.tolist(), word_begins.tolist(), word_ends.tolist()):
-            fresh = np.concatenate(([True], first[a + 1: b] != first[a: b - 1])) if b > a else np.zeros(0, bool)
-            begin = np.flatnonzero(fresh)
-            w = word_order[c:d]
-            rows.append((s, number, pack(
-                chunk.codes[w], words[w].astype(np.uint32),
-                chunk.codes[first[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32),
-                planes(successor[a:b]), counts[a:b].astype(np.uint32))))
-        yield pd.DataFrame(rows, columns=["shard", "chunk", "payload"])
+        counts = np.bincount(layout.triple[trained], minlength=len(layout.third))
+        word_order = np.argsort((chunk.codes % np.uint64(shards)).astype(np.int32), kind="stable").astype(np.int32)
+        sent = pack(planes(layout.third), counts.astype(np.uint32), layout.first.astype(np.int32), layout.first_shard, chunk.codes[word_order], words[word_order].astype(np.uint32), chunk.codes)
+        kept = pack(planes(layout.triple), word_order, chunk.lengths, train, keys)
+        both = pack(planes(layout.second), layout.triples_of.astype(np.uint32), layout.pairs_of.astype(np.uint32))
+        yield pd.DataFrame({"chunk": [number], "sent": [sent], "kept": [kept], "both": [both]})
+
+
+def send(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    """What each chunk asks of and tells each shard that has words or triples of it."""
+    for batch in batches:
+        for number, sent, both in zip(batch["chunk"], batch["sent"], batch["both"]):
+            third, counts, first, first_shard, word_codes, words, codes = unpack(sent)
+            second, triples_of, pairs_of = unpack(both)
+            third, second = numbers(third).astype(np.int64), numbers(second).astype(np.int64)
+            word_shard = (word_codes % np.uint64(shards)).astype(np.int64)
+            met = np.union1d(first_shard, word_shard)
+            edges = np.append(met, shards)
+            w, u = np.searchsorted(word_shard, edges), np.searchsorted(first_shard, edges)
+            p = np.concatenate(([0], np.cumsum(pairs_of.astype(np.int64))))[u]
+            t = np.concatenate(([0], np.cumsum(triples_of.astype(np.int64))))[p]
+            short = codes >> np.uint64(16)
+            rows = [(s, number, pack(word_codes[w[i]: w[i + 1]], words[w[i]: w[i + 1]], codes[first[u[i]: u[i + 1]]], pairs_of[u[i]: u[i + 1]], planes(short[second[p[i]: p[i + 1]]], 6),
+                                     triples_of[p[i]: p[i + 1]], planes(short[third[t[i]: t[i + 1]]], 6), counts[t[i]: t[i + 1]]))
+                    for i, s in enumerate(met.tolist())]
+            yield pd.DataFrame(rows, columns=["shard", "chunk", "payload"])
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,91 +197,86 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
-def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
-    """A shard: adds the counts, builds the trie, and answers every chunk in the order it asked."""
-    asked = [unpack(p) for p in group["payload"]]
-    words, sums = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
+def build(asked: list[tuple], heavy: dict[int, int]) -> Trie:
+    """The trie of a shard from what the chunks sent: (words, counts, contexts, pairs_of, second, triples_of, third, counts) each."""
     contexts = np.unique(np.concatenate([a[2] for a in asked]))
-    keys, counts, places = [], [], []
+    words = np.unique(np.concatenate([x for a in asked for x in (a[4], a[6])]))
+    bits = np.uint64(max(1, len(words).bit_length()))
+    keys, thirds, counts = [], [], []
     for a in asked:
-        place = np.repeat(np.searchsorted(contexts, a[2]), a[3]).astype(np.uint64)
-        successor = np.ascontiguousarray(a[4].T).view("<u4").ravel()
-        places.append(successor)
-        seen = a[5] > 0
-        keys.append((place[seen] << np.uint64(32)) | successor[seen])
-        counts.append(a[5][seen])
-    key, count = _summed(np.concatenate(keys), np.concatenate(counts))
-    index = (key >> np.uint64(32)).astype(np.int64)
-    totals = np.bincount(index, count, minlength=len(contexts))
+        seen = a[7] > 0
+        pair = (np.repeat(np.searchsorted(contexts, a[2]), a[3]).astype(np.uint64) << bits) | np.searchsorted(words, a[4]).astype(np.uint64)
+        keys.append(np.repeat(pair, a[5])[seen])
+        thirds.append(np.searchsorted(words, a[6][seen]).astype(np.uint64))
+        counts.append(a[7][seen])
+    key = np.concatenate(keys)
+    pairs = np.unique(key)
+    triple, count = _summed((np.searchsorted(pairs, key).astype(np.uint64) << bits) | np.concatenate(thirds), np.concatenate(counts))
+    of = (triple >> bits).astype(np.int64)
+    context = (pairs >> bits).astype(np.int64)
+    totals = np.bincount(context, np.bincount(of, count, minlength=len(pairs)), minlength=len(contexts))
     for i in np.flatnonzero(np.isin(contexts, np.array(list(heavy), np.uint64))):
         totals[i] = heavy[int(contexts[i])]
     # Contexts that training texts lack are left out; a query for one has weight code 0.
     known = np.flatnonzero(totals > 0)
     renumber = np.full(len(contexts), -1, np.int64)
     renumber[known] = np.arange(len(known))
-    trie = Trie(contexts[known], renumber[index], key & np.uint64(0xFFFFFFFF), count, totals[known], SMOOTHING)
-    rows = []
-    for chunk, a, successor in zip(group["chunk"], asked, places):
-        at, weight = trie.context(a[2])
-        code = trie.lookup(np.repeat(at, a[3]), successor)
-        rows.append((chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), weight, code,
-                                                              trie.probabilities, trie.weights)))
-    out = pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
-    return out.assign(tokens=[int(sums.sum())] + [0] * (len(out) - 1), distinct=[int((sums > 0).sum())] + [0] * (len(out) - 1))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    return Trie(contexts[known], words, renumber[context], pairs & mask, totals[known], of, triple & mask, count, SMOOTHING)
 
 
-def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chunks' tokens, packed, for scoring."""
-    for number, chunk, keys in chunks_of(batches):
-        yield pd.DataFrame({"chunk": [number], "payload": [pack(planes(chunk.ids), chunk.codes, chunk.lengths, chunk.train, keys)]})
+def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
+    """A shard: adds the counts, builds the trie, and answers every chunk in the order it asked."""
+    asked = [unpack(p) for p in group["payload"]]
+    asked = [(*a[:4], numbers(a[4]), a[5], numbers(a[6]), a[7]) for a in asked]
+    words, sums = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
+    trie = build(asked, heavy)
+    rows = [(chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), *trie.lookup(*a[2:7])))
+            for chunk, a in zip(group["chunk"], asked)]
+    out = pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
+    return out.assign(tokens=[int(sums.sum())] + [0] * (len(out) - 1), distinct=[int((sums > 0).sum())] + [0] * (len(out) - 1))
 
 
 SCORES = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(held: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndarray, tokens: int, distinct: int) -> pd.DataFrame:
-    packed, codes, lengths, train, keys = unpack(held["payload"].iloc[0])
-    chunk = Chunk(np.ascontiguousarray(packed.T).view("<u4").ravel().astype(np.int32), codes, lengths, train)
-    plan = chunk.layout(shards, heavy)
-    by_shard = dict(zip(answers["shard"], answers["payload"]))
-    word_shard = (codes % np.uint64(shards)).astype(np.int64)
-    word_order = np.lexsort((codes, word_shard))
-    counts = np.zeros(len(codes), np.int64)
-    probability, weight = np.zeros(len(plan["first"])), np.ones(len(plan["first"]))
-    w, a = 0, 0
-    for s in sorted(by_shard):
-        sums, weights, found, book, weight_book = unpack(by_shard[s])
-        counts[word_order[w: w + len(sums)]] = sums
-        w += len(sums)
-        at = plan["order"][a: a + len(found)]
-        first = plan["first"][at]
-        probability[at] = book[found]
-        run = np.cumsum(np.concatenate(([0], (first[1:] != first[:-1]).astype(np.int64)))) if len(at) else at
-        weight[at] = np.where(weights == 0, 1.0, weight_book[weights])[run] if len(at) else 1.0
-        a += len(found)
-    if w != len(codes) or a != len(plan["first"]):
-        raise ValueError("a chunk's two passes differ; the input changed meanwhile")
+def score(held: pd.DataFrame, answers: pd.DataFrame, tokens: int, distinct: int) -> pd.DataFrame:
+    triple, word_order, lengths, train, keys = unpack(held["kept"].iloc[0])
+    second, triples_of, pairs_of = unpack(held["both"].iloc[0])
+    triple, second = numbers(triple).astype(np.int64), numbers(second).astype(np.int64)
+    replies = [unpack(p) for _, p in sorted(zip(answers["shard"], answers["payload"]))]
+    sums, context_weight, pair_code, pair_weight, triple_code = (np.concatenate(x) for x in zip(*replies))
+    counts = np.empty(len(word_order), np.int64)
+    counts[word_order] = sums
     unigram = (counts + 0.5) / (tokens + 0.5 * (distinct + 1))
-    of_pair = np.log10(probability + weight * unigram[plan["second"]])
+    of_pair = log_values(pair_code, 0.0) + np.repeat(log_values(context_weight, 1.0), pairs_of) * unigram[second]
+    pair = np.repeat(np.arange(len(second)), triples_of)[triple]
     starts = np.cumsum(lengths) - lengths
+    own = of_pair[pair]
+    # The triple of the token before holds this token as its next word.
+    whole = own.copy()
+    whole[1:] = log_values(triple_code, 0.0)[triple[:-1]] + log_values(pair_weight, 1.0)[pair[:-1]] * own[1:]
+    whole[starts] = own[starts]
     each = lambda x: np.add.reduceat(x, starts)
+    word = second[pair]
     return pd.DataFrame({
         "key": pd.Series(keys, dtype=object),
-        "held_out": ~train, "n_tokens": lengths, "n_known": each((counts[chunk.ids] > 0).astype(np.int64)), "train_tokens": tokens,
-        "base_score": each(np.log10(unigram)[chunk.ids]), "score": each(of_pair[plan["inverse"]])})
+        "held_out": ~train, "n_tokens": lengths, "n_known": each((counts[word] > 0).astype(np.int64)), "train_tokens": tokens,
+        "base_score": each(np.log10(unigram)[word]), "score": each(np.log10(whole))})
 
 
-def heavy_words(documents: DataFrame) -> dict[int, int]:
-    """Codes of the begin mark and of the words above HEAVY_SHARE in about SAMPLE documents, with their exact training counts.
+def heavy_words(documents: DataFrame, shards: int) -> dict[int, int]:
+    """Codes of the begin mark and of the words that would fill HEAVY of a shard, by a sample, with their exact training counts.
 
-    There are 1 / HEAVY_SHARE such words at most.
+    There are shards / HEAVY such words at most.
     """
-    every = max(1, documents.count() // SAMPLE)
-    sample = documents.where(F.pmod(F.xxhash64("key", F.substring("text", 1, 100)), F.lit(every)) == 0)
+    rows = documents.count()
+    every = max(1, rows // max(SAMPLE, int(rows * SAMPLE_SHARE)))
+    sample = documents.where(F.pmod(F.xxhash64("key", "text"), F.lit(every)) == 0)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = cut(sample.select(F.explode(F.regexp_extract_all(lower, F.lit(NOT_SPACE), F.lit(0))).alias("word")).groupBy("word").count())
     total = found.agg(F.sum("count")).first()[0] or 0
-    words = [r["word"].encode("utf-8", "replace") for r in found.where(F.col("count") > HEAVY_SHARE * total).orderBy("word").collect()]
+    words = [r["word"].encode("utf-8", "replace") for r in found.where(F.col("count") > HEAVY * total / shards).orderBy("word").collect()]
     sums = documents.mapInPandas(lambda b: count_heavy(b, words), "place long, count long").groupBy("place").agg(F.sum("count").alias("count"))
     counts = {r["place"]: r["count"] for r in sums.collect()}
     return {code: counts.get(i, 0) for i, code in enumerate((_CODES[0], *map(xxhash.xxh3_64_intdigest, words)))}
@@ -272,17 +288,17 @@ def language_scores(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType
     # Ids cross to Python as text, so large integers beside nulls stay exact.
     documents = documents.select(F.col("doc_id").cast("string").alias("key"), "text", "train")
-    totals = heavy_words(documents)
-    heavy = np.sort(np.array(list(totals), np.uint64))
     size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, -(-size // (6 * SHARD_TOKENS)))
-    sent = documents.mapInPandas(lambda b: send(b, shards, heavy), "shard int, chunk long, payload binary")
+    shards = max(LEAST_SHARDS, -(-size // (TOKEN_CHARS * SHARD_TOKENS)))
+    totals = heavy_words(documents, shards)
+    heavy = np.sort(np.array(list(totals), np.uint64))
+    chunks = cut(documents.mapInPandas(lambda b: hold(b, shards, heavy), "chunk long, sent binary, kept binary, both binary"))
+    sent = chunks.select("chunk", "sent", "both").mapInPandas(lambda b: send(b, shards), "shard int, chunk long, payload binary")
     answers = cut(sent.groupBy("shard").applyInPandas(lambda g: answer(g, totals), "chunk long, shard int, payload binary, tokens long, distinct long"))
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
-    held = documents.mapInPandas(hold, "chunk long, payload binary")
-    scored = held.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
-        lambda h, a: score(h, a, shards, heavy, tokens, distinct), SCORES)
+    scored = chunks.select("chunk", "kept", "both").groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
+        lambda h, a: score(h, a, tokens, distinct), SCORES)
     return scored.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", "doc_id")
 
 
