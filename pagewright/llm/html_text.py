@@ -2,16 +2,19 @@
 
 A page is cut into text nodes, each with its root-to-leaf tag path; inline tags count
 to their block's path.  Per path, text length and punctuation are summed and divided
-by the number of its blocks; the two ratios are fused, smoothed over neighbouring
-nodes, and nodes whose score reaches a share of the page's length-weighted mean are
-content.  Tags and class names are priors: what stands under navigation, page header
-or footer, aside, form, script, advert, notice or comment elements scores 0; link text
-scores a fifth.  ``article`` and ``main`` are a bounded weight: where they hold at
-least half of the page's scored text, scores in them count four times and others a quarter;
-where they hold less, they are ignored.  An element's class, id or role drops it only
-as a whole token on a container; a token that merely contains a name, or one on a
-paragraph, takes a share of the score, and only outside ``article`` and ``main``.
-Headings and inline tags are never judged by name.  Kept nodes are joined into blocks.
+by the number of its blocks; the two ratios are fused by their geometric mean.  A block
+scores as its nodes' paths do, link text a fifth of that; a heading takes the score of
+the text after it; scores are smoothed over neighbouring blocks, and blocks whose score
+reaches a share of the page's length-weighted mean are content.
+
+Tags and class names are priors.  What stands under navigation, page header or footer,
+aside, form, script, advert, notice or comment elements is never content (a long comment
+reads like an article, so no ratio tells it apart).  ``article`` and ``main`` are a bounded
+weight: where they hold at least half of the page's scored text, scores in them count 16
+times and others half; where they hold less, they are ignored.  An element's class, id or
+role drops it only as a whole token on a container; a token that merely contains a name,
+or one on a paragraph, takes a share of the score, and only outside ``article`` and
+``main``.  Headings and inline tags are never judged by name.
 
 Defined cases: null html is the empty page; a page without content gives the empty
 text; unclosed tags, implied paragraph ends, stray end tags and comments follow the
@@ -21,6 +24,7 @@ other columns are ignored.  Work is linear in the page but for unbalanced quotes
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -51,14 +55,14 @@ TEXTUAL = frozenset("p pre blockquote dt dd figcaption caption address".split())
 ENDS_P = frozenset("p div ul ol li dl table section article h1 h2 h3 h4 h5 h6 blockquote pre form hr main nav header footer aside figure".split())
 BOUNDARY = frozenset("body div section article main td th table ul ol blockquote aside nav header footer form figure html".split())
 
-LINK, NAMED, INSIDE, OUTSIDE, MINOR, SHARE = 0.2, 0.3, 4, 0.25, 0.5, 0.25
+LINK, NAMED, INSIDE, OUTSIDE, MINOR, SHARE = 0.2, 0.6, 16, 0.5, 0.5, 0.6
 
 
 class Node:
-    __slots__ = ("path", "text", "block", "dropped", "main", "link", "named")
+    __slots__ = ("path", "text", "block", "main", "link", "named", "heading")
 
-    def __init__(self, path: int, text: str, block: int, dropped: bool, main: bool, link: bool, named: bool):
-        self.path, self.text, self.block, self.dropped, self.main, self.link, self.named = path, text, block, dropped, main, link, named
+    def __init__(self, path: int, text: str, block: int, main: bool, link: bool, named: bool, heading: bool):
+        self.path, self.text, self.block, self.main, self.link, self.named, self.heading = path, text, block, main, link, named, heading
 
 
 def text_nodes(html: str) -> list[Node]:
@@ -81,7 +85,7 @@ def text_nodes(html: str) -> list[Node]:
         if stop > at:
             _, path, dropped, main, link, named = stack[-1]
             if not dropped:
-                nodes.append(Node(path, html[at:stop], block, dropped, main, link, named))
+                nodes.append(Node(path, html[at:stop], block, main, link, named, any(opened[h] for h in HEADINGS)))
         if not found:
             break
         at = found.end()
@@ -125,7 +129,7 @@ def text_nodes(html: str) -> list[Node]:
 
 
 def path_scores(nodes: list[Node]) -> dict[int, float]:
-    """Fused tag-path ratio: log text per block times one plus log punctuation per block."""
+    """Fused tag-path ratio: the geometric mean of text per block and one plus punctuation per block."""
     sums: dict[int, list[float]] = {}
     last: dict[int, int] = {}
     for n in nodes:
@@ -134,7 +138,7 @@ def path_scores(nodes: list[Node]) -> dict[int, float]:
         s[1] += len(n.text)
         s[2] += len(_PUNCTUATION.findall(n.text))
         last[n.path] = n.block
-    return {p: math.log1p(chars / count) * (1 + math.log1p(signs / count)) for p, (count, chars, signs) in sums.items()}
+    return {p: math.sqrt(chars / count * (1 + signs / count)) for p, (count, chars, signs) in sums.items()}
 
 
 def main_text(html: str | None) -> str:
@@ -146,16 +150,24 @@ def main_text(html: str | None) -> str:
     if not filled:
         return ""
     by_path = path_scores(filled)
-    raw = [by_path[n.path] * (LINK if n.link else 1) for n in filled]
-    smooth = [(a + 2 * b + c) / 4 * (NAMED if n.named else 1) for n, a, b, c in zip(filled, [raw[0], *raw[:-1]], raw, [*raw[1:], raw[-1]])]
-    sizes = [len(n.text) for n in filled]
+    runs = [list(run) for _, run in itertools.groupby(filled, key=lambda n: n.block)]
+    sizes = [sum(len(n.text) for n in run) for run in runs]
+    raw = [sum(len(n.text) * by_path[n.path] * (LINK if n.link else 1) for n in run) / z for run, z in zip(runs, sizes)]
+    # A heading stands or falls with the text that it heads.
+    headed = 0.0
+    for i in range(len(runs) - 1, -1, -1):
+        if not runs[i][0].heading:
+            headed = raw[i]
+        elif not runs[i][0].link:
+            raw[i] = max(raw[i], headed)
+    smooth = [(a + 4 * b + c) / 6 * (NAMED if run[0].named else 1) for run, a, b, c in zip(runs, [raw[0], *raw[:-1]], raw, [*raw[1:], raw[-1]])]
     mass = [s * z for s, z in zip(smooth, sizes)]
     least = SHARE * sum(mass) / sum(sizes)
-    marked = sum(m for n, m in zip(filled, mass) if n.main) >= MINOR * sum(mass)
-    kept = {id(n) for n, s in zip(filled, smooth) if s * ((INSIDE if n.main else OUTSIDE) if marked else 1) >= least}
+    marked = sum(m for run, m in zip(runs, mass) if run[0].main) >= MINOR * sum(mass)
+    kept = {run[0].block for run, s in zip(runs, smooth) if s * ((INSIDE if run[0].main else OUTSIDE) if marked else 1) >= least}
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if id(n) in kept or not n.text.strip():
+        if n.block in kept:
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
