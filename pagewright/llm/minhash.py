@@ -1,13 +1,14 @@
 """Near-duplicates by ProbMinHash signatures, banding and exact verification.
 
-A text's elements are its distinct shingles of five lower-cased words, weighted by
-the length of their middle word.  Each element is a Poisson process of arrivals at
+A text's elements are its distinct shingles of five lower-cased words, weighted by how
+often they stand in it: 1 for once, rising towards 1.5 (bounded, so that texts whose
+shingle sets overlap by 0.8 surely overlap in weight, too).  Each element is a Poisson process of arrivals at
 random slots whose rate is its weight; a slot keeps the first arrival, so two texts
 agree in a slot with their probability Jaccard.  Generation stops early: arrivals
 after a time by which all slots are filled almost surely (it shrinks with the text's
 total weight) are never made.  Slots are banded in threes; texts that share a band
-are candidates, and a pair is a link if the Jaccard of its shingle sets is at least
-0.8, computed exactly.  Shingles and arrivals are numpy work on Arrow batches;
+are candidates, and a pair is a link if the Jaccard of its shingle sets, which is the
+similarity asked for, is at least 0.8, computed exactly.  Shingles and arrivals are numpy work on Arrow batches;
 buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
@@ -15,7 +16,8 @@ pairs are compared; in a larger one every member is compared with the bucket's m
 central nodes, so work stays linear in the bucket.  What then is outside a bucket's
 main component is compared with all its members, in blocks of bounded size and by
 bitmaps that bound the overlap of two sets; only pairs that may be links come out and
-are verified.  Classes are the connected components of the links.
+are verified.  Classes are the connected components of the links.  Hot buckets, pivots
+of many pairs and texts of many copies are joined in salted parts (shared.spread_join).
 
 Defined cases: null text is the empty text, and equal texts without words are copies
 like any others; 1 to 4 words are one shingle; repeated rows and ids share their
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.llm.graph import components
-from pagewright.llm.shared import bound_batches, cut, table
+from pagewright.llm.shared import HOT_SHARE, LEAST_HOT, bound_batches, cut, hot_keys, spread_join, stored, table
 
 WORDS = 5
 LEAST = 0.8
@@ -50,7 +52,8 @@ PIVOTS, BITS = 16, 4096
 QUERIES, MEMBERS = 1024, 8192
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_LENGTH = np.uint64(63)
+#: The low bits of a shingle's code hold how often it stands in its text, 63 at most.
+_COUNT = np.uint64(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,17 +64,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Codes(dict):
-    """Word codes: a hash with the word's length (63 at most) in the low bits."""
+    """Hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word) & ~63 | min(len(word), 63)
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
 
 
 def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, by text and sorted, and the [start, end) bounds of each text.
 
-    A shingle's low bits are the length of its middle word.
+    A shingle's low bits are its count in the text.
     """
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -88,7 +91,7 @@ def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     hashed = np.zeros(n, np.uint64)
     for k in range(WORDS):
         hashed = mix(hashed + flat[k: n + k] + _M1)
-    hashed = (hashed & ~_LENGTH) | (flat[WORDS // 2: n + WORDS // 2] & _LENGTH)
+    hashed &= ~_COUNT
     counts = np.maximum(room - WORDS + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
@@ -96,12 +99,13 @@ def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashed, owner))
     hashed, owner = hashed[order], owner[order]
     fresh = np.concatenate(([True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, bool)
-    hashed, owner = hashed[fresh], owner[fresh]
+    counts = np.diff(np.append(np.flatnonzero(fresh), len(owner)))
+    hashed, owner = hashed[fresh] | np.minimum(counts, 63).astype(np.uint64), owner[fresh]
     return hashed, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def weights(shingles: np.ndarray) -> np.ndarray:
-    return 0.6 + np.minimum((shingles & _LENGTH).astype(float), 27) / 30
+    return 1.5 - 0.5 / np.maximum((shingles & _COUNT).astype(float), 1)
 
 
 def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -113,7 +117,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     weight = weights(shingles)
     total = np.bincount(owner, weight, minlength=n)
     until = SLOTS * (math.log(SLOTS) + EXTRA) / np.maximum(total, 1e-9)
-    time, element, j = np.zeros(len(shingles)), shingles, 0
+    time, element, j = np.zeros(len(shingles)), shingles & ~_COUNT, 0
     while len(element):
         j += 1
         h = mix(element ^ np.uint64(j * int(_M1) & 0xFFFFFFFFFFFFFFFF))
@@ -154,6 +158,7 @@ def collect_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(codes) > 1_000_000:
             codes.clear()
         shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
+        shingles = shingles & ~_COUNT
         whole = shingles.view(np.int64)
         ends = list(zip(bounds[:-1], bounds[1:]))
         yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in ends], "bits": [bitmap(shingles[a:b]) for a, b in ends]})
@@ -164,13 +169,19 @@ def node_of(text: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets in ``sets`` (node, shingles) have a Jaccard of at least ``least``."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    full = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The stored pairs (a, b) whose shingle sets in ``sets`` (node, shingles) have a Jaccard of at least ``least``."""
+    left = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    full = spread_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b", hot=hot_keys(pairs, "b"), by=["a", "b"])
     common = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
+def hot_bands(members: DataFrame) -> DataFrame:
+    """(band, _hot) of the buckets of (band, size) rows that hold more than HOT_SHARE of them."""
+    least = max(members.count() * HOT_SHARE, LEAST_HOT)
+    return stored(members.where(F.col("size") > least).select("band", F.lit(True).alias("_hot")).distinct())
+
+
 def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
     """Members of large buckets with each bucket's ``count`` most central nodes: (a, n, b, n2).
 
@@ -183,7 +194,7 @@ def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
     heads = fifth.groupBy("band", "same").agg(F.max(F.struct("c", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
     rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("p.c"), F.desc("p.h"), "p.node"))
     pivots = heads.withColumn("rank", rank).where(F.col("rank") <= count).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
-    return fifth.select("band", F.col("node").alias("a"), "n").join(pivots, "band")
+    return spread_join(fifth.select("band", F.col("node").alias("a"), "n"), pivots, "band", hot=hot_bands(large))
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -203,7 +214,7 @@ def open_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
     bands = parts.groupBy("band").agg(F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all")).where("parts > 1")
     bands = bands.select("band", F.col("main.label").alias("main"), F.ceil((F.col("all") - F.col("main.count")) / QUERIES).cast("int").alias("is"),
                          F.ceil(F.col("all") / MEMBERS).cast("int").alias("js"))
-    open_ = labelled.join(bands, "band").withColumn("query", F.col("label") != F.col("main"))
+    open_ = spread_join(labelled, bands, "band", hot=hot_bands(large), by=["node"]).where("main IS NOT NULL").withColumn("query", F.col("label") != F.col("main"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ("band", "node", "n", "label", "query")
@@ -252,8 +263,10 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     rows = cut(text_key.mapInPandas(measure, "key string, node string, n int, bands array<long>").withColumn("key", F.col("key").cast(kind)))
     nodes = rows.groupBy("node").agg(F.min("key").alias("first"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     members = nodes.select("node", "n", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(members.join(sizes, "band"))
+    sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    many = max((sizes.agg(F.sum("size")).first()[0] or 0) * HOT_SHARE, LEAST_HOT)
+    hot = sizes.where(F.col("size") > many).select("band", F.lit(True).alias("_hot"))
+    members = cut(spread_join(members, sizes, "band", hot=hot, by=["node"]).where("size IS NOT NULL"))
     candidates = members.select("node").distinct()
     sets = cut(texts.select("node", "text").join(candidates, "node", "left_semi").mapInPandas(collect_sets, "node string, shingles array<long>, bits binary")
                .groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("bits").alias("bits")))
@@ -265,7 +278,7 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     large = members.where(F.col("size") > SMALL)
 
     dealt = central_pairs(large).where(alike).select(*ordered)
-    labels = components(cut(verified(pairs.unionByName(dealt).distinct(), sets, least)))
+    labels = components(cut(verified(cut(pairs.unionByName(dealt).distinct()), sets, least)))
     left = cut(links_left(large, labels, sets, least))
     if not left.isEmpty():
         labels = components(left, labels)
@@ -278,7 +291,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", least: float = LE
     rows, of_node = text_classes(documents, key, least)
     classes = of_node.groupBy("label").agg(F.min("first").alias("class_id"))
     of_node = of_node.join(classes, "label").select("node", "class_id")
-    return rows.join(of_node, "node").select(F.col("key").alias(key), "class_id", F.col("n").alias("n_shingles"))
+    return spread_join(rows, of_node, "node").select(F.col("key").alias(key), "class_id", F.col("n").alias("n_shingles"))
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:

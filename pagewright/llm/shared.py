@@ -62,15 +62,26 @@ LEAST_HOT = 500
 SALTS = 64
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` left joined with ``facts`` (one row a key); the rows of a hot key are dealt to SALTS parts by their hash.
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _hot) of the keys that hold more than HOT_SHARE of ``rows``, and LEAST_HOT of them."""
+    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
+    return stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
+
+
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _hot) of the keys that hold more than HOT_SHARE of ``rows``, and LEAST_HOT of them."""
+    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
+    return stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
 
-    Hot keys are counted over all rows; only their list, bounded by 1 / HOT_SHARE, is broadcast.
+
+def spread_join(rows: DataFrame, facts: DataFrame, *keys: str, hot: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """``rows`` left joined with ``facts``; the rows of a hot key are dealt to SALTS parts by a hash of the columns ``by`` (all).
+
+    Hot keys (see hot_keys) are counted over all rows; only their list, bounded by 1 / HOT_SHARE, is broadcast.
     """
     keys = list(keys)
-    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
-    hot = stored(rows.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
-    plain = [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    hot = hot_keys(rows, *keys) if hot is None else hot
+    plain = by or [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
