@@ -6,9 +6,11 @@ can reach across it.  All windows of the test items are searched backward at onc
 through wavelet-tree ranks, their occurrences located by sampled suffix positions,
 and overlapping ones merged into removal spans.  Nothing is shuffled.
 
-Test items reach the workers in blocks of bounded size (BLOCK_CHARS); a document
-passes the blocks one after the other within its task and gathers spans, so a
-benchmark of any size works and no block's size depends on it.
+Test items reach the workers in groups of about GROUP_CHARS, by hash, each in blocks of
+BLOCK_CHARS: the size of the benchmark is measured first, only one group is read by the
+driver and broadcast at a time, and where there are several, the documents pass them one
+after the other, gathering spans in a table that is written between the passes.  A task
+builds each block's phrases once, as arrays.
 
 Defined cases: null text has no words; an item without words has no window; an
 item of fewer than 10 words is one window; items with a null id mark words but are
@@ -20,18 +22,22 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.llm.fm_index import FMIndex
-from pagewright.llm.shared import bound_batches, table
+from pagewright.llm.shared import bound_batches, cut, table
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
+#: Characters of test items that are broadcast at once, about.
+GROUP_CHARS = 16_000_000
 #: Words are runs of digits, letters and anything beyond ASCII; A-Z are lowered. On UTF-8 bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -41,20 +47,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of test items, as symbols."""
+    """The windows of a block of test items, as rows of symbols, and the items of each."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            words = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                windows.setdefault(tuple(words[i: i + window]), set()).add(item)
+        self.names = [item for item, _ in items]
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for number, (_, text) in enumerate(items):
+            words = np.array([self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)], np.int32)
+            size = min(len(words), window)
+            if size:
+                made = np.lib.stride_tricks.sliding_window_view(words, size)
+                rows.setdefault(size, []).append(made)
+                owners.setdefault(size, []).append(np.full(len(made), number))
         self.sigma = len(self.symbols) + 2
-        self.by_length: list[tuple[np.ndarray, list[set]]] = []
-        for _, group in itertools.groupby(sorted(windows, key=len), key=len):
-            group = list(group)
-            self.by_length.append((np.array(group, np.int64), [windows[w] for w in group]))
+        #: (patterns, begin of each pattern's items, items) by length.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in sorted(rows):
+            patterns, which = np.unique(np.concatenate(rows[size]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel(), np.concatenate(owners[size]))), axis=1)
+            self.by_length.append((patterns.astype(np.int64), np.searchsorted(pairs[0], np.arange(len(patterns) + 1)), pairs[1]))
 
 
 def search(texts: list, phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
@@ -78,7 +91,7 @@ def search(texts: list, phrases: Phrases) -> tuple[list[int], list[list[tuple[in
     where = np.flatnonzero(keep)
     index = FMIndex(symbols[where], phrases.sigma)
     edges = np.zeros(len(symbols) + 1, np.int64)
-    for patterns, owners in phrases.by_length:
+    for patterns, begins_of, owners in phrases.by_length:
         which, low, high = index.find(patterns)
         if not len(which):
             continue
@@ -89,7 +102,7 @@ def search(texts: list, phrases: Phrases) -> tuple[list[int], list[list[tuple[in
         np.add.at(edges, at + patterns.shape[1], -1)
         pairs = np.unique(np.stack((np.searchsorted(starts, at, side="right") - 1, np.repeat(which, many))), axis=1)
         for document, window in pairs.T.tolist():
-            items[document] |= owners[window]
+            items[document].update(phrases.names[i] for i in owners[begins_of[window]: begins_of[window + 1]])
     hit = np.diff(np.concatenate(([0], (np.cumsum(edges[:-1]) > 0).astype(np.int8), [0])))
     begins, ends = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
     for document, a, b in zip((np.searchsorted(starts, begins, side="right") - 1).tolist(), begins.tolist(), ends.tolist()):
@@ -122,49 +135,56 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Searcher:
-    """Searches texts for all blocks, on a worker; only one block's phrases are held at a time."""
+    """Searches texts for all blocks of a group, on a worker."""
 
     def __init__(self, sent: list):
-        self.sent, self.held = sent, {}
-
-    def _phrases(self, k: int) -> Phrases:
-        if k not in self.held:
-            self.held = {k: Phrases(self.sent[k].value)}
-        return self.held[k]
+        self.phrases = [Phrases(block.value) for block in sent]
 
     def __call__(self, texts: list) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
-        counts, spans, items = search(texts, self._phrases(0))
-        for k in range(1, len(self.sent)):
-            _, more, named = search(texts, self._phrases(k))
+        counts, spans, items = search(texts, self.phrases[0])
+        for phrases in self.phrases[1:]:
+            _, more, named = search(texts, phrases)
             spans = [merge([*x, *y]) for x, y in zip(spans, more)]
             items = [x | y for x, y in zip(items, named)]
         return counts, spans, items
 
 
-def send_blocks(benchmark: DataFrame) -> list:
-    """Broadcasts of the blocks of test items, one at least."""
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(b) for b in blocks(benchmark)] or [context.broadcast([])]
-
-
 FOUND = "n_words long, span_words array<int>, items array<string>"
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, span_words, items) of each row of (key, text); spans as start, end, start, end, ..."""
-    bound_batches(documents.sparkSession)
-    sent = send_blocks(benchmark)
-    kind = documents.schema[key].dataType.simpleString()
+def searched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(row, text) rows with n_words, span_words (start, end, start, end, ...) and the sorted items found in the text."""
+    bound_batches(rows.sparkSession)
+    context = rows.sparkSession.sparkContext
+    items = benchmark.select("item_id", "text").distinct()
+    groups = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / GROUP_CHARS))
+    state = rows.selectExpr("row", "text", "0L AS n_words", "cast(array() AS array<int>) AS span_words", "cast(array() AS array<string>) AS items")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch], sent: list) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(sent)
         for batch in batches:
-            counts, spans, items = searcher(batch.column(1).to_pylist())
+            counts, spans, named = searcher(batch.column(1).to_pylist())
+            spans = [merge([*zip(old[::2], old[1::2]), *new]) for old, new in zip(batch.column(3).to_pylist(), spans)]
+            named = [sorted({*old, *(x for x in new if x is not None)}) for old, new in zip(batch.column(4).to_pylist(), named)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
-                pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.string()))], ["key", "n_words", "span_words", "items"])
+                *batch.columns[:2], pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
+                pa.array(named, pa.list_(pa.string()))], ["row", "text", "n_words", "span_words", "items"])
 
-    return documents.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, {FOUND}").withColumnRenamed("key", key)
+    for group in range(groups):
+        mine = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+        sent = [context.broadcast(b) for b in blocks(mine)] or [context.broadcast([])]
+        state = state.mapInArrow(lambda batches, sent=sent: find(batches, sent), state.schema)
+        if group < groups - 1:
+            state = cut(state)
+            for block in sent:
+                block.unpersist()
+    return state
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, span_words, items) of each row of (key, text); spans as start, end, start, end, ..."""
+    rows = documents.select(F.struct(F.col(key).alias("key")).alias("row"), "text")
+    return searched(rows, benchmark).select(F.col("row.key").alias(key), "n_words", "span_words", "items")
 
 
 def without_spans(text: str, span_words: list[int]) -> str:
@@ -189,31 +209,29 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows without a hit stay as they are; rows of which no word is left go.
     """
-    bound_batches(documents.sparkSession)
-    sent = send_blocks(benchmark)
+    names = documents.columns
+    others = [n for n in names if n != "text"]
+    rows = documents.select((F.struct(*(F.col(f"`{n}`") for n in others)) if others else F.struct(F.lit(0).alias("none"))).alias("row"), "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(sent)
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            _, spans, _ = searcher(texts)
-            hit = [i for i, s in enumerate(spans) if s]
-            for i in hit:
-                texts[i] = without_spans(texts[i], [x for s in spans[i] for x in s])
-            if hit:
-                changed = {"text": texts}
-                if "n_chars" in names:
-                    changed["n_chars"] = batch.column(names.index("n_chars")).to_pylist()
-                    for i in hit:
-                        changed["n_chars"][i] = len(texts[i])
-                batch = pa.RecordBatch.from_arrays(
-                    [pa.array(changed[f.name], f.type) if f.name in changed else c for f, c in zip(batch.schema, batch.columns)], schema=batch.schema)
-                gone = {i for i in hit if not words_of(texts[i])}
-                batch = batch.filter(pa.array([i not in gone for i in range(len(texts))]))
-            yield batch
-
-    return documents.mapInArrow(clean, documents.schema)
+            texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cleaned = [without_spans(t, s) if s else t for t, s in zip(texts, spans)]
+            gone = pa.array([bool(s) and not words_of(t) for t, s in zip(cleaned, spans)])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(cleaned, pa.string()), pa.array([bool(s) for s in spans]), gone], ["row", "text", "hit", "gone"])
+
+    found = searched(rows, benchmark).select("text", "span_words", "row")
+    kept = found.mapInArrow(clean, T.StructType([found.schema["row"], found.schema["text"], T.StructField("hit", T.BooleanType()), T.StructField("gone", T.BooleanType())])).where("NOT gone")
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col(f"row.`{name}`")
+        if name == "n_chars":
+            own = F.when(F.col("hit"), F.length("text").cast(documents.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return kept.select(*map(column, names))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
