@@ -3,6 +3,12 @@
 ``run`` writes each stage's rows as Parquet in the shared folder and reads them
 again for the next, so an executor's loss costs the running stage at most.  The last
 stage returns the mix: which documents are taken, how often, and for how many words.
+
+Defined cases: null and empty texts pass the first four stages as empty texts (copies of
+each other, so one stays) and take no part in the mix; repeated rows and equal texts are
+copies, of which one row stays, that of the least id; of equal ids with different texts
+each text is judged on its own; other columns of documents are carried along; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm import decontamination, minhash, mixing, secrets, toxicity
 from pagewright.llm.shared import cut, shared_folder, table
 
-#: SQL can express neither the toxicity model nor the signatures; the tests compare stages with brute force.
+#: SQL can express neither the toxicity model nor the signatures; tests/llm/test_pipeline_stages.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 
