@@ -84,8 +84,8 @@ def spread_join(rows: DataFrame, facts: DataFrame, *keys: str, hot: DataFrame |
     plain = by or [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    parts = hot.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    spread = facts.join(F.broadcast(parts), keys, "left").withColumn("_salt", F.coalesce("_salt", F.lit(0)))
     return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
