@@ -1,7 +1,7 @@
 """Near-duplicates by ProbMinHash signatures, banding and exact verification.
 
-A text's elements are its distinct shingles of five lower-cased words, weighted by how
-often they stand in it: 1 for once, rising towards 1.5 (bounded, so that texts whose
+A text's elements are its distinct shingles of five lower-cased words, weighted by
+the length of their middle word (longer words are rarer; bounded, so that texts whose
 shingle sets overlap by 0.8 surely overlap in weight, too).  Each element is a Poisson process of arrivals at
 random slots whose rate is its weight; a slot keeps the first arrival, so two texts
 agree in a slot with their probability Jaccard.  Generation stops early: arrivals
@@ -52,8 +52,7 @@ PIVOTS, BITS = 16, 4096
 QUERIES, MEMBERS = 1024, 8192
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: The low bits of a shingle's code hold how often it stands in its text, 63 at most.
-_COUNT = np.uint64(63)
+_LENGTH = np.uint64(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,17 +63,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Codes(dict):
-    """Hashes of words."""
+    """Word codes: a hash with the word's length (63 at most) in the low bits."""
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = self[word] = xxhash.xxh3_64_intdigest(word) & ~63 | min(len(word), 63)
         return code
 
 
 def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, by text and sorted, and the [start, end) bounds of each text.
 
-    A shingle's low bits are its count in the text.
+    A shingle's low bits are the length of its middle word.
     """
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -91,7 +90,7 @@ def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     hashed = np.zeros(n, np.uint64)
     for k in range(WORDS):
         hashed = mix(hashed + flat[k: n + k] + _M1)
-    hashed &= ~_COUNT
+    hashed = (hashed & ~_LENGTH) | (flat[WORDS // 2: n + WORDS // 2] & _LENGTH)
     counts = np.maximum(room - WORDS + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
@@ -99,13 +98,12 @@ def shingle_sets(texts: list, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashed, owner))
     hashed, owner = hashed[order], owner[order]
     fresh = np.concatenate(([True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, bool)
-    counts = np.diff(np.append(np.flatnonzero(fresh), len(owner)))
-    hashed, owner = hashed[fresh] | np.minimum(counts, 63).astype(np.uint64), owner[fresh]
+    hashed, owner = hashed[fresh], owner[fresh]
     return hashed, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def weights(shingles: np.ndarray) -> np.ndarray:
-    return 1.5 - 0.5 / np.maximum((shingles & _COUNT).astype(float), 1)
+    return 0.6 + np.minimum((shingles & _LENGTH).astype(float), 27) / 30
 
 
 def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -117,7 +115,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     weight = weights(shingles)
     total = np.bincount(owner, weight, minlength=n)
     until = SLOTS * (math.log(SLOTS) + EXTRA) / np.maximum(total, 1e-9)
-    time, element, j = np.zeros(len(shingles)), shingles & ~_COUNT, 0
+    time, element, j = np.zeros(len(shingles)), shingles, 0
     while len(element):
         j += 1
         h = mix(element ^ np.uint64(j * int(_M1) & 0xFFFFFFFFFFFFFFFF))
@@ -158,7 +156,6 @@ def collect_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(codes) > 1_000_000:
             codes.clear()
         shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
-        shingles = shingles & ~_COUNT
         whole = shingles.view(np.int64)
         ends = list(zip(bounds[:-1], bounds[1:]))
         yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in ends], "bits": [bitmap(shingles[a:b]) for a, b in ends]})
