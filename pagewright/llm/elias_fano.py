@@ -43,6 +43,7 @@ class EliasFano:
         flags[high + np.arange(n)] = 1
         upper = np.packbits(flags, bitorder="little").view(np.uint64)
         self.zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))))
+        self.ones = np.arange(1, len(self.zeros)) * 64 - self.zeros[1:]
         self.words, self.upper = mapped(words), mapped(upper)
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
@@ -95,9 +96,8 @@ class EliasFano:
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at indices: high bits by the rank of the i-th one."""
-        ones = np.arange(1, len(self.zeros)) * 64 - self.zeros[1:]
-        word = np.searchsorted(ones, i, side="right")
-        rest = i - np.where(word > 0, ones[np.maximum(word - 1, 0)], 0)
+        word = np.searchsorted(self.ones, i, side="right")
+        rest = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0)
         bits = np.asarray(self.upper)[word]
         position = np.zeros(len(i), np.int64)
         for step in (32, 16, 8, 4, 2, 1):
@@ -135,50 +135,44 @@ class Level:
         self.pointers = EliasFano(np.concatenate(([0], ends)), max(1, int(len(successors)).bit_length()))
         self.successors = EliasFano((context_index.astype(np.uint64) << self.bits) | successors.astype(np.uint64), bits + max(1, contexts.bit_length()))
 
-    def find(self, context_index: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Places of successors between the two pointers of their contexts; -1 where there is none, or no context (-1)."""
-        out = np.full(len(context_index), -1, np.int64)
-        open_ = np.flatnonzero(context_index >= 0)
-        if not self.successors.n or not len(open_):
-            return out
-        context = context_index[open_]
-        left, end = (self.pointers.at(context + k).astype(np.int64) for k in (0, 1))
-        right, wanted = end, successors[open_].astype(np.uint64)
-        base = context.astype(np.uint64) << self.bits
-        while len(open_):
-            # Successor search relative to the context: the first place not below the wanted code.
+    def find(self, context_index: np.ndarray, many: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Places of successors, ``many`` for each context, between its two pointers; -1 where there is none, or no context (-1).
+
+        The search for the first place not below a successor stays inside the context's
+        range and inside the high-bit bucket of the successor relative to the context.
+        """
+        coded = self.successors
+        if not coded.n or not len(successors):
+            return np.full(len(successors), -1, np.int64)
+        known = np.maximum(context_index, 0)
+        begin, end = (self.pointers.at(known + k).astype(np.int64) for k in (0, 1))
+        begin, end = np.repeat(np.where(context_index >= 0, begin, 0), many), np.repeat(np.where(context_index >= 0, end, 0), many)
+        wanted = (np.repeat(known, many).astype(np.uint64) << self.bits) | successors.astype(np.uint64)
+        low = wanted & coded.low_mask
+        left, right = coded.bucket((wanted >> np.uint64(coded.low_bits)).astype(np.int64))
+        left, right = np.maximum(left, begin), np.minimum(right, end)
+        last = right
+        while (open_ := left < right).any():
             middle = (left + right) >> 1
-            inside = left < right
-            found = self.successors.at(np.minimum(middle, self.successors.n - 1)) - base
-            hit = inside & (found == wanted)
-            out[open_[hit]] = middle[hit]
-            less = found < wanted
-            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
-            on = inside & ~hit
-            open_, left, right, wanted, base = open_[on], left[on], right[on], wanted[on], base[on]
-        return out
+            less = open_ & (coded.low(np.minimum(middle, coded.n - 1)) < low)
+            left, right = np.where(less, middle + 1, left), np.where(open_ & ~less, middle, right)
+        same = (left < last) & (coded.low(np.minimum(left, coded.n - 1)) == low)
+        return np.where(same, left, -1)
 
 
 class Trie:
-    """Three levels: contexts, their successors, and the successors of those pairs, with quantised probabilities.
+    """Two levels under the root: contexts and their successors, with quantised probabilities.
 
     A successor's probability is its count over its context's count plus ``smoothing``; the
-    rest, smoothing / (count + smoothing), is the weight of the next lower order.  Words are
+    rest, smoothing / (count + smoothing), is the weight of the lower order.  Words are
     numbered within the trie by their codes of 48 bits.
     """
 
-    def __init__(self, contexts: np.ndarray, words: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, totals: np.ndarray,
-                 triple_pair: np.ndarray, triple_word: np.ndarray, counts: np.ndarray, smoothing: float):
-        """Sorted distinct ``contexts`` and ``words``; pairs and triples sorted and distinct; training counts of triples, totals of contexts."""
-        bits = max(1, len(words).bit_length())
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, context: np.ndarray, word: np.ndarray, counts: np.ndarray, totals: np.ndarray, smoothing: float):
+        """Sorted distinct ``contexts`` and ``words``; (context, word) indices sorted and distinct, with training counts; totals of contexts."""
         self.contexts, self.words = EliasFano(contexts, 64), EliasFano(words, 48)
-        self.pairs = Level(pair_context, pair_word, len(contexts), bits)
-        self.triples = Level(triple_pair, triple_word, len(pair_word), bits)
-        of_pair = np.bincount(triple_pair, counts, minlength=len(pair_word))
-        share = lambda x, n: log_codes(x / (n + smoothing))
-        self.context_weights, self.pair_weights = mapped(share(smoothing, totals)), mapped(share(smoothing, of_pair))
-        self.pair_codes = mapped(share(of_pair, totals[pair_context]))
-        self.triple_codes = mapped(share(counts, of_pair[triple_pair]))
+        self.pairs = Level(context, word, len(contexts), max(1, int(len(words)).bit_length()))
+        self.weights, self.codes = mapped(log_codes(smoothing / (totals + smoothing))), mapped(log_codes(counts / (totals[context] + smoothing)))
 
     @staticmethod
     def _taken(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -186,13 +180,7 @@ class Trie:
             return np.zeros(len(at), np.uint16)
         return np.where(at >= 0, np.asarray(codes)[np.maximum(at, 0)], 0).astype(np.uint16)
 
-    def lookup(self, contexts: np.ndarray, pairs_of: np.ndarray, second: np.ndarray, triples_of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Codes (0: none) of context weights, pair probabilities, pair weights and triple probabilities, from the root down.
-
-        ``pairs_of`` says how many ``second`` words follow each context, ``triples_of`` how many ``third`` words follow each pair.
-        """
+    def lookup(self, contexts: np.ndarray, many: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (0: none) of the contexts' weights and of the probabilities of ``words``, ``many`` for each context, from the root down."""
         context = self.contexts.index(contexts)
-        pair = self.pairs.find(np.repeat(context, pairs_of), self.words.index(second))
-        triple = self.triples.find(np.repeat(pair, triples_of), self.words.index(third))
-        return (self._taken(self.context_weights, context), self._taken(self.pair_codes, pair),
-                self._taken(self.pair_weights, pair), self._taken(self.triple_codes, triple))
+        return self._taken(self.weights, context), self._taken(self.codes, self.pairs.find(context, many, self.words.index(words)))

@@ -1,20 +1,19 @@
-"""Language-model scores from sharded Elias-Fano n-gram tries of order three, trained on the corpus.
+"""Language-model scores from sharded Elias-Fano n-gram tries trained on the corpus.
 
-The model interpolates trigrams and bigrams with the add-half unigrams of the contract:
-P(w | u v) = (c(u v w) + K P(w | v)) / (c(u v) + K), P(w | v) = (c(v w) + K P(w)) / (c(v) + K);
-a text's first word has the begin mark as its only context.
+The model interpolates bigrams with the add-half unigrams of the contract:
+P(w | v) = (c(v w) + K P(w)) / (c(v) + K).
 
 Documents are worked on in chunks of about CHUNK_BYTES of text.  Each chunk is read once
-and written to the shared folder: its distinct triples of words, and which one stands at
-each token.  A chunk sends each shard its words and the triples that fall there, with their
-training counts (one packed row per chunk and shard).  A shard adds the counts of all
-chunks, builds its trie (contexts, then their successors, then the successors of those
-pairs) and looks up what the chunks sent; the answers go back as 16-bit codes on one scale,
-and the chunk's tokens are scored with them.  Nothing is pruned or capped.
+and written to the shared folder as packed word numbers, so later passes see the same
+chunks whatever is lost.  A chunk sends each shard its words and the distinct pairs that
+fall there, with their training counts (one packed row per chunk and shard).  A shard adds the counts of all
+chunks, builds its trie (contexts, then their successors) and looks up what the chunks
+sent; the answers go back as 16-bit codes on one scale, and the chunk's tokens are scored
+with them.  Nothing is pruned or capped.
 
-Triples are dealt to shards by their first word, so a shard's three levels are whole.
-Words that alone would fill a good part of a shard are dealt by first and second word, with
-their exact counts; a sample that grows with the corpus only finds them (a hint for balance).
+Pairs are dealt to shards by their first word.  Words that alone would fill a good part of
+a shard are dealt by both words, with their exact counts; a sample that grows with the
+corpus only finds them (a hint for balance).
 
 Words have 64-bit codes; a shard numbers them by 48 of these bits, by which the successors
 of one context are told apart (two of a million clash with a chance of 0.002).
@@ -42,7 +41,7 @@ from pagewright.llm.elias_fano import Trie, log_values
 from pagewright.llm.shared import NOT_SPACE, bound_batches, cut, fold, table
 
 SMOOTHING = 20.0
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 14 << 20
 #: Training tokens of a shard, and shards at least.
 SHARD_TOKENS, LEAST_SHARDS = 1_500_000, 8
 #: Letters and space of a token, about.
@@ -50,8 +49,8 @@ TOKEN_CHARS = 6
 #: Documents of the sample at least, and its share of the documents; the share of a shard that makes a word heavy.
 SAMPLE, SAMPLE_SHARE, HEAVY = 5_000, 1 / 20_000, 0.125
 
-BEGIN, END, AFTER = 0, 1, 2
-_CODES = (xxhash.xxh3_64_intdigest(b"begin of text", 7), xxhash.xxh3_64_intdigest(b"end of text", 7), xxhash.xxh3_64_intdigest(b"after the end", 7))
+BEGIN, END = 0, 1
+_CODES = (xxhash.xxh3_64_intdigest(b"begin of text", 7), xxhash.xxh3_64_intdigest(b"end of text", 7))
 
 
 class _Vocabulary(dict):
@@ -71,7 +70,11 @@ def unpack(data: bytes) -> tuple:
 class Chunk:
     """Tokens of some documents as word numbers by order of appearance, the words' codes, and the documents' lengths."""
 
-    def __init__(self, texts: list):
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray):
+        self.ids, self.codes, self.lengths = ids, codes, lengths
+
+    @classmethod
+    def of(cls, texts: list) -> Chunk:
         vocabulary = _Vocabulary()
         number, parts, lengths = vocabulary.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -80,38 +83,36 @@ class Chunk:
             part = np.full(len(words) + 1, END, np.int32)
             part[:-1] = np.fromiter(map(number, words), np.int32, len(words))
             parts.append(part)
-        self.ids, self.lengths = np.concatenate(parts), lengths
-        self.codes = np.fromiter((*_CODES, *map(xxhash.xxh3_64_intdigest, vocabulary)), np.uint64, len(vocabulary) + len(_CODES))
+        codes = np.fromiter((*_CODES, *map(xxhash.xxh3_64_intdigest, vocabulary)), np.uint64, len(vocabulary) + len(_CODES))
+        return cls(np.concatenate(parts), codes, lengths)
+
+    def word_order(self, shards: int) -> np.ndarray:
+        """Words by shard."""
+        return np.argsort((self.codes % np.uint64(shards)).astype(np.int32), kind="stable")
 
 
 class Layout:
-    """A chunk's distinct (context, word, next word) triples in order of shard, context and word.
+    """A chunk's distinct (context, word) pairs in order of shard and context.
 
-    ``triple`` is the place of each token's triple; ``triples_of`` counts the triples of each
-    pair, ``pairs_of`` the pairs of each context (of a shard).
+    ``pair`` is the place of each token's pair; ``many`` counts the pairs of each context (of a shard).
     """
 
     def __init__(self, chunk: Chunk, shards: int, heavy: np.ndarray):
         starts = np.cumsum(chunk.lengths) - chunk.lengths
-        before, after = np.empty_like(chunk.ids), np.empty_like(chunk.ids)
+        before = np.empty_like(chunk.ids)
         before[1:], before[starts] = chunk.ids[:-1], BEGIN
-        after[:-1] = chunk.ids[1:]
-        after[starts + chunk.lengths - 1] = AFTER
         pairs, pair = np.unique((before.astype(np.int64) << 32) | chunk.ids, return_inverse=True)
-        first, second = pairs >> 32, pairs & 0xFFFFFFFF
+        first, second = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         code = chunk.codes[first]
         both = (code ^ (chunk.codes[second] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
         shard = (np.where(np.isin(chunk.codes, heavy)[first], both, code) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.shard, self.second, first = shard[order], second[order].astype(np.int32), first[order]
-        triples, triple = np.unique((rank[pair] << 32) | after, return_inverse=True)
-        self.triple, self.third = triple.astype(np.int32), (triples & 0xFFFFFFFF).astype(np.int32)
-        self.triples_of = np.bincount(triples >> 32, minlength=len(order))
-        fresh = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (self.shard[1:] != self.shard[:-1]))))
-        self.first, self.pairs_of = first[fresh], np.diff(np.append(fresh, len(order)))
-        self.first_shard = self.shard[fresh]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.pair, self.second = rank[pair], second[order]
+        shard, first = shard[order], first[order]
+        fresh = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (shard[1:] != shard[:-1]))))
+        self.first, self.first_shard, self.many = first[fresh], shard[fresh], np.diff(np.append(fresh, len(order))).astype(np.uint32)
 
 
 def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, np.ndarray, list]]:
@@ -154,37 +155,35 @@ def count_heavy(batches: Iterator[pd.DataFrame], words: list[bytes]) -> Iterator
     yield pd.DataFrame({"place": np.arange(len(sums)), "count": sums})
 
 
-def hold(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(chunk, sent, kept): what each chunk tells the shards, and what its scoring needs."""
+def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(chunk, payload): the chunks' tokens, packed."""
     for number, texts, train, keys in chunks_of(batches):
-        chunk = Chunk(texts)
-        layout = Layout(chunk, shards, heavy)
-        trained = np.repeat(train, chunk.lengths)
-        words = np.bincount(chunk.ids[trained], minlength=len(chunk.codes))
-        counts = np.bincount(layout.triple[trained], minlength=len(layout.third))
-        word_order = np.argsort((chunk.codes % np.uint64(shards)).astype(np.int32), kind="stable").astype(np.int32)
-        sent = pack(planes(layout.third), counts.astype(np.uint32), layout.first.astype(np.int32), layout.first_shard, chunk.codes[word_order], words[word_order].astype(np.uint32), chunk.codes)
-        kept = pack(planes(layout.triple), word_order, chunk.lengths, train, keys)
-        both = pack(planes(layout.second), layout.triples_of.astype(np.uint32), layout.pairs_of.astype(np.uint32))
-        yield pd.DataFrame({"chunk": [number], "sent": [sent], "kept": [kept], "both": [both]})
-
-
-def send(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
-    """What each chunk asks of and tells each shard that has words or triples of it."""
+        chunk = Chunk.of(texts)
+        yield pd.DataFrame({"chunk": [number], "payload": [pack(planes(chunk.ids), chunk.codes, chunk.lengths, train, keys)]})
+
+
+def held(payload: bytes) -> tuple[Chunk, np.ndarray, list]:
+    """The chunk, which of its documents train, and their keys."""
+    ids, codes, lengths, train, keys = unpack(payload)
+    return Chunk(numbers(ids).astype(np.int32), codes, lengths), train, keys
+
+
+def send(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
+    """What each chunk asks of and tells each shard that has words or pairs of it."""
     for batch in batches:
-        for number, sent, both in zip(batch["chunk"], batch["sent"], batch["both"]):
-            third, counts, first, first_shard, word_codes, words, codes = unpack(sent)
-            second, triples_of, pairs_of = unpack(both)
-            third, second = numbers(third).astype(np.int64), numbers(second).astype(np.int64)
-            word_shard = (word_codes % np.uint64(shards)).astype(np.int64)
-            met = np.union1d(first_shard, word_shard)
+        for number, payload in zip(batch["chunk"], batch["payload"]):
+            chunk, train, _ = held(payload)
+            layout, order, codes = Layout(chunk, shards, heavy), chunk.word_order(shards), chunk.codes
+            trained = np.repeat(train, chunk.lengths)
+            words = np.bincount(chunk.ids[trained], minlength=len(codes)).astype(np.uint32)
+            counts = np.bincount(layout.pair[trained], minlength=len(layout.second)).astype(np.uint32)
+            word_shard = (codes[order] % np.uint64(shards)).astype(np.int64)
+            met = np.union1d(layout.first_shard, word_shard)
             edges = np.append(met, shards)
-            w, u = np.searchsorted(word_shard, edges), np.searchsorted(first_shard, edges)
-            p = np.concatenate(([0], np.cumsum(pairs_of.astype(np.int64))))[u]
-            t = np.concatenate(([0], np.cumsum(triples_of.astype(np.int64))))[p]
-            short = codes >> np.uint64(16)
-            rows = [(s, number, pack(word_codes[w[i]: w[i + 1]], words[w[i]: w[i + 1]], codes[first[u[i]: u[i + 1]]], pairs_of[u[i]: u[i + 1]], planes(short[second[p[i]: p[i + 1]]], 6),
-                                     triples_of[p[i]: p[i + 1]], planes(short[third[t[i]: t[i + 1]]], 6), counts[t[i]: t[i + 1]]))
+            w, c = np.searchsorted(word_shard, edges), np.searchsorted(layout.first_shard, edges)
+            p = np.concatenate(([0], np.cumsum(layout.many.astype(np.int64))))[c]
+            rows = [(s, number, pack(codes[order[w[i]: w[i + 1]]], words[order[w[i]: w[i + 1]]], codes[layout.first[c[i]: c[i + 1]]], layout.many[c[i]: c[i + 1]],
+                                     planes(codes[layout.second[p[i]: p[i + 1]]] >> np.uint64(16), 6), counts[p[i]: p[i + 1]]))
                     for i, s in enumerate(met.tolist())]
             yield pd.DataFrame(rows, columns=["shard", "chunk", "payload"])
 
@@ -198,40 +197,34 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def build(asked: list[tuple], heavy: dict[int, int]) -> Trie:
-    """The trie of a shard from what the chunks sent: (words, counts, contexts, pairs_of, second, triples_of, third, counts) each."""
+    """The trie of a shard from what the chunks sent: (word codes, counts, contexts, many, successors, counts) each."""
     contexts = np.unique(np.concatenate([a[2] for a in asked]))
-    words = np.unique(np.concatenate([x for a in asked for x in (a[4], a[6])]))
+    words = np.unique(np.concatenate([a[4] for a in asked]))
     bits = np.uint64(max(1, len(words).bit_length()))
-    keys, thirds, counts = [], [], []
+    keys, counts = [], []
     for a in asked:
-        seen = a[7] > 0
-        pair = (np.repeat(np.searchsorted(contexts, a[2]), a[3]).astype(np.uint64) << bits) | np.searchsorted(words, a[4]).astype(np.uint64)
-        keys.append(np.repeat(pair, a[5])[seen])
-        thirds.append(np.searchsorted(words, a[6][seen]).astype(np.uint64))
-        counts.append(a[7][seen])
-    key = np.concatenate(keys)
-    pairs = np.unique(key)
-    triple, count = _summed((np.searchsorted(pairs, key).astype(np.uint64) << bits) | np.concatenate(thirds), np.concatenate(counts))
-    of = (triple >> bits).astype(np.int64)
-    context = (pairs >> bits).astype(np.int64)
-    totals = np.bincount(context, np.bincount(of, count, minlength=len(pairs)), minlength=len(contexts))
+        seen = a[5] > 0
+        keys.append((np.repeat(np.searchsorted(contexts, a[2]), a[3])[seen].astype(np.uint64) << bits) | np.searchsorted(words, a[4][seen]).astype(np.uint64))
+        counts.append(a[5][seen])
+    key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+    context = (key >> bits).astype(np.int64)
+    totals = np.bincount(context, count, minlength=len(contexts))
     for i in np.flatnonzero(np.isin(contexts, np.array(list(heavy), np.uint64))):
         totals[i] = heavy[int(contexts[i])]
     # Contexts that training texts lack are left out; a query for one has weight code 0.
     known = np.flatnonzero(totals > 0)
     renumber = np.full(len(contexts), -1, np.int64)
     renumber[known] = np.arange(len(known))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    return Trie(contexts[known], words, renumber[context], pairs & mask, totals[known], of, triple & mask, count, SMOOTHING)
+    return Trie(contexts[known], words, renumber[context], key & ((np.uint64(1) << bits) - np.uint64(1)), count, totals[known], SMOOTHING)
 
 
 def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
     """A shard: adds the counts, builds the trie, and answers every chunk in the order it asked."""
     asked = [unpack(p) for p in group["payload"]]
-    asked = [(*a[:4], numbers(a[4]), a[5], numbers(a[6]), a[7]) for a in asked]
+    asked = [(*a[:4], numbers(a[4]), a[5]) for a in asked]
     words, sums = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
     trie = build(asked, heavy)
-    rows = [(chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), *trie.lookup(*a[2:7])))
+    rows = [(chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), *trie.lookup(*a[2:5])))
             for chunk, a in zip(group["chunk"], asked)]
     out = pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
     return out.assign(tokens=[int(sums.sum())] + [0] * (len(out) - 1), distinct=[int((sums > 0).sum())] + [0] * (len(out) - 1))
@@ -240,29 +233,21 @@ def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
 SCORES = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(held: pd.DataFrame, answers: pd.DataFrame, tokens: int, distinct: int) -> pd.DataFrame:
-    triple, word_order, lengths, train, keys = unpack(held["kept"].iloc[0])
-    second, triples_of, pairs_of = unpack(held["both"].iloc[0])
-    triple, second = numbers(triple).astype(np.int64), numbers(second).astype(np.int64)
+def score(kept: pd.DataFrame, answers: pd.DataFrame, shards: int, heavy: np.ndarray, tokens: int, distinct: int) -> pd.DataFrame:
+    chunk, train, keys = held(kept["payload"].iloc[0])
+    layout, order, lengths = Layout(chunk, shards, heavy), chunk.word_order(shards), chunk.lengths
     replies = [unpack(p) for _, p in sorted(zip(answers["shard"], answers["payload"]))]
-    sums, context_weight, pair_code, pair_weight, triple_code = (np.concatenate(x) for x in zip(*replies))
-    counts = np.empty(len(word_order), np.int64)
-    counts[word_order] = sums
+    sums, weights, codes = (np.concatenate(x) for x in zip(*replies))
+    counts = np.empty(len(order), np.int64)
+    counts[order] = sums
     unigram = (counts + 0.5) / (tokens + 0.5 * (distinct + 1))
-    of_pair = log_values(pair_code, 0.0) + np.repeat(log_values(context_weight, 1.0), pairs_of) * unigram[second]
-    pair = np.repeat(np.arange(len(second)), triples_of)[triple]
+    of_pair = np.log10(log_values(codes, 0.0) + np.repeat(log_values(weights, 1.0), layout.many) * unigram[layout.second])
     starts = np.cumsum(lengths) - lengths
-    own = of_pair[pair]
-    # The triple of the token before holds this token as its next word.
-    whole = own.copy()
-    whole[1:] = log_values(triple_code, 0.0)[triple[:-1]] + log_values(pair_weight, 1.0)[pair[:-1]] * own[1:]
-    whole[starts] = own[starts]
     each = lambda x: np.add.reduceat(x, starts)
-    word = second[pair]
     return pd.DataFrame({
         "key": pd.Series(keys, dtype=object),
-        "held_out": ~train, "n_tokens": lengths, "n_known": each((counts[word] > 0).astype(np.int64)), "train_tokens": tokens,
-        "base_score": each(np.log10(unigram)[word]), "score": each(np.log10(whole))})
+        "held_out": ~train, "n_tokens": lengths, "n_known": each((counts[chunk.ids] > 0).astype(np.int64)), "train_tokens": tokens,
+        "base_score": each(np.log10(unigram)[chunk.ids]), "score": each(of_pair[layout.pair])})
 
 
 def heavy_words(documents: DataFrame, shards: int) -> dict[int, int]:
@@ -292,13 +277,13 @@ def language_scores(documents: DataFrame) -> DataFrame:
     shards = max(LEAST_SHARDS, -(-size // (TOKEN_CHARS * SHARD_TOKENS)))
     totals = heavy_words(documents, shards)
     heavy = np.sort(np.array(list(totals), np.uint64))
-    chunks = cut(documents.mapInPandas(lambda b: hold(b, shards, heavy), "chunk long, sent binary, kept binary, both binary"))
-    sent = chunks.select("chunk", "sent", "both").mapInPandas(lambda b: send(b, shards), "shard int, chunk long, payload binary")
+    chunks = cut(documents.mapInPandas(hold, "chunk long, payload binary"))
+    sent = chunks.mapInPandas(lambda b: send(b, shards, heavy), "shard int, chunk long, payload binary")
     answers = cut(sent.groupBy("shard").applyInPandas(lambda g: answer(g, totals), "chunk long, shard int, payload binary, tokens long, distinct long"))
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
-    scored = chunks.select("chunk", "kept", "both").groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
-        lambda h, a: score(h, a, tokens, distinct), SCORES)
+    scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
+        lambda k, a: score(k, a, shards, heavy, tokens, distinct), SCORES)
     return scored.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", "doc_id")
 
 
