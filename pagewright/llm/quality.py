@@ -125,11 +125,11 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.2, diagonal: float = 0.1
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(statistics_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
     rows = labelled_texts(stats, table(spark, sf_dir, "labels"), "quality", "stats").toPandas()
-    model = fit(np.array(rows["stats"].tolist(), float).reshape(len(rows), -1), rows["label"].to_numpy(int))
+    model = fit(np.array(rows["stats"].tolist(), float).reshape(len(rows), len(NAMES)), rows["label"].to_numpy(int))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
     kind = stats.schema["doc_id"].dataType.simpleString()

@@ -17,7 +17,8 @@ def test_mix_of_long_texts_and_ties_without_ids(spark):
 def test_quality_and_media_queries_on_odd_tables(spark, tmp_path):
     rows = [(i, f"Plain words of text {i}, which go on. " * 9 if i % 2 else "*** bad *** ||| " * 9, "x") for i in range(80)]
     rows += [(None, None, None), (900, "", "x"), (900, "", "x"), (901, "word " * 100_000, "x"), (3, "Plain words again", "x")]
-    schema = "doc_id long, text string, score string"
+    rows = [(*r, r[2]) for r in rows]
+    schema = "doc_id long, text string, score string, source string"
     labels = [(i, i % 2, 0) for i in range(80)] + [(None, 1, 1), (4, None, None)]
     for name, given in (("full", rows), ("none", [])):
         spark.createDataFrame(given, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
