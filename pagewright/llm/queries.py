@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import chat, decontamination, html_text, matroska, minhash, mixing, ngram_lm, packing, quality, secrets, toxicity, vector_codes
+from pagewright.llm import chat, decontamination, html_text, matroska, minhash, mixing, ngram_lm, packing, quality, secrets, toxicity, turn_repair, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_matroska": matroska.op8_media_matroska,
         "op9_lm_scoring": ngram_lm.op9_lm_scoring,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_turn_repair": turn_repair.op11_turn_repair,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_packing": packing.op13_packing,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": chat.ORACLE,
         "reply_branches": chat.BRANCHES_ORACLE,
         "op10_decontamination": decontamination.ORACLE,
+        "op11_turn_repair": turn_repair.ORACLE,
         "op12_vector_codes": vector_codes.ORACLE,
     }
