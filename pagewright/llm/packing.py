@@ -241,7 +241,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, end: int = END, vocabul
         each, within = where["each"][slot], rank - where["first"][slot]
         return pd.DataFrame({"sequence_id": where["sequence"][slot] + within // each, "offset": where["offset"][slot] + within % each * length})
 
-    ranked = pieces.join(first, ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("rank")))
+    # A row a task and length: more tasks, more rows, so they are never broadcast.
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("rank")))
     return ranked.select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "start", "length", "ids_crc32", "ids", "at.sequence_id", "at.offset")
 
 
