@@ -1,5 +1,9 @@
 """Main text where elements and names mislead."""
 
+import time
+
+import pytest
+
 from pagewright.llm import html_text
 
 BODY = [f"Paragraph {i} goes on, and on. " + "It says one thing, then another, and ends. " * 9 for i in range(10)]
@@ -29,9 +33,44 @@ def test_scores_decide_inside_and_outside_of_an_article():
     assert lines(f"<article>{PARAGRAPHS}</article><div><p>{BODY[0]}{BODY[1]}</p></div>")[10:] == [f"{WANTED[0]} {WANTED[1]}"]
 
 
-def test_short_blocks_and_inline_tags_inside_an_article():
-    got = lines(f"<article><h1>Head</h1>{PARAGRAPHS}<p>So.</p><p>Short <b>one</b>.</p><ul><li>Item one.<li>Item two.</ul></article>")
-    assert got == ["Head", *WANTED, "So.", "Short one.", "Item one.", "Item two."]
+@pytest.mark.parametrize("count", [1, 2, 3, 4, 6, 10, 50])
+def test_short_blocks_lists_and_tables_inside_an_article(count):
+    items = [f"Item {i}." for i in range(count)]
+    cells = [f"c{i}" for i in range(count)]
+    end = f"<p>So.</p><p>Short <b>one</b>.</p><ul>{''.join(f'<li>{x}' for x in items)}</ul><table>{''.join(f'<tr><td>{x}</td></tr>' for x in cells)}</table>"
+    for page in (f"<article><h1>Head</h1>{PARAGRAPHS}{end}</article>", f"<div><h1>Head</h1>{PARAGRAPHS}{end}</div><div>Small print</div>"):
+        assert lines(page) == ["Head", *WANTED, "So.", "Short one.", *items, *cells]
+    between = f"<article><h1>Head</h1>{PARAGRAPHS}<div class='box'>{end}</div>{PARAGRAPHS}</article>"
+    assert lines(between)[:11] == ["Head", *WANTED] and lines(between)[-10:] == WANTED
+
+
+def test_lists_of_links_are_no_content():
+    links = "".join(f"<li><a href='/{i}'>A page with number {i}, and more</a>" for i in range(12))
+    assert lines(f"<ul>{links}</ul><article>{PARAGRAPHS}<ul>{links}</ul></article>") == WANTED
+
+
+def test_tables_as_layout_of_the_page():
+    page = f"<table><tr><td><a href='/'>Home</a></td><td><a href='/b'>News</a></td></tr><tr><td colspan=2>{PARAGRAPHS}</td></tr></table>"
+    assert [x for x in lines(page) if x not in ("Home", "News")] == WANTED
+
+
+@pytest.mark.parametrize("unit", ['<a b="', '<a b=">', "<a '\"", "<p><b>", "<!--", "</p>", "<script>", "<ul><li>", "<h1><b></h1>", "<", "&amp;<", "<div class='ad'>x"])
+def test_work_is_linear_in_broken_pages(unit):
+    took = []
+    for size in (100_000, 1_000_000):
+        page = unit * (size // len(unit))
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5
+    if '"' in unit:
+        assert took[1] < 1
+
+
+def test_quotes_without_an_end_hide_nothing():
+    assert lines(f"<div title=\"it's><p>{BODY[0]}</p></div>{PARAGRAPHS}")[-10:] == WANTED
+    assert lines(f"<p title='a > b'>{BODY[1]}</p>{PARAGRAPHS}") == [WANTED[1], *WANTED]
+    assert html_text.main_text(f"<p>{BODY[0]}</p><a href='x") == WANTED[0]
 
 
 def test_names_that_mark_real_text():
