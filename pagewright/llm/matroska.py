@@ -8,7 +8,7 @@ track, timestamp, and byte range.  ``packet_table`` does so for a binary column.
 
 Defined cases: null text is the empty text, stored as 64 zero bytes; equal texts
 give equal bytes (no clock or random field is written); null media give no
-packets; truncated media give the packets that are whole; an empty table gives an
+packets; truncated or broken media give the packets before the break, floats of odd sizes are ignored; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
@@ -156,6 +156,9 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     return out
 
 
+#: Formats of floats by their size; other sizes are none. Nanoseconds beyond these are no timestamps.
+_FLOATS = {0: "", 4: ">f", 8: ">d"}
+_FAR = 1 << 62
 _MASTERS = {SEGMENT, CLUSTER, GROUP, TRACKS, ENTRY, INFO, CUES, POINT, CUE_TRACK_POSITIONS, AUDIO}
 
 
@@ -184,11 +187,17 @@ def packets(data: bytes | None) -> tuple[list[tuple], dict]:
         if size < 0 or at + size > end_all:
             break
         if ident in (SIMPLE, BLOCK):
-            track, p = _vint(data, at)
-            relative, flags = struct.unpack_from(">hB", data, p)
-            lacing = flags >> 1 & 3
+            try:
+                track, p = _vint(data, at)
+                relative, flags = struct.unpack_from(">hB", data, p)
+                lacing = flags >> 1 & 3
+                frames = _frames(data, p + 3, at + size, lacing)
+            except (IndexError, struct.error):
+                break
             time = base + relative
-            for i, (offset, n) in enumerate(_frames(data, p + 3, at + size, lacing)):
+            if min(n for _, n in frames) < 0 or time * scale + len(frames) * lasts.get(track, 0) >= _FAR:
+                break
+            for i, (offset, n) in enumerate(frames):
                 found.append((facts["clusters"] - 1, track, (time * scale + i * lasts.get(track, 0)) // 1_000_000, offset, n, bool(flags & 0x80), lacing))
         elif ident == TIMESTAMP:
             base = int.from_bytes(data[at: at + size], "big")
@@ -201,7 +210,8 @@ def packets(data: bytes | None) -> tuple[list[tuple], dict]:
         elif ident == CUE_CLUSTER:
             facts["cues"].append(int.from_bytes(data[at: at + size], "big"))
         elif ident == RATE:
-            facts["rate"] = struct.unpack(">d" if size == 8 else ">f", data[at: at + size])[0]
+            if size in _FLOATS:
+                facts["rate"] = struct.unpack(_FLOATS[size], data[at: at + size])[0] if size else 0.0
         elif ident == DEPTH:
             facts["depth"] = int.from_bytes(data[at: at + size], "big")
         elif ident == CODEC:

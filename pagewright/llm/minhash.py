@@ -173,10 +173,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("c") >= least * F.col("u")).select("a", "b")
 
 
-def hot_bands(members: DataFrame) -> DataFrame:
-    """(band, _hot) of the buckets of (band, size) rows that hold more than HOT_SHARE of them."""
-    least = max(members.count() * HOT_SHARE, LEAST_HOT)
-    return stored(members.where(F.col("size") > least).select("band", F.lit(True).alias("_hot")).distinct())
+def hot_bands(members: DataFrame) -> DataFrame | bool:
+    """(band, _hot) of the buckets of (band, size) rows that hold more than HOT_SHARE of them; False if none does."""
+    seen = members.agg(F.count(F.lit(1)).alias("all"), F.max("size").alias("most")).first()
+    least = max(seen["all"] * HOT_SHARE, LEAST_HOT)
+    return (seen["most"] or 0) > least and stored(members.where(F.col("size") > least).select("band", F.lit(True).alias("_hot")).distinct())
 
 
 def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:

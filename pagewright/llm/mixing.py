@@ -11,8 +11,7 @@ one bucket in which it ends are the only ones that go through a window, so a
 source with a third of all rows is never gathered in one task.  Buckets are a
 monotone function of the key, about 10,000 rows each.
 
-Defined cases: null text has size 0; size 0 documents are taken 0 times per
-epoch; null sources are one source, ordered last; null ids are hashed with their
+Defined cases: null text has size 0; documents of size 0 have no copies; null sources are one source, ordered last; null ids are hashed with their
 text; repeated rows are separate documents (equal keys are ordered by size, and
 such rows are interchangeable); an empty table gives an empty result; other
 columns of the input are ignored.
@@ -110,7 +109,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
     in_order = Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where("inside IS NULL").withColumn("upto", F.col("before") + F.sum("size").over(in_order)).withColumn(
         "inside", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
-    copies = (F.col("epochs") + F.col("inside")).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("inside")).otherwise(0).cast("long")
     return placed.where("inside IS NOT NULL").unionByName(edge).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 

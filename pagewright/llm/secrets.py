@@ -156,7 +156,7 @@ def redacted(documents: DataFrame) -> DataFrame:
     """
     suspect = triggered(RULES)
     # Rows travel as one column, whatever their names.
-    suspects = with_blob(documents.where(suspect).select(F.struct("*").alias("row"), "text"))
+    suspects = cut(with_blob(documents.where(suspect).select(F.struct("*").alias("row"), "text")))
     found = spread_join(suspects, cuts_of(scan(suspects.select("blob", "text"))), "blob")
     found = found.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("cuts"), F.col("after"))))
 

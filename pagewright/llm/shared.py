@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The application's own folder in ``spark.checkpoint.dir``; one of ours only in local mode with none configured.
 
-    Its files go when the driver ends.
+    Its files go when the driver ends; of a folder that the program set itself only our tables go.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -33,11 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="pagewright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        leave_no_trace(spark, context.getCheckpointDir())
+    elif (configured := context.getConf().get("spark.checkpoint.dir")) and configured.rstrip("/") in context.getCheckpointDir():
+        leave_no_trace(spark, context.getCheckpointDir())  # made by the context itself, for this application
     return context.getCheckpointDir()
 
 
+def leave_no_trace(spark: SparkSession, path: str) -> None:
+    """``path`` goes when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_folder(df.sparkSession)
@@ -51,6 +58,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    leave_no_trace(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,25 +70,28 @@ LEAST_HOT = 500
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, _hot) of the keys that hold more than HOT_SHARE of ``rows``, and LEAST_HOT of them."""
-    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
-    return stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame | bool:
+    """(keys, _hot) of the keys that hold more than HOT_SHARE of ``rows``, and LEAST_HOT of them; False where there is none.
 
-
-def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, _hot) of the keys that hold more than HOT_SHARE of ``rows``, and LEAST_HOT of them."""
-    least = max(rows.count() * HOT_SHARE, LEAST_HOT)
-    return stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
+    One aggregation of the keys; their list is written only if there is one.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    least = max((seen["all"] or 0) * HOT_SHARE, LEAST_HOT)
+    if (seen["most"] or 0) <= least:
+        return False
+    return stored(counts.where(F.col("n") > least).select(*keys, F.lit(True).alias("_hot")))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, *keys: str, hot: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, *keys: str, hot: DataFrame | bool | None = None, by: list[str] | None = None) -> DataFrame:
     """``rows`` left joined with ``facts``; the rows of a hot key are dealt to SALTS parts by a hash of the columns ``by`` (all).
 
     Hot keys (see hot_keys) are counted over all rows; only their list, bounded by 1 / HOT_SHARE, is broadcast.
     """
     keys = list(keys)
     hot = hot_keys(rows, *keys) if hot is None else hot
+    if hot is False:
+        return rows.join(facts, keys, "left")
     plain = by or [f"`{f.name}`" for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -144,3 +145,27 @@ def test_trie_searches_between_its_pointers():
     broken.pointers = elias_fano.EliasFano(np.zeros(42, np.uint64), 10)
     assert (broken.find(asked_context, many, asked) == -1).all()
     assert elias_fano.Level(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 3).find(np.array([-1, -1]), np.array([1, 1]), np.array([1, 2])).tolist() == [-1, -1]
+
+
+def test_broken_media_never_fail(spark):
+    rnd = random.Random(8)
+    whole = matroska.mux(bytes(range(256)) * 40)
+    broken = []
+    for _ in range(1500):
+        data = bytearray(whole)
+        for _ in range(rnd.randint(1, 4)):
+            data[rnd.randrange(len(data)) if rnd.random() < 0.5 else rnd.randrange(300)] = rnd.randrange(256)
+        broken.append(bytes(data[:rnd.randrange(len(data))] if rnd.random() < 0.2 else data))
+    for data in broken:
+        found, _ = matroska.packets(data)
+        assert all(0 <= p[3] and 0 <= p[4] and p[3] + p[4] <= len(data) for p in found)
+    table = matroska.packet_table(spark.createDataFrame(list(enumerate(broken[:200])), "k long, media binary"), "k", "media")
+    assert table.count() == sum(len(matroska.packets(x)[0]) for x in broken[:200])
+
+
+@pytest.mark.parametrize("size, want", [(0, 0.0), (4, 8000.0), (8, 8000.0), (3, 0.0)])
+def test_floats_of_any_size(size, want):
+    import struct
+
+    value = {4: struct.pack(">f", 8000.0), 8: struct.pack(">d", 8000.0)}.get(size, bytes(size))
+    assert matroska.packets(matroska.element(matroska.RATE, value))[1]["rate"] == want

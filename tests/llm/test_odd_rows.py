@@ -51,3 +51,9 @@ def test_statistics_of_equal_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["A b, c. " * 50] * 2 + [None, ""])], "doc_id long, text string")
     got = {r["doc_id"]: r["stats"] for r in quality.statistics_table(docs).collect()}
     assert got[0] == got[1] and got[2] == got[3] and matroska.stored_features(None) == matroska.stored_features("")
+
+
+def test_documents_without_words_have_no_copies(spark):
+    rows = [(1, "", "a"), (2, None, "a"), (3, " ", "small"), (4, "", None), (5, "three words here", "small"), *((10 + i, "many words " * 50, "b") for i in range(20))]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["copies"] == got[i]["taken"] == 0 for i in (1, 2, 3, 4)) and got[5]["copies"] == 3
