@@ -46,7 +46,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies and words taken."""
-    return mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
+    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
 
 
 STAGES = [
