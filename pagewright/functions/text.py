@@ -119,39 +119,48 @@ def join_lines(a: str, b: str) -> str:
         ELSE concat({left}, ' ', {right}) END"""
 
 
-def reflow(x: str) -> str:
-    """Wrapped lines joined into paragraphs, one fold per chunk between blank lines; no explode, no shuffle.
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Pieces that a fold appends to one list; a list is copied whenever it grows, so long runs are folded chunk by chunk.
+CHUNK = 256
 
-    The fold keeps the end of what it has joined, the last line, and the pieces so far,
-    so it looks at each line once however long its paragraph grows.
+
+def folded(pieces: str, breaks: bool) -> str:
+    """Stripped, non-empty pieces joined as wrapped lines are; with ``breaks``, paragraphs between them stay apart.
+
+    The fold keeps the end of what it has joined, the last piece, and what came before,
+    so it looks at each piece once, and copies none more than a few hundred times however many there are.
     """
-    lines = f"filter(transform(split(chunk, chr(10), -1), t -> {strip('t')}), t -> t <> '')"
-    begin = "named_struct('end', '', 'line', cast(NULL AS string), 'out', cast(array() AS array<string>))"
-    blank = "concat(chr(10), chr(10))"
     step = lambda end, piece: f"named_struct('end', right({end}, {TAIL}), 'line', t, 'out', concat(a.out, array({piece})))"
     hangul = "a.end RLIKE '[가-힣]$' AND t RLIKE '^[가-힣]'"
-    fold = f"""aggregate({lines}, {begin}, (a, t) -> CASE
-        WHEN a.line IS NULL THEN named_struct('end', right(t, {TAIL}), 'line', t, 'out', a.out)
-        WHEN {paragraph_ends('a.end')} AND {new_paragraph('t')} THEN {step('t', f"concat(a.line, {blank})")}
+    apart = f"""WHEN {paragraph_ends('a.end')} AND {new_paragraph('t')} THEN {step('t', "concat(a.line, chr(10), chr(10))")}""" if breaks else ""
+    none = "cast(array() AS array<string>)"
+    chunk = f"""aggregate(chunk, named_struct('end', b.end, 'line', b.line, 'out', {none}), (a, t) -> CASE
+        WHEN a.line IS NULL THEN named_struct('end', right(t, {TAIL}), 'line', t, 'out', a.out) {apart}
         WHEN a.end LIKE '%-' AND t RLIKE {raw(r'^\p{L}')} THEN {step("concat(left(a.end, length(a.end) - 1), t)", "left(a.line, length(a.line) - 1)")}
         WHEN {hangul} AND NOT {space_joiner('a.end')} OR a.end RLIKE '[A-Za-z]$' AND t RLIKE '^[a-z]' THEN {step("concat(a.end, t)", "a.line")}
-        ELSE {step("concat(a.end, ' ', t)", "concat(a.line, ' ')")} END, a -> array_join(concat(a.out, array(a.line)), ''))"""
-    chunks = f"split({strip(x)}, {raw(r'(?U)\n[\s\x1C-\x1F]*\n+')}, -1)"
+        ELSE {step("concat(a.end, ' ', t)", "concat(a.line, ' ')")} END)"""
+    after = bound(chunk, "a", "named_struct('end', a.end, 'line', a.line, 'out', concat(b.out, array(array_join(a.out, ''))))")
+    chunks = f"transform(sequence(0, size(xs) div {CHUNK}), k -> slice(xs, cast(k * {CHUNK} + 1 AS int), {CHUNK}))"
+    begin = f"named_struct('end', '', 'line', cast(NULL AS string), 'out', {none})"
+    return bound(pieces, "xs", f"aggregate({chunks}, {begin}, (b, chunk) -> {after}, b -> array_join(concat(b.out, array(b.line)), ''))")
+
+
+def reflow(x: str) -> str:
+    """Wrapped lines joined into paragraphs, one fold per chunk between blank lines; no explode, no shuffle."""
+    lines = f"filter(transform(split(part, chr(10), -1), t -> {strip('t')}), t -> t <> '')"
+    parts = f"split({strip(x)}, {raw(r'(?U)\n[\s\x1C-\x1F]*\n+')}, -1)"
     return f"""CASE WHEN instr({x}, chr(10)) = 0 THEN {x}
-        ELSE array_join(filter(transform({chunks}, chunk -> {fold}), p -> p <> ''), {blank}) END"""
+        ELSE array_join(filter(transform({parts}, part -> {folded(lines, True)}), p -> p <> ''), concat(chr(10), chr(10))) END"""
 
 
 def join_all(pieces: str) -> str:
-    """The pieces of one paragraph, none of them blank, as one line; like reflow, it looks at each piece once."""
-    lines = f"transform({pieces}, (t, i) -> CASE WHEN i = 0 THEN {rstrip('t')} WHEN i = size({pieces}) - 1 THEN {lstrip('t')} ELSE {strip('t')} END)"
-    begin = "named_struct('end', '', 'line', cast(NULL AS string), 'out', cast(array() AS array<string>))"
-    step = lambda end, piece: f"named_struct('end', right({end}, {TAIL}), 'line', t, 'out', concat(a.out, array({piece})))"
-    hangul = "a.end RLIKE '[가-힣]$' AND t RLIKE '^[가-힣]'"
-    return f"""aggregate({lines}, {begin}, (a, t) -> CASE
-        WHEN a.line IS NULL THEN named_struct('end', right(t, {TAIL}), 'line', t, 'out', a.out)
-        WHEN a.end LIKE '%-' AND t RLIKE {raw(r'^\p{L}')} THEN {step("concat(left(a.end, length(a.end) - 1), t)", "left(a.line, length(a.line) - 1)")}
-        WHEN {hangul} AND NOT {space_joiner('a.end')} OR a.end RLIKE '[A-Za-z]$' AND t RLIKE '^[a-z]' THEN {step("concat(a.end, t)", "a.line")}
-        ELSE {step("concat(a.end, ' ', t)", "concat(a.line, ' ')")} END, a -> array_join(concat(a.out, array(a.line)), ''))"""
+    """The pieces of one paragraph, none of them blank, as one line; the first keeps its space in front, the last its space behind."""
+    inner = f"transform(ps, (t, i) -> CASE WHEN i = 0 THEN {rstrip('t')} WHEN i = size(ps) - 1 THEN {lstrip('t')} ELSE {strip('t')} END)"
+    return bound(pieces, "ps", folded(inner, False))
 
 
 def chapter_marker(x: str) -> str:

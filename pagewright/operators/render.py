@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators.sections import gather, normalize
+from pagewright.operators.sections import normalize
 from pagewright.operators.structure import segments, with_slugs
 
 
@@ -58,5 +58,5 @@ def assemble(pages: DataFrame, style: str = "full", page_comments: bool | None =
     chosen = STYLES[style]
     if page_comments is not None:
         chosen = chosen._replace(page_comments=page_comments)
-    parts = segments(normalize(pages) if chosen.fix_text else gather(pages))
+    parts = segments(normalize(pages) if chosen.fix_text else pages)
     return parts, render(parts, chosen)

@@ -61,22 +61,20 @@ def slugify(text: Column) -> Column:
     return F.when(kept == "", "section").otherwise(kept)
 
 
-def page_rows(books: DataFrame) -> DataFrame:
-    """(book, pages) to one row a page with its prepared sections; pages without any are dropped."""
-    rows = books.select("book", F.get("pages", F.lit(0))["page_num"].alias("first_page"), F.posexplode("pages").alias("pos", "page"))
-    return (rows.select("book", "first_page", "pos", F.col("page.page_num").alias("page_num"), F.col("page.sections").alias("sections"))
-            .withColumn("prepared", F.expr(prepare("sections"))).where(F.size("prepared") > 0))
-
-
-def segments(books: DataFrame) -> DataFrame:
-    """(book, seg, kind, heading, start_page, end_page, blocks) of each book, in order of seg.
+def segments(pages: DataFrame) -> DataFrame:
+    """(book, seg, kind, heading, start_page, end_page, blocks) of each book of pages, in order of seg.
 
     A chapter page starts a segment, and so does a page with a back-matter heading.
-    Boundaries are found on the sections as they came, content on the prepared ones.
+    Boundaries are found on the sections as they came, content on the prepared ones;
+    pages without any of these are dropped.
     """
-    order = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = page_rows(books).withColumn("kind", F.expr(
+    tie = [c for c in ("file_name", "id") if c in pages.columns]
+    pos = F.struct("page_num", *tie)
+    whole = Window.partitionBy("book").orderBy("pos")
+    rows = pages.select("book", "page_num", "sections", pos.alias("pos"), F.expr(prepare("sections")).alias("prepared"))
+    rows = rows.withColumn("kind", F.expr(
         f"CASE WHEN {chapter_start('sections')} THEN 'chapter' WHEN {back_matter_start('sections')} THEN 'back_matter' END"))
+    rows = rows.withColumn("first_page", F.first("page_num").over(whole)).where(F.size("prepared") > 0)
     rows = rows.withColumn("heading", F.expr(
         f"CASE kind WHEN 'chapter' THEN {chapter_heading('sections')} WHEN 'back_matter' THEN {back_matter_title('sections')} END"))
     first = "get(prepared, 0)"
@@ -84,7 +82,7 @@ def segments(books: DataFrame) -> DataFrame:
         WHEN kind = 'chapter' THEN {after_leading('prepared')}
         WHEN kind = 'back_matter' AND {first}.type IN {HEADINGS} AND {T.back_matter_heading(first + '.text')} THEN slice(prepared, 2, size(prepared))
         ELSE prepared END"""))
-    rows = rows.withColumn("seg", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(order))
+    rows = rows.withColumn("seg", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
     placed = F.expr("transform(blocks, (b, i) -> named_struct('pos', pos, 'idx', i, 'section_type', b.type, 'text', b.text, 'page_num', page_num))")
     grouped = (rows.withColumn("placed", placed).groupBy("book", "seg").agg(
         F.first("kind", ignorenulls=True).alias("kind"), F.first("heading", ignorenulls=True).alias("heading"),

@@ -38,10 +38,6 @@ def section_rows(pages: DataFrame, column: str = "sections") -> DataFrame:
         "book", "page_num", F.col("idx").cast("long").alias("idx"), F.col("s.type").alias("type"), F.col("s.text").alias("text"))
 
 
-def book_rows(books: DataFrame) -> DataFrame:
-    return section_rows(books.select("book", F.explode("pages").alias("p")).select("book", "p.page_num", "p.sections"))
-
-
 def digest(rows: DataFrame) -> DataFrame:
     """Rows with their text as length and md5, for whole tables."""
     return rows.select(*(c for c in rows.columns if c != "text"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
@@ -63,6 +59,11 @@ def repeat_runs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(planning.truncate_repeats(captures), "book", "left")
 
 
+def single_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the pages of one book, numbered by their ids."""
+    return P.pages_of_documents(table(spark, sf_dir, "documents"), single=True).select("book", "page_num", "sections")
+
+
 def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = pages(spark, sf_dir)
@@ -141,8 +142,9 @@ def queries() -> dict[str, Query]:
         "markdown_render_full_documents": lambda spark, d: render.assemble(document_pages(spark, d), "full")[1].select("book", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest")),
         "merge_within_page": lambda spark, d: section_rows(fixture_pages(spark).withColumn("sections", expr(sections.merge_within(sections.reflow_sections("sections"))))),
         "merge_within_page_documents": lambda spark, d: digest(section_rows(document_pages(spark, d).withColumn("sections", expr(sections.reflow_sections("sections"))).withColumn("sections", expr(sections.merge_within("sections"))))),
-        "merge_cross_page": lambda spark, d: book_rows(sections.normalize(fixture_pages(spark))),
-        "merge_cross_page_documents": lambda spark, d: digest(book_rows(sections.normalize(document_pages(spark, d)))),
+        "merge_cross_page": lambda spark, d: section_rows(sections.normalize(fixture_pages(spark))),
+        "merge_cross_page_documents": lambda spark, d: digest(section_rows(sections.normalize(document_pages(spark, d)))),
+        "merge_cross_page_single_book": lambda spark, d: digest(section_rows(sections.normalize(single_book_pages(spark, d)))),
         "chapter_segments": lambda spark, d: structure.with_slugs(full_parts(spark)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
         "block_counts": lambda spark, d: structure.block_counts(full_parts(spark)).withColumn("block_count", F.col("block_count").cast("long")),
         "page_range": lambda spark, d: structure.page_range(full_parts(spark)),
@@ -223,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_within_page_documents": f"WITH {O.DOCUMENT_SECTIONS}, {O.within()} {renumbered.format(hashed, 'inside')}",
         "merge_cross_page": f"WITH RECURSIVE {_fixture()}, {O.within()}, {O.across()} {renumbered.format('text', 'merged')}",
         "merge_cross_page_documents": f"WITH RECURSIVE {O.DOCUMENT_SECTIONS}, {O.within()}, {O.across()} {renumbered.format(hashed, 'merged')}",
+        "merge_cross_page_single_book": f"WITH RECURSIVE {O.SINGLE_BOOK_SECTIONS}, {O.within()}, {O.across()} {renumbered.format(hashed, 'merged')}",
         "chapter_segments": _structure_oracle(" SELECT book, seg::BIGINT AS seg, kind, heading, slug, start_page::INT AS start_page, end_page::INT AS end_page FROM slugged"),
         "block_counts": _structure_oracle(" SELECT book, seg::BIGINT AS seg, kind, block_count::BIGINT AS block_count FROM parts"),
         "page_range": _structure_oracle(" SELECT book, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM parts GROUP BY book"),

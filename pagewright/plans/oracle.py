@@ -206,3 +206,8 @@ DOCUMENT_SECTIONS = f"""
     numbered AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS page_num FROM lines),
     given AS (SELECT book, page_num, i - 1 AS sec_idx, CASE WHEN contains(l[i], '|') THEN 'figure' ELSE 'body' END AS type, l[i] AS text
       FROM (SELECT book, page_num, l, unnest(range(1, len(l) + 1)) AS i FROM numbered))"""
+
+
+#: All documents as one book, a page an id.
+SINGLE_BOOK_SECTIONS = DOCUMENT_SECTIONS.replace("source || '/' || (doc_id // 500) AS book", "'all' AS book").replace(
+    "row_number() OVER (PARTITION BY book ORDER BY doc_id) AS page_num", "doc_id AS page_num")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators.sanitize import NONE, loaded_sections
-from pagewright.operators.sections import gather
 
 # Suffixes of a page's files, and the prompt used where no other is given.
 SUFFIXES = (".png", ".txt", ".ocr.json", ".page.pdf")
@@ -123,20 +122,22 @@ def prompt(inline: str = "inline", named: str = "prompt_file", file_text: str =
     return f"replace(replace({template}, '{{lang_hint}}', lang_hint), '{{page_num}}', cast(page_num AS string))"
 
 
-def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[str, ...] = ()) -> DataFrame:
+def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[str, ...] = (), single: bool = False) -> DataFrame:
     """Documents as pages: books of a source's documents with near ids, a section per non-blank line.
 
     Lines with a bar are figures, others bodies.  Books stay small however large a source is.
-    The columns ``kept`` stay beside the sections.
+    The columns ``kept`` stay beside the sections.  With ``single`` they are one book, numbered by their ids.
     """
     from pyspark.sql.window import Window
 
     book = F.concat_ws("/", "source", (F.floor(F.col("doc_id") / per_book)).cast("string"))
     lines = f"filter(transform(split(text, chr(10), -1), t -> {T.strip('t')}), t -> t <> '')"
     sections = F.expr(f"transform({lines}, t -> named_struct('type', CASE WHEN contains(t, '|') THEN 'figure' ELSE 'body' END, 'text', t))")
+    if single:
+        return documents.select("doc_id", F.lit("all").alias("book"), sections.alias("sections"), *kept, F.col("doc_id").cast("int").alias("page_num"))
     number = F.row_number().over(Window.partitionBy("book").orderBy("doc_id"))
     return documents.select("doc_id", book.alias("book"), sections.alias("sections"), *kept).withColumn("page_num", number)
 
 
-__all__ = ["combined_text", "gather", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
+__all__ = ["combined_text", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
            "ocr_pages", "page_marks", "page_name", "pages_of_documents", "prompt", "strip_comments", "whole_files"]
