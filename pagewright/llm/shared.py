@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
+from pagewright.scratch import cut, shared_folder, stored
+
 #: Separators of words in the contracts: space and the five ASCII controls 0x09-0x0D.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -19,49 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The application's own folder in ``spark.checkpoint.dir``; one of ours only in local mode with none configured.
-
-    Its files go when the driver ends; of a folder that the program set itself only our tables go.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="pagewright-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-        leave_no_trace(spark, context.getCheckpointDir())
-    elif (configured := context.getConf().get("spark.checkpoint.dir")) and configured.rstrip("/") in context.getCheckpointDir():
-        leave_no_trace(spark, context.getCheckpointDir())  # made by the context itself, for this application
-    return context.getCheckpointDir()
-
-
-def leave_no_trace(spark: SparkSession, path: str) -> None:
-    """``path`` goes when the driver ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder, for loops.
-
-    A checkpoint inherits its plan's size estimate, which a loop's joins square in every round.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    leave_no_trace(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A key is hot where it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
 #: A key of fewer rows is never hot.
@@ -100,6 +54,9 @@ def spread_join(rows: DataFrame, facts: DataFrame, *keys: str, hot: DataFrame |
     return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
+__all__ = ["bound_batches", "cut", "fold", "hot_keys", "shared_folder", "spread_join", "stored", "table"]
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Keep the Arrow batches that go to Python workers small: by rows, and by bytes for long texts."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
