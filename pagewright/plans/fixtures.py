@@ -30,10 +30,31 @@ BOOKS: dict[str, list[tuple[int, list[tuple[str, str]]]]] = {
         (14, [("section_title", "부록"), ("body", "낱말 풀이")]),
         (15, [("title", "7장"), ("body", "마지막 배가 떠났다.")]),
     ],
-    "wrapped": [
-        (1, [("body", "water-\nfall is\na small\nboat ride.\n1) item one\nmore of it\n\nNext para\nAB\nABCDE F\n• bullet x"), ("figure", "box\nlabel")]),
-        (2, [("body", "호박\n꽃밭에 마을의\n사람들이 모\n였다."), ("body", "했습\n니다\n만 그랬")]),
-        (3, [("body", "He said so.\"\nNew line. \n- dash item\n  \n  \n12. numbered\nItem-\n9 left")]),
+    "coast": [
+        (3, [("figure", "map\nof the coast"), ("body", "\n".join((  # a figure keeps its lines
+            "Low tide, at noon,",  # a sign: a space follows
+            "two gulls sat",  # a letter before a small one: glued
+            "on the pier",
+            "Nobody saw them leave.",  # before a capital: a space
+            "STORM WARNING",  # a label after a sentence's end: a new paragraph
+            "- ropes and an-",  # a dash after a label, which ends no sentence: goes on
+            "chors",  # the hyphen goes before a letter
+            "7 of them",  # a digit: a space
+            " \t ",  # a line of space between others splits the text
+            "3. Lights out.",
+            "4) Doors shut! ",  # numbers begin anew only after an end
+            "∙ Keys",
+            "12 in all",
+        )))]),
+        (8, [("body", "\n".join((
+            "언덕의",  # a particle: a space
+            "바람은 차고 하늘",  # neither particle nor ending: glued
+            "빛은 흐렸습니다",  # an ending: a space
+            "그래서 모두",
+            "돌아갔다…",  # an ellipsis ends the paragraph
+            "◦ 끝",
+        ))), ("body", "뒤에 남은 사람"), ("caption", "A gull\nin flight")]),
+        (9, [("body", "'Wait.'\nhe called. \n\n\n\"Why?\"\nX9\nFOG\nA-\n1")]),  # quotes after a stop, empty lines, labels, a hyphen before a digit
     ],
     "runs": [
         (1, [("body", "left part"), ("page_number", "7")]),
@@ -73,10 +94,15 @@ LINES = values([(i, x) for i, x in enumerate([
     "１２장", "1장 끝", "결론", "Appendix", "appendix \nmore", "03.", "3", "123", "  7. ", "니다. ", "(it)", "]x",
 ])], "line_id, line")
 
-PAIRS = values([(i, a, b) for i, (a, b) in enumerate([
-    ("호박", "꽃밭에"), ("마을의", "사람들이"), ("water-", "fall"), ("water-", "한글"), ("water-", "9"), ("a small", "boat"), ("a small", "Boat"),
-    ("했습니다", "만"), ("했습", "니다"), ("", "x"), ("x", "  "), ("end.", "next"), ("끝.", "다음"), ("에서", "보다"), ("abc", "한글"), ("한글", "abc"), ("x ", " y"), ("é", "a"),
-])], "pair_id, a, b")
+# Every kind of ending that the joining of two lines tells apart, before every kind of beginning.
+ENDINGS = {
+    "hyphen": "sun-", "hyphen after Hangul": "바람-", "small letter": "the river", "capital": "NORTH", "accented letter": "café", "digit": "page 12", "full stop": "It rained.",
+    "closing bracket": "(so)", "Hangul": "하늘", "Hangul particle": "나무와", "Hangul ending": "구름처럼", "Hangul comma": "저녁,", "spaces": "leaf  ", "nothing": "", "only spaces": "  ",
+}
+BEGINNINGS = {
+    "small letter": "light", "capital": "Light", "accented letter": "été", "Hangul": "아래", "digit": "7th", "bracket": "(note)", "hyphen": "-like", "spaces": "  moss", "nothing": "",
+}
+PAIRS = values([(i, a, b) for i, (a, b) in enumerate((a, b) for a in ENDINGS.values() for b in BEGINNINGS.values())], "pair_id, a, b")
 
 REPLIES = values([(i, x, 4) for i, x in enumerate([
     '{"page": 7, "text": " whole ", "sections": [{"type": "Title ", "text": " A "}, "bare", 5, {"type": "odd", "text": "B"}, {"text": "C"}, {"type": "", "text": "D"}]}',
