@@ -15,7 +15,9 @@ from pagewright.functions import text as T
 from pagewright.operators import planning, render, sanitize, sections, settings, structure
 from pagewright.plans import fixtures as X
 from pagewright.plans import oracle as O
+from pagewright.scratch import scratch_folder
 from pagewright.session import table
+from pagewright.sources import page_files
 from pagewright.sources import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,24 @@ def single_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pages_of_documents(table(spark, sf_dir, "documents"), single=True).select("book", "page_num", "sections")
 
 
+def page_files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents written as page files and read back: (book, page_num, n_sections, chars)."""
+    base = scratch_folder(spark, "pages")
+    page_files.write_whole_files(page_files.page_file_rows(document_pages(spark, sf_dir)), base)
+    back = P.parsed_pages(page_files.read_page_files(spark, base))
+    chars = F.aggregate("sections", F.lit(0), lambda a, s: a + F.length(s["text"]))
+    return back.select("book", "page_num", F.size("sections").cast("long").alias("n_sections"), chars.cast("long").alias("chars"))
+
+
+def markdown_files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of each book of documents as one file, read back by Spark: (book, chars, digest)."""
+    base = scratch_folder(spark, "markdown")
+    books = render.assemble(document_pages(spark, sf_dir), "full")[1]
+    page_files.write_whole_files(books.select(F.concat("book", F.lit(".md")).alias("file"), F.col("markdown").alias("value")), base)
+    back = spark.read.text(base, wholetext=True, recursiveFileLookup=True).select("value", F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)[.]md$", 1).alias("book"))
+    return back.select("book", F.length("value").cast("long").alias("chars"), F.md5("value").alias("digest"))
+
+
 def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = pages(spark, sf_dir)
@@ -145,6 +165,8 @@ def queries() -> dict[str, Query]:
         "merge_cross_page": lambda spark, d: section_rows(sections.normalize(fixture_pages(spark))),
         "merge_cross_page_documents": lambda spark, d: digest(section_rows(sections.normalize(document_pages(spark, d)))),
         "merge_cross_page_single_book": lambda spark, d: digest(section_rows(sections.normalize(single_book_pages(spark, d)))),
+        "page_files_documents": page_files_documents,
+        "markdown_files_documents": markdown_files_documents,
         "chapter_segments": lambda spark, d: structure.with_slugs(full_parts(spark)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
         "block_counts": lambda spark, d: structure.block_counts(full_parts(spark)).withColumn("block_count", F.col("block_count").cast("long")),
         "page_range": lambda spark, d: structure.page_range(full_parts(spark)),
@@ -326,6 +348,9 @@ def oracle_sql() -> dict[str, str]:
             ELSE coalesce(file_text, {T.literal(P.FALLBACK_PROMPT)}) END, '{{lang_hint}}', lang_hint), '{{page_num}}', page_num::VARCHAR) AS prompt FROM ({X.PROMPTS}) JOIN ({X.PROMPT_FILES}) USING (prompt_id)""",
         "page_names": f"WITH {expected} SELECT book, page_num::INT AS page_num, book || '_' || lpad(page_num::VARCHAR, 4, '0') || '.ocr.json' AS file_name FROM expected",
     }
+    found["markdown_files_documents"] = found["markdown_render_full_documents"]
+    found["page_files_documents"] = f"""WITH {O.DOCUMENT_SECTIONS} SELECT n.book, n.page_num::INT AS page_num, count(g.text)::BIGINT AS n_sections, coalesce(sum(length(g.text)), 0)::BIGINT AS chars
+        FROM numbered n LEFT JOIN given g USING (book, page_num) GROUP BY n.book, n.page_num"""
     steps = found["plan_steps"]
     found["plan_phases"] = f"SELECT book, bool_or(kind = 'capture') AS run_capture, bool_or(kind LIKE 'ocr%') AS run_ocr, bool_or(kind = 'build_pdf') AS run_pdf, bool_or(kind = 'assemble') AS run_assemble FROM ({steps}) GROUP BY book"
     array = "coalesce(json_extract(j, '$.{}[*]'), []::JSON[])"

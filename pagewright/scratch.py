@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of our own in the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    leave_no_trace(spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_folder(df.sparkSession)
@@ -47,7 +54,6 @@ def stored(df: DataFrame) -> DataFrame:
 
     A checkpoint inherits its plan's size estimate, which a loop's joins square in every round.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    leave_no_trace(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

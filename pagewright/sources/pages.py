@@ -44,9 +44,13 @@ def decoded_name():
 
 def ocr_pages(files: DataFrame) -> DataFrame:
     """(book, page_num, file_name, sections) of (file_name, value) rows; a file that is no object is an empty page."""
+    return parsed_pages(named_pages(files, ".ocr.json"))
+
+
+def parsed_pages(files: DataFrame) -> DataFrame:
+    """(book, page_num, file_name, sections) of (book, page_num, file_name, value) rows."""
     sections = f"CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN {loaded_sections('v')} ELSE {NONE} END"
-    return (named_pages(files, ".ocr.json").withColumn("v", F.expr("try_parse_json(value)"))
-            .select("book", "page_num", "file_name", F.coalesce(F.expr(sections), F.expr(NONE)).alias("sections")))
+    return files.withColumn("v", F.expr("try_parse_json(value)")).select("book", "page_num", "file_name", F.coalesce(F.expr(sections), F.expr(NONE)).alias("sections"))
 
 
 def load_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -140,4 +144,4 @@ def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[st
 
 
 __all__ = ["combined_text", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
-           "ocr_pages", "page_marks", "page_name", "pages_of_documents", "prompt", "strip_comments", "whole_files"]
+           "ocr_pages", "page_marks", "page_name", "pages_of_documents", "parsed_pages", "prompt", "strip_comments", "whole_files"]
