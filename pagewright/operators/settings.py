@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.functions import unicode
+from pagewright.functions.text import literal
+
 # Enumerations and limits.
 CAPTURE_MODES = ("manual", "window_full", "window_left_third", "window_right_third", "screen_left_third")
 STYLES = ("full", "prose", "raw")
@@ -216,14 +219,9 @@ def mostly_black(means: DataFrame, limit: float = 14.0) -> DataFrame:
     return means.select("image", ((F.col("r") + F.col("g") + F.col("b")) / 3 < limit).alias("black"))
 
 
-def casefold(x: Column) -> Column:
-    """Case folded as by upper and then lower case, so a sharp s is two."""
-    return F.lower(F.upper(x))
-
-
 def titles_like(windows: DataFrame, needle: str) -> DataFrame:
     """Windows whose title contains ``needle`` in either case."""
-    return windows.where(F.contains(casefold(F.col("title")), casefold(F.lit(needle))))
+    return windows.where(f"contains({unicode.casefold('title')}, {unicode.casefold(literal(needle))})")
 
 
 def distinct_titles(windows: DataFrame) -> DataFrame:
@@ -233,7 +231,7 @@ def distinct_titles(windows: DataFrame) -> DataFrame:
 def pick_window(windows: DataFrame) -> DataFrame:
     """(query, hwnd) of (query, hwnd, title, foreground, ord): foreground, else the exact title, else the first."""
     rank = F.struct((~F.col("foreground")).alias("a"), (F.col("title") != F.col("query")).alias("b"), F.col("ord").alias("c"))
-    return windows.where(F.contains(casefold(F.col("title")), casefold(F.col("query")))).groupBy("query").agg(F.min_by("hwnd", rank).alias("hwnd"))
+    return windows.where(f"contains({unicode.casefold('title')}, {unicode.casefold('query')})").groupBy("query").agg(F.min_by("hwnd", rank).alias("hwnd"))
 
 
 def largest_child(children: DataFrame) -> DataFrame:

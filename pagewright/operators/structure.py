@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
+from pagewright.functions.text import bound
+from pagewright.functions.unicode import nfkc
 from pagewright.operators.sections import prepare
 
 HEADINGS = "('title', 'section_title')"
@@ -47,18 +45,9 @@ def back_matter_title(sections: str) -> str:
     return f"coalesce({T.first_line(f'get({found}, 0).text')}, 'Back matter')"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for; used on headings only."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
-def slugify(text: Column) -> Column:
-    lowered = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    normal = nfkc(lowered)
-    kept = F.regexp_replace(F.regexp_replace(normal, r"(?U)[^\w\s-]", ""), r"(?U)[\s_]+", "-")
-    kept = F.regexp_replace(kept, "^-+|-+$", "")
-    return F.when(kept == "", "section").otherwise(kept)
+def slugify(text: str) -> str:
+    """SQL for a slug: lower case, NFKC, word characters with dashes between."""
+    return bound(nfkc(f"lower({T.strip(text)})"), "normal", T.slug_tail("normal"))
 
 
 def segments(pages: DataFrame) -> DataFrame:
@@ -96,7 +85,7 @@ def segments(pages: DataFrame) -> DataFrame:
 
 
 def with_slugs(parts: DataFrame) -> DataFrame:
-    return parts.withColumn("slug", F.when(F.col("kind") == "front_matter", F.lit("front-matter")).otherwise(slugify(F.col("heading"))))
+    return parts.withColumn("slug", F.expr(f"CASE WHEN kind = 'front_matter' THEN 'front-matter' ELSE {slugify('heading')} END"))
 
 
 def page_range(parts: DataFrame) -> DataFrame:

@@ -6,19 +6,21 @@ the fixture rows of ``fixtures`` where ordinary documents never reach a rule.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import planning, render, sanitize, sections, settings, structure
+from pagewright.operators import matching, planning, render, sanitize, sections, settings, structure
 from pagewright.plans import fixtures as X
 from pagewright.plans import oracle as O
 from pagewright.scratch import scratch_folder
 from pagewright.session import table
 from pagewright.sources import page_files
 from pagewright.sources import pages as P
+from pagewright.streaming import marks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +86,53 @@ def markdown_files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("book", F.length("value").cast("long").alias("chars"), F.md5("value").alias("digest"))
 
 
+def event_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as marks: a user's, their type being the status."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+
+
+def settled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each user's events, 6 hours apart at most, found by a stream that gets them in two parts."""
+    given = event_marks(spark, sf_dir)
+    low, high = given.agg(F.min("ts"), F.max("ts")).first()
+    middle, end = low + (high - low) / 2, spark.createDataFrame([("", -1, high + datetime.timedelta(days=9), "end")], given.schema)
+    chunks = [given.where(F.col("ts") < F.lit(middle)), given.where(F.col("ts") >= F.lit(middle))]
+    return marks.fed(spark, chunks, end, lambda s: marks.settled(s, "6 hours"), scratch_folder(spark, "marks")).where("key <> ''")
+
+
+def language_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents whose digest is their language, so that books do end."""
+    return P.pages_of_documents(table(spark, sf_dir, "documents"), kept=("lang",)).select("book", "page_num", F.col("lang").alias("digest"))
+
+
+def repeat_runs_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.truncate_repeats(language_captures(spark, sf_dir))
+
+
+def repeat_runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that gets the pages in three parts, chosen by a hash, each in no order."""
+    arrived = F.expr("timestamp_seconds(1700000000 + pmod(xxhash64(book, page_num), 3600))")
+    given = language_captures(spark, sf_dir).withColumn("ts", arrived)
+    end = spark.createDataFrame([("", 1, None, datetime.datetime(2024, 1, 1))], "book string, page_num int, digest string, ts timestamp")
+    chunks = [given.where(F.pmod(F.xxhash64("page_num", "book"), F.lit(3)) == k) for k in range(3)]
+    return marks.fed(spark, chunks, end, lambda s: marks.ends_of_books(s, patience="1 day", delay="2 hours"), scratch_folder(spark, "captures"))
+
+
+def chaptered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.chaptered_pages(table(spark, sf_dir, "documents"))
+
+
+def chaptered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.segments(sections.normalize(chaptered(spark, sf_dir)))
+
+
+def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, needle): part names and the longer words of benchmark items in whole documents, case folded."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z]{5,}', 0)")).alias("needle"))
+    needles = words.unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("needle")))
+    return matching.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", needles, "needle").select("doc_id", "needle")
+
+
 def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = pages(spark, sf_dir)
@@ -167,6 +216,19 @@ def queries() -> dict[str, Query]:
         "merge_cross_page_single_book": lambda spark, d: digest(section_rows(sections.normalize(single_book_pages(spark, d)))),
         "page_files_documents": page_files_documents,
         "markdown_files_documents": markdown_files_documents,
+        "settled_events": settled_events,
+        "repeat_runs_languages": repeat_runs_languages,
+        "repeat_runs_stream": repeat_runs_stream,
+        "title_matches_documents": title_matches,
+        "slugs_documents": lambda spark, d: table(spark, d, "documents").select("doc_id", expr(structure.slugify(T.first_line("coalesce(text, '')"))).alias("slug")),
+        "prepare_sections_chaptered": lambda spark, d: digest(section_rows(chaptered(spark, d).withColumn("sections", expr(sections.prepare("sections"))))),
+        "chapter_segments_chaptered": lambda spark, d: structure.with_slugs(chaptered_parts(spark, d)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
+        "block_counts_chaptered": lambda spark, d: structure.block_counts(chaptered_parts(spark, d)).withColumn("block_count", F.col("block_count").cast("long")),
+        "page_range_chaptered": lambda spark, d: structure.page_range(chaptered_parts(spark, d)),
+        "structure_summary_chaptered": lambda spark, d: structure.summary_json(chaptered_parts(spark, d)),
+        "assembly_counts_chaptered": assembly_counts_of(chaptered),
+        **{f"markdown_{style}_chaptered": (lambda spark, d, style=style: render.assemble(chaptered(spark, d), style)[1].select("book", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest")))
+           for style in render.STYLES},
         "chapter_segments": lambda spark, d: structure.with_slugs(full_parts(spark)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
         "block_counts": lambda spark, d: structure.block_counts(full_parts(spark)).withColumn("block_count", F.col("block_count").cast("long")),
         "page_range": lambda spark, d: structure.page_range(full_parts(spark)),
@@ -351,6 +413,28 @@ def oracle_sql() -> dict[str, str]:
     found["markdown_files_documents"] = found["markdown_render_full_documents"]
     found["page_files_documents"] = f"""WITH {O.DOCUMENT_SECTIONS} SELECT n.book, n.page_num::INT AS page_num, count(g.text)::BIGINT AS n_sections, coalesce(sum(length(g.text)), 0)::BIGINT AS chars
         FROM numbered n LEFT JOIN given g USING (book, page_num) GROUP BY n.book, n.page_num"""
+    found["settled_events"] = """WITH e AS (SELECT DISTINCT ON (event_id, user_id) user_id::VARCHAR AS key, event_id, ts, event_type FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
+        g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+        r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM g)
+        SELECT key, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS status, count(*)::BIGINT AS n_marks FROM r GROUP BY key, run"""
+    found["repeat_runs_languages"] = """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, lang FROM documents)
+        SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.lang = c.lang JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.lang = c.lang GROUP BY c.book"""
+    found["repeat_runs_stream"] = found["repeat_runs_languages"]
+    found["title_matches_documents"] = """WITH n AS (SELECT DISTINCT lower(w) AS needle FROM (SELECT p_name AS w FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) FROM benchmark) WHERE w <> ''),
+        d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS x FROM documents) SELECT doc_id, needle FROM d JOIN n ON contains(x, needle)"""
+    slug = "coalesce(nullif(trim(regexp_replace(regexp_replace(nfc_normalize(lower({})), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-'), ''), 'section')"
+    found["slugs_documents"] = "SELECT doc_id, " + slug.format(O.first_line("coalesce(text, '')")) + " AS slug FROM documents"
+    chaptered_rows = f"WITH RECURSIVE {O.CHAPTERED_SECTIONS}, {O.within()}, {O.across()}, listed AS (SELECT DISTINCT book, page_num FROM merged), {O.prepared('merged')}, {O.structure('merged')}"
+    raw_rows = f"WITH RECURSIVE {O.CHAPTERED_SECTIONS}, merged AS (SELECT book, page_num, sec_idx AS idx, type, text FROM given), listed AS (SELECT book, page_num FROM numbered), {O.prepared('merged')}, {O.structure('merged')}"
+    found["prepare_sections_chaptered"] = f"WITH {O.CHAPTERED_SECTIONS}, rows AS (SELECT book, page_num, sec_idx AS idx, type, text FROM given), {O.prepared('rows')} {renumbered.format(hashed, 'ready')}"
+    found["chapter_segments_chaptered"] = chaptered_rows + " SELECT book, seg::BIGINT AS seg, kind, heading, slug, start_page::INT AS start_page, end_page::INT AS end_page FROM slugged"
+    found["block_counts_chaptered"] = chaptered_rows + " SELECT book, seg::BIGINT AS seg, kind, block_count::BIGINT AS block_count FROM parts"
+    found["page_range_chaptered"] = chaptered_rows + " SELECT book, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM parts GROUP BY book"
+    found["structure_summary_chaptered"] = f"{chaptered_rows} {_SUMMARY}"
+    found["assembly_counts_chaptered"] = chaptered_rows + """, loaded AS (SELECT book, count(*) AS n FROM numbered GROUP BY book)
+        SELECT l.book, any_value(n)::BIGINT AS n_loaded, count(p.seg)::BIGINT AS n_chapters, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM loaded l LEFT JOIN parts p USING (book) GROUP BY l.book"""
+    for style, rows, body_only, comments in (("full", chaptered_rows, False, True), ("prose", chaptered_rows, True, False), ("raw", raw_rows, False, True)):
+        found[f"markdown_{style}_chaptered"] = f"SELECT book, length(markdown)::BIGINT AS chars, md5(markdown) AS digest FROM ({rows}, {O.markdown(body_only, comments)})"
     steps = found["plan_steps"]
     found["plan_phases"] = f"SELECT book, bool_or(kind = 'capture') AS run_capture, bool_or(kind LIKE 'ocr%') AS run_ocr, bool_or(kind = 'build_pdf') AS run_pdf, bool_or(kind = 'assemble') AS run_assemble FROM ({steps}) GROUP BY book"
     array = "coalesce(json_extract(j, '$.{}[*]'), []::JSON[])"

@@ -208,6 +208,20 @@ DOCUMENT_SECTIONS = f"""
       FROM (SELECT book, page_num, l, unnest(range(1, len(l) + 1)) AS i FROM numbered))"""
 
 
+#: Documents with running heads, numbers, headings and chapters.
+CHAPTERED_SECTIONS = f"""
+    lines AS (SELECT doc_id, source, lang, source || '/' || (doc_id // 500) AS book, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda u: {strip('u')}), lambda u: u <> '') AS l FROM documents),
+    numbered AS (SELECT *, row_number() OVER w AS page_num, lag(lang) OVER w AS before, lead(doc_id) OVER w IS NULL AS last FROM lines WINDOW w AS (PARTITION BY book ORDER BY doc_id)),
+    pieces AS (
+      SELECT book, page_num, 0 AS a, 0 AS i, 'title' AS type, page_num || '장' AS text FROM numbered WHERE lang <> before
+      UNION ALL SELECT book, page_num, 1, 0, 'header', source FROM numbered WHERE source IS NOT NULL AND page_num % 2 = 0
+      UNION ALL SELECT book, page_num, 5, 0, 'header', source FROM numbered WHERE source IS NOT NULL AND page_num % 5 = 0
+      UNION ALL SELECT book, page_num, 2, 0, 'page_number', page_num::VARCHAR FROM numbered WHERE page_num % 3 > 0
+      UNION ALL SELECT book, page_num, 3, i, CASE WHEN contains(l[i], '|') THEN 'figure' WHEN i = 1 AND length(l[i]) <= 60 AND right(l[i], 1) NOT IN ('.', '!', '?') THEN 'title'
+          WHEN length(l[i]) <= 25 THEN 'other' ELSE 'body' END, l[i] FROM (SELECT book, page_num, l, unnest(range(1, len(l) + 1)) AS i FROM numbered)
+      UNION ALL SELECT book, page_num, 4, 0, 'section_title', 'Appendix' FROM numbered WHERE last),
+    given AS (SELECT book, page_num, row_number() OVER (PARTITION BY book, page_num ORDER BY a, i) - 1 AS sec_idx, type, text FROM pieces)"""
+
 #: All documents as one book, a page an id.
 SINGLE_BOOK_SECTIONS = DOCUMENT_SECTIONS.replace("source || '/' || (doc_id // 500) AS book", "'all' AS book").replace(
     "row_number() OVER (PARTITION BY book ORDER BY doc_id) AS page_num", "doc_id AS page_num")

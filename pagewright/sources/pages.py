@@ -143,5 +143,33 @@ def pages_of_documents(documents: DataFrame, per_book: int = 500, kept: tuple[st
     return documents.select("doc_id", book.alias("book"), sections.alias("sections"), *kept).withColumn("page_num", number)
 
 
-__all__ = ["combined_text", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
+#: A first line of at most so many characters that ends no sentence heads its page; another short line is of no known kind.
+HEADING, SHORT = 60, 25
+
+
+def chaptered_pages(documents: DataFrame, per_book: int = 500) -> DataFrame:
+    """Documents as the pages of books with running heads, page numbers, headings and chapters, all taken from the table.
+
+    Where the language changes from page to page, a chapter begins, numbered by its page.  Every
+    second page then has its source as running head, two of three have their number; a
+    short first line is a title; the last page of a book ends with its appendix, and every
+    fifth page with its running head.
+    """
+    from pyspark.sql.window import Window
+
+    book = F.concat_ws("/", "source", (F.floor(F.col("doc_id") / per_book)).cast("string"))
+    order = Window.partitionBy("book").orderBy("doc_id")
+    rows = documents.select("doc_id", book.alias("book"), "source", "lang", "text").select(
+        "*", F.row_number().over(order).alias("page_num"), F.lag("lang").over(order).alias("before"), F.lead("doc_id").over(order).isNull().alias("last"))
+    lines = f"filter(transform(split(coalesce(text, ''), chr(10), -1), t -> {T.strip('t')}), t -> t <> '')"
+    kind = f"""CASE WHEN contains(t, '|') THEN 'figure' WHEN i = 0 AND length(t) <= {HEADING} AND NOT t RLIKE '[.!?]$' THEN 'title'
+        WHEN length(t) <= {SHORT} THEN 'other' ELSE 'body' END"""
+    made = lambda kind, text, when="true": f"CASE WHEN {when} THEN array(named_struct('type', '{kind}', 'text', {text})) ELSE array() END"
+    sections = f"""concat({made('title', "concat(page_num, '장')", 'lang <> before')}, {made('header', 'source', 'source IS NOT NULL AND page_num % 2 = 0')},
+        {made('page_number', 'cast(page_num AS string)', 'page_num % 3 > 0')}, transform({lines}, (t, i) -> named_struct('type', {kind}, 'text', t)),
+        {made('section_title', "'Appendix'", 'last')}, {made('header', 'source', 'source IS NOT NULL AND page_num % 5 = 0')})"""
+    return rows.select("book", "page_num", F.expr(sections).alias("sections"))
+
+
+__all__ = ["chaptered_pages", "combined_text", "job_errors", "job_facts", "job_state", "language_code", "languages", "load_jsonc", "load_ocr_pages", "named_pages",
            "ocr_pages", "page_marks", "page_name", "pages_of_documents", "parsed_pages", "prompt", "strip_comments", "whole_files"]
