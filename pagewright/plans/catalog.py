@@ -7,6 +7,7 @@ the fixture rows of ``fixtures`` where ordinary documents never reach a rule.
 from __future__ import annotations
 
 import datetime
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pagewright.plans import fixtures as X
 from pagewright.plans import oracle as O
 from pagewright.scratch import scratch_folder
 from pagewright.session import table
-from pagewright.sources import page_files
+from pagewright.sources import images, page_files, pdf_read, pdf_write
 from pagewright.sources import pages as P
 from pagewright.streaming import marks
 
@@ -133,6 +134,25 @@ def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", needles, "needle").select("doc_id", "needle")
 
 
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, page_index, pixels): books of documents as PDFs, a page an image of the text's digest, written in pieces, cut into pages and read back."""
+    base = scratch_folder(spark, "pdf")
+    shots = P.pages_of_documents(table(spark, sf_dir, "documents").withColumn("pixels", F.concat(F.md5(F.coalesce("text", F.lit(""))), F.lit("0" * 16))), kept=("pixels",))
+
+    def deflated(batches):
+        for batch in batches:
+            yield batch[["book", "page_num"]].assign(image=[zlib.compress(x.encode()) for x in batch["pixels"]], across=4, down=4, width_pt=72.0, height_pt=96.0)
+
+    pdf_write.write_pieces(pdf_write.pdf_pieces(shots.select("book", "page_num", "pixels").mapInPandas(deflated, images.PDF_PAGE)), base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.regexp_extract("path", "([^/]+/[^/]+)[.]pdf$", 1).alias("book"), F.col("content").alias("pdf"))
+
+    @F.pandas_udf("string")
+    def pixels(pages):
+        return pages.map(lambda page: next(zlib.decompress(x.body).decode() for n in range(1, 9) if isinstance(x := pdf_read.Pdf(bytes(page)).get(n), pdf_read.Stream) and x.head.get("Subtype") == "Image"))
+
+    return pdf_read.sliced(files).select("book", "page_index", pixels("pdf").alias("pixels"))
+
+
 def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = pages(spark, sf_dir)
@@ -229,6 +249,7 @@ def queries() -> dict[str, Query]:
         "assembly_counts_chaptered": assembly_counts_of(chaptered),
         **{f"markdown_{style}_chaptered": (lambda spark, d, style=style: render.assemble(chaptered(spark, d), style)[1].select("book", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest")))
            for style in render.STYLES},
+        "pdf_documents": pdf_documents,
         "chapter_segments": lambda spark, d: structure.with_slugs(full_parts(spark)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
         "block_counts": lambda spark, d: structure.block_counts(full_parts(spark)).withColumn("block_count", F.col("block_count").cast("long")),
         "page_range": lambda spark, d: structure.page_range(full_parts(spark)),
@@ -435,6 +456,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT l.book, any_value(n)::BIGINT AS n_loaded, count(p.seg)::BIGINT AS n_chapters, min_by(start_page, seg)::INT AS first_page, max_by(end_page, seg)::INT AS last_page FROM loaded l LEFT JOIN parts p USING (book) GROUP BY l.book"""
     for style, rows, body_only, comments in (("full", chaptered_rows, False, True), ("prose", chaptered_rows, True, False), ("raw", raw_rows, False, True)):
         found[f"markdown_{style}_chaptered"] = f"SELECT book, length(markdown)::BIGINT AS chars, md5(markdown) AS digest FROM ({rows}, {O.markdown(body_only, comments)})"
+    found["pdf_documents"] = """SELECT source || '/' || (doc_id // 500) AS book, (row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) - 1)::INT AS page_index,
+        md5(coalesce(text, '')) || repeat('0', 16) AS pixels FROM documents"""
     steps = found["plan_steps"]
     found["plan_phases"] = f"SELECT book, bool_or(kind = 'capture') AS run_capture, bool_or(kind LIKE 'ocr%') AS run_ocr, bool_or(kind = 'build_pdf') AS run_pdf, bool_or(kind = 'assemble') AS run_assemble FROM ({steps}) GROUP BY book"
     array = "coalesce(json_extract(j, '$.{}[*]'), []::JSON[])"

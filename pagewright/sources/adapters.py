@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagewright.sources.pdf_read import page_count, page_slice
+
 # Retry policy of remote calls.
 ATTEMPTS, BASE_SECONDS = 5, 2.0
 TRANSIENT = ("429", "quota", "rate", "temporarily", "json")
@@ -38,36 +38,17 @@ def ocr(pages: DataFrame, call: Callable[[bytes, str], str]) -> DataFrame:
     return pages.select("book", "page_num", "image", "prompt").mapInPandas(run, "book string, page_num int, reply string")
 
 
-_PAGE = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-
-
 def pdf_page_count(data: bytes) -> int:
-    """Page objects of a PDF, those in compressed object streams included; ValueError if there is none."""
-    count = len(_PAGE.findall(_STREAM.sub(b"", data)))
-    for body in _STREAM.findall(data):
-        try:
-            count += len(_PAGE.findall(zlib.decompress(body)))
-        except zlib.error:
-            continue
-    if count < 1:
+    """Pages of a PDF; ValueError if there is none. For tables of files see pdf_read.pdf_pages."""
+    count = page_count(data)
+    if count is None:
         raise ValueError("the PDF has no pages")
     return count
 
 
 def pdf_page_slice(data: bytes, index: int) -> bytes:
-    """A one-page PDF of the page at ``index``; needs a PDF library, which is optional."""
-    try:
-        import pypdf
-    except ImportError as missing:
-        raise RuntimeError("cutting PDF pages needs pypdf") from missing
-    import io
-
-    pages = pypdf.PdfReader(io.BytesIO(data)).pages
-    if not 0 <= index < len(pages):
+    """A one-page PDF of the page at ``index``; IndexError beyond the last. For tables of files see pdf_read.sliced."""
+    found = page_slice(data, index)
+    if found is None:
         raise IndexError(index)
-    writer = pypdf.PdfWriter()
-    writer.add_page(pages[index])
-    out = io.BytesIO()
-    writer.write(out)
-    return out.getvalue()
+    return found

@@ -134,32 +134,17 @@ def trimmed(pixels: np.ndarray, left: int, top: int, right: int, bottom: int, ba
     return out[top:bottom, left:right]
 
 
-def image_pdf(pages: list[tuple[np.ndarray, float, float]]) -> bytes:
-    """A PDF with one full-page image for each (pixels, width in points, height in points), in order."""
-    kids = " ".join(f"{3 + 3 * i} 0 R" for i in range(len(pages)))
-    objects = [b"<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {len(pages)}/Kids[{kids}]>>".encode()]
-    for i, (pixels, wide, high) in enumerate(pages):
-        n = 3 + 3 * i
-        stream = lambda head, body: head.encode() + f"/Length {len(body)}>>stream\n".encode() + body + b"\nendstream"
-        objects.append(f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 {wide:.4f} {high:.4f}]/Contents {n + 1} 0 R/Resources<</XObject<</I {n + 2} 0 R>>>>>>".encode())
-        objects.append(stream("<<", f"q {wide:.4f} 0 0 {high:.4f} 0 0 cm /I Do Q".encode()))
-        objects.append(stream(f"<</Type/XObject/Subtype/Image/Width {pixels.shape[1]}/Height {pixels.shape[0]}/ColorSpace/DeviceRGB/BitsPerComponent 8/Filter/FlateDecode",
-                              zlib.compress(np.ascontiguousarray(pixels).tobytes())))
-    out, offsets = bytearray(b"%PDF-1.4\n"), []
-    for n, body in enumerate(objects, 1):
-        offsets.append(len(out))
-        out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
-    table = len(out)
-    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{o:010d} 00000 n \n".encode() for o in offsets)
-    return bytes(out + f"trailer<</Size {len(objects) + 1}/Root 1 0 R>>\nstartxref\n{table}\n%%EOF\n".encode())
-
-
-def book_pdfs(pages: DataFrame) -> DataFrame:
-    """(book, pdf) of pages with ``image`` and the columns of ``settings.trim_geometry``; a book is at most 10,000 pages."""
-
-    def build(book: pd.DataFrame) -> pd.DataFrame:
-        made = [(trimmed(png_pixels(r.image), r.crop_left, r.crop_top, r.crop_right, r.crop_bottom, r.top_band_end, r.bottom_band_start), r.width_pt, r.height_pt)
-                for r in book.sort_values("page_num").itertuples()]
-        return pd.DataFrame({"book": [book["book"].iloc[0]], "pdf": [image_pdf(made)]})
-
-    return pages.groupBy("book").applyInPandas(build, "book string, pdf binary")
+PDF_PAGE = "book string, page_num int, image binary, across int, down int, width_pt double, height_pt double"
+
+
+def pdf_images(pages: DataFrame) -> DataFrame:
+    """(book, page_num, image, across, down, width_pt, height_pt) of pages with ``image`` and the columns of ``settings.trim_geometry``, for pdf_write.pdf_pieces."""
+    box = ["crop_left", "crop_top", "crop_right", "crop_bottom", "top_band_end", "bottom_band_start"]
+
+    def cropped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [trimmed(png_pixels(r.image), *(getattr(r, c) for c in box)) for r in batch.itertuples()]
+            yield batch[["book", "page_num", "width_pt", "height_pt"]].assign(
+                image=[zlib.compress(np.ascontiguousarray(x).tobytes()) for x in made], across=[x.shape[1] for x in made], down=[x.shape[0] for x in made])
+
+    return pages.select("book", "page_num", "image", *box, "width_pt", "height_pt").mapInPandas(cropped, PDF_PAGE)

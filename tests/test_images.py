@@ -9,6 +9,7 @@ from pagewright.operators.planning import truncate_repeats
 from pagewright.operators.settings import trim_geometry
 from pagewright.sources import images as I
 from pagewright.sources.adapters import pdf_page_count
+from pagewright.sources.pdf_write import pdf_pieces
 
 
 def shot(seed, height=40, width=33):
@@ -67,7 +68,8 @@ def test_book_pdf(spark):
     rows = [("b", i, bytearray(I.png_bytes(shot(i))), 33, 40, 144.0, 0.1, 0.0, 0.25, 0.0, 0.1, 0.0) for i in (2, 1)]
     frame = spark.createDataFrame(rows, "book string, page_num int, image binary, width int, height int, dpi double, trim_left double, trim_right double, trim_top double, "
                                         "trim_bottom double, trim_fill_top double, trim_fill_bottom double")
-    pdf = bytes(I.book_pdfs(trim_geometry(frame)).first()["pdf"])
+    pieces = pdf_pieces(I.pdf_images(trim_geometry(frame))).orderBy("part", "place").collect()
+    pdf = b"".join(bytes(r["piece"]) for r in pieces)
     assert pdf_page_count(pdf) == 2 and pdf.count(b"/MediaBox[0 0 15.0000 15.0000]") == 2
     first = zlib.decompress(pdf.split(b"/FlateDecode/Length ")[1].split(b"stream\n", 1)[1].split(b"\nendstream")[0])
     pixels = np.frombuffer(first, np.uint8).reshape(30, 30, 3)

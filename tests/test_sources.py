@@ -91,15 +91,6 @@ def test_ocr_adapter_and_empty_retry(spark):
     assert {r["page_num"]: r["text"] for r in again.collect()} == {1: "second", 2: "t"}
 
 
-def test_pdf_page_count():
-    plain = b"%PDF-1.4\n1 0 obj<</Type /Pages/Kids[]>>endobj 2 0 obj<</Type/Page>>endobj 3 0 obj<< /Type /Page >>endobj"
-    assert adapters.pdf_page_count(plain) == 2
-    packed = b"%PDF-1.5\n<</Type/ObjStm>>stream\n" + zlib.compress(b"<</Type/Page>> <</Type/Pages>>") + b"\nendstream"
-    assert adapters.pdf_page_count(packed) == 1
-    with pytest.raises(ValueError):
-        adapters.pdf_page_count(b"%PDF-1.4")
-
-
 def test_unknown_mode_raises(spark):
     from pyspark.sql import functions as F
 
