@@ -163,6 +163,18 @@ def join_all(pieces: str) -> str:
     return bound(pieces, "ps", folded(inner, False))
 
 
+def strip_comments(x: str) -> str:
+    """JSON with ``//`` and ``/* */`` comments, without them: their line breaks stay, else a space does; strings are left alone.
+
+    The text is cut into strings, comments and what lies between, each read once; a string
+    or comment without an end goes on to the end.
+    """
+    string = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\\?\z)'
+    piece = raw(string + r"|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|[^\"/]++|/")
+    breaks = "repeat(chr(10), length(t) - length(replace(t, chr(10), '')))"
+    return f"array_join(transform(regexp_extract_all({x}, {piece}, 0), t -> CASE WHEN startswith(t, '//') OR startswith(t, '/*') THEN coalesce(nullif({breaks}, ''), ' ') ELSE t END), '')"
+
+
 def chapter_marker(x: str) -> str:
     return f"({first_line(x)} RLIKE {raw(r'(?U)^\d+\s*장$')})"
 

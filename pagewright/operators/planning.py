@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.operators.settings import can_screen_capture
+
 
 def expected_pages(jobs: DataFrame) -> DataFrame:
     """(book, page_num) of start_page .. start_page + n_pages - 1."""
@@ -98,6 +100,23 @@ def plan_steps(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
         "book", F.col("step_no").cast("int").alias("step_no"), "s.kind", "s.label", "n_used")
 
 
+def planned_jobs(configs: DataFrame, files: DataFrame) -> DataFrame:
+    """Jobs for plan_steps from settled configs (with book, book_pdf and book_markdown) and the files (path, pages) that exist.
+
+    What can be captured follows from the config; a text job's PDF is its input or the
+    book's own, with its pages as counted (``pages``, null for what is no PDF).
+    """
+    there = files.groupBy("path").agg(F.max("pages").alias("pages"))
+    own = lambda column, name: there.select(F.col("path").alias(column), F.lit(True).alias(name))
+    source = pdf_source(configs, files).withColumnRenamed("pdf", "path").join(there, "path", "left").select("book", F.col("path").alias("source_pdf"), "pages")
+    found = configs.join(source, "book", "left").join(own("book_pdf", "own_pdf"), "book_pdf", "left").join(own("book_markdown", "own_markdown"), "book_markdown", "left")
+    text = F.col("output_mode") == "text"
+    return found.select(
+        "book", "start_page", "n_pages", "output_mode", "force_phase", F.col("assemble_style").alias("style"), F.coalesce(can_screen_capture(), F.lit(False)).alias("can_capture"),
+        (F.col("capture_mode") == "manual").alias("manual"), F.coalesce(F.when(text, F.col("pages")), F.lit(0)).alias("pdf_pages"),
+        F.when(text, F.col("source_pdf").isNotNull()).otherwise(F.coalesce("own_pdf", F.lit(False))).alias("has_pdf"), F.coalesce("own_markdown", F.lit(False)).alias("has_markdown"))
+
+
 def phases(steps: DataFrame) -> DataFrame:
     """(book, run_capture, run_ocr, run_pdf, run_assemble) from the kinds of its steps."""
     kinds = steps.groupBy("book").agg(F.collect_set("kind").alias("kinds"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import unicode
-from pagewright.functions.text import literal
+from pagewright.functions.text import literal, strip
 
 # Enumerations and limits.
 CAPTURE_MODES = ("manual", "window_full", "window_left_third", "window_right_third", "screen_left_third")
@@ -141,6 +141,20 @@ def resolve(files: DataFrame, arguments: DataFrame, profiles: DataFrame) -> Data
     return top.select("config", "l.reader_profile", *(precedence(asked(n), F.col(f"l.{n}")).alias(n) if n in given else F.col(f"l.{n}") for n in names))
 
 
+def settled(configs: DataFrame) -> DataFrame:
+    """Resolved configs as they are used: enumerations trimmed and lower-cased (unknown output modes and key deliveries raise), at least one page when debugging."""
+    given = {"output_mode": normalized(F.col("output_mode"), OUTPUT_MODES, "pdf"), "key_delivery": normalized(F.col("key_delivery"), KEY_DELIVERIES, "auto"),
+             "capture_mode": F.expr(strip("capture_mode")), "assemble_style": F.lower(F.expr(strip("assemble_style"))), "target_window_title": F.expr(strip("target_window_title")),
+             "debug_capture_max_pages": F.greatest(F.lit(1), "debug_capture_max_pages")}
+    return configs.withColumns({n: c for n, c in given.items() if n in configs.columns})
+
+
+def checked(configs: DataFrame) -> DataFrame:
+    """(.., violations) of settled configs; ``base_dir`` and ``pdf_pages`` (0: the input is no PDF) are columns besides."""
+    named = configs.withColumns({"window_title": F.col("target_window_title"), "settle_sec": F.col("focus_click_settle_sec")})
+    return violations(named).drop("window_title", "settle_sec")
+
+
 def can_screen_capture(mode: str = "capture_mode", title: str = "target_window_title") -> Column:
     """A manual capture needs a rectangle with a size, any other a window title that is not blank."""
     return F.when(F.col(mode) == "manual", (F.col("rect_width") >= 1) & (F.col("rect_height") >= 1)).otherwise(

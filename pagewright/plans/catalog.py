@@ -153,6 +153,31 @@ def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_read.sliced(files).select("book", "page_index", pixels("pdf").alias("pixels"))
 
 
+def document_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Books of documents as jobs, and their artifacts: a page's image has as many bytes as its text full stops, its OCR as many as it has commas."""
+    signs = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
+    docs = table(spark, sf_dir, "documents").withColumns({"png": F.coalesce(signs("."), F.lit(0)), "ocr": F.coalesce(signs(","), F.lit(0))})
+    pages = P.pages_of_documents(docs, kept=("png", "ocr"))
+    artifacts = pages.select("book", "page_num", F.explode(F.array(F.struct(F.lit(".png").alias("suffix"), F.col("png").alias("size")), F.struct(F.lit(".ocr.json").alias("suffix"), F.col("ocr").alias("size")))).alias("a")).select("book", "page_num", "a.*")
+    jobs = pages.groupBy("book").agg(F.lit(1).alias("start_page"), F.max("page_num").alias("n_pages")).withColumns({"has_pdf": F.lit(False), "has_markdown": F.lit(True)})
+    return jobs, artifacts
+
+
+def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planning.artifact_status(*document_jobs(spark, sf_dir))
+    return found.select("book", "png", "png_complete", F.col("png_missing").cast("long").alias("png_missing"), "png_prefix", "ocr", "ocr_complete", F.col("ocr_missing").cast("long").alias("ocr_missing"))
+
+
+def resume_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a job over documents skips: those with OCR are valid, and the last event of the user of the page's number is its status."""
+    jobs, artifacts = document_jobs(spark, sf_dir)
+    state = table(spark, sf_dir, "events").select(F.lit("src0/0").alias("book"), F.lit("ocr").alias("phase"), F.col("user_id").cast("int").alias("page_num"),
+                                                  F.when(F.col("event_type") == "click", "done").otherwise(F.col("event_type")).alias("status"), F.struct("ts", "event_id").alias("seq"))
+    expected = planning.expected_pages(jobs).select("book", F.lit("ocr").alias("phase"), "page_num", F.lit(True).alias("resume"), F.lit("").alias("force_phase"))
+    valid = planning.present(artifacts, ".ocr.json").select("book", F.lit("ocr").alias("phase"), "page_num")
+    return planning.resume(expected, valid, state)
+
+
 def assembly_counts_of(pages: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = pages(spark, sf_dir)
@@ -250,6 +275,12 @@ def queries() -> dict[str, Query]:
         **{f"markdown_{style}_chaptered": (lambda spark, d, style=style: render.assemble(chaptered(spark, d), style)[1].select("book", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("digest")))
            for style in render.STYLES},
         "pdf_documents": pdf_documents,
+        "comments_stripped_pages": lambda spark, d: table(spark, d, "pages").select("page_id", expr(f"md5({T.strip_comments('html')})").alias("digest"), expr(f"length({T.strip_comments('html')})").cast("long").alias("chars")),
+        "missing_pages_documents": lambda spark, d: planning.missing_pages(*document_jobs(spark, d), ".png"),
+        "contiguous_prefix_documents": lambda spark, d: planning.contiguous_prefix(*document_jobs(spark, d), ".png"),
+        "artifact_status_documents": status_documents,
+        "resume_documents": resume_documents,
+        "last_status_events": lambda spark, d: planning.last_status(table(spark, d, "events").select(F.col("user_id").alias("book"), F.lit("capture").alias("phase"), (F.col("event_id") % 10).alias("page_num"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("seq"))),
         "chapter_segments": lambda spark, d: structure.with_slugs(full_parts(spark)).select("book", "seg", "kind", "heading", "slug", "start_page", "end_page"),
         "block_counts": lambda spark, d: structure.block_counts(full_parts(spark)).withColumn("block_count", F.col("block_count").cast("long")),
         "page_range": lambda spark, d: structure.page_range(full_parts(spark)),
@@ -458,6 +489,18 @@ def oracle_sql() -> dict[str, str]:
         found[f"markdown_{style}_chaptered"] = f"SELECT book, length(markdown)::BIGINT AS chars, md5(markdown) AS digest FROM ({rows}, {O.markdown(body_only, comments)})"
     found["pdf_documents"] = """SELECT source || '/' || (doc_id // 500) AS book, (row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) - 1)::INT AS page_index,
         md5(coalesce(text, '')) || repeat('0', 16) AS pixels FROM documents"""
+    found["comments_stripped_pages"] = r"""WITH t AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '"(?:[^"\\]|\\(?s:.))*(?:"|\\?\z)|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|[^"/]+|/'), lambda t:
+        CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') THEN coalesce(nullif(repeat(chr(10), length(t) - length(replace(t, chr(10), ''))), ''), ' ') ELSE t END), '') AS x FROM pages)
+        SELECT page_id, md5(x) AS digest, length(x)::BIGINT AS chars FROM t"""
+    of_documents = """p AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id)::INT AS page_num,
+        coalesce(length(text) - length(replace(text, '.', '')), 0) AS png, coalesce(length(text) - length(replace(text, ',', '')), 0) AS ocr FROM documents)"""
+    found["missing_pages_documents"] = f"WITH {of_documents} SELECT book, page_num FROM p WHERE png = 0"
+    found["contiguous_prefix_documents"] = f"WITH {of_documents} SELECT book, coalesce(min(page_num) FILTER (png = 0) - 1, max(page_num))::INT AS prefix FROM p GROUP BY book"
+    found["artifact_status_documents"] = f"""WITH {of_documents} SELECT book, true AS png, count(*) FILTER (png = 0) = 0 AS png_complete, count(*) FILTER (png = 0)::BIGINT AS png_missing,
+        coalesce(min(page_num) FILTER (png = 0) - 1, max(page_num))::INT AS png_prefix, true AS ocr, count(*) FILTER (ocr = 0) = 0 AS ocr_complete, count(*) FILTER (ocr = 0)::BIGINT AS ocr_missing FROM p GROUP BY book"""
+    found["resume_documents"] = f"""WITH {of_documents}, s AS (SELECT user_id AS page_num, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id)
+        SELECT p.book, 'ocr' AS phase, p.page_num, ocr > 0 AS skip, ocr > 0 AND NOT coalesce(p.book = 'src0/0' AND s.last = 'click', false) AS adopted FROM p LEFT JOIN s ON s.page_num = p.page_num"""
+    found["last_status_events"] = "SELECT user_id AS book, 'capture' AS phase, event_id % 10 AS page_num, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY ALL"
     steps = found["plan_steps"]
     found["plan_phases"] = f"SELECT book, bool_or(kind = 'capture') AS run_capture, bool_or(kind LIKE 'ocr%') AS run_ocr, bool_or(kind = 'build_pdf') AS run_pdf, bool_or(kind = 'assemble') AS run_assemble FROM ({steps}) GROUP BY book"
     array = "coalesce(json_extract(j, '$.{}[*]'), []::JSON[])"

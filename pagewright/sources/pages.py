@@ -86,6 +86,11 @@ def strip_comments(text: str) -> str:
     return token.sub(lambda m: m[0] if m[0][0] == '"' else "\n" * m[0].count("\n") or " ", text)
 
 
+def parsed_jsonc(column: str) -> str:
+    """SQL for the variant of a column of JSON with comments; null where it is none."""
+    return f"try_parse_json({T.strip_comments(column)})"
+
+
 def load_jsonc(text: str):
     return json.loads(strip_comments(text))
 
