@@ -26,13 +26,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.fm_index import FMIndex
-from pagewright.llm.shared import bound_batches, cut, table
+from pagewright.llm.shared import bound_batches, cut, stored, table
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -153,32 +154,49 @@ FOUND = "n_words long, span_words array<int>, items array<string>"
 
 
 def searched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, text) rows with n_words, span_words (start, end, start, end, ...) and the sorted items found in the text."""
+    """(row, text) rows with n_words, span_words (start, end, start, end, ...) and the sorted items found in the text.
+
+    Items are sent to the workers in groups of a bounded size, one after the other.  With
+    several groups the texts are written once; each group then gives narrow rows for the
+    texts that it hits, and these are joined back at last.
+    """
     bound_batches(rows.sparkSession)
     context = rows.sparkSession.sparkContext
     items = benchmark.select("item_id", "text").distinct()
     groups = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / GROUP_CHARS))
-    state = rows.selectExpr("row", "text", "0L AS n_words", "cast(array() AS array<int>) AS span_words", "cast(array() AS array<string>) AS items")
 
     def find(batches: Iterator[pa.RecordBatch], sent: list) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(sent)
         for batch in batches:
-            counts, spans, named = searcher(batch.column(1).to_pylist())
-            spans = [merge([*zip(old[::2], old[1::2]), *new]) for old, new in zip(batch.column(3).to_pylist(), spans)]
-            named = [sorted({*old, *(x for x in new if x is not None)}) for old, new in zip(batch.column(4).to_pylist(), named)]
+            counts, spans, named = searcher(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[:2], pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
-                pa.array(named, pa.list_(pa.string()))], ["row", "text", "n_words", "span_words", "items"])
+                *batch.columns, pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
+                pa.array([sorted(x for x in m if x is not None) for m in named], pa.list_(pa.string()))], [*batch.schema.names, "n_words", "span_words", "items"])
 
-    for group in range(groups):
-        mine = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+    def found_in(texts: DataFrame, mine: DataFrame) -> tuple[DataFrame, list]:
         sent = [context.broadcast(b) for b in blocks(mine)] or [context.broadcast([])]
-        state = state.mapInArrow(lambda batches, sent=sent: find(batches, sent), state.schema)
-        if group < groups - 1:
-            state = cut(state)
-            for block in sent:
-                block.unpersist()
-    return state
+        schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(FOUND).fields])
+        return texts.mapInArrow(lambda batches: find(batches, sent), schema), sent
+
+    if groups == 1:
+        return found_in(rows.select("row", "text"), items)[0]
+    texts = cut(rows.select(F.monotonically_increasing_id().alias("id"), "row", "text"))
+    hits = None
+    for group in range(groups):
+        part, sent = found_in(texts.select("id", "text"), items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group))
+        part = stored(part.drop("text").where("size(span_words) > 0" if group else "true"))  # the first says the number of words of every text
+        hits = part if hits is None else hits.unionByName(part)
+        for block in sent:
+            block.unpersist()
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    whole = hits.groupBy("id").agg(F.max("n_words").alias("n_words"), joined(F.flatten(F.collect_list("span_words"))).alias("span_words"), named.alias("items"))
+    return texts.join(whole, "id").drop("id")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def joined(spans: pd.Series) -> pd.Series:
+    """Spans (start, end, start, end, ...) sorted, with overlapping and touching ones joined."""
+    return spans.map(lambda s: [x for m in merge([*zip(s[::2].tolist(), s[1::2].tolist())]) for x in m])
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

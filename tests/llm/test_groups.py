@@ -1,5 +1,7 @@
 """Benchmarks larger than one group, near-duplicate recall over a whole table, and tables without rows."""
 
+import random
+
 import numpy as np
 
 from pagewright.llm import decontamination, html_text, matroska, minhash, quality
@@ -104,3 +106,21 @@ def test_stored_media_against_a_second_reading(spark):
         assert (int(facts["clusters"]), int(facts["cues"])) == (clusters, sum(i == "bb" for i, _, _ in found))
         assert int(facts["packets"]) == -(-len(payload) // matroska.FRAME) and int(facts["ms"]) == len(payload) * 1000 // matroska.SAMPLE_RATE
         assert float(facts["mean"]) == round(values.mean(), 6) and abs(float(facts["rms"]) - np.sqrt(((values - 128) ** 2).mean())) < 1e-5 and int(facts["levels"]) == len(set(payload))
+
+
+def test_hundreds_of_items_in_groups_and_a_very_long_document(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 16)))) for i in range(200)] + [(None, "w1 w2"), (900, None), (7, "again the same id with other words in it for once more")]
+    long = [rnd.choice(words) for _ in range(60_000)]
+    docs = [(1, " ".join([*long[:30_000], *items[3][1].split(), *long[30_000:]])), (2, items[7][1] + " and " + items[9][1]), (3, "nothing"), (4, None), (4, None), (None, items[11][1])]
+    docs += [(100 + i, " ".join(rnd.choice(words) for _ in range(40))) for i in range(50)]
+    given = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda: sorted(map(str, decontamination.find_contamination(given, asked).collect()))
+    once = read()
+    for size in (1000, 150):
+        monkeypatch.setattr(decontamination, "GROUP_CHARS", size)
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)
+        assert read() == once
+    assert len(once) == len(docs)
