@@ -98,7 +98,8 @@ def settled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = given.agg(F.min("ts"), F.max("ts")).first()
     middle, end = low + (high - low) / 2, spark.createDataFrame([("", -1, high + datetime.timedelta(days=9), "end")], given.schema)
     chunks = [given.where(F.col("ts") < F.lit(middle)), given.where(F.col("ts") >= F.lit(middle))]
-    return marks.fed(spark, chunks, end, lambda s: marks.settled(s, "6 hours"), scratch_folder(spark, "marks")).where("key <> ''")
+    found = marks.fed(spark, chunks, end, lambda s: marks.settled(s, "6 hours"), scratch_folder(spark, "marks")).where("key <> ''")
+    return found.select("key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "status", "n_marks")
 
 
 def language_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
     found["settled_events"] = """WITH e AS (SELECT DISTINCT ON (event_id, user_id) user_id::VARCHAR AS key, event_id, ts, event_type FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
         g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
         r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM g)
-        SELECT key, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS status, count(*)::BIGINT AS n_marks FROM r GROUP BY key, run"""
+        SELECT key, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, arg_max(event_type, (ts, event_id)) AS status, count(*)::BIGINT AS n_marks FROM r GROUP BY key, run"""
     found["repeat_runs_languages"] = """WITH c AS (SELECT source || '/' || (doc_id // 500) AS book, row_number() OVER (PARTITION BY source || '/' || (doc_id // 500) ORDER BY doc_id) AS page_num, lang FROM documents)
         SELECT c.book, min(c.page_num)::INT AS last_page FROM c JOIN c d ON d.book = c.book AND d.page_num = c.page_num + 1 AND d.lang = c.lang JOIN c e ON e.book = c.book AND e.page_num = c.page_num + 2 AND e.lang = c.lang GROUP BY c.book"""
     found["repeat_runs_stream"] = found["repeat_runs_languages"]
