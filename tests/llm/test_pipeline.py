@@ -41,4 +41,4 @@ def test_planted_documents(spark, tmp_path):
 def test_pipeline_is_registered():
     import __spark_entry__
 
-    assert "pipeline" in __spark_entry__.queries() and len([q for q in queries.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in __spark_entry__.queries() and len([q for q in queries.queries() if q.startswith("op")]) == 13
