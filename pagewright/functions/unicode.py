@@ -6,7 +6,7 @@ import functools
 import sys
 import unicodedata
 
-from pagewright.functions.text import bound, literal
+from pagewright.functions.text import CHUNK, bound, literal
 
 #: Code points of a table's page: a lookup is two array accesses.
 PAGE = 64
@@ -77,29 +77,80 @@ def compositions() -> dict[int, str]:
     return found
 
 
+#: Code points that normalisation leaves alone are looked for at once in the widest ranges, and in all below NEAR (Latin to Cyrillic); others take the longer way.
+WIDE, NEAR = 64, 0x588
+
+
+def chunkwise(items: str, begin: str, step: str, end: str) -> str:
+    """SQL for a fold of an array chunk by chunk: ``step`` makes the next ``b`` of ``b`` and ``chunk``, ``end`` the result of the last."""
+    chunks = f"transform(sequence(0, size(xs) div {CHUNK}), k -> slice(xs, cast(k * {CHUNK} + 1 AS int), {CHUNK}))"
+    return bound(items, "xs", f"aggregate({chunks}, {begin}, (b, chunk) -> {step}, b -> {end})")
+
+
+def ranges(points: set[int]) -> str:
+    """The inside of a regex class of these code points."""
+    found: list[list[int]] = []
+    for c in sorted(points):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\\\x{{{a:x}}}-\\\\x{{{b:x}}}" for a, b in found)
+
+
+@functools.cache
+def pieces() -> tuple[str, str]:
+    """Regexes of the pieces of a text that are normalised apart, and of pieces that stay as they are.
+
+    A code point that begins with a mark, or that may be composed with what stands before it,
+    belongs to the piece before; everywhere else a text may be cut.  Most code points stay as
+    they are: the widest ranges of these make pieces of any length.
+    """
+    seconds = {ord(x) for made in compositions().values() for x in made[::2]} | set(range(V, V + N_V)) | set(range(T_ + 1, T_ + N_T))
+    first = lambda c: ord(decompositions().get(c, chr(c))[0])
+    bound_ = {c for c in {*decompositions(), *classes(), *seconds} if first(c) in seconds or first(c) in classes()}
+    # Unassigned code points have no entry, and surrogates no place in a text.
+    changed = {c for c in decompositions() if unicodedata.normalize("NFKC", chr(c)) != chr(c)} | bound_
+    edges = [-1, *sorted(changed | set(range(0xD800, 0xE000))), sys.maxunicode + 1]
+    stays = [(a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a > 1]
+    wide = sorted(sorted(stays, key=lambda r: r[0] - r[1])[:WIDE])
+    near, far = ([r for r in of if (r[0] < NEAR) == close and r[1] > 0x7F] for of, close in ((stays, True), (wide, False)))
+    inside = lambda of: "".join(f"\\\\x{{{max(a, 0x80):x}}}-\\\\x{{{b:x}}}" for a, b in of)
+    plain = f"[\\\\x00-\\\\x7f[{inside(near)}][{inside(far)}]]"
+    return f"{plain}+(?![{ranges(bound_)}])|(?s).[{ranges(bound_)}]*", f"^{plain}*$"
+
+
 def nfkc(x: str) -> str:
-    """SQL for NFKC: decompose, order marks by their class, compose; texts of ASCII are left as they are."""
+    """SQL for NFKC, piece by piece: what stays as it is in one step, other pieces decomposed, their marks ordered, and composed.
+
+    A piece is one code point with what may be composed with it, so work grows with the text; the marks of a piece are folded in chunks.
+    """
     syllable = f"ascii(c) - {S}"
     jamo = (f"concat({char_of(f'{L} + i div {N_V * N_T}')}, {char_of(f'{V} + (i % {N_V * N_T}) div {N_T}')}, "
             f"CASE WHEN i % {N_T} > 0 THEN {char_of(f'{T_} + i % {N_T}')} ELSE '' END)")
     decomposed = f"CASE WHEN ascii(c) BETWEEN {S} AND {S + N_S - 1} THEN {bound(syllable, 'i', jamo)} ELSE coalesce({entry(decompositions(), 'ascii(c)')}, c) END"
-    spread = characters(f"array_join(transform({characters('x')}, c -> {decomposed}), '')")
+    spread = characters(f"array_join(transform({characters('p')}, c -> {decomposed}), '')")
     # Marks move within their run: a run begins at each code point of class 0.
     ranked = f"transform(cs, (c, i) -> named_struct('c', c, 'k', coalesce(cast({entry(classes(), 'ascii(c)')} AS int), 0), 'i', i))"
     run = "named_struct('run', CASE WHEN r.k = 0 THEN a.run + 1 ELSE a.run END, 'out', concat(a.out, array(named_struct('run', CASE WHEN r.k = 0 THEN a.run + 1 ELSE a.run END, 'k', r.k, 'i', r.i, 'c', r.c))))"
-    begin = "named_struct('run', 0, 'out', cast(array() AS array<struct<run:int,k:int,i:int,c:string>>))"
-    ordered = f"array_sort(aggregate({ranked}, {begin}, (a, r) -> {run}, a -> a.out))"
+    none = "cast(array() AS array<struct<run:int,k:int,i:int,c:string>>)"
+    begin = f"named_struct('run', 0, 'out', array({none}))"
+    runs = bound(f"aggregate(chunk, named_struct('run', b.run, 'out', {none}), (a, r) -> {run})", "a", "named_struct('run', a.run, 'out', concat(b.out, array(a.out)))")
+    ordered = f"array_sort(flatten({chunkwise(ranked, begin, runs, 'b.out')}))"
     # Composing looks at the last starter, what stands since, and the class before.
     pair = bound(f"instr(coalesce({entry(compositions(), 'ascii(a.starter)')}, ''), r.c)", "at", "CASE WHEN at % 2 = 1 THEN substring(" + entry(compositions(), "ascii(a.starter)") + ", at + 1, 1) END")
     pair_made = char_of(f"{S} + ((ascii(a.starter) - {L}) * {N_V} + ascii(r.c) - {V}) * {N_T}")
     hangul = f"""CASE WHEN ascii(a.starter) BETWEEN {L} AND {L + 18} AND ascii(r.c) BETWEEN {V} AND {V + 20} THEN {pair_made}
         WHEN ascii(a.starter) BETWEEN {S} AND {S + N_S - 1} AND (ascii(a.starter) - {S}) % {N_T} = 0 AND ascii(r.c) BETWEEN {T_ + 1} AND {T_ + 27} THEN {char_of(f'ascii(a.starter) + ascii(r.c) - {T_}')} ELSE {pair} END"""
-    joined = f"CASE WHEN a.starter = '' OR NOT (a.since = '' OR a.last < r.k AND a.last > 0) THEN NULL ELSE {hangul} END"
-    grown = "named_struct('done', {}, 'starter', {}, 'since', {}, 'last', {})"
-    step = bound(joined, "made", f"""CASE WHEN made IS NOT NULL THEN {grown.format('a.done', 'made', 'a.since', 'a.last')}
-        WHEN r.k = 0 THEN {grown.format("concat(a.done, array(concat(a.starter, a.since)))", 'r.c', "''", '0')}
-        ELSE {grown.format('a.done', 'a.starter', 'concat(a.since, r.c)', 'r.k')} END""")
-    start = "named_struct('done', cast(array() AS array<string>), 'starter', '', 'since', '', 'last', 0)"
-    composed = f"aggregate({ordered}, {start}, (a, r) -> {step}, a -> array_join(concat(a.done, array(a.starter, a.since)), ''))"
+    joined = f"CASE WHEN a.starter = '' OR NOT (a.bare OR a.last < r.k AND a.last > 0) THEN NULL ELSE {hangul} END"
+    grown = "named_struct('done', {}, 'starter', {}, 'since', {}, 'bare', {}, 'last', {})"
+    step = bound(joined, "made", f"""CASE WHEN made IS NOT NULL THEN {grown.format('a.done', 'made', 'a.since', 'a.bare', 'a.last')}
+        WHEN r.k = 0 THEN {grown.format("concat(a.done, array(a.starter), a.since)", 'r.c', "cast(array() AS array<string>)", 'true', '0')}
+        ELSE {grown.format('a.done', 'a.starter', 'concat(a.since, array(r.c))', 'false', 'r.k')} END""")
+    start = "named_struct('done', cast(array() AS array<string>), 'starter', '', 'since', cast(array() AS array<string>), 'bare', true, 'last', 0)"
+    # The starter may still be composed, so what is done and what stands since are kept apart, each joined into one text a chunk.
+    shut = "named_struct('done', array(array_join(a.done, '')), 'starter', a.starter, 'since', array(array_join(a.since, '')), 'bare', a.bare, 'last', a.last)"
+    composed = chunkwise(ordered, start, bound(f"aggregate(chunk, b, (a, r) -> {step})", "a", shut), "array_join(concat(b.done, array(b.starter), b.since), '')")
     whole = bound(spread, "cs", composed)
-    return bound(x, "x", f"CASE WHEN x RLIKE '^[\\\\x00-\\\\x7f]*$' THEN x ELSE {whole} END")
+    piece, plain = pieces()
+    return bound(x, "x", f"CASE WHEN x RLIKE '{plain}' THEN x ELSE array_join(transform(regexp_extract_all(x, '{piece}', 0), p -> CASE WHEN p RLIKE '{plain}' THEN p ELSE {whole} END), '') END")
