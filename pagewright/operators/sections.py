@@ -69,8 +69,9 @@ def prepare(sections: str) -> str:
     """Numbers attached to titles, titles that start no chapter made section titles, running heads dropped.
 
     Only titles are consumed and only numbers consume, so each place is decided from its neighbours.
+    The array is bound to a name: the optimizer may put its expression wherever it is read, and it is read at every place.
     """
-    at = lambda k: f"get({sections}, i + {k})" if k else f"get({sections}, i)"
+    at = lambda k: f"get(xs, i + {k})" if k else "get(xs, i)"
     number = lambda s: f"({s}.type IN {SKIPPED} AND {T.section_number(s + '.text')})"
     here, before, after = at(0), at(-1), at(1)
     made = lambda kind, text: f"named_struct('type', {kind}, 'text', {text})"
@@ -79,13 +80,14 @@ def prepare(sections: str) -> str:
     stripped = T.strip(here + ".text")
     subtitle = (f"({stripped} <> '' AND length({stripped}) <= 60 AND length({stripped}) - length(replace({stripped}, chr(10), '')) <= 1 "
                 f"AND coalesce({after}.type IN ('body', 'figure'), true))")
-    return f"""filter(transform(CASE WHEN size({sections}) = 0 THEN cast(array() AS array<int>) ELSE sequence(0, size({sections}) - 1) END, i -> CASE
+    made_of = f"""filter(transform(CASE WHEN size(xs) = 0 THEN cast(array() AS array<int>) ELSE sequence(0, size(xs) - 1) END, i -> CASE
         WHEN {number(here)} THEN CASE WHEN {after}.type = 'title' THEN {made("'section_title'", numbered)} END
         WHEN {here}.type = 'title' AND i > 0 AND {number(before)} THEN NULL
         WHEN {here}.type = 'title' AND NOT {T.chapter_marker(here + '.text')} THEN {made("'section_title'", T.flat(here + '.text'))}
         WHEN {here}.type IN {SKIPPED} THEN NULL
         WHEN {here}.type = 'other' AND {subtitle} THEN {made("'subtitle'", stripped)}
         ELSE {here} END), s -> s IS NOT NULL)"""
+    return bound(sections, "xs", made_of)
 
 
 #: Page numbers of a block.
