@@ -2,7 +2,8 @@
 
 ``page_files`` reads ``{base}/{title}/tmp/{title}_{page:04d}{suffix}`` (titles may hold
 slashes when written by us) as rows (book, page_num, file_name, value).  Planning looks at
-names only: each book's files are cut into runs of pages, one partition each.  Filters on
+names only: each book's files are cut into runs of pages, and short runs, of many small
+books, share a partition, so tasks grow with the files and not with the books.  Filters on
 book and page_num are taken over: folders of other books are not listed, and files of
 other pages are not opened.
 
@@ -17,11 +18,13 @@ file write one file, the last renamed; an empty table writes nothing.
 
 from __future__ import annotations
 
+import bisect
 import operator
 import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 
 #: Page files of a partition.
 RUN = 256
+#: Files that a commit renames at once.
+RENAMED = 16
 TEMPORARY = ".part"
 
 
@@ -45,7 +50,7 @@ def listed(files: pafs.FileSystem, folder: str, recursive: bool = False) -> list
 
 
 @dataclass
-class Run(D.InputPartition):
+class Run:
     """Pages ``low`` to ``high`` of a book."""
 
     folder: str
@@ -54,6 +59,13 @@ class Run(D.InputPartition):
     high: int
 
 
+@dataclass
+class Runs(D.InputPartition):
+    """Runs that one task reads."""
+
+    runs: list[Run]
+
+
 _COMPARED = {D.EqualTo: operator.eq, D.GreaterThan: operator.gt, D.GreaterThanOrEqual: operator.ge, D.LessThan: operator.lt, D.LessThanOrEqual: operator.le,
              D.StringStartsWith: str.startswith}
 
@@ -120,23 +132,28 @@ class PageReader(D.DataSourceReader):
         found = ((pattern.fullmatch(i.base_name), i.path) for i in listed(files, folder))
         return sorted((int(m[1]), path) for m, path in found if m and int(m[1]) < 1 << 31 and self.wanted("page_num", int(m[1])))
 
-    def partitions(self) -> list[Run]:
+    def partitions(self) -> list[Runs]:
         files, base = place_of(self.base)
-        runs = []
+        parts, room = [], 0
         for book, folder in self.books(files, base):
             numbers = [n for n, _ in self.numbers(files, book, folder)]
             starts = sorted({numbers[i] for i in range(0, len(numbers), self.run)})
-            runs += [Run(folder, book, low, high - 1) for low, high in zip(starts, [*starts[1:], 1 << 31])]
-        return runs
-
-    def read(self, partition: Run | None) -> Iterator[tuple]:
-        if partition is None:  # nothing to read
-            return
+            for low, high in zip(starts, [*starts[1:], 1 << 31]):
+                size = bisect.bisect_left(numbers, high) - bisect.bisect_left(numbers, low)
+                if size > room:
+                    parts.append(Runs([]))
+                    room = self.run
+                parts[-1].runs.append(Run(folder, book, low, high - 1))
+                room -= size
+        return parts
+
+    def read(self, partition: Runs | None) -> Iterator[tuple]:
         files, _ = place_of(self.base)
-        for number, path in self.numbers(files, partition.book, partition.folder):
-            if partition.low <= number <= partition.high:
-                with files.open_input_stream(path) as f:
-                    yield partition.book, number, path.rsplit("/", 1)[-1], f.read().decode("utf-8", "replace")
+        for run in partition.runs if partition else ():  # None: nothing to read
+            for number, path in self.numbers(files, run.book, run.folder):
+                if run.low <= number <= run.high:
+                    with files.open_input_stream(path) as f:
+                        yield run.book, number, path.rsplit("/", 1)[-1], f.read().decode("utf-8", "replace")
 
 
 @dataclass
@@ -165,11 +182,13 @@ class FileWriter(D.DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         files, base = place_of(self.path)
         made: list[tuple[str, str]] = []
+        folder = None
         try:
             for file, value in rows:
                 target = f"{base}/{file}"
                 part = f"{target}.{self.job}-{uuid.uuid4().hex}{TEMPORARY}"
-                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if folder != (folder := target.rsplit("/", 1)[0]):
+                    files.create_dir(folder, recursive=True)
                 made.append((part, target))
                 with files.open_output_stream(part) as f:
                     f.write((value or "").encode("utf-8"))
@@ -192,9 +211,11 @@ class FileWriter(D.DataSourceWriter):
         if self.overwrite:
             kept = {target for m in messages if m for _, target in m.files}
             self.remove(files, [i.path for i in listed(files, base, recursive=True) if i.type == pafs.FileType.File and i.path not in kept and not i.base_name.endswith(TEMPORARY)])
-        for m in messages:
-            for part, target in m.files if m else ():
-                files.move(part, target)
+        # Of equal targets the last one counts, so only it is renamed over what may stand there; the others are left over.
+        last = {target: part for m in messages for part, target in (m.files if m else ())}
+        with ThreadPoolExecutor(RENAMED) as pool:
+            for _ in pool.map(lambda pair: files.move(pair[1], pair[0]), last.items()):
+                pass
         self.remove(files, self.leftovers(files, base))
 
     def abort(self, messages: list) -> None:
