@@ -12,8 +12,9 @@ similarity asked for, is at least 0.8, computed exactly.  Shingles and arrivals
 buckets, verification and components are DataFrame operations.
 
 Equal texts are one node from the start.  In a bucket of at most SMALL nodes all
-pairs are compared; in a larger one every member is compared with the bucket's most
-central nodes, so work stays linear in the bucket.  What then is outside a bucket's
+pairs are compared; in a larger one every member is compared with the bucket's few most
+central nodes, and what is still apart from the first of them with some more, so work
+stays linear in the bucket.  What then is outside a bucket's
 main component is compared with all its members, in blocks of bounded size and by
 bitmaps that bound the overlap of two sets; only pairs that may be links come out and
 are verified.  Classes are the connected components of the links.  Hot buckets, pivots
@@ -46,8 +47,8 @@ SLOTS = BANDS * ROWS
 #: A slot stays empty with probability exp(-EXTRA) / SLOTS; a band with an empty slot is left out.
 EXTRA = 2.0
 SMALL = 8
-#: Pivots of a larger bucket, and places of the bitmaps that the exact way compares.
-PIVOTS, BITS = 16, 4096
+#: Pivots of a larger bucket that all its members meet, those that its rest meets, and places of the bitmaps that the exact way compares.
+FIRST, PIVOTS, BITS = 2, 16, 4096
 #: Queries and members that meet in one block of the exact way at most, about.
 QUERIES, MEMBERS = 1024, 8192
 
@@ -180,8 +181,8 @@ def hot_bands(members: DataFrame) -> DataFrame | bool:
     return (seen["most"] or 0) > least and stored(members.where(F.col("size") > least).select("band", F.lit(True).alias("_hot")).distinct())
 
 
-def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
-    """Members of large buckets with each bucket's ``count`` most central nodes: (a, n, b, n2).
+def central_nodes(large: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(band, a, n) of members of large buckets, and (band, b, n2, rank) of each bucket's ``count`` most central nodes.
 
     A node's centrality is the size of all its buckets; a text that many others are
     copies of shares most slots with them.  Of nodes in the same buckets one stands
@@ -191,8 +192,24 @@ def central_pairs(large: DataFrame, count: int = PIVOTS) -> DataFrame:
     fifth = large.where(F.pmod("band", F.lit(5)) == 0).join(node, "node")
     heads = fifth.groupBy("band", "same").agg(F.max(F.struct("c", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
     rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("p.c"), F.desc("p.h"), "p.node"))
-    pivots = heads.withColumn("rank", rank).where(F.col("rank") <= count).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
-    return spread_join(fifth.select("band", F.col("node").alias("a"), "n"), pivots, "band", hot=hot_bands(large))
+    pivots = heads.withColumn("rank", rank).where(F.col("rank") <= count).select("band", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), "rank")
+    return fifth.select("band", F.col("node").alias("a"), "n"), pivots
+
+
+def central_pairs(large: DataFrame) -> DataFrame:
+    """Members of large buckets with each bucket's FIRST most central nodes: (a, n, b, n2)."""
+    members, pivots = central_nodes(large, FIRST)
+    return spread_join(members, pivots.drop("rank"), "band", hot=hot_bands(large))
+
+
+def apart_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members outside the component of their bucket's first central node with the PIVOTS central nodes of other components than theirs: (a, n, b, n2)."""
+    members, pivots = central_nodes(large, PIVOTS)
+    labelled = lambda rows, end, name: rows.join(labels.select(F.col("node").alias(end), F.col("label").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    pivots = cut(labelled(pivots, "b", "label2"))
+    first = pivots.where("rank = 1").select("band", F.col("label2").alias("main"))
+    apart = spread_join(labelled(members, "a", "label"), first, "band", hot=hot_bands(large), by=["a"]).where("label <> main")
+    return apart.join(pivots, "band").where("label <> label2").select("a", "n", "b", "n2")
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -277,6 +294,10 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
 
     dealt = central_pairs(large).where(alike).select(*ordered)
     labels = components(cut(verified(cut(pairs.unionByName(dealt).distinct()), sets, least)))
+    apart = cut(apart_pairs(large, labels).where(alike).select(*ordered).distinct())
+    if not apart.isEmpty():
+        more = cut(verified(apart, sets, least))
+        labels = labels if more.isEmpty() else components(more, labels)
     left = cut(links_left(large, labels, sets, least))
     if not left.isEmpty():
         labels = components(left, labels)
