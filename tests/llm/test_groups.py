@@ -128,6 +128,6 @@ def test_hundreds_of_items_in_groups_and_a_very_long_document(spark, monkeypatch
 
 def test_members_of_a_large_bucket_meet_few_central_texts(spark):
     rows = [(f"t{i:03}", 40, band, 200) for i in range(200) for band in (5, 10)]
-    large = spark.createDataFrame([(n, k, b + int(n[1:]) % 1, s) for n, k, b, s in rows] + [(f"t{i:03}", 40, 1000 + i, 20) for i in range(200)], "node string, n int, band long, size long")
-    met = minhash.central_pairs(large.where("band < 1000"))
+    large = spark.createDataFrame(rows, "node string, n int, band long, size long")
+    met = minhash.central_pairs(large)
     assert met.count() <= 400 * 2
