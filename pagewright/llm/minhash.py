@@ -16,8 +16,9 @@ pairs are compared; in a larger one every member is compared with the bucket's f
 central nodes, and what is still apart from the first of them with some more, so work
 stays linear in the bucket.  What then is outside a bucket's
 main component is compared with all its members, in blocks of bounded size and by
-bitmaps that bound the overlap of two sets; only pairs that may be links come out and
-are verified.  Classes are the connected components of the links.  Hot buckets, pivots
+bitmaps that bound the overlap of two sets; of the pairs that may be links those come out
+and are verified that join components (forests of a block), until none is left that could
+join any.  Classes are the connected components of the links.  Hot buckets, pivots
 of many pairs and texts of many copies are joined in salted parts (shared.spread_join).
 
 Defined cases: null text is the empty text, and equal texts without words are copies
@@ -238,34 +239,57 @@ def open_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
     return asked.unionByName(met)
 
 
-def likely_links(block: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of a block that may be links: queries against members of other components, by the bound of their bitmaps.
+def likely_links(block: pd.DataFrame, least: float, forests: int) -> pd.DataFrame:
+    """Pairs (a, b) of a block that may be links: queries against members of other components, by the bound of their bitmaps.
 
-    A pair is given in the least band that both have, and in no other.
+    Only ``forests`` forests of them are given: were the pairs of one all links, no other
+    pair would join anything more.  A row of nulls says that pairs were left out.
     """
-    band = int(block["band"].iloc[0])
+    block = block.sort_values("node", ignore_index=True)  # alike in all bands, so that their pairs are mostly the same
     bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
-    nodes, labels, n, query = block["node"].to_numpy(), block["label"].to_numpy(), block["n"].to_numpy(), block["query"].to_numpy()
-    members = np.flatnonzero(~query)
-    bands = block["bands"].tolist()
-    out = []
+    nodes, n, query = block["node"].to_numpy(), block["n"].to_numpy(), block["query"].to_numpy()
+    labels = pd.factorize(block["label"])[0].astype(np.int32)
+    members, trees, out, left_out = np.flatnonzero(~query), [], [], False
     for i in np.flatnonzero(query).tolist():
         size = n[members]
         near = members[(labels[members] != labels[i]) & (np.minimum(size, n[i]) >= least * np.maximum(size, n[i]))]
         differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
         # At a Jaccard of `least` the sets differ in (1 - least) / (1 + least) of both sizes at most.
-        for j in near[differ * (1 + least) <= (1 - least) * (n[near] + n[i]) + 1e-9].tolist():
-            if min(set(bands[i]).intersection(bands[j])) == band:
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-    return pd.DataFrame(out, columns=["a", "b"])
+        share = differ / (n[near] + n[i])
+        close = share * (1 + least) <= (1 - least) + 1e-9
+        near = near[close][np.argsort(share[close], kind="stable")]
+        for f in range(forests):
+            if not len(near):
+                break
+            if f == len(trees):
+                trees.append(labels.copy())
+            tree = trees[f]
+            apart = np.flatnonzero(tree[near] != tree[i])
+            chosen = apart[np.unique(tree[near[apart]], return_index=True)[1]]
+            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in near[chosen].tolist()]
+            tree[np.isin(tree, tree[near[chosen]])] = tree[i]
+            near = np.delete(near, chosen)
+        left_out |= len(near) > 0
+    return pd.DataFrame(out + [(None, None)] * left_out, columns=["a", "b"], dtype=object)
 
 
 def links_left(large: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The exact way for what pivots leave: links (a, b) between components of a bucket."""
-    facts = large.groupBy("node").agg(F.collect_list("band").alias("bands")).join(sets.select("node", "bits"), "node")
-    blocks = open_blocks(large, labels).join(facts, "node")
-    likely = blocks.groupBy("band", "i", "j").applyInPandas(lambda g: likely_links(g, least), "a string, b string")
-    return verified(cut(likely.distinct()), sets, least)
+    """The exact way for what pivots leave: ``labels`` joined by the links between components of a bucket.
+
+    Where pairs fail that forests rely on, more forests are tried, until none is left out.
+    """
+    forests = 1
+    while True:
+        blocks = open_blocks(large, labels).join(sets.select("node", "bits"), "node")
+        likely = cut(blocks.groupBy("band", "i", "j").applyInPandas(lambda g: likely_links(g, least, forests), "a string, b string").distinct())  # noqa: B023
+        given = likely.where("a IS NOT NULL")
+        links = cut(verified(given, sets, least))
+        found = links.count()
+        if found:
+            labels = components(links, labels)
+        if likely.where("a IS NULL").isEmpty() or found == given.count():
+            return labels
+        forests *= 32
 
 
 def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -298,9 +322,7 @@ def text_classes(documents: DataFrame, key: str, least: float) -> tuple[DataFram
     if not apart.isEmpty():
         more = cut(verified(apart, sets, least))
         labels = labels if more.isEmpty() else components(more, labels)
-    left = cut(links_left(large, labels, sets, least))
-    if not left.isEmpty():
-        labels = components(left, labels)
+    labels = links_left(large, labels, sets, least)
     of_node = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return rows.select("key", "node", "n"), of_node
 

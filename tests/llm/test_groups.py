@@ -131,3 +131,42 @@ def test_members_of_a_large_bucket_meet_few_central_texts(spark):
     large = spark.createDataFrame(rows, "node string, n int, band long, size long")
     met = minhash.central_pairs(large)
     assert met.count() <= 400 * 2
+
+
+def test_the_exact_way_gives_forests_not_all_pairs(spark):
+    """300 near copies of one text that no pivot met gave their 44,850 pairs."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    shared_ = rng.integers(0, 1 << 63, 200, np.int64)
+    sets = [np.sort(np.concatenate([shared_, rng.integers(0, 1 << 63, 6, np.int64)])).astype(np.uint64) for _ in range(300)]
+    rows = [(f"t{i:03}", f"t{i:03}", 206, minhash.bitmap(s)) for i, s in enumerate(sets)]
+    block = pd.DataFrame([(*r, q) for q in (True, False) for r in rows], columns=["node", "label", "n", "bits", "query"])
+    for forests in (1, 4):
+        got = minhash.likely_links(block, 0.8, forests)
+        assert got["a"].isna().sum() == 1 and 299 <= len(got.dropna()) <= 300 * forests
+    whole = minhash.likely_links(block, 0.8, 400)
+    assert not whole["a"].isna().any() and len(whole.drop_duplicates()) == 300 * 299 // 2
+
+
+def test_pairs_that_fail_hide_no_link(spark, monkeypatch):
+    """Bitmaps that bound nothing: nearly all that the forests rely on fails, and still each link counts."""
+    monkeypatch.setattr(minhash, "bitmap", lambda shingles: bytes(512))
+    rng = np.random.default_rng(9)
+    core, sets = rng.integers(0, 1 << 62, 60, np.int64), []
+    for i in range(60):
+        own = rng.permutation(core)[: rng.integers(48, 61)]
+        sets.append(np.sort(np.concatenate([own, rng.integers(0, 1 << 62, rng.integers(0, 12), np.int64)])))
+    names = [f"t{i:02}" for i in range(60)]
+    large = spark.createDataFrame([(t, len(s), band, 60) for t, s in zip(names, sets) for band in (1, 2)], "node string, n int, band long, size long")
+    made = spark.createDataFrame([(t, s.tolist(), bytes(512)) for t, s in zip(names, sets)], "node string, shingles array<long>, bits binary")
+    none = spark.createDataFrame([], "node string, label string")
+    got = {r["node"]: r["label"] for r in minhash.links_left(large, none, made, 0.8).collect()}
+    want = {t: t for t in names}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if common >= 0.8 * (len(a) + len(sets[j]) - common):
+                old, new = sorted((want[names[i]], want[names[j]]), reverse=True)
+                want = {t: new if x == old else x for t, x in want.items()}
+    assert 3 < len(set(want.values())) < 57 and {t: got.get(t, t) for t in names} == want
