@@ -38,30 +38,33 @@ SETTLED = "key string, first_ts timestamp, last_ts timestamp, status string, n_m
 
 
 class Settling(StatefulProcessor):
-    """Waiting marks of a key by id; a timer where the earliest run may be complete."""
+    """Waiting marks of a key in one value, read and written once a call; a timer where the earliest run may be complete."""
 
     def __init__(self, patience_ms: int) -> None:
         self.patience = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.marks = handle.getMapState("marks", "id long", "us long, status string")
-        self.timer = handle.getValueState("timer", "at long")
+        self.waiting = handle.getValueState("waiting", "timer long, ids array<long>, us array<long>, statuses array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, marks = self.held()
         for batch in rows:
-            for i, ts, status in zip(batch["id"], batch["ts"], batch["status"]):
-                if not self.marks.containsKey((int(i),)):
-                    self.marks.updateValue((int(i),), (ts.value // 1000, status))
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+            for i, us, status in zip(batch["id"].tolist(), batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist(), batch["status"].tolist()):
+                marks.setdefault(i, (us, status))
+        yield from self.settle(key, timer, marks, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self.settle(key, None, self.held()[1], timerValues.getCurrentWatermarkInMs())
 
-    def settle(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+    def held(self) -> tuple[int | None, dict[int, tuple]]:
+        """The timer that is set, and the waiting marks by id."""
+        timer, ids, us, statuses = self.waiting.get() or (None, [], [], [])
+        return timer, dict(zip(ids, zip(us, statuses)))
+
+    def settle(self, key, timer: int | None, marks: dict[int, tuple], watermark: int) -> Iterator[pd.DataFrame]:
         """Gives out complete runs, oldest first, and sets the timer for the next."""
-        waiting = sorted((us, int(i[0]), status) for i, (us, status) in self.marks.iterator())
+        waiting = sorted((us, i) for i, (us, _) in marks.items())
         runs: list[list[tuple]] = []
         for mark in waiting:
             if not runs or mark[0] - runs[-1][-1][0] > self.patience * 1000:
@@ -70,18 +73,20 @@ class Settling(StatefulProcessor):
         # Beyond the patience after its last mark no mark of a run can come any more.
         ends = [run[-1][0] // 1000 + self.patience + 1 for run in runs]
         done = [run for run, end in zip(runs, ends) if end <= watermark]
-        for run in done:
-            for _, i, _ in run:
-                self.marks.removeKey((i,))
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if len(done) < len(runs):
-            self.handle.registerTimer(ends[len(done)])
-            self.timer.update((ends[len(done)],))
+        left = [mark for run in runs[len(done):] for mark in run]
+        due = ends[len(done)] if left else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if left:
+            self.waiting.update((due, [i for _, i in left], [us for us, _ in left], [marks[i][1] for _, i in left]))
+        else:
+            self.waiting.clear()
         if done:
-            yield pd.DataFrame({"key": [key[0]] * len(done), "first_ts": [pd.Timestamp(r[0][0], unit="us") for r in done], "last_ts": [pd.Timestamp(r[-1][0], unit="us") for r in done],
-                                "status": [r[-1][2] for r in done], "n_marks": [len(r) for r in done]})
+            yield pd.DataFrame({"key": [key[0]] * len(done), "first_ts": pd.to_datetime([r[0][0] for r in done], unit="us"), "last_ts": pd.to_datetime([r[-1][0] for r in done], unit="us"),
+                                "status": [marks[r[-1][1]][1] for r in done], "n_marks": [len(r) for r in done]})
 
 
 def settled(marks: DataFrame, patience: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -102,56 +107,66 @@ def settled_batch(marks: DataFrame, patience: str = "30 minutes") -> DataFrame:
 
 
 ENDED = "book string, last_page int"
+#: Next page, digest, start, repeats and whether the book has ended, before its first capture.
+NO_RUN = (1, None, 0, 0, False)
 
 
 class Ending(StatefulProcessor):
-    """A run of equal digests, and the captures that wait for those before them."""
+    """A run of equal digests, and the captures that wait for those before them, in one value that is read and written once a call."""
 
     def __init__(self, stop: int, patience_ms: int) -> None:
         self.stop, self.patience = stop, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "next int, digest string, start int, repeats int, done boolean")
-        self.waiting = handle.getMapState("waiting", "page int", "digest string, arrived long")
-        self.timer = handle.getValueState("timer", "at long")
+        self.run = handle.getValueState("run", "next int, digest string, start int, repeats int, done boolean, timer long, pages array<int>, digests array<string>, arrived array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = self.run.get()[0] if self.run.exists() else None
+        run, timer, waiting = self.held()
+        due = run[0] if run else None
         for batch in rows:
-            for page, digest, ts in zip(batch["page_num"], batch["digest"], batch["ts"]):
-                if (due is None or page >= due) and not self.waiting.containsKey((int(page),)):
-                    self.waiting.updateValue((int(page),), (digest, millis(ts)))
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
+            for page, digest, ts in zip(batch["page_num"].tolist(), batch["digest"].tolist(), batch["ts"]):
+                if due is None or page >= due:
+                    waiting.setdefault(page, (digest, millis(ts)))
+        yield from self.advance(key, run, timer, waiting, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        due, digest, start, repeats, done = self.run.get() if self.run.exists() else (1, None, 0, 0, False)
-        waiting = sorted((int(p[0]), d, arrived) for p, (d, arrived) in self.waiting.iterator())
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        for page, shot, arrived in waiting:
+        run, _, waiting = self.held()
+        yield from self.advance(key, run, None, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def held(self) -> tuple[tuple | None, int | None, dict[int, tuple]]:
+        """The run of equal digests, the timer that is set, and the waiting captures by page."""
+        known = self.run.get()
+        *run, timer, pages, digests, arrived = known or (*NO_RUN, None, [], [], [])
+        return tuple(run) if known else None, timer, dict(zip(pages, zip(digests, arrived)))
+
+    def advance(self, key, run: tuple | None, timer: int | None, waiting: dict[int, tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        due, digest, start, repeats, done = run or NO_RUN
+        wake, ended = None, None
+        for page in sorted(waiting):
+            shot, arrived = waiting[page]
             if page > due and arrived + self.patience > watermark:
                 # Something is missing before it: wait, until the patience with this page ends.
-                self.handle.registerTimer(arrived + self.patience)
-                self.timer.update((arrived + self.patience,))
+                wake = arrived + self.patience
                 break
-            self.waiting.removeKey((page,))
+            del waiting[page]
             due = page + 1
             if done or self.stop < 1:
                 continue
             if shot is not None and shot == digest:
                 repeats += 1
                 if repeats >= self.stop:
-                    done = True
-                    yield pd.DataFrame({"book": [key[0]], "last_page": [int(start)]})
+                    done, ended = True, start
             else:
                 digest, start, repeats = shot, page, 0
-        self.run.update((due, digest, int(start), int(repeats), done))
+        if timer != wake:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        self.run.update((due, digest, start, repeats, done, wake, list(waiting), [d for d, _ in waiting.values()], [at for _, at in waiting.values()]))
+        if ended is not None:
+            yield pd.DataFrame({"book": [key[0]], "last_page": [ended]})
 
 
 def ends_of_books(captures: DataFrame, stop: int = 2, patience: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

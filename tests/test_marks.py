@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from pagewright.operators.planning import truncate_repeats
@@ -51,3 +52,46 @@ def test_captures_out_of_order_and_missing_pages(spark, tmp_path):
     got = marks.fed(spark, [make(rows[:7]), make(rows[7:15]), make(rows[15:])], make([("end", 1, None, at(9000))]), lambda s: marks.ends_of_books(s, 2, "2 hours", "1 hour"), str(tmp_path)).collect()
     want = truncate_repeats(make([r for r in rows if r[3] <= at(30)]).select("book", "page_num", "digest"), 2).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("early", 3), ("gap", 2)]
+
+
+class Handle:
+    """A state store that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name in ("update", "clear"):
+                self.value = args[0] if args else None
+            if name in ("registerTimer", "deleteTimer"):
+                (self.timers.add if name == "registerTimer" else self.timers.remove)(args[0])
+            return self if name.startswith("getV") else self.value is not None
+
+        return call
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_state_is_read_and_written_once_a_call_whatever_the_rows():
+    """Each mark was a call or two to the state store, and a few hundred marks a key took most of the time."""
+    day = pd.Timestamp("2024-05-01")
+    batch = pd.DataFrame({"id": range(1000), "ts": [day + pd.Timedelta(hours=i) for i in range(1000)], "status": ["x"] * 1000})
+    handle, process = Handle(), marks.Settling(6 * 3_600_000)
+    process.init(handle)
+    end = int((day + pd.Timedelta(hours=2000)).value // 1_000_000)
+    assert list(process.handleInputRows(("k",), iter([batch, batch]), Watermark(0))) == [] and handle.calls <= 6 and len(handle.timers) == 1
+    out = list(process.handleExpiredTimer(("k",), Watermark(end), None))
+    assert out[0]["n_marks"].tolist() == [1000] and handle.value is None and handle.calls <= 10
+    shots = pd.DataFrame({"page_num": range(2, 1002), "digest": [str(i // 500) for i in range(1000)], "ts": [day] * 1000})
+    handle, process = Handle(), marks.Ending(2, 3_600_000)
+    process.init(handle)
+    assert list(process.handleInputRows(("b",), iter([shots]), Watermark(0))) == [] and handle.calls <= 6 and len(handle.timers) == 1
+    out = list(process.handleExpiredTimer(("b",), Watermark(end), None))
+    assert out[0]["last_page"].tolist() == [2] and handle.calls <= 10
