@@ -9,7 +9,8 @@ chunks whatever is lost.  A chunk sends each shard its words and the distinct pa
 fall there, with their training counts (one packed row per chunk and shard).  A shard adds the counts of all
 chunks, builds its trie (contexts, then their successors) and looks up what the chunks
 sent; the answers go back as 16-bit codes on one scale, and the chunk's tokens are scored
-with them.  Nothing is pruned or capped.
+with them.  How many tokens and distinct words the corpus has is counted before, from the
+chunks' distinct words alone.  Nothing is pruned or capped.
 
 Pairs are dealt to shards by their first word.  Words that alone would fill a good part of
 a shard are dealt by both words, with their exact counts; a sample that grows with the
@@ -168,6 +169,26 @@ def held(payload: bytes) -> tuple[Chunk, np.ndarray, list]:
     return Chunk(numbers(ids).astype(np.int32), codes, lengths), train, keys
 
 
+def send_words(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    """The distinct words of each chunk's training texts by shard, and on one of its rows their tokens."""
+    for batch in batches:
+        rows = []
+        for payload in batch["payload"]:
+            chunk, train, _ = held(payload)
+            words = np.unique(chunk.codes[np.unique(chunk.ids[np.repeat(train, chunk.lengths)])])
+            place = (words % np.uint64(shards)).astype(np.int64)
+            tokens = int(chunk.lengths[train].sum())
+            for k, s in enumerate(np.unique(place).tolist()):
+                rows.append((s, words[place == s].tobytes(), 0 if k else tokens))
+        yield pd.DataFrame(rows, columns=["shard", "words", "tokens"])
+
+
+def count_words(group: pd.DataFrame) -> pd.DataFrame:
+    """Training tokens and distinct words of a shard."""
+    words = np.concatenate([np.frombuffer(w, np.uint64) for w in group["words"]])
+    return pd.DataFrame({"tokens": [int(group["tokens"].sum())], "distinct": [len(np.unique(words))]})
+
+
 def send(batches: Iterator[pd.DataFrame], shards: int, heavy: np.ndarray) -> Iterator[pd.DataFrame]:
     """What each chunk asks of and tells each shard that has words or pairs of it."""
     for batch in batches:
@@ -226,8 +247,7 @@ def answer(group: pd.DataFrame, heavy: dict[int, int]) -> pd.DataFrame:
     trie = build(asked, heavy)
     rows = [(chunk, int(group["shard"].iloc[0]), pack(sums[np.searchsorted(words, a[0])].astype(np.int64), *trie.lookup(*a[2:5])))
             for chunk, a in zip(group["chunk"], asked)]
-    out = pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
-    return out.assign(tokens=[int(sums.sum())] + [0] * (len(out) - 1), distinct=[int((sums > 0).sum())] + [0] * (len(out) - 1))
+    return pd.DataFrame(rows, columns=["chunk", "shard", "payload"])
 
 
 SCORES = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,10 +299,12 @@ def language_scores(documents: DataFrame) -> DataFrame:
     heavy = np.sort(np.array(list(totals), np.uint64))
     chunks = cut(documents.mapInPandas(hold, "chunk long, payload binary"))
     sent = chunks.mapInPandas(lambda b: send(b, shards, heavy), "shard int, chunk long, payload binary")
-    answers = cut(sent.groupBy("shard").applyInPandas(lambda g: answer(g, totals), "chunk long, shard int, payload binary, tokens long, distinct long"))
-    sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    # The sums of the whole corpus come first, so the answers go from their shards to their chunks with no table of them between.
+    words = chunks.mapInPandas(lambda b: send_words(b, shards), "shard int, words binary, tokens long")
+    sums = words.groupBy("shard").applyInPandas(count_words, "tokens long, distinct long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
-    scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInPandas(
+    answers = sent.groupBy("shard").applyInPandas(lambda g: answer(g, totals), "chunk long, shard int, payload binary")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         lambda k, a: score(k, a, shards, heavy, tokens, distinct), SCORES)
     return scored.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", "doc_id")
 

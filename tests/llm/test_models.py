@@ -148,3 +148,19 @@ def test_labels_learn_from_training_rows_only(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, toxic int")
     ids = [r["doc_id"] for r in labelled.training_ids(labels, "toxic", 300).collect()]
     assert len(ids) == 300 and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+
+
+def test_answers_of_a_language_model_are_not_stored_beside_their_shuffle(spark, monkeypatch):
+    """They lay in the shared folder and in the shuffle to their chunks at once, and the disk went beyond its limit."""
+    from pagewright.llm import ngram_lm
+
+    stored, keep = [], ngram_lm.cut
+    monkeypatch.setattr(ngram_lm, "cut", lambda df: stored.append(df.columns) or keep(df))
+    rows = [(i, f"a b{i % 3} c{i} A", i % 4 != 0) for i in range(40)] + [(40, None, True)]
+    got = ngram_lm.language_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()
+    trained = [w for _, text, train in rows if train for w in [*(text or "").lower().split(), "."]]
+    assert [c for c in stored if "payload" in c] == [["chunk", "payload"]]
+    total, distinct = len(trained), len(set(trained))
+    assert {r["train_tokens"] for r in got} == {total}
+    want = np.log10((trained.count(".") + 0.5) / (total + 0.5 * (distinct + 1)))
+    assert abs(next(r["base_score"] for r in got if r["doc_id"] == 40) - want) < 1e-9
