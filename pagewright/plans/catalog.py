@@ -149,7 +149,7 @@ def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def pixels(pages):
-        return pages.map(lambda page: next(zlib.decompress(x.body).decode() for n in range(1, 9) if isinstance(x := pdf_read.Pdf(bytes(page)).get(n), pdf_read.Stream) and x.head.get("Subtype") == "Image"))
+        return pages.map(lambda page: zlib.decompress(pdf_read.first_image(bytes(page)).body).decode())
 
     return pdf_read.sliced(files).select("book", "page_index", pixels("pdf").alias("pixels"))
 
