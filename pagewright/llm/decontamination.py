@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,12 +153,14 @@ class Searcher:
 FOUND = "n_words long, span_words array<int>, items array<string>"
 
 
-def searched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+def searched(rows: DataFrame, benchmark: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, made: T.StructType | None = None) -> DataFrame:
     """(row, text) rows with n_words, span_words (start, end, start, end, ...) and the sorted items found in the text.
 
     Items are sent to the workers in groups of a bounded size, one after the other.  With
     several groups the texts are written once; each group then gives narrow rows for the
-    texts that it hits, and these are joined back at last.
+    texts that it hits, and these are joined back at last.  ``then`` makes rows of the schema
+    ``made`` of the result; with one group it does so in the search's own pass, as a second
+    one beside it would give every task two workers, which stay for all later stages.
     """
     bound_batches(rows.sparkSession)
     context = rows.sparkSession.sparkContext
@@ -173,13 +175,13 @@ def searched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
                 *batch.columns, pa.array(counts, pa.int64()), pa.array([[x for s in m for x in s] for m in spans], pa.list_(pa.int32())),
                 pa.array([sorted(x for x in m if x is not None) for m in named], pa.list_(pa.string()))], [*batch.schema.names, "n_words", "span_words", "items"])
 
-    def found_in(texts: DataFrame, mine: DataFrame) -> tuple[DataFrame, list]:
+    def found_in(texts: DataFrame, mine: DataFrame, then: Callable = iter, made: T.StructType | None = None) -> tuple[DataFrame, list]:
         sent = [context.broadcast(b) for b in blocks(mine)] or [context.broadcast([])]
-        schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(FOUND).fields])
-        return texts.mapInArrow(lambda batches: find(batches, sent), schema), sent
+        schema = made or T.StructType([*texts.schema.fields, *T.StructType.fromDDL(FOUND).fields])
+        return texts.mapInArrow(lambda batches: then(find(batches, sent)), schema), sent
 
     if groups == 1:
-        return found_in(rows.select("row", "text"), items)[0]
+        return found_in(rows.select("row", "text"), items, then or iter, made)[0]
     texts = cut(rows.select(F.monotonically_increasing_id().alias("id"), "row", "text"))
     hits = None
     for group in range(groups):
@@ -190,7 +192,8 @@ def searched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
             block.unpersist()
     named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
     whole = hits.groupBy("id").agg(F.max("n_words").alias("n_words"), joined(F.flatten(F.collect_list("span_words"))).alias("span_words"), named.alias("items"))
-    return texts.join(whole, "id").drop("id")
+    found = texts.join(whole, "id").drop("id")
+    return found.mapInArrow(then, made) if then else found
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -233,13 +236,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, spans = batch.column("text").to_pylist(), batch.column("span_words").to_pylist()
             cleaned = [without_spans(t, s) if s else t for t, s in zip(texts, spans)]
             gone = pa.array([bool(s) and not words_of(t) for t, s in zip(cleaned, spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(cleaned, pa.string()), pa.array([bool(s) for s in spans]), gone], ["row", "text", "hit", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cleaned, pa.string()), pa.array([bool(s) for s in spans]), gone], ["row", "text", "hit", "gone"])
 
-    found = searched(rows, benchmark).select("text", "span_words", "row")
-    kept = found.mapInArrow(clean, T.StructType([found.schema["row"], found.schema["text"], T.StructField("hit", T.BooleanType()), T.StructField("gone", T.BooleanType())])).where("NOT gone")
+    made = T.StructType([*rows.schema.fields, T.StructField("hit", T.BooleanType()), T.StructField("gone", T.BooleanType())])
+    kept = searched(rows, benchmark, clean, made).where("NOT gone")
 
     def column(name: str) -> Column:
         if name == "text":

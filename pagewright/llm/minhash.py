@@ -52,6 +52,8 @@ SMALL = 8
 FIRST, PIVOTS, BITS = 2, 16, 4096
 #: Queries and members that meet in one block of the exact way at most, about.
 QUERIES, MEMBERS = 1024, 8192
+#: Characters of texts whose shingles are made at once, about, and word codes that a worker remembers.
+RUN_CHARS, MOST_CODES = 1_000_000, 100_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(63)
@@ -141,26 +143,35 @@ def band_keys(signature: np.ndarray) -> list[np.ndarray]:
     return [k[f] for k, f in zip(key.view(np.int64), full)]
 
 
+def shingle_runs(texts: list, codes: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingle_sets of one run of texts after the other, so that a worker's memory is that of a run and not of a batch."""
+    begin, chars = 0, 0
+    for end, text in enumerate(texts, 1):
+        chars += len(text or "")
+        if chars >= RUN_CHARS or end == len(texts):
+            if len(codes) > MOST_CODES:
+                codes.clear()
+            yield shingle_sets(texts[begin:end], codes)
+            begin, chars = end, 0
+
+
 def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds n (distinct shingles) and bands to (.., text)."""
     codes = _Codes()
     for batch in batches:
-        if len(codes) > 1_000_000:
-            codes.clear()
-        shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
-        yield batch.drop(columns="text").assign(n=np.diff(bounds).astype(np.int32), bands=band_keys(signatures(shingles, bounds)))
+        sizes, bands = [], []
+        for shingles, bounds in shingle_runs(batch["text"].tolist(), codes):
+            sizes += np.diff(bounds).tolist()
+            bands += band_keys(signatures(shingles, bounds))
+        yield batch.drop(columns="text").assign(n=np.array(sizes, np.int32), bands=bands)
 
 
 def collect_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, shingles, bits) of (node, text)."""
     codes = _Codes()
     for batch in batches:
-        if len(codes) > 1_000_000:
-            codes.clear()
-        shingles, bounds = shingle_sets(batch["text"].tolist(), codes)
-        whole = shingles.view(np.int64)
-        ends = list(zip(bounds[:-1], bounds[1:]))
-        yield pd.DataFrame({"node": batch["node"], "shingles": [whole[a:b] for a, b in ends], "bits": [bitmap(shingles[a:b]) for a, b in ends]})
+        sets = [shingles[a:b] for shingles, bounds in shingle_runs(batch["text"].tolist(), codes) for a, b in zip(bounds[:-1], bounds[1:])]
+        yield pd.DataFrame({"node": batch["node"], "shingles": [s.view(np.int64) for s in sets], "bits": [bitmap(s) for s in sets]})
 
 
 def node_of(text: Column) -> Column:
