@@ -10,6 +10,9 @@ other pages are not opened.
 ``whole_files`` writes rows (file, value), one file each, in two phases: tasks write
 ``.part`` files beside their targets, the driver renames them when all tasks are done, or
 removes them; what a lost attempt left behind goes, too.  Readers never see half a file.
+A part's name says its attempt, so a task's message to the driver has the same size for any
+number of files, and the driver goes through the folders one at a time: its memory grows
+with the tasks, the folders and the largest folder, not with the files.
 
 Paths are anything pyarrow's file systems reach.  Defined cases: names of another form are
 skipped; equal page numbers are rows each; a null value is an empty file; rows of equal
@@ -19,14 +22,18 @@ file write one file, the last renamed; an empty table writes nothing.
 from __future__ import annotations
 
 import bisect
+import itertools
 import operator
 import os
+import posixpath
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
@@ -34,8 +41,9 @@ from pyspark.sql import functions as F
 
 #: Page files of a partition.
 RUN = 256
-#: Files that a commit renames at once.
+#: Files that a commit renames at once, and those it plans ahead.
 RENAMED = 16
+AHEAD = 1024
 TEMPORARY = ".part"
 
 
@@ -45,15 +53,23 @@ def place_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
 
 
-def listed(files: pafs.FileSystem, folder: str, recursive: bool = False) -> list[pafs.FileInfo]:
-    return files.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=recursive))
+def listed(files: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    return files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
 
 
-@dataclass
+def by_folder(files: pafs.FileSystem, base: str) -> Iterator[list[str]]:
+    """The files of ``base`` and of every folder below it, one folder at a time."""
+    waiting = [base]
+    while waiting:
+        found = listed(files, waiting.pop())
+        waiting.extend(i.path for i in found if i.type == pafs.FileType.Directory)
+        yield [i.path for i in found if i.type == pafs.FileType.File]
+
+
+@dataclass(slots=True)
 class Run:
     """Pages ``low`` to ``high`` of a book."""
 
-    folder: str
     book: str
     low: int
     high: int
@@ -143,14 +159,14 @@ class PageReader(D.DataSourceReader):
                 if size > room:
                     parts.append(Runs([]))
                     room = self.run
-                parts[-1].runs.append(Run(folder, book, low, high - 1))
+                parts[-1].runs.append(Run(book, low, high - 1))
                 room -= size
         return parts
 
     def read(self, partition: Runs | None) -> Iterator[tuple]:
-        files, _ = place_of(self.base)
+        files, base = place_of(self.base)
         for run in partition.runs if partition else ():  # None: nothing to read
-            for number, path in self.numbers(files, run.book, run.folder):
+            for number, path in self.numbers(files, run.book, f"{base}/{run.book}/tmp"):
                 if run.low <= number <= run.high:
                     with files.open_input_stream(path) as f:
                         yield run.book, number, path.rsplit("/", 1)[-1], f.read().decode("utf-8", "replace")
@@ -158,9 +174,44 @@ class PageReader(D.DataSourceReader):
 
 @dataclass
 class Written(D.WriterCommitMessage):
-    """(temporary path, path) of each file of a task."""
+    """An attempt of a task, and the numbers of the files that it made."""
+
+    attempt: str
+    files: range
+
+
+class Attempt:
+    """Parts that one attempt of a task makes: ``{file}.{job}-{attempt}-{number}.part`` beside their targets."""
+
+    def __init__(self, path: str, job: str) -> None:
+        self.files, self.base = place_of(path)
+        self.job, self.name, self.made = job, uuid.uuid4().hex[:16], 0
+        self.folders: set[str] = set()
+
+    def opened(self, file: str) -> pa.NativeFile:
+        """A stream into the next part."""
+        if posixpath.normpath(f"./{file}").split("/")[0] == "..":
+            raise ValueError(f"{file!r} lies outside the folder")
+        target = f"{self.base}/{file}"
+        folder = target.rsplit("/", 1)[0]
+        if folder not in self.folders:
+            self.files.create_dir(folder, recursive=True)
+            self.folders.add(folder)
+        self.made += 1
+        return self.files.open_output_stream(f"{target}.{self.job}-{self.name}-{self.made - 1}{TEMPORARY}")
+
+    def written(self) -> Written:
+        return Written(self.name, range(self.made))
 
-    files: list[tuple[str, str]]
+    def undone(self) -> None:
+        for folder in self.folders:
+            remove(self.files, [i.path for i in listed(self.files, folder) if f".{self.job}-{self.name}-" in i.base_name])
+
+
+def remove(files: pafs.FileSystem, paths: Iterable[str]) -> None:
+    for path in paths:
+        if files.get_file_info(path).type == pafs.FileType.File:
+            files.delete_file(path)
 
 
 class WholeFiles(D.DataSource):
@@ -180,47 +231,59 @@ class FileWriter(D.DataSourceWriter):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
-        files, base = place_of(self.path)
-        made: list[tuple[str, str]] = []
-        folder = None
+        attempt = Attempt(self.path, self.job)
         try:
             for file, value in rows:
-                target = f"{base}/{file}"
-                part = f"{target}.{self.job}-{uuid.uuid4().hex}{TEMPORARY}"
-                if folder != (folder := target.rsplit("/", 1)[0]):
-                    files.create_dir(folder, recursive=True)
-                made.append((part, target))
-                with files.open_output_stream(part) as f:
+                with attempt.opened(file) as f:
                     f.write((value or "").encode("utf-8"))
         except BaseException:
-            self.remove(files, [p for p, _ in made])
+            attempt.undone()
             raise
-        return Written(made)
+        return attempt.written()
 
-    @staticmethod
-    def remove(files: pafs.FileSystem, paths: list[str]) -> None:
+    def parts(self, paths: list[str]) -> Iterator[tuple[str, str, int, str]]:
+        """(target, attempt, number, path) of this job's parts among ``paths``."""
+        pattern = re.compile(rf"(.*)\.{self.job}-([0-9a-f]+)-(\d+){re.escape(TEMPORARY)}", re.DOTALL)
         for path in paths:
-            if files.get_file_info(path).type == pafs.FileType.File:
-                files.delete_file(path)
+            if m := pattern.fullmatch(path):
+                yield m[1], m[2], int(m[3]), path
+
+    def steps(self, folders: Iterable[list[str]], places: dict[str, int], overwrite: bool) -> Iterator[tuple[str, str | None]]:
+        """(path, target) of each file to rename, (path, None) of each to remove; ``places`` is the order of the attempts that count."""
+        for paths in folders:
+            parts = list(self.parts(paths))
+            # Of equal targets the last one counts, so only it is renamed over what may stand there.
+            last = {target: path for _, _, target, path in sorted((places[a], n, target, path) for target, a, n, path in parts if a in places)}
+            for target, _, _, path in parts:
+                yield path, target if last.get(target) == path else None
+            if overwrite:
+                yield from ((path, None) for path in paths if path not in last and not path.endswith(TEMPORARY))
+
+    def settle(self, places: dict[str, int], overwrite: bool) -> None:
+        files, base = place_of(self.path)
+
+        def step(pair: tuple[str, str | None]) -> None:
+            path, target = pair
+            if target is None:
+                remove(files, [path])
+            else:
+                files.move(path, target)
 
-    def leftovers(self, files: pafs.FileSystem, base: str) -> list[str]:
-        return [i.path for i in listed(files, base, recursive=True) if self.job in i.base_name and i.base_name.endswith(TEMPORARY)]
+        steps = self.steps(by_folder(files, base), places, overwrite)
+        with ThreadPoolExecutor(RENAMED) as pool:
+            while ahead := list(itertools.islice(steps, AHEAD)):
+                for _ in pool.map(step, ahead):
+                    pass
 
     def commit(self, messages: list) -> None:
-        files, base = place_of(self.path)
-        if self.overwrite:
-            kept = {target for m in messages if m for _, target in m.files}
-            self.remove(files, [i.path for i in listed(files, base, recursive=True) if i.type == pafs.FileType.File and i.path not in kept and not i.base_name.endswith(TEMPORARY)])
-        # Of equal targets the last one counts, so only it is renamed over what may stand there; the others are left over.
-        last = {target: part for m in messages for part, target in (m.files if m else ())}
-        with ThreadPoolExecutor(RENAMED) as pool:
-            for _ in pool.map(lambda pair: files.move(pair[1], pair[0]), last.items()):
-                pass
-        self.remove(files, self.leftovers(files, base))
+        found = Counter(attempt for paths in by_folder(*place_of(self.path)) for _, attempt, _, _ in self.parts(paths))
+        gone = sum(len(m.files) - found[m.attempt] for m in messages if m)
+        if gone:
+            raise FileNotFoundError(f"{gone} files of this job are gone from {self.path}")
+        self.settle({m.attempt: place for place, m in enumerate(messages) if m}, self.overwrite)
 
     def abort(self, messages: list) -> None:
-        files, base = place_of(self.path)
-        self.remove(files, self.leftovers(files, base))
+        self.settle({}, False)
 
 
 def register(spark: SparkSession) -> None:

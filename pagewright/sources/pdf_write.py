@@ -22,7 +22,7 @@ from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
 from pagewright.scratch import cut
-from pagewright.sources.page_files import TEMPORARY, FileWriter, Written, place_of
+from pagewright.sources.page_files import Attempt, FileWriter, Written
 
 #: Pages of a node of the page tree.
 FAN = 128
@@ -109,27 +109,21 @@ class FilePieces(D.DataSource):
 
 class PieceWriter(FileWriter):
     def write(self, rows: Iterator) -> Written:
-        import uuid
-
-        files, base = place_of(self.path)
-        made: list[tuple[str, str]] = []
-        stream = None
+        attempt = Attempt(self.path, self.job)
+        last = stream = None
         try:
             for file, piece in rows:
-                target = f"{base}/{file}"
-                if not made or made[-1][1] != target:
+                if stream is None or file != last:
                     if stream is not None:
                         stream.close()
-                    files.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    made.append((f"{target}.{self.job}-{uuid.uuid4().hex}{TEMPORARY}", target))
-                    stream = files.open_output_stream(made[-1][0])
+                    last, stream = file, attempt.opened(file)
                 stream.write(bytes(piece))
             if stream is not None:
                 stream.close()
         except BaseException:
-            self.remove(files, [p for p, _ in made])
+            attempt.undone()
             raise
-        return Written(made)
+        return attempt.written()
 
 
 def write_pieces(pieces: DataFrame, base: str, suffix: str = ".pdf") -> None:
