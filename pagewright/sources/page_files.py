@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 #: Page files of a partition.
 RUN = 256
-#: Files that a commit renames at once, and those it plans ahead.
-RENAMED = 16
-AHEAD = 1024
+#: Threads of a commit, and the files that each is given at once.
+THREADS = 16
+GIVEN = 64
 TEMPORARY = ".part"
 
 
@@ -262,17 +262,17 @@ class FileWriter(D.DataSourceWriter):
     def settle(self, places: dict[str, int], overwrite: bool) -> None:
         files, base = place_of(self.path)
 
-        def step(pair: tuple[str, str | None]) -> None:
-            path, target = pair
-            if target is None:
-                remove(files, [path])
-            else:
-                files.move(path, target)
+        def take(given: list[tuple[str, str | None]]) -> None:
+            for path, target in given:
+                if target is None:
+                    remove(files, [path])
+                else:
+                    files.move(path, target)
 
         steps = self.steps(by_folder(files, base), places, overwrite)
-        with ThreadPoolExecutor(RENAMED) as pool:
-            while ahead := list(itertools.islice(steps, AHEAD)):
-                for _ in pool.map(step, ahead):
+        with ThreadPoolExecutor(THREADS) as pool:
+            while ahead := list(itertools.islice(steps, THREADS * GIVEN)):
+                for _ in pool.map(take, (ahead[i::THREADS] for i in range(THREADS))):
                     pass
 
     def commit(self, messages: list) -> None:
